@@ -101,7 +101,7 @@ def _entries(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -
 
 def _shared_bytes(entries: DataFrame, link: float, block: int) -> DataFrame:
     """node, root, n: the links found in the buckets of whole bytes, summed for each node and tile, with a node it is connected to."""
-    byte = F.shiftrightunsigned("code", F.col("t") * 8).bitwiseAND(255)
+    byte = F.expr("shiftrightunsigned(code, t * 8) & 255")
     listed = entries.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(TABLES - 1)))).withColumn("bucket", (F.col("label").cast("long") * TABLES + F.col("t")) * 256 + byte)
 
     def search(batches):
@@ -136,7 +136,7 @@ def _shared_bytes(entries: DataFrame, link: float, block: int) -> DataFrame:
 
 def _near_bytes(entries: DataFrame, link: float, radius: int, block: int) -> DataFrame:
     """node, root, n: links between codes that share no byte but have one that differs in one bit."""
-    byte = F.shiftrightunsigned("code", F.col("t") * 8).bitwiseAND(255)
+    byte = F.expr("shiftrightunsigned(code, t * 8) & 255")
     # A pair that differs in one bit of a byte is found by the side that has 0 there.
     probes = F.filter(F.array(*[F.lit(1 << i) for i in range(8)]), lambda bit: F.col("byte").bitwiseAND(bit) == 0)
     keyed = entries.select("node", "label", "code", F.explode(F.sequence(F.lit(0), F.lit(TABLES - 1))).alias("t")).withColumn("byte", byte.cast("int"))
