@@ -2,7 +2,7 @@
 
 A page becomes a flat sequence of text blocks, cut at block-level tags. A block has its number of words and its link density
 (words in links among all words), those of the blocks before and after it, and whether it stands in an article or main
-element, in an element that is or is named as a menu, header, footer, sidebar, notice, advert, form or comments, and under a
+element, beside one, in an element that is or is named as a menu, header, footer, sidebar, notice, advert, form or comments, and under a
 heading tag. A decision tree, trained on the blocks of LABELLED, says which blocks are the article's.
 
 White space inside a block becomes one space (a line break tag is white space), blocks without text are no blocks, and the kept
@@ -121,13 +121,14 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-FEATURES = ("words", "link density", "words before", "link density before", "words after", "link density after", "in the article", "in something else", "heading")
+FEATURES = ("words", "link density", "words before", "link density before", "words after", "link density after", "in the article", "beside an article", "in something else", "heading")
 
 
 def features(found: list[Block]) -> np.ndarray:
     own = np.array([[b.words, min(1.0, b.linked / b.words)] for b in found]).reshape(-1, 2)
     edge = np.zeros((1, 2))
-    flags = np.array([[b.inside, b.other, b.heading] for b in found], dtype="f8").reshape(-1, 3)
+    any_inside = any(b.inside for b in found)
+    flags = np.array([[b.inside, any_inside and not b.inside, b.other, b.heading] for b in found], dtype="f8").reshape(-1, 4)
     return np.hstack([own, np.vstack([edge, own[:-1]]), np.vstack([own[1:], edge]), flags])
 
 
@@ -171,6 +172,8 @@ LABELLED = (
     (f"<p><a>Skip to the text</a></p><p><a>Home</a> | <a>Archive</a></p><p>{_LONG} {_LAST}</p><p>{_NEXT} {_LONG}</p><p>{_LAST} {_NEXT}</p><p><a>Next page</a></p><p><a>Print</a> <a>Mail</a></p>", "nnyyynn"),
     ("<article><h1>Short</h1><p>Rain.</p><p>Then more rain.</p><p>Sun.</p><p><a>The whole forecast</a></p></article><div class=related><h3>More on this</h3><p>Rain again</p><p><a>Sun next week</a></p></div>", "yyyyynnn"),
     (f"<body><div class=sidebar><p>{_NEXT}</p><p>Weather: fair</p></div><article><header><h1>In the hills</h1></header><p>{_LONG}</p><p>{_LAST}</p><div class='ad'>Shoes at half the price</div><p>So it was.</p></article><div role=search>Find</div>", "nnyyynyn"),
+    (f"<p>Good day to all our readers on this fine Monday in the valley.</p><article><h1>Links</h1><p><a>The first of the reports</a></p><p>Read <a>this</a> too.</p><p><a>Another report on the flood</a></p><p><a>One</a></p><p><a>And the last of them all</a></p><p>End.</p></article><p>Printed by the river press in the old town.</p><p>Call us.</p>", "nyyyyyyynn"),
+    (f"<div>Valley paper of the year and the best by far.</div><main><p><a>All the dates of the market</a></p><p>{_LAST}</p><p><a>Map</a></p><p>Soon.</p><div class=share><a>Send to a friend</a></div></main><div><a>Old issues</a></div><div>Since 1900</div>", "nyyyynnn"),
 )
 
 
