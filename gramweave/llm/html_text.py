@@ -126,6 +126,8 @@ FEATURES = ("words", "link density", "words before", "link density before", "wor
 
 def features(found: list[Block]) -> np.ndarray:
     own = np.array([[b.words, min(1.0, b.linked / b.words)] for b in found]).reshape(-1, 2)
+    if not found:
+        return np.zeros((0, len(FEATURES)))
     edge = np.zeros((1, 2))
     any_inside = any(b.inside for b in found)
     flags = np.array([[b.inside, any_inside and not b.inside, b.other, b.heading] for b in found], dtype="f8").reshape(-1, 4)
