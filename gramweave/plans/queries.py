@@ -1,4 +1,259 @@
-"""The registered queries of the matching engine."""
+"""The registered queries of the matching engine, each over whole tables, and the SQL that they are held against.
 
-QUERIES = {}
-ORACLE_SQL = {}
+Texts are the documents, queries and patterns come from the benchmark passages, suffix order and vectors use the part names, and the
+graph is made of the passages: each is cut in three nodes, and links lead on to the next piece of the same and of the next passage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gramweave.operators import graph, locate, mem, suffix, vectors
+from gramweave.sources import texts as src
+
+K, PATTERN, PER_TEXT = 20, 16, 2
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def passages(spark, sf_dir):
+    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def patterns(spark, sf_dir):
+    """PER_TEXT substrings of PATTERN characters of each passage."""
+    rows = passages(spark, sf_dir).withColumnRenamed("query_id", "doc_id")
+    return locate.sample_patterns(rows, PATTERN, PER_TEXT)
+
+
+def names(spark, sf_dir):
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text"))
+
+
+def letters(spark, sf_dir):
+    """vec, pos, ch: the characters of the part names."""
+    return names(spark, sf_dir).select(F.col("doc_id").alias("vec"), F.posexplode(F.split("text", "")).alias("pos", "ch")).withColumn("pos", F.col("pos").cast("long"))
+
+
+def vowels(spark, sf_dir):
+    return letters(spark, sf_dir).select("vec", "pos", F.col("ch").isin(*"aeiou").cast("int").alias("bit"))
+
+
+def passage_graph(spark, sf_dir):
+    rows = _table(spark, sf_dir, "benchmark").select("item_id", "text", F.ceil(F.length("text") / 3).cast("int").alias("w"))
+    pieces = rows.select("item_id", F.posexplode(F.array(*[F.expr(f"substring(text, {p} * w + 1, w)") for p in range(3)])).alias("piece", "label"))
+    nodes = pieces.select((F.col("item_id") * 3 + F.col("piece")).alias("node_id"), "label").where("label <> ''")
+    steps = nodes.select(F.col("node_id").alias("src"), F.explode(F.array(F.col("node_id") + 1, F.col("node_id") + 4)).alias("dst")).where("src % 3 < 2")
+    links = steps.join(nodes.select(F.col("node_id").alias("dst")), "dst", "left_semi")
+    return nodes, links.select("src", F.lit(False).alias("src_rev"), "dst", F.lit(False).alias("dst_rev"))
+
+
+def graph_queries(spark, sf_dir):
+    """The passages without 10 characters on either side, between separators."""
+    text = F.expr("concat('#', substring(text, 11, length(text) - 20), '#')")
+    return passages(spark, sf_dir).where("length(text) > 20").select("query_id", text.alias("text"))
+
+
+# Sources and sinks
+
+
+def corpus_scan(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.length("text").alias("n"), F.octet_length("text").alias("bytes"))
+
+
+def pattern_parse(spark, sf_dir):
+    header = F.concat(F.lit("# number="), F.floor(F.length("text") / PATTERN).cast("string"), F.lit(f" length={PATTERN} file=benchmark forbidden=\n"))
+    return src.parse_patterns(passages(spark, sf_dir).select("query_id", F.concat(header, "text").alias("body")), "query_id", "body")
+
+
+def query_split(spark, sf_dir):
+    return src.split_queries(passages(spark, sf_dir).select("query_id", F.concat(F.lit("#"), F.regexp_replace("text", "[.] ?", "#"), F.lit("#")).alias("line")), "query_id", "line")
+
+
+def graph_nodes(spark, sf_dir):
+    return passage_graph(spark, sf_dir)[0]
+
+
+def graph_links(spark, sf_dir):
+    return passage_graph(spark, sf_dir)[1].select("src", "dst")
+
+
+def mem_lines(spark, sf_dir):
+    return src.match_lines(mem_open(spark, sf_dir))
+
+
+# Matches
+
+
+def mem_open(spark, sf_dir):
+    return mem.mems(documents(spark, sf_dir), passages(spark, sf_dir), K, boundary="open")
+
+
+def mem_symmetric(spark, sf_dir):
+    return mem.mems(documents(spark, sf_dir), passages(spark, sf_dir), K)
+
+
+def mem_asymmetric(spark, sf_dir):
+    return mem.mems_asymmetric(documents(spark, sf_dir), passages(spark, sf_dir), K)
+
+
+def longest_common_substring(spark, sf_dir):
+    return mem.longest_match(documents(spark, sf_dir), passages(spark, sf_dir), least=12)
+
+
+def top_mems(spark, sf_dir):
+    return mem_open(spark, sf_dir).orderBy(F.desc("d"), "doc_id", "query_id", "x", "i").limit(20)
+
+
+# Occurrences
+
+
+def of(job, most):
+    return lambda spark, sf_dir: job(documents(spark, sf_dir), patterns(spark, sf_dir), most)
+
+
+def hamming_eq(most):
+    return lambda spark, sf_dir: locate.locate(documents(spark, sf_dir), patterns(spark, sf_dir), most).where(F.col("mismatches") == most).drop("mismatches")
+
+
+def seed_extend(spark, sf_dir):
+    return locate.seed_extend(documents(spark, sf_dir), patterns(spark, sf_dir), 4, 8, 2)
+
+
+def occurrence_check(spark, sf_dir):
+    d, p = documents(spark, sf_dir), patterns(spark, sf_dir)
+    return locate.violations(d, p, locate.locate(d, p, 1), 1).agg(F.count(F.lit(1)).alias("violations"))
+
+
+def extended(side):
+    return lambda spark, sf_dir: locate.extend(locate.neighbours(documents(spark, sf_dir), patterns(spark, sf_dir)), side)
+
+
+def maximal(side):
+    return lambda spark, sf_dir: locate.maximal(locate.neighbours(documents(spark, sf_dir), patterns(spark, sf_dir)), side)
+
+
+# Graph
+
+
+def units(kind):
+    def job(spark, sf_dir):
+        found = graph.graph_units(*passage_graph(spark, sf_dir), kind)
+        return found.select(F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"), F.array_join("parts", ">").alias("parts"), "lctx", "rctx")
+
+    return job
+
+
+def graph_contexts(spark, sf_dir):
+    return graph.contexts(*passage_graph(spark, sf_dir))
+
+
+def _graph_mems(spark, sf_dir, kind):
+    return graph.graph_mems(graph.graph_units(*passage_graph(spark, sf_dir), kind), graph_queries(spark, sf_dir), K)
+
+
+def _flat(found):
+    return found.withColumn("ids", F.array_join(F.transform("ids", lambda i: i.cast("string")), ","))
+
+
+def graph_mems(kind):
+    return lambda spark, sf_dir: _flat(_graph_mems(spark, sf_dir, kind))
+
+
+def graph_mem_filtered(spark, sf_dir):
+    return _flat(graph.only_in(_graph_mems(spark, sf_dir, "paths"), documents(spark, sf_dir)))
+
+
+def graph_mem_asym(spark, sf_dir):
+    """Edge matches whose string is in no node."""
+    nodes = graph.unit_texts(graph.graph_units(*passage_graph(spark, sf_dir), "nodes"))
+    return _flat(graph.only_in(_graph_mems(spark, sf_dir, "edges"), nodes, inside=False))
+
+
+def graph_mem_max(spark, sf_dir):
+    rows = [_graph_mems(spark, sf_dir, k).select(F.lit(k).alias("section"), "d") for k in ("nodes", "edges", "paths")]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("section").agg(F.max("d").alias("d"))
+
+
+# Suffix order and vectors
+
+
+def on_names(job):
+    return lambda spark, sf_dir: job(names(spark, sf_dir))
+
+
+def bwt(spark, sf_dir):
+    return suffix.bwt(names(spark, sf_dir)).withColumn("ch", suffix.shown(F.col("ch")))
+
+
+def f_column(spark, sf_dir):
+    return suffix.f_column(names(spark, sf_dir)).withColumn("ch", suffix.shown(F.col("ch")))
+
+
+def rle_runs(spark, sf_dir):
+    return vectors.runs(letters(spark, sf_dir))
+
+
+QUERIES = {
+    "corpus_scan": corpus_scan,
+    "pattern_parse": pattern_parse,
+    "query_split": query_split,
+    "graph_nodes": graph_nodes,
+    "graph_links": graph_links,
+    "mem_lines": mem_lines,
+    "mem_open": mem_open,
+    "mem_symmetric": mem_symmetric,
+    "mem_asymmetric": mem_asymmetric,
+    "longest_common_substring": longest_common_substring,
+    "top_mems": top_mems,
+    "locate_exact": of(locate.locate, 0),
+    "count_exact": of(locate.count, 0),
+    "locate_mismatch": of(locate.locate, 1),
+    "count_mismatch": of(locate.count, 1),
+    "locate_report": of(locate.report, 1),
+    "hamming_eq1": hamming_eq(1),
+    "hamming_eq2": hamming_eq(2),
+    "hamming_histogram": of(locate.histogram, 2),
+    "seed_extend": seed_extend,
+    "occurrence_check": occurrence_check,
+    "extend_left": extended("before"),
+    "extend_right": extended("after"),
+    "left_maximal": maximal("before"),
+    "right_maximal": maximal("after"),
+    "pattern_sample": lambda spark, sf_dir: patterns(spark, sf_dir),
+    "graph_units": units("edges"),
+    "graph_contexts": graph_contexts,
+    "graph_paths": units("paths"),
+    "graph_mem_nodes": graph_mems("nodes"),
+    "graph_mem_edges": graph_mems("edges"),
+    "graph_mem_paths": graph_mems("paths"),
+    "graph_mem_filtered": graph_mem_filtered,
+    "graph_mem_asym": graph_mem_asym,
+    "graph_mem_max": graph_mem_max,
+    "suffix_array": on_names(suffix.suffix_array),
+    "bwt": bwt,
+    "f_column": f_column,
+    "lf_mapping": on_names(suffix.lf_mapping),
+    "fl_mapping": on_names(suffix.fl_mapping),
+    "phi": lambda spark, sf_dir: suffix.phi(names(spark, sf_dir)).select("doc_id", "sa", "phi"),
+    "phi_inverse": lambda spark, sf_dir: suffix.phi(names(spark, sf_dir)).select("doc_id", "sa", "phi_inv"),
+    "plcp": on_names(suffix.plcp),
+    "bwt_runs": on_names(suffix.bwt_runs),
+    "char_range": on_names(suffix.char_range),
+    "index_stats": on_names(suffix.index_stats),
+    "bit_rank_select": lambda spark, sf_dir: vectors.bit_select(vowels(spark, sf_dir)),
+    "bit_predecessor": lambda spark, sf_dir: vectors.bit_predecessor(vowels(spark, sf_dir)),
+    "char_rank_select": lambda spark, sf_dir: vectors.char_rank_select(letters(spark, sf_dir)),
+    "rle_runs": rle_runs,
+    "rle_rank": lambda spark, sf_dir: vectors.run_rank(rle_runs(spark, sf_dir)),
+    "alphabet_stats": lambda spark, sf_dir: vectors.alphabet_stats(documents(spark, sf_dir)),
+}
+
+from gramweave.plans.oracles import ORACLE_SQL  # noqa: E402, F401

@@ -1,0 +1,166 @@
+"""Published examples, and random texts against brute force."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from gramweave.operators import locate, mem
+from gramweave.sources import texts as src
+
+TEXT = "ACAGTCGATCATCTAGCTAGTCGATCGCTAGTACGGGCGCGCGATATTATCGATCTGCTGCGCTAGCTAGTC\n"
+QUERIES = "#CGCTAGTACG#CGCCACTACG#\n"
+
+
+def frame(spark, rows, schema="doc_id long, text string"):
+    return spark.createDataFrame(rows, schema)
+
+
+def positions(spark, text, pattern, e=0):
+    found = locate.locate(frame(spark, [(0, text)]), frame(spark, [(0, pattern)], "pattern_id long, pattern string"), e)
+    return sorted(r.x for r in found.collect())
+
+
+def test_readme_matches(spark):
+    text, query = frame(spark, [(0, TEXT)]), frame(spark, [(0, QUERIES)], "query_id long, text string")
+    found = mem.mems(text, query, 4, "ACGT", "ACGTN#")
+    assert sorted((r.x, r.i, r.d) for r in found.collect()) == sorted([(15, 2, 6), (65, 2, 6), (31, 18, 4), (25, 1, 10), (12, 3, 4), (60, 1, 6)])
+    assert mem.mems(text, query, 1, "ACGT", "ACGTN#").count() == 242
+    asym = mem.mems_asymmetric(text, query, 4, "ACGT", "ACGTN#").collect()
+    assert sorted((r.i, r.d) for r in asym) == [(1, 10), (18, 4)]
+    assert all(TEXT[r.x : r.x + r.d] == QUERIES[r.i : r.i + r.d] for r in asym)
+    assert mem.longest_match(text, query, "ACGT").first().d == 10
+    assert sorted(r.value for r in src.match_lines(found).collect())[0] == "12,3,4"
+
+
+def brute_mems(t, q, k):
+    out = set()
+    for x in range(len(t)):
+        for i in range(len(q)):
+            if (x and i and t[x - 1] == q[i - 1]) or t[x] != q[i]:
+                continue
+            d = 0
+            while x + d < len(t) and i + d < len(q) and t[x + d] == q[i + d]:
+                d += 1
+            if d >= k:
+                out.add((x, i, d))
+    return out
+
+
+def test_random_matches(spark):
+    r = random.Random(4)
+    docs = [(j, "".join(r.choice("abc"[: 2 + j % 2]) for _ in range(r.randrange(0, 30)))) for j in range(25)] + [(98, None), (99, "ä𝄞b" * 400)]
+    queries = [(j, "".join(r.choice("abc"[: 2 + j % 2]) for _ in range(r.randrange(0, 30)))) for j in range(25)] + [(98, None), (99, "𝄞bä𝄞b")]
+    t, q = frame(spark, docs), frame(spark, queries, "query_id long, text string")
+    for k in (2, 4):
+        want = {(a, b, *m) for a, x in docs for b, y in queries if x and y for m in brute_mems(x, y, k)}
+        assert {tuple(z) for z in mem.mems(t, q, k, boundary="open").collect()} == want
+        length = dict(docs), dict(queries)
+        strict = {z for z in want if z[2] and z[3] and z[2] + z[4] < len(length[0][z[0]]) and z[3] + z[4] < len(length[1][z[1]])}
+        assert {tuple(z) for z in mem.mems(t, q, k).collect()} == strict
+        for scope in ("corpus", "document"):
+            found = mem.mems_asymmetric(t, q, k, boundary="open", scope=scope).collect()
+            got = {(z.query_id, *([z.doc_id] if scope == "document" else []), z.i, z.d) for z in found}
+            assert len(found) == len(got)
+            expected = set()
+            for b, y in queries:
+                groups = [[x for _, x in docs if x]] if scope == "corpus" else [[x] for _, x in docs if x]
+                ids = [()] if scope == "corpus" else [(a,) for a, x in docs if x]
+                for name, own in zip(ids, groups):
+                    for i in range(len(y or "")):
+                        d = 0
+                        while i + d < len(y) and any(y[i : i + d + 1] in x for x in own):
+                            d += 1
+                        if d >= k and not (i and any(y[i - 1 : i + d] in x for x in own)):
+                            expected.add((b, *name, i, d))
+            assert got == expected
+            texts = dict(docs)
+            assert all(texts[z.doc_id][z.x : z.x + z.d] == dict(queries)[z.query_id][z.i : z.i + z.d] for z in found)
+    turned = mem.mems_asymmetric(q.withColumnRenamed("query_id", "doc_id"), t.withColumnRenamed("doc_id", "query_id"), 3, boundary="open")
+    found = mem.mems_asymmetric(t, q, 3, boundary="open", anchor="text")
+    assert {(z.doc_id, z.x, z.d) for z in found.collect()} == {(z.query_id, z.i, z.d) for z in turned.collect()}
+    with pytest.raises(ValueError):
+        src.kmers(t, "doc_id", "text", 0)
+
+
+def test_published_positions(spark):
+    assert positions(spark, "a" * 20, "a") == list(range(20))
+    assert positions(spark, "a" * 20, "aa") == list(range(19))
+    assert positions(spark, "abcdabcdabcdabcdhello", "abcd") == [0, 4, 8, 12]
+    for p, w in (("C", [6, 7, 9, 10, 12, 13]), ("CC", [6, 9, 12]), ("GCC", [5, 8, 11])):
+        assert positions(spark, "AAAATGCCGCCGCCATAAA", p) == w
+    for p, zero, one in (("CGATC", [5, 21, 50], [5, 21, 41, 50]), ("CTAGC", [12, 62], [12, 16, 27, 62, 66]), ("GCGC", [36, 38, 59], [24, 34, 36, 38, 40, 59])):
+        assert positions(spark, TEXT, p) == zero and positions(spark, TEXT, p, 1) == one
+    assert [len(positions(spark, TEXT, p, 2)) for p in ("CGATC", "CTAGC", "GCGC")] == [13, 12, 23]
+    found = locate.seed_extend(frame(spark, [(0, TEXT)]), frame(spark, [(0, "GCTAGCTA")], "pattern_id long, pattern string"), 2, 4, 2)
+    assert sorted(r.x for r in found.collect()) == [11, 61] and positions(spark, TEXT, "GCTAGCTA", 2) == [11, 22, 61]
+
+
+def test_random_positions(spark):
+    r = random.Random(6)
+    docs = [(j, "".join(r.choice("abcd"[: 2 + j % 3]) for _ in range(r.randrange(0, 40)))) for j in range(40)] + [(98, None), (97, "x" * 1500 + "abab" + "x" * 700)]
+    patterns = [(j, "".join(r.choice("abcd"[: 2 + j % 3]) for _ in range(r.randrange(3, 9)))) for j in range(30)] + [(77, "xxabab"), (78, None)]
+    t, p = frame(spark, docs), frame(spark, patterns, "pattern_id long, pattern string")
+    ham = lambda a, b: sum(x != y for x, y in zip(a, b))
+    every = {(j, i, x, ham(a, b[x : x + len(a)])) for j, a in patterns if a for i, b in docs if b for x in range(len(b) - len(a) + 1)}
+    for e in (0, 1, 2):
+        want = {z for z in every if z[3] <= e}
+        assert {tuple(z) for z in locate.locate(t, p, e).collect()} == want
+        counts = {j: sum(z[0] == j for z in want) for j, _ in patterns}
+        assert {z.pattern_id: z.n_occ for z in locate.count(t, p, e).collect()} == counts
+    assert {(z.pattern_id, z.mismatches, z.n) for z in locate.histogram(t, p).collect()} == {(j, m, sum(z[0] == j and z[3] == m for z in every)) for j, _ in patterns for m in range(3)}
+    for left, core in ((0, 3), (1, 2), (2, 1)):
+        want = {z for z in every if z[3] <= 2 and dict(patterns)[z[0]][left : left + core] == dict(docs)[z[1]][z[2] + left : z[2] + left + core]}
+        found = locate.seed_extend(t, p, left, core, 2)
+        assert {tuple(z) for z in found.collect()} == want
+        assert locate.violations(t, p, found, 2, left, core).count() == 0
+    wrong = spark.createDataFrame([(0, 0, 1000), (0, 98, 0)], "pattern_id long, doc_id long, x long")
+    assert locate.violations(t, p, wrong, 0).count() == 2
+    got = locate.report(t, p.where("pattern is not null")).first()
+    assert got.occ_total == sum(z[3] == 0 for z in every) and got.occ_avg == pytest.approx(got.occ_total / 31)
+    around = locate.neighbours(t, p)
+    zero = [z for z in every if z[3] == 0]
+    text, pattern = dict(docs), dict(patterns)
+    beside = lambda z, after: (text[z[1]][z[2] + len(pattern[z[0]]) :] if after else text[z[1]][: z[2]][::-1])[:1]
+    for side, after in (("before", False), ("after", True)):
+        want = {}
+        for z in zero:
+            want.setdefault(z[0], []).append(beside(z, after))
+        assert {(z.pattern_id, z.ch, z.n_occ) for z in locate.extend(around, side).collect()} == {(j, c, own.count(c)) for j, own in want.items() for c in own if c}
+        assert {(z.pattern_id, z.n_chars, z.maximal) for z in locate.maximal(around, side).collect()} == {(j, len(set(own)), len(set(own)) > 1) for j, own in want.items()}
+    with pytest.raises(ValueError):
+        locate.locate(t, p, 3)
+    with pytest.raises(ValueError):
+        locate.seed_extend(t, p, 3, 2, 1)
+    sample = locate.sample_patterns(t, 7, 2)
+    assert all(text[z.doc_id][z.x : z.x + 7] == z.pattern for z in sample.collect()) and sample.count() == 2 * sum(len(x or "") >= 7 for _, x in docs)
+    assert locate.locate(t.limit(0), p, 1).count() == locate.locate(t, p.limit(0), 1).count() == 0
+
+
+def test_sources_and_sinks(spark, tmp_path):
+    (tmp_path / "t.txt").write_text("one\ntwo\n")
+    assert src.read_texts(spark, str(tmp_path / "t.txt")).first().text == "one\ntwo\n"
+    files = frame(spark, [(1, "# number=3 length=2 file=x forbidden=\nabcdef"), (2, "# file=y length=4 number=0\n")])
+    assert sorted(tuple(r) for r in src.parse_patterns(files, "doc_id", "text").collect()) == [(1, 0, "ab"), (1, 1, "cd"), (1, 2, "ef")]
+    for bad in ("# length=2\nab", "# number=2 length=2\nabc", ""):
+        with pytest.raises(Exception, match="pattern file"):
+            src.parse_patterns(frame(spark, [(1, bad)]), "doc_id", "text").collect()
+    found = src.split_queries(frame(spark, [(1, "#ab#c##d"), (2, None)]), "doc_id", "text")
+    assert sorted((r.query, r.offset) for r in found.collect()) == [("ab", 1), ("c", 4), ("d", 7)]
+    (tmp_path / "g.gfa").write_text("H\tVN\n#x\nS\tn1\tACGT\nS\tn2\tGG\nL\tn1\t+\tn2\t-\t0M\n")
+    nodes, links = src.read_graph(spark, str(tmp_path / "g.gfa"))
+    assert sorted((r.node_id, r.label) for r in nodes.collect()) == [(1, "ACGT"), (2, "GG")]
+    assert [tuple(r) for r in links.collect()] == [(1, False, 2, True)]
+    out = str(tmp_path / "out")
+    src.write_sections(spark.createDataFrame([("paths", 9, 1, 2), ("nodes", 3, 2, 1)], "section string, x long, i long, d long").coalesce(1), out)
+    assert [r.value for r in spark.read.text(out).collect()] == [">nodes", "3,2,1", ">edges", ">paths", "9,1,2"] or sorted(r.value for r in spark.read.text(out).collect()) == sorted([">nodes", "3,2,1", ">edges", ">paths", "9,1,2"])
+    build = lambda rows: src.kmers(rows, "doc_id", "text", 2)
+    a = src.cached_index(files, ["doc_id", "text"], str(tmp_path / "idx"), build)
+    b = src.cached_index(files.repartition(3), ["doc_id", "text"], str(tmp_path / "idx"), build)
+    assert a.inputFiles() == b.inputFiles() and a.count() == build(files).count()
+    assert locate.param_grid(spark, k=[1, 2], e=[0, 1]).count() == 4
+    from gramweave.functions.strings import bit_width, duration
+
+    row = spark.range(1).select(duration(F.lit(3723)), duration(F.lit(62)), duration(F.lit(5)), bit_width(F.lit(8))).first()
+    assert tuple(row) == ("1h 2m 3s", "1m 2s", "5s", 4)
+    assert sorted((r.doc_id, r.offset) for r in mem.with_offsets(frame(spark, [(1, "ab"), (5, "c"), (7, "ddd")]), "doc_id").collect()) == [(1, 1), (5, 4), (7, 6)]
