@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gramweave.functions.strings import char_at, mismatches
-from gramweave.sources.texts import kmers
+from gramweave.sources.texts import BLOCK, kmers, kmers_in_context
 
 #: Bytes of seeds up to which they are sent to every executor, so that the texts' grams aren't shuffled.
 SMALL = 16 << 20
@@ -23,14 +23,24 @@ def smaller(rows: DataFrame, bytes_of, most: int = SMALL) -> DataFrame:
     return F.broadcast(rows) if size <= most else rows
 
 
-def _seeded(texts: DataFrame, seeds: DataFrame, w: int) -> DataFrame:
-    """pattern_id, doc_id, x: distinct candidates. seeds: pattern_id, at, gram."""
-    seeds = smaller(seeds, F.length("gram") * 4 + 32)
-    found = kmers(texts, "doc_id", "text", w).join(seeds, "gram").select("pattern_id", "doc_id", (F.col("pos") - F.col("at")).alias("x"))
-    return found.where("x >= 0").distinct()
+def _near(texts: DataFrame, patterns: DataFrame, seeds: DataFrame, w: int) -> DataFrame:
+    """pattern_id, doc_id, x, pattern, window: windows that share a seed (pattern_id, at, gram) with a pattern in place.
 
-
-def _verified(texts: DataFrame, patterns: DataFrame, found: DataFrame) -> DataFrame:
+    Few seeds go to every executor with their patterns, and a window is cut from the block that its gram is in. Many are shuffled
+    with the texts' grams, and only distinct candidates meet their text again.
+    """
+    size, longest, last = seeds.join(patterns, "pattern_id").agg(F.coalesce(F.sum(F.length("gram") * 4 + F.length("pattern") * 4 + 48), F.lit(0)), F.max(F.length("pattern")), F.max("at")).first()
+    if size > SMALL or (last or 0) > BLOCK:
+        found = kmers(texts, "doc_id", "text", w).join(seeds, "gram").select("pattern_id", "doc_id", (F.col("pos") - F.col("at")).alias("x"))
+        return _windows(texts, patterns, found.where("x >= 0").distinct())
+    held = F.broadcast(seeds.join(patterns, "pattern_id"))
+    met = kmers_in_context(texts, "doc_id", "text", w, last or 0, longest or 1).join(held, "gram").where("pos >= at")
+    window = F.substring("context", F.col("place") - F.col("at") + 1, F.length("pattern"))
+    cut = met.select("pattern_id", "doc_id", (F.col("pos") - F.col("at")).alias("x"), "pattern", window.alias("window"))
+    return cut.where(F.length("window") == F.length("pattern"))
+
+
+def _windows(texts: DataFrame, patterns: DataFrame, found: DataFrame) -> DataFrame:
     """Adds the window of the text at x to candidates that fit in their text, and the pattern."""
     patterns = smaller(patterns.select("pattern_id", "pattern"), F.length("pattern") * 4 + 16)
     met = found.join(patterns, "pattern_id").join(texts.select("doc_id", "text"), "doc_id")
@@ -51,14 +61,15 @@ def locate(texts: DataFrame, patterns: DataFrame, most: int = 0) -> DataFrame:
     cut = lambda part: F.floor(F.lit(part) * F.length("pattern") / F.lit(most + 1)).cast("int")
     starts = F.array(*[cut(part) for part in range(most + 1)])
     seeds = patterns.select("pattern_id", "pattern", F.explode(starts).alias("at")).select("pattern_id", "at", F.substring("pattern", F.col("at") + 1, F.lit(w)).alias("gram"))
-    return _within(_verified(texts, patterns, _seeded(texts, seeds, w)), most)
+    return _within(_near(texts, patterns, seeds, w), most)
 
 
 def _within(checked: DataFrame, most: int) -> DataFrame:
-    """pattern_id, doc_id, x, mismatches of the windows with at most `most`."""
+    """pattern_id, doc_id, x, mismatches of the windows with at most `most`, once each."""
     if not most:
-        return checked.where("window = pattern").select("pattern_id", "doc_id", "x", F.lit(0).alias("mismatches"))
-    return checked.withColumn("mismatches", mismatches(F.col("window"), F.col("pattern"))).where(F.col("mismatches") <= most).select("pattern_id", "doc_id", "x", "mismatches")
+        return checked.where("window = pattern").select("pattern_id", "doc_id", "x", F.lit(0).alias("mismatches")).distinct()
+    held = checked.withColumn("mismatches", mismatches(F.col("window"), F.col("pattern"))).where(F.col("mismatches") <= most)
+    return held.select("pattern_id", "doc_id", "x", "mismatches").distinct()  # a window can share several seeds
 
 
 def count(texts: DataFrame, patterns: DataFrame, most: int = 0) -> DataFrame:
@@ -74,7 +85,7 @@ def seed_extend(texts: DataFrame, patterns: DataFrame, left: int, core: int, mos
     if core < 1 or left < 0 or (shortest is not None and shortest < left + core):
         raise ValueError("the core must lie inside each pattern")
     seeds = patterns.select("pattern_id", F.lit(left).alias("at"), F.substring("pattern", left + 1, core).alias("gram"))
-    return _within(_verified(texts, patterns, _seeded(texts, seeds, core)), most)
+    return _within(_near(texts, patterns, seeds, core), most)
 
 
 def histogram(texts: DataFrame, patterns: DataFrame, most: int = 2) -> DataFrame:
@@ -92,7 +103,7 @@ def report(texts: DataFrame, patterns: DataFrame, most: int = 0) -> DataFrame:
 
 def violations(texts: DataFrame, patterns: DataFrame, found: DataFrame, most: int, left: int = 0, core: int = 0) -> DataFrame:
     """The rows of found (pattern_id, doc_id, x) whose window has more mismatches, lies outside its text, or differs in the core."""
-    good = _verified(texts, patterns, found.select("pattern_id", "doc_id", "x")).where(mismatches(F.col("window"), F.col("pattern")) <= most)
+    good = _windows(texts, patterns, found.select("pattern_id", "doc_id", "x")).where(mismatches(F.col("window"), F.col("pattern")) <= most)
     if core:
         good = good.where(F.substring("window", left + 1, core) == F.substring("pattern", left + 1, core))
     return found.join(good, ["pattern_id", "doc_id", "x"], "left_anti")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-K, PATTERN, PER_TEXT, BLOCK = 20, 16, 2, 512
+K, PATTERN, PER_TEXT, BLOCK = 20, 12, 2, 512
 
 DOCS = "docs as (select doc_id, text from documents)"
 ASKS = "asks as (select item_id as query_id, text from benchmark)"
+FRAMED = "asks as (select item_id as query_id, '#' || substr(text, 11, length(text) - 20) || '#' as text from benchmark where length(text) > 20)"
 PATTERNS = f"""patterns as (
     select doc_id * {PER_TEXT} + no as pattern_id, doc_id, x, substr(text, x + 1, {PATTERN}) as pattern from (
         select *, ('0x' || substr(md5(doc_id || ':' || no || ':0'), 1, 8))::bigint % (length(text) - {PATTERN} + 1) as x
@@ -59,7 +60,7 @@ NODES = """cuts as (select item_id, text, ceil(length(text) / 3)::int as w from
 def graph_mems(kind: str) -> str:
     """mems(ids, unit_off, query_id, i, d, text)"""
     return f"""{NODES}, units as (select *, array_to_string(parts, '') as whole from {kind}_units), unit_texts as (select ids as doc_id, lctx || whole || rctx as text from units),
-    asks as (select item_id as query_id, '#' || substr(text, 11, length(text) - 20) || '#' as text from benchmark where length(text) > 20),
+    {FRAMED},
     {islands(K, "unit_texts", "asks")},
     mems as (
         select ids, x - 1 as unit_off, query_id, i, d, substr(whole, x, d) as text from islands join units on doc_id = ids join unit_texts using (doc_id) join asks using (query_id)
@@ -90,6 +91,7 @@ RUNS = """runs as (select vec, run_id, min(ch) as head, min(pos) as start, count
 BITS = f"{LETTERS}, bits as (select vec, pos, (ch in ('a', 'e', 'i', 'o', 'u'))::int as bit from letters)"
 
 MEM = f"with {DOCS}, {ASKS}, {islands(K)}"
+STRICT = f"with {DOCS}, {FRAMED}, {islands(K)}"
 FREE = """firsts as (select query_id, i, d, min((doc_id, x)) as place from islands group by query_id, i, d),
     free as (select * from (select *, max(i + d) over (partition by query_id order by i, d desc rows between unbounded preceding and 1 preceding) as reach from firsts) where reach is null or reach < i + d)"""
 
@@ -103,8 +105,8 @@ ORACLE_SQL = {
     "graph_links": f"with {NODES} select * from links",
     "mem_lines": f"{MEM} select x || ',' || i || ',' || d as value from islands",
     "mem_open": f"{MEM} select * from islands",
-    "mem_symmetric": f"{MEM} select islands.* from islands join docs using (doc_id) join asks using (query_id) where x > 0 and i > 0 and x + d < length(docs.text) and i + d < length(asks.text)",
-    "mem_asymmetric": f"{MEM}, {FREE} select query_id, i, d, place[1] as doc_id, place[2] as x from free join asks using (query_id) where i > 0 and i + d < length(text)",
+    "mem_symmetric": f"{STRICT} select islands.* from islands join docs using (doc_id) join asks using (query_id) where x > 0 and i > 0 and x + d < length(docs.text) and i + d < length(asks.text)",
+    "mem_asymmetric": f"{STRICT}, {FREE} select query_id, i, d, place[1] as doc_id, place[2] as x from free join asks using (query_id) where i > 0 and i + d < length(text)",
     "longest_common_substring": f"with {DOCS}, {ASKS}, {islands(12)} select doc_id, query_id, max(d) as d from islands group by doc_id, query_id",
     "top_mems": f"{MEM} select * from islands order by d desc, doc_id, query_id, x, i limit 20",
     "locate_exact": f"with {found(0)} select * from located",

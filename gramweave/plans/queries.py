@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gramweave.operators import graph, locate, mem, suffix, vectors
 from gramweave.sources import texts as src
 
-K, PATTERN, PER_TEXT = 20, 16, 2
+K, PATTERN, PER_TEXT = 20, 12, 2
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,7 +55,7 @@ def passage_graph(spark, sf_dir):
     return nodes, links.select("src", F.lit(False).alias("src_rev"), "dst", F.lit(False).alias("dst_rev"))
 
 
-def graph_queries(spark, sf_dir):
+def framed(spark, sf_dir):
     """The passages without 10 characters on either side, between separators."""
     text = F.expr("concat('#', substring(text, 11, length(text) - 20), '#')")
     return passages(spark, sf_dir).where("length(text) > 20").select("query_id", text.alias("text"))
@@ -97,11 +97,11 @@ def mem_open(spark, sf_dir):
 
 
 def mem_symmetric(spark, sf_dir):
-    return mem.mems(documents(spark, sf_dir), passages(spark, sf_dir), K)
+    return mem.mems(documents(spark, sf_dir), framed(spark, sf_dir), K)
 
 
 def mem_asymmetric(spark, sf_dir):
-    return mem.mems_asymmetric(documents(spark, sf_dir), passages(spark, sf_dir), K)
+    return mem.mems_asymmetric(documents(spark, sf_dir), framed(spark, sf_dir), K)
 
 
 def longest_common_substring(spark, sf_dir):
@@ -156,7 +156,7 @@ def graph_contexts(spark, sf_dir):
 
 
 def _graph_mems(spark, sf_dir, kind):
-    return graph.graph_mems(graph.graph_units(*passage_graph(spark, sf_dir), kind), graph_queries(spark, sf_dir), K)
+    return graph.graph_mems(graph.graph_units(*passage_graph(spark, sf_dir), kind), framed(spark, sf_dir), K)
 
 
 def _flat(found):
