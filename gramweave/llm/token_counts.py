@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import json
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,8 +62,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, id_col: str = "doc
 
     def counted(batches):
         for batch in batches:
-            found = encoder(tokenizer).encode(batch.column(1).cast(pa.binary()).to_pylist())
-            yield pa.record_batch([batch.column(0), pa.array([len(x) // 4 for x in found], pa.int64())], names=["digest", "n_tokens"])
+            ends, _ = encoder(tokenizer).encode(batch.column(1))
+            yield pa.record_batch([batch.column(0), pa.array(np.diff(ends))], names=["digest", "n_tokens"])
 
     distinct = missing.groupBy("digest").agg(F.first("content").alias("content"))
     distinct.mapInArrow(counted, "digest binary, n_tokens long").withColumn("tokenizer", F.lit(version)).write.mode("append").parquet(cache)

@@ -32,16 +32,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     spark = docs.sparkSession
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    last = np.asarray([end], dtype="<u4").tobytes()
 
     def encoded(batches):
         for batch in batches:
+            starts, ids = encoder(tokenizer).encode(batch.column(1))
+            ids = np.insert(ids, starts[1:], end)
+            starts = starts + np.arange(len(starts))
             for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                ids = [x + last for x in encoder(tokenizer).encode(part.column(1).cast(pa.binary()).to_pylist())]
-                ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype="i8")
-                values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
-                yield pa.record_batch([part.column(0), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends.astype("i4")), values)], names=["doc_id", "n_tokens", "tokens"])
+                own = starts[at : at + 1025]
+                tokens = pa.ListArray.from_arrays(pa.array((own - own[0]).astype("i4")), pa.array(ids[own[0] : own[-1]].astype("i4")))
+                yield pa.record_batch([batch.column(0).slice(at, 1024), pa.array(np.diff(own)), tokens], names=["doc_id", "n_tokens", "tokens"])
 
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
     dealt = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
