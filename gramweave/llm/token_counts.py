@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE
+from .shared import SPACE, written
 from .tokens import drops_space, encoder
 
 CACHE = "digest binary, n_tokens long, tokenizer string"
@@ -68,6 +68,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, id_col: str = "doc
     distinct = missing.groupBy("digest").agg(F.first("content").alias("content"))
     distinct.mapInArrow(counted, "digest binary, n_tokens long").withColumn("tokenizer", F.lit(version)).write.mode("append").parquet(cache)
     counts = read_cache(spark, cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    counts = written(counts, "token-counts")  # a plain table: the planner can split the rows of a common text in the join
     whole = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col), F.octet_length(whole).cast("long").alias("n_bytes"), content(F.col(text_col), tokenizer).alias("content"))
     rows = rows.withColumn("digest", digest).drop("content")
