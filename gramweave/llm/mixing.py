@@ -2,7 +2,8 @@
 
 Each source's documents are dealt to blocks by a seeded hash, which permutes them. A source's target, in words, becomes whole
 passes over its blocks and a last pass that ends in the block where the target is reached; inside that block documents are
-taken in hashed order while they come nearer to the target. The exact block quotas of all sources are then split among the
+taken in hashed order while they come nearer to the target, and one document of the source is added or left out if that comes
+nearer still. The exact block quotas of all sources are then split among the
 output shards by a tree: at each node the left half gets as many blocks as its shards are due, drawn from the node's quotas by
 one multivariate-hypergeometric draw, and the right half the rest. A shard takes its quota of each source's blocks where the
 shard before stopped, so shards hold disjoint blocks, and its documents are shuffled locally by hash.
@@ -68,9 +69,26 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST
     return ranked.withColumn("level", left / of).withColumn("target", F.least(F.col("limit"), level * F.col("weight"))).drop("weight", "limit", "level")
 
 
-def _plan(rows: DataFrame, weights: Sequence[int], most: int, shards: int, seed: int) -> DataFrame:
-    """rows (key, id, size, block and others), with source_size, target and shards (one for each copy that the mix takes)."""
-    blocks = written(rows.groupBy("key", "block").agg(F.sum("size").alias("words")), "mix-blocks")
+def _inside(rows: DataFrame, dealt: DataFrame, seed: int) -> DataFrame:
+    """rows with the columns of their block, and whether the last pass takes them."""
+    before = Window.partitionBy("key", "block").orderBy(F.xxhash64("id", F.lit(seed + 1)), "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    near = F.coalesce(F.sum("size").over(before), F.lit(0)) + F.col("size") / 2 <= F.col("due")
+    return rows.join(dealt, ["key", "block"]).withColumn("in_last", F.col("last") & near)
+
+
+def _correction(sized: DataFrame, dealt: DataFrame, seed: int) -> DataFrame:
+    """key, block, odd_id, odd_size, odd: for each source, the document that brings the last pass nearest to what is due if it is added (odd = 1) or left out (-1)."""
+    placed = _inside(sized, dealt, seed)
+    missed = placed.groupBy("key").agg((F.max("rest") - F.coalesce(F.sum(F.when(F.col("in_last"), F.col("size"))), F.lit(0))).alias("missed")).where("missed <> 0")
+    odd = F.signum("missed").cast("int")
+    able = placed.join(missed, "key").where(F.when(F.col("missed") > 0, ~F.col("in_last")).otherwise(F.col("in_last")) & (F.col("size") > 0) & (F.col("size") < 2 * F.abs("missed")))
+    best = F.min(F.struct(F.abs(F.abs("missed") - F.col("size")).alias("off"), F.xxhash64("id", F.lit(seed + 3)).alias("turn"), "id", "size", "block", odd.alias("odd"))).alias("best")
+    return able.groupBy("key").agg(best).select("key", "best.block", F.col("best.id").alias("odd_id"), F.col("best.size").alias("odd_size"), "best.odd")
+
+
+def _plan(rows: DataFrame, sized: DataFrame, weights: Sequence[int], most: int, shards: int, seed: int) -> DataFrame:
+    """rows (key, id, size, block and others), with source_size, target and shards (one for each copy that the mix takes). sized: the same rows, without others, in a table."""
+    blocks = written(sized.groupBy("key", "block").agg(F.sum("size").alias("words")), "mix-blocks")
     sizes = blocks.groupBy("key").agg(F.sum("words").alias("source_size"), F.count(F.lit(1)).alias("blocks"))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     aims = targets(sizes, weights, most).withColumn("passes", whole.cast("long")).withColumn("rest", F.greatest(F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("long"), F.lit(0)))
@@ -90,11 +108,13 @@ def _plan(rows: DataFrame, weights: Sequence[int], most: int, shards: int, seed:
     shard = lambda n: F.size(F.filter("ends", lambda end: end <= n * F.col("blocks") + F.col("rank")))
     copies = F.col("passes") + F.col("last").cast("long")
     all_shards = F.when(copies > 0, F.transform(F.sequence(F.lit(0).cast("long"), copies - 1), shard)).otherwise(F.array().cast("array<int>"))
-    dealt = written(placed.join(ends, "key").select("key", "block", "source_size", "target", "passes", "due", "last", all_shards.alias("shards")), "mix-shards")
-    inside = Window.partitionBy("key", "block").orderBy(F.xxhash64("id", F.lit(seed + 1)), "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    near = F.coalesce(F.sum("size").over(inside), F.lit(0)) + F.col("size") / 2 <= F.col("due")
-    kept = F.col("passes") + (F.col("last") & near).cast("long")
-    return rows.join(dealt, ["key", "block"]).withColumn("shards", F.slice("shards", F.lit(1), kept.cast("int"))).drop("passes", "due", "last", "key", "block")
+    dealt = written(placed.join(ends, "key").select("key", "block", "source_size", "target", "passes", "rest", "due", "last", all_shards.alias("shards")), "mix-shards")
+    dealt = dealt.join(written(_correction(sized, dealt, seed), "mix-corrections"), ["key", "block"], "left")
+    out = _inside(rows, dealt, seed)
+    odd = F.when(F.col("id").eqNullSafe(F.col("odd_id")) & (F.col("size") == F.col("odd_size")), F.col("odd")).otherwise(0)
+    kept = F.slice("shards", F.lit(1), (F.col("passes") + F.col("in_last").cast("long") + F.least(odd, F.lit(0))).cast("int"))
+    more = F.when(odd > 0, F.array(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(shards)).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return out.withColumn("shards", F.concat(kept, more)).drop("passes", "rest", "due", "last", "in_last", "key", "block", "odd_id", "odd_size", "odd")
 
 
 def _keyed(docs: DataFrame, id_col: str, source_col: str, text_col: str, seed: int, *more: Column) -> DataFrame:
@@ -105,13 +125,14 @@ def _keyed(docs: DataFrame, id_col: str, source_col: str, text_col: str, seed: i
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: Sequence[int] = WEIGHTS, most: int = MOST, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """One row per row of docs: the id, size (words), source_size, target (of its source, in words), shards (array: where each copy goes), taken (words, repeats counted)."""
     rows = written(_keyed(docs, id_col, source_col, text_col, seed), "mix-sizes")
-    plan = _plan(rows, weights, most, shards, seed)
+    plan = _plan(rows, rows, weights, most, shards, seed)
     return plan.select(F.col("id").alias(id_col), "size", "source_size", "target", "shards", (F.col("size") * F.size("shards")).alias("taken"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: Sequence[int] = WEIGHTS, most: int = MOST, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """The rows of the mix with the columns of docs, repeats included: each shard's rows together, in a shuffled order."""
-    plan = _plan(_keyed(docs, id_col, source_col, text_col, seed, F.struct("*").alias("row")), weights, most, shards, seed)
+    sized = written(_keyed(docs, id_col, source_col, text_col, seed), "mix-sizes")
+    plan = _plan(_keyed(docs, id_col, source_col, text_col, seed, F.struct("*").alias("row")), sized, weights, most, shards, seed)
     copies = plan.select("row", "id", F.posexplode("shards").alias("copy", "shard"))
     order = F.xxhash64("id", "copy", F.lit(seed + 2))
     spread = copies.withColumn("order", order).repartition("shard", F.pmod("order", F.lit(64)))  # a shard is 64 shuffled pieces at most
