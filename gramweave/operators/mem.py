@@ -1,30 +1,58 @@
 """Maximal exact matches between texts and queries.
 
-Grams of k characters that a text and a query share are hits (x, i). Along a diagonal x - i, hits at consecutive x are an
-island: a match of k - 1 characters more than hits, which no neighbouring pair of characters extends.
+Of a match of at least k characters, some gram of w characters starts at a multiple of s in the text, if w + s - 1 <= k. So the texts
+give their grams at every s-th place only, with up to s - 1 characters on either side. Grams that a text and a query share are hits
+(x, i). Along a diagonal x - i, hits at consecutive multiples of s overlap and are one match, which goes on less than s characters
+beyond them; those are found in what the first and the last hit have beside them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gramweave.functions.strings import char_at, one_of, only_of
+from gramweave.functions.strings import char_at, common_prefix, one_of, only_of
 from gramweave.operators.locate import smaller
-from gramweave.sources.texts import kmers
+from gramweave.sources.texts import kmers_in_context
+
+
+def _grams(rows: DataFrame, id_col: str, at: str, w: int, s: int, stride: int, side: str) -> DataFrame:
+    """id, at, gram, and the s - 1 characters before (reversed) and after it."""
+    found = kmers_in_context(rows, id_col, "text", w, s - 1, w + s - 1, stride=stride)
+    near = F.least("place", F.lit(s - 1))
+    before = F.reverse(F.substring("context", F.col("place") - near + 1, near))
+    after = F.substring("context", F.col("place") + w + 1, F.lit(s - 1))
+    return found.select(id_col, F.col("pos").alias(at), "gram", before.alias(f"{side}_before"), after.alias(f"{side}_after"))
+
+
+def _leading(text: Column, core: str | None) -> Column:
+    """The first characters of a text that are all of core."""
+    if core is None:
+        return text
+    marked = F.translate(text, core, core[0] * len(core)) if core else text
+    run = F.length(text) - F.length(F.ltrim(marked, F.lit(core[:1])))
+    return F.substring(text, F.lit(1), run)
 
 
 def islands(texts: DataFrame, queries: DataFrame, k: int, core: str | None = None) -> DataFrame:
     """doc_id, query_id, x, i, d: all maximal runs of at least k shared characters (of core, if given), ends of texts included."""
-    grams = kmers(queries, "query_id", "text", k).withColumnRenamed("pos", "i")
+    if k < 1:
+        raise ValueError("k must be 1 or more")
+    s = max(1, k // 2)
+    w = k - s + 1
+    asked = _grams(queries, "query_id", "i", w, s, 1, "q")
     if core is not None:
-        grams = grams.where(only_of(F.col("gram"), core))
-    grams = smaller(grams, F.length("gram") * 4 + 32)
-    hits = kmers(texts, "doc_id", "text", k).withColumnRenamed("pos", "x").join(grams, "gram").select("doc_id", "query_id", "x", "i", (F.col("x") - F.col("i")).alias("diagonal"))
+        asked = asked.where(only_of(F.col("gram"), core))
+    asked = smaller(asked, F.length("gram") * 4 + F.length("q_before") * 8 + 64)
+    hits = _grams(texts, "doc_id", "x", w, s, s, "t").join(asked, "gram").withColumn("diagonal", F.col("x") - F.col("i"))
     turn = F.row_number().over(Window.partitionBy("doc_id", "query_id", "diagonal").orderBy("x"))
-    runs = hits.withColumn("island", F.col("x") - turn).groupBy("doc_id", "query_id", "diagonal", "island")
-    found = runs.agg(F.min("x").alias("x"), F.min("i").alias("i"), (F.count(F.lit(1)) + (k - 1)).alias("d"))
-    return found.select("doc_id", "query_id", "x", "i", "d")
+    runs = hits.withColumn("island", F.col("x") / s - turn).groupBy("doc_id", "query_id", "diagonal", "island")
+    first, last = (lambda c: F.min_by(c, "x").alias(c)), (lambda c: F.max_by(c, "x").alias(c))
+    found = runs.agg(F.min("x").alias("x"), F.min("i").alias("i"), F.max("x").alias("end"), first("t_before"), first("q_before"), last("t_after"), last("q_after"))
+    before = common_prefix(_leading(F.col("t_before"), core), F.col("q_before"))
+    after = common_prefix(_leading(F.col("t_after"), core), F.col("q_after"))
+    grown = found.withColumn("b", before).withColumn("d", F.col("end") - F.col("x") + w + F.col("b") + after).where(F.col("d") >= k)
+    return grown.select("doc_id", "query_id", (F.col("x") - F.col("b")).alias("x"), (F.col("i") - F.col("b")).alias("i"), "d")
 
 
 def around(found: DataFrame, rows: DataFrame, id_col: str, at: str, before: str, after: str) -> DataFrame:

@@ -76,22 +76,23 @@ def kmers(rows: DataFrame, id_col: str, text_col: str, k: int, block: int = BLOC
     return blocks.select(id_col, "__b", grams.alias("__p", "gram")).select(id_col, (F.col("__b") * block + F.col("__p")).cast("long").alias("pos"), "gram")
 
 
-def kmers_in_context(rows: DataFrame, id_col: str, text_col: str, k: int, left: int, right: int, block: int = BLOCK) -> DataFrame:
-    """id, pos, gram, context, place: as kmers, with the text around each gram, and where in it the gram starts.
+def kmers_in_context(rows: DataFrame, id_col: str, text_col: str, k: int, left: int, right: int, block: int = BLOCK, stride: int = 1) -> DataFrame:
+    """id, pos, gram, context, place: as kmers, with the text around each gram, and where in it the gram starts. stride: only grams at its multiples.
 
     The context reaches `left` characters (up to a block) before the gram and `right` after its start, or to the end of the text. It is a
     reference to the block until rows are copied, so join on gram without a shuffle.
     """
     if not 0 <= left <= block:
         raise ValueError("the left context is at most a block")
+    block = -(-block // stride) * stride
     reach = block + max(k - 1, right)
     cut = F.regexp_extract_all(F.col(text_col), F.lit(f"(?s)(?=(.{{1,{reach}}})).{{1,{block}}}"), F.lit(1))
     chunks = rows.where(F.length(text_col) >= k).select(F.col(id_col), cut.alias("__all"))
     before = f"if(b > 0, substring(element_at(__all, b), {block - left + 1}, {left}), '')" if left else "''"
     blocks = chunks.select(F.col(id_col), F.expr(f"posexplode(transform(__all, (c, b) -> named_struct('before', {before}, 'chunk', c)))").alias("__b", "__c"))
     blocks = blocks.select(id_col, "__b", F.length("__c.before").alias("__l"), F.col("__c.chunk").alias("__chunk"), F.concat("__c.before", "__c.chunk").alias("context")).where(F.length("__chunk") >= k)
-    grams = F.expr(f"posexplode(transform(sequence(1, least({block}, length(__chunk) - {k - 1})), j -> substring(__chunk, j, {k})))")
-    out = blocks.select(id_col, "__b", "__l", "context", grams.alias("__p", "gram"))
+    grams = F.expr(f"posexplode(transform(sequence(1, least({block}, length(__chunk) - {k - 1}), {stride}), j -> substring(__chunk, j, {k})))")
+    out = blocks.select(id_col, "__b", "__l", "context", grams.alias("__p", "gram")).withColumn("__p", F.col("__p") * stride)
     return out.select(id_col, (F.col("__b") * block + F.col("__p")).cast("long").alias("pos"), "gram", "context", (F.col("__l") + F.col("__p")).alias("place"))
 
 
