@@ -78,10 +78,11 @@ def _inside(rows: DataFrame, dealt: DataFrame, seed: int) -> DataFrame:
 
 def _correction(sized: DataFrame, dealt: DataFrame, seed: int) -> DataFrame:
     """key, block, odd_id, odd_size, odd: for each source, the document that brings the last pass nearest to what is due if it is added (odd = 1) or left out (-1)."""
-    placed = _inside(sized, dealt, seed)
-    missed = placed.groupBy("key").agg((F.max("rest") - F.coalesce(F.sum(F.when(F.col("in_last"), F.col("size"))), F.lit(0))).alias("missed")).where("missed <> 0")
+    taken = _inside(sized, dealt, seed).groupBy("key").agg((F.max("rest") - F.coalesce(F.sum(F.when(F.col("in_last"), F.col("size"))), F.lit(0))).alias("missed"))
+    # By way of the blocks: joined to rows by source, what a source misses would draw all its rows to one task.
+    placed = _inside(sized, dealt.join(taken.where("missed <> 0"), "key"), seed)
     odd = F.signum("missed").cast("int")
-    able = placed.join(missed, "key").where(F.when(F.col("missed") > 0, ~F.col("in_last")).otherwise(F.col("in_last")) & (F.col("size") > 0) & (F.col("size") < 2 * F.abs("missed")))
+    able = placed.where(F.when(F.col("missed") > 0, ~F.col("in_last")).otherwise(F.col("in_last")) & (F.col("size") > 0) & (F.col("size") < 2 * F.abs("missed")))
     best = F.min(F.struct(F.abs(F.abs("missed") - F.col("size")).alias("off"), F.xxhash64("id", F.lit(seed + 3)).alias("turn"), "id", "size", "block", odd.alias("odd"))).alias("best")
     return able.groupBy("key").agg(best).select("key", "best.block", F.col("best.id").alias("odd_id"), F.col("best.size").alias("odd_size"), "best.odd")
 
