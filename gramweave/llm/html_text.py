@@ -42,10 +42,10 @@ BREAKS = frozenset(
 HOLDERS = frozenset("article aside blockquote body center details dialog div dl fieldset figure footer form header html li main menu nav ol search section table td tr ul".split())
 OTHER = frozenset("aside dialog footer form menu nav search".split())
 OTHER_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner billboard breadcrumb breadcrumbs byline comment comments consent cookie cookies"
+    "ad ads advert adverts advertisement advertising adsense alert banner billboard breadcrumb breadcrumbs comment comments consent cookie cookies"
     " copyright disclaimer discussion disqus dropdown footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices"
-    " pager pagination popup promo promoted promotion related replies reply respond search share sharing sidebar signup skip social sponsor sponsored"
-    " subscribe subscription tags toolbar topbar widget".split()
+    " pager pagination paywall popup promo promoted promotion related replies reply respond search share sharing sidebar signup skip social sponsor"
+    " sponsored subscribe subscription toolbar topbar trending widget".split()
 )
 
 
@@ -59,11 +59,11 @@ class Block:
     heading: bool
 
 
-def other_named(rest: str) -> bool:
-    """Whether a class, id or role of the tag has a word of OTHER_NAMES."""
+def other_named(rest: str, inside: bool) -> bool:
+    """Whether a class, id or role of the tag has a word of OTHER_NAMES. An article's own header holds its title."""
     if "=" not in rest:
         return False
-    return any(w in OTHER_NAMES for m in NAMES.finditer(rest) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()))
+    return any(w in OTHER_NAMES and not (inside and w == "header") for m in NAMES.finditer(rest) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()))
 
 
 def blocks(page: str) -> list[Block]:
@@ -114,7 +114,7 @@ def blocks(page: str) -> list[Block]:
             elif not m["rest"].endswith("/"):
                 inside, other = held[-1][1:] if held else (False, False)
                 inside = inside or tag in ("article", "main")
-                other = other or tag in OTHER or (tag == "header" and not inside) or other_named(m["rest"])
+                other = other or tag in OTHER or (tag == "header" and not inside) or (tag not in ("article", "main", "body", "html") and other_named(m["rest"], inside))
                 held.append((tag, inside, other))
     add(page[at:])
     close()

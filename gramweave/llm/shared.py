@@ -26,7 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/gramweave/{name}-{uuid.uuid4().hex}"
+    """A path that nothing has yet, in the application's own folder."""
+    return f"{shared_dir(spark)}/gramweave/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this application wrote to the shared folder, results that read it included. For when they have been used."""
+    remove(spark, f"{shared_dir(spark)}/gramweave/{spark.sparkContext.applicationId}")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -16,6 +16,7 @@ def test_main_text():
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<p></p>") == ""
     assert html_text.main_text("<article><p>Cut &amp; here</p><p cla") == "Cut & here"
     assert html_text.main_text("<article><p>1 < 2 and 3 > 2 &am") == "1 < 2 and 3 > 2 &am"
+    assert html_text.main_text('<article class="has-comments"><div class="entry-header"><h1>T</h1><p class=byline>By A</p></div><p>x</p></article>') == "T\n\nBy A\n\nx"
     long = "word " * 200_000
     assert html_text.main_text(f"<main><p>{long}</p></main>") == long.strip()
 
