@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gramweave.operators.locate import locate
 from gramweave.operators.mem import mems
+from gramweave.sources.tables import written
 
 SEPARATOR, AMBIGUOUS = "$", "N"
 
@@ -104,6 +105,7 @@ def graph_mems(units: DataFrame, queries: DataFrame, k: int, core: str | None =
 
 def only_in(found: DataFrame, texts: DataFrame, inside: bool = True) -> DataFrame:
     """Matches whose string occurs in texts (doc_id, text), or those whose string doesn't."""
+    found = written(found, "graph-matches")
     strings = found.select("text").distinct().select(F.col("text").alias("pattern")).withColumn("pattern_id", F.xxhash64("pattern"))
     held = locate(texts, strings).select("pattern_id").distinct().join(strings, "pattern_id").select(F.col("pattern").alias("text"))
     return found.join(held, "text", "left_semi" if inside else "left_anti")

@@ -1,20 +1,140 @@
 """Counting and locating patterns: exact, with mismatches, and with an exact core.
 
 A pattern with at most e mismatches is cut into e + 1 pieces, of which one is exact. All pieces are looked up by their first w
-characters, w being the shortest piece of all patterns, in one equality join with the texts' w-grams; candidates then meet
-their text once more and are verified. Occurrences may overlap. Positions are 0-based and never cross texts.
+characters, w being the shortest piece of all patterns. Patterns of a bounded size go to every executor, and texts are scanned in Arrow
+batches: w-grams by a rolling hash, candidates held against the pattern at once, nothing shuffled. More patterns are joined with the
+texts' w-grams on equality, and distinct candidates meet their text once more. Occurrences may overlap. Positions are 0-based and
+never cross texts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gramweave.functions.strings import char_at, mismatches
-from gramweave.sources.texts import BLOCK, kmers, kmers_in_context
+from gramweave.sources.texts import kmers
 
-#: Bytes of seeds up to which they are sent to every executor, so that the texts' grams aren't shuffled.
+#: Bytes of seeds and patterns up to which they are sent to every executor, so that the texts' grams aren't shuffled.
 SMALL = 16 << 20
+#: Characters that are scanned together, and candidates that are verified together.
+TOGETHER, PAIRS = 1 << 20, 1 << 18
+#: Stands between texts; no character has this code.
+GAP = 0x110000
+
+
+def codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+
+
+def rolling(text: np.ndarray, w: int) -> np.ndarray:
+    """A hash of each w-gram."""
+    out = np.zeros(max(0, len(text) - w + 1), dtype="u8")
+    for j in range(w):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + text[j : len(text) - w + 1 + j]
+    return out ^ (out >> np.uint64(29))
+
+
+class Scanner:
+    """Holds patterns (codes) and their seeds, and finds them in texts."""
+
+    def __init__(self, patterns: list[np.ndarray], seeds: list[tuple[int, int]], w: int, most: int, core: tuple[int, int] | None):
+        self.w, self.most, self.core = w, most, core
+        self.sizes = np.array([len(p) for p in patterns], dtype="i8")
+        self.table = np.full((len(patterns), self.sizes.max(initial=1)), GAP, dtype="<u4")
+        for i, p in enumerate(patterns):
+            self.table[i, : len(p)] = p
+        which, at = np.array(seeds, dtype="i8").reshape(-1, 2).T
+        keys = np.array([rolling(patterns[i][a : a + w], w)[0] for i, a in seeds], dtype="u8")
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.which, self.at = keys[order], which[order], at[order]
+
+    def find(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pattern, place and mismatches of each window, once."""
+        hashes = rolling(text, self.w)
+        lo, hi = np.searchsorted(self.keys, hashes, "left"), np.searchsorted(self.keys, hashes, "right")
+        spots = np.flatnonzero(hi > lo)
+        n = hi[spots] - lo[spots]
+        edges = np.searchsorted(np.cumsum(n), np.arange(PAIRS, n.sum() + PAIRS, PAIRS), "right")
+        out, last = [], 0
+        for edge in np.append(edges, len(spots)):
+            s, m = spots[last:edge], n[last:edge]
+            last = max(last, edge)
+            if len(s):
+                seed = np.repeat(lo[s] - np.cumsum(m) + m, m) + np.arange(m.sum())
+                out.append(self._verified(text, self.which[seed], np.repeat(s, m) - self.at[seed]))
+        if not out:
+            return (np.zeros(0, "i8"),) * 3
+        found = np.unique(np.stack([np.concatenate(x) for x in zip(*out, strict=True)], axis=1), axis=0)
+        return found[:, 0], found[:, 1], found[:, 2]
+
+    def _verified(self, text: np.ndarray, which: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keep = (at >= 0) & (at + self.sizes[which] <= len(text))
+        which, at = which[keep], at[keep]
+        wrong = np.zeros(len(at), "i8")
+        inside = np.ones(len(at), bool)
+        for size in np.unique(self.sizes[which]):
+            own = np.flatnonzero(self.sizes[which] == size)
+            for j in range(size):
+                char = text[at[own] + j]
+                differ = char != self.table[which[own], j]
+                wrong[own] += np.where(char == GAP, self.most + 1, differ)  # no window reaches over the end of a text
+                if self.core and self.core[0] <= j < sum(self.core):
+                    inside[own] &= ~differ
+                near = wrong[own] <= self.most
+                own = own if near.all() else own[near]
+        keep = (wrong <= self.most) & inside
+        return which[keep], at[keep], wrong[keep]
+
+
+def pieces(texts: list[str | None], overlap: int, together: int) -> Iterator[tuple[list[tuple[int, int, int]], np.ndarray]]:
+    """Texts put together with gaps, about `together` characters at a time, a long one in parts that overlap.
+
+    Yields (number of the text, place of the part in it, place in the whole) of each part, and the whole.
+    """
+    marks, parts, size = [], [], 0
+    for i, text in enumerate(texts):
+        own = codes(text or "")
+        for at in range(0, max(1, len(own)), together):
+            part = own[at : at + together + overlap]
+            marks.append((i, at, size))
+            parts += [part, np.array([GAP], "<u4")]
+            size += len(part) + 1
+            if size >= together:
+                yield marks, np.concatenate(parts)
+                marks, parts, size = [], [], 0
+    if marks:
+        yield marks, np.concatenate(parts)
+
+
+def _scan(texts: DataFrame, patterns: list, kind: str, seeds: list[tuple[int, int]], w: int, most: int, core: tuple[int, int] | None = None) -> DataFrame:
+    """pattern_id, doc_id, x, mismatches. patterns: (pattern_id, pattern); seeds: (place in patterns, place in the pattern)."""
+    held = texts.sparkSession.sparkContext.broadcast((patterns, seeds))
+    together = TOGETHER
+    doc = texts.schema["doc_id"].dataType.simpleString()
+
+    def work(batches):
+        own, places = held.value
+        scanner = Scanner([codes(p) for _, p in own], places, w, most, core)
+        ids = pa.array([i for i, _ in own])
+        overlap = int(scanner.sizes.max(initial=1)) - 1
+        for batch in batches:
+            docs, strings = batch.column(0), batch.column(1).to_pylist()
+            for marks, whole in pieces(strings, overlap, together):
+                which, at, wrong = scanner.find(whole)
+                text, base, start = (np.array(x) for x in zip(*marks, strict=True))
+                part = np.searchsorted(start, at, "right") - 1
+                x = at - start[part]
+                keep = x < together  # what starts in the overlap is the next part's
+                which, wrong, part, x = which[keep], wrong[keep], part[keep], x[keep]
+                if len(x):
+                    yield pa.record_batch([ids.take(pa.array(which)), docs.take(pa.array(text[part])), pa.array(base[part] + x), pa.array(wrong.astype("i4"))], names=["pattern_id", "doc_id", "x", "mismatches"])
+
+    return texts.select("doc_id", "text").mapInArrow(work, f"pattern_id {kind}, doc_id {doc}, x long, mismatches int")
 
 
 def smaller(rows: DataFrame, bytes_of, most: int = SMALL) -> DataFrame:
@@ -23,21 +143,20 @@ def smaller(rows: DataFrame, bytes_of, most: int = SMALL) -> DataFrame:
     return F.broadcast(rows) if size <= most else rows
 
 
-def _near(texts: DataFrame, patterns: DataFrame, seeds: DataFrame, w: int) -> DataFrame:
-    """pattern_id, doc_id, x, pattern, window: windows that share a seed (pattern_id, at, gram) with a pattern in place.
-
-    Few seeds go to every executor with their patterns, and a window is cut from the block that its gram is in. Many are shuffled
-    with the texts' grams, and only distinct candidates meet their text again.
-    """
-    size, longest, last = seeds.join(patterns, "pattern_id").agg(F.coalesce(F.sum(F.length("gram") * 4 + F.length("pattern") * 4 + 48), F.lit(0)), F.max(F.length("pattern")), F.max("at")).first()
-    if size > SMALL or (last or 0) > BLOCK:
-        found = kmers(texts, "doc_id", "text", w).join(seeds, "gram").select("pattern_id", "doc_id", (F.col("pos") - F.col("at")).alias("x"))
-        return _windows(texts, patterns, found.where("x >= 0").distinct())
-    held = F.broadcast(seeds.join(patterns, "pattern_id"))
-    met = kmers_in_context(texts, "doc_id", "text", w, last or 0, longest or 1).join(held, "gram").where("pos >= at")
-    window = F.substring("context", F.col("place") - F.col("at") + 1, F.length("pattern"))
-    cut = met.select("pattern_id", "doc_id", (F.col("pos") - F.col("at")).alias("x"), "pattern", window.alias("window"))
-    return cut.where(F.length("window") == F.length("pattern"))
+def _found(texts: DataFrame, patterns: DataFrame, starts, w: int, most: int, core: tuple[int, int] | None = None) -> DataFrame:
+    """pattern_id, doc_id, x, mismatches. starts: where the seeds of a pattern of some length begin; their length is w."""
+    size = patterns.agg(F.coalesce(F.sum(F.length("pattern") * 4 + 32 * (most + 1)), F.lit(0))).first()[0]
+    if size <= SMALL:
+        rows = [(r.pattern_id, r.pattern) for r in patterns.select("pattern_id", "pattern").collect()]  # at most SMALL bytes
+        seeds = [(i, at) for i, (_, p) in enumerate(rows) for at in starts(len(p))]
+        return _scan(texts, rows, patterns.schema["pattern_id"].dataType.simpleString(), seeds, w, most, core)
+    places = F.explode(starts(F.length("pattern")))
+    seeds = patterns.select("pattern_id", "pattern", places.alias("at")).select("pattern_id", "at", F.substring("pattern", F.col("at") + 1, F.lit(w)).alias("gram"))
+    met = kmers(texts, "doc_id", "text", w).join(seeds, "gram").select("pattern_id", "doc_id", (F.col("pos") - F.col("at")).alias("x"))
+    checked = _windows(texts, patterns, met.where("x >= 0").distinct()).withColumn("mismatches", mismatches(F.col("window"), F.col("pattern")))
+    if core:
+        checked = checked.where(F.substring("window", core[0] + 1, core[1]) == F.substring("pattern", core[0] + 1, core[1]))
+    return checked.where(F.col("mismatches") <= most).select("pattern_id", "doc_id", "x", "mismatches")
 
 
 def _windows(texts: DataFrame, patterns: DataFrame, found: DataFrame) -> DataFrame:
@@ -58,18 +177,13 @@ def locate(texts: DataFrame, patterns: DataFrame, most: int = 0) -> DataFrame:
     if shortest is not None and shortest < most + 1:
         raise ValueError(f"patterns need at least {most + 1} characters for {most} mismatches")
     w = max(1, (shortest or 1) // (most + 1))
-    cut = lambda part: F.floor(F.lit(part) * F.length("pattern") / F.lit(most + 1)).cast("int")
-    starts = F.array(*[cut(part) for part in range(most + 1)])
-    seeds = patterns.select("pattern_id", "pattern", F.explode(starts).alias("at")).select("pattern_id", "at", F.substring("pattern", F.col("at") + 1, F.lit(w)).alias("gram"))
-    return _within(_near(texts, patterns, seeds, w), most)
 
+    def starts(length):
+        if isinstance(length, int):
+            return [part * length // (most + 1) for part in range(most + 1)]
+        return F.array(*[F.floor(F.lit(part) * length / F.lit(most + 1)).cast("int") for part in range(most + 1)])
 
-def _within(checked: DataFrame, most: int) -> DataFrame:
-    """pattern_id, doc_id, x, mismatches of the windows with at most `most`, once each."""
-    if not most:
-        return checked.where("window = pattern").select("pattern_id", "doc_id", "x", F.lit(0).alias("mismatches")).distinct()
-    held = checked.withColumn("mismatches", mismatches(F.col("window"), F.col("pattern"))).where(F.col("mismatches") <= most)
-    return held.select("pattern_id", "doc_id", "x", "mismatches").distinct()  # a window can share several seeds
+    return _found(texts, patterns, starts, w, most)
 
 
 def count(texts: DataFrame, patterns: DataFrame, most: int = 0) -> DataFrame:
@@ -84,8 +198,8 @@ def seed_extend(texts: DataFrame, patterns: DataFrame, left: int, core: int, mos
     shortest = patterns.agg(F.min(F.length("pattern"))).first()[0]
     if core < 1 or left < 0 or (shortest is not None and shortest < left + core):
         raise ValueError("the core must lie inside each pattern")
-    seeds = patterns.select("pattern_id", F.lit(left).alias("at"), F.substring("pattern", left + 1, core).alias("gram"))
-    return _within(_near(texts, patterns, seeds, core), most)
+    starts = lambda length: [left] if isinstance(length, int) else F.array(F.lit(left))
+    return _found(texts, patterns, starts, core, most, (left, core))
 
 
 def histogram(texts: DataFrame, patterns: DataFrame, most: int = 2) -> DataFrame:

@@ -8,34 +8,17 @@ round is a table in the shared folder.
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gramweave.functions.strings import common_prefix
+from gramweave.sources.tables import written
 
 #: Characters up to which suffixes are compared as strings; n characters have n * n / 2 characters of suffixes.
 SHORT = 400
 TERMINATOR = "$"
 
 
-def _shared(spark: SparkSession, name: str) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="spark-gramweave-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/gramweave/{name}-{uuid.uuid4().hex}"
-
-
-def _written(rows: DataFrame, name: str) -> DataFrame:
-    path = _shared(rows.sparkSession, name)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def _short(texts: DataFrame) -> DataFrame:
     rows = texts.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.length("text"))).alias("sa"))
     suffix = F.substring("text", F.col("sa") + 1, F.length("text"))
@@ -45,7 +28,7 @@ def _short(texts: DataFrame) -> DataFrame:
 
 def _ranked(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Adds how many rows have smaller keys; equal keys lie in one range."""
-    dealt = _written(rows.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()), "ranges")
+    dealt = written(rows.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()), "ranges")
     totals = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__c"))
     starts = totals.select("__part", F.coalesce(F.sum("__c").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__s"))
     inside = F.rank().over(Window.partitionBy("__part").orderBy(*keys)) - 1
@@ -54,13 +37,13 @@ def _ranked(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
 
 def _doubled(texts: DataFrame) -> DataFrame:
     chars = texts.select("doc_id", F.posexplode(F.concat(F.split("text", ""), F.array(F.lit("")))).alias("sa", "c"))
-    now = _written(_ranked(chars.select("doc_id", F.col("sa").cast("long"), "c"), ["doc_id", "c"], "r").select("doc_id", "sa", "r"), "ranks")
+    now = written(_ranked(chars.select("doc_id", F.col("sa").cast("long"), "c"), ["doc_id", "c"], "r").select("doc_id", "sa", "r"), "ranks")
     longest = texts.agg(F.max(F.length("text"))).first()[0] or 0
     h = 1
     while h <= longest:
         after = now.select("doc_id", (F.col("sa") - h).alias("sa"), F.col("r").alias("s"))
         pairs = now.join(after, ["doc_id", "sa"], "left").withColumn("s", F.coalesce("s", F.lit(-1)))
-        now = _written(_ranked(pairs, ["r", "s"], "t").select("doc_id", "sa", F.col("t").alias("r")), "ranks")
+        now = written(_ranked(pairs, ["r", "s"], "t").select("doc_id", "sa", F.col("t").alias("r")), "ranks")
         if now.groupBy("r").count().where("count > 1").isEmpty():
             break
         h *= 2

@@ -96,7 +96,13 @@ def test_published_positions(spark):
     assert sorted(r.x for r in found.collect()) == [11, 61] and positions(spark, TEXT, "GCTAGCTA", 2) == [11, 22, 61]
 
 
-def test_random_positions(spark):
+@pytest.mark.parametrize("small", [1 << 20, 0])
+@pytest.mark.parametrize("together", [1 << 20, 50])
+def test_random_positions(spark, monkeypatch, small, together):
+    if not small and together == 50:
+        pytest.skip("texts aren't scanned in parts there")
+    monkeypatch.setattr(locate, "SMALL", small)
+    monkeypatch.setattr(locate, "TOGETHER", together)
     r = random.Random(6)
     docs = [(j, "".join(r.choice("abcd"[: 2 + j % 3]) for _ in range(r.randrange(0, 40)))) for j in range(40)] + [(98, None), (97, "x" * 1500 + "abab" + "x" * 700)]
     patterns = [(j, "".join(r.choice("abcd"[: 2 + j % 3]) for _ in range(r.randrange(3, 9)))) for j in range(30)] + [(77, "xxabab"), (78, None)]
