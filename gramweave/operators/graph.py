@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gramweave.operators.locate import locate
-from gramweave.operators.mem import mems
+from gramweave.operators.mem import mems, mems_asymmetric
 from gramweave.sources.tables import written
 
 SEPARATOR, AMBIGUOUS = "$", "N"
@@ -103,6 +103,18 @@ def graph_mems(units: DataFrame, queries: DataFrame, k: int, core: str | None =
     return met.where(spans).select("ids", (F.col("x") - 1).alias("unit_off"), "query_id", "i", "d", text.alias("text"))
 
 
+def graph_mems_asymmetric(units: DataFrame, queries: DataFrame, k: int, core: str | None = None, context: str | None = None) -> DataFrame:
+    """ids, unit_off, query_id, i, d, text: stretches of units that no occurrence in any query extends, each with its first place in the queries.
+
+    Wherever in the unit they lie: use only_in to drop those that a smaller unit holds.
+    """
+    texts = unit_texts(units)
+    found = mems_asymmetric(texts, queries, k, core, context, anchor="text")
+    keyed = units.select(F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("doc_id"), "ids").join(texts, "doc_id")
+    met = found.join(keyed, "doc_id")
+    return met.select("ids", (F.col("x") - 1).alias("unit_off"), "query_id", "i", "d", F.substring("text", F.col("x").cast("int") + 1, F.col("d").cast("int")).alias("text"))
+
+
 def only_in(found: DataFrame, texts: DataFrame, inside: bool = True) -> DataFrame:
     """Matches whose string occurs in texts (doc_id, text), or those whose string doesn't."""
     found = written(found, "graph-matches")

@@ -130,7 +130,11 @@ ORACLE_SQL = {
     "graph_mem_edges": f"with {graph_mems('edge')} select * from mems",
     "graph_mem_paths": f"with {graph_mems('path')} select * from mems",
     "graph_mem_filtered": f"with {graph_mems('path')}, strings as (select distinct text from mems), held as (select distinct s.text from strings s join documents d on contains(d.text, s.text)) select * from mems where text in (select text from held)",
-    "graph_mem_asym": f"with {graph_mems('edge')} select * from mems m where not exists (select 1 from node_units where contains(lctx || parts[1] || rctx, m.text))",
+    "graph_mem_asym": f"""with {graph_mems('edge')},
+        firsts as (select doc_id, x, d, min((query_id, i)) as place from islands group by doc_id, x, d),
+        free as (select * from (select *, max(x + d) over (partition by doc_id order by x, d desc rows between unbounded preceding and 1 preceding) as reach from firsts) where reach is null or reach < x + d),
+        inner_ as (select doc_id as ids, x - 1 as unit_off, place[1] as query_id, place[2] as i, d, substr(text, x + 1, d) as text from free join unit_texts using (doc_id) where x > 0 and x + d < length(text))
+        select * from inner_ m where not exists (select 1 from node_units where contains(lctx || parts[1] || rctx, m.text))""",
     "graph_mem_max": " union all ".join(f"select '{kind}s' as section, max(d) as d from (with {graph_mems(kind)} select d from mems) having max(d) is not null" for kind in ("node", "edge", "path")),
     "suffix_array": f"with {SUFFIXES} select doc_id, rank, sa from sa",
     "bwt": f"with {SUFFIXES} select doc_id, rank, sa, case when ch = '' then '$' else ch end as ch from bwt",

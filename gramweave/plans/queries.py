@@ -172,9 +172,10 @@ def graph_mem_filtered(spark, sf_dir):
 
 
 def graph_mem_asym(spark, sf_dir):
-    """Edge matches whose string is in no node."""
-    nodes = graph.unit_texts(graph.graph_units(*passage_graph(spark, sf_dir), "nodes"))
-    return _flat(graph.only_in(_graph_mems(spark, sf_dir, "edges"), nodes, inside=False))
+    """Stretches of edges that no passage extends and no node holds."""
+    nodes, edges = (graph.graph_units(*passage_graph(spark, sf_dir), kind) for kind in ("nodes", "edges"))
+    found = graph.graph_mems_asymmetric(edges, framed(spark, sf_dir), K)
+    return _flat(graph.only_in(found, graph.unit_texts(nodes), inside=False))
 
 
 def graph_mem_max(spark, sf_dir):

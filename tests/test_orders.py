@@ -129,6 +129,28 @@ def test_graph(spark):
     assert graph.only_in(edges, texts, inside=False).count() == 0
 
 
+def test_asymmetric_graph_matches(spark):
+    nodes = spark.createDataFrame(NODES, "node_id int, label string")
+    links = spark.createDataFrame([(a, False, b, False) for a, b in LINKS], "src int, src_rev boolean, dst int, dst_rev boolean")
+    query = "#CGTGGTAC#AGTCCTAA#"
+    frame = spark.createDataFrame([(0, query)], "query_id long, text string")
+    for kind in ("nodes", "edges", "paths"):
+        units = graph.graph_units(nodes, links, kind)
+        want = set()
+        for r in units.collect():
+            t = r.lctx + "".join(r.parts) + r.rctx
+            for x in range(1, len(t)):
+                d = 0
+                while x + d < len(t) and t[x : x + d + 1] in query:
+                    d += 1
+                # maximal to the right over all characters; then core, and neighbours of the context
+                if d >= 3 and t[x - 1 : x + d] not in query and x + d < len(t) and set(t[x : x + d]) <= set("ACGT") and t[x - 1] in "ACGTN#" and t[x + d] in "ACGTN#":
+                    want.add((tuple(r.ids), x - 1, d, t[x : x + d]))
+        found = graph.graph_mems_asymmetric(units, frame, 3, "ACGT", "ACGTN#").collect()
+        assert {(tuple(r.ids), r.unit_off, r.d, r.text) for r in found} == want and len(found) == len(want)
+        assert all(query[r.i : r.i + r.d] == r.text for r in found)
+
+
 def test_reverse_orientation(spark):
     row = spark.range(1).select(graph.oriented(F.lit("ACGN"), F.lit(True)), graph.oriented(F.lit("AC"), F.lit(True), True)).first()
     assert tuple(row) == ("NCGT", "AC_rev")
