@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import slices
+
 #: Code points from which a text is cut.
 LONG = 50_000
 
@@ -54,11 +56,9 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
 
     def work(batches):
         enc, _ = coder(ranks, pattern)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [[i for p in safe_parts(t) for i in enc.encode_ordinary(p)] for t in part.column(1).to_pylist()]
-                yield pa.record_batch([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
+        for batch in slices(batches):
+            ids = [[i for p in safe_parts(t) for i in enc.encode_ordinary(p)] for t in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
 
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
     return docs.select(F.col(id_col), F.coalesce(text_col, F.lit(""))).mapInArrow(work, f"`{id_col}` {kind}, ids array<int>")
@@ -69,7 +69,7 @@ def decode(encoded: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id")
 
     def work(batches):
         enc, _ = coder(ranks, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             raw = [None if x is None else enc.decode_bytes(x) for x in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(raw, pa.binary())], names=[id_col, "raw"])
 
@@ -85,7 +85,7 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id"
 
     def work(batches):
         enc, decimal = coder(ranks, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             counts, of_ids, of_bytes = [], [], []
             for text in batch.column(1).to_pylist():
                 n, h, raw = 0, hashlib.sha256(), hashlib.sha256()

@@ -21,9 +21,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import slices
+
 N, SYMBOLS, SIZE, SEED = 3, 128, 1024, 7
 UNKNOWN = "und"
-#: n-gram vectors that a worker remembers, 4 KB each.
+#: n-gram vectors that a worker remembers within a task, 1 KB each.
 MOST_GRAMS = 24_000
 
 
@@ -45,19 +47,19 @@ def alphabet() -> np.ndarray:
 @lru_cache(1)
 def letters() -> np.ndarray:
     """Places x symbols x size: the random signs of each symbol, rotated by one for each place that follows."""
-    signs = np.random.default_rng(SEED).integers(0, 2, (SYMBOLS, SIZE)).astype("f4") * 2 - 1
+    signs = np.random.default_rng(SEED).integers(0, 2, (SYMBOLS, SIZE)).astype("i1") * 2 - 1
     return np.stack([np.roll(signs, N - 1 - place, axis=1) for place in range(N)])
 
 
 _rows: dict[int, int] = {}
-_table = np.zeros((0, SIZE), dtype="f4")
+_table = np.zeros((0, SIZE), dtype="i1")
 
 
 def gram_vectors(grams: np.ndarray) -> np.ndarray:
     """One row for each n-gram code."""
     global _table
     if not len(_table):
-        _table = np.zeros((MOST_GRAMS, SIZE), dtype="f4")
+        _table = np.zeros((MOST_GRAMS, SIZE), dtype="i1")
     new = [g for g in grams.tolist() if g not in _rows]
     if new:
         if len(_rows) + len(new) > MOST_GRAMS:
@@ -71,8 +73,20 @@ def gram_vectors(grams: np.ndarray) -> np.ndarray:
     return _table[[_rows[g] for g in grams.tolist()]]
 
 
+def forget() -> None:
+    """Frees the remembered vectors: a worker goes on to other work."""
+    global _table
+    _rows.clear()
+    _table = np.zeros((0, SIZE), dtype="i1")
+
+
+def bundled(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The sum of the vectors of n-grams, each as often as it occurs."""
+    return sum(counts[i : i + 1024].astype("f4") @ gram_vectors(grams[i : i + 1024]).astype("f4") for i in range(0, len(grams), 1024))
+
+
 def _bind(grams: np.ndarray) -> np.ndarray:
-    signs, out = letters(), 1
+    signs, out = letters(), np.int8(1)
     for place in range(N):
         out = out * signs[place][(grams // SYMBOLS ** (N - 1 - place)) % SYMBOLS]
     return out
@@ -99,7 +113,7 @@ def prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
 
     def bundle(batches):
         found: dict[str, dict[int, int]] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if p := profile(text):
                     own = found.setdefault(lang, {})
@@ -124,7 +138,7 @@ def predict(docs: DataFrame, known: dict[str, np.ndarray], shown: list[Column],
     schema = docs.select(*shown).schema
 
     def work(batches):
-        for batch in batches:
+        for batch in slices(batches):
             langs, scores = [], []
             for text in batch.column(batch.num_columns - 1).to_pylist():
                 p = profile(text) if names else None
@@ -132,12 +146,13 @@ def predict(docs: DataFrame, known: dict[str, np.ndarray], shown: list[Column],
                     langs.append(UNKNOWN)
                     scores.append(0.0)
                     continue
-                own = sum(p[1][i : i + 8192].astype("f4") @ gram_vectors(p[0][i : i + 8192]) for i in range(0, len(p[0]), 8192))
+                own = bundled(*p)
                 cosines = own @ matrix / max(float(np.linalg.norm(own)), 1e-9)
                 best = int(np.argmax(cosines))
                 langs.append(names[best])
                 scores.append(min(1.0, max(0.0, float(cosines[best]))))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
+        forget()
 
     out = schema.add("lang_pred", "string").add("score", "double")
     return docs.select(*shown, F.col(text_col).alias("__text")).mapInArrow(work, out)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import TILE, connected, sorted_groups, tiles, written
+from .shared import TILE, connected, slices, sorted_groups, tiles, written
 
 WORDS, BITS, SEED = 4, 4, 42
 #: Fingerprints in a block of a long list.
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """id, fp (the bits of the fingerprint as a long) of each row."""
 
     def work(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [fingerprint(t, words) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(np.array(found, dtype="u8").view("i8"))], names=["id", "fp"])
 
