@@ -20,7 +20,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return src.spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def passages(spark, sf_dir):

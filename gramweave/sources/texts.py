@@ -13,6 +13,17 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc"), F.col("value").alias("text"))
 
 
+def spread(rows: DataFrame, each: int = 32 << 20) -> DataFrame:
+    """The rows of a small table of fewer files than the cluster has cores, dealt to all cores; other tables as they are.
+
+    A file of one row group is one task, and cutting grams is far more work than a shuffle of a small table. A table of over
+    `each` bytes a core is never shuffled.
+    """
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(n) if len(rows.inputFiles()) < n and size <= n * each else rows
+
+
 def header_number(text: Column, name: str) -> Column:
     """What `name=` says in the header line of a pattern file; null if it says nothing."""
     return F.regexp_extract(F.substring_index(text, "\n", 1), rf"(?:^|\s){name}=(\d+)", 1).try_cast("int")
