@@ -89,7 +89,8 @@ def tiles(rows: DataFrame, member: str, most: int) -> DataFrame:
     and each pair of blocks is a tile, so any two members meet in some tile. Members of one block meet in several: in a tile
     with lo < hi, only pairs from two blocks count. Adds `lo`, `hi` and `block` (ints). Sorted by TILE within partitions.
     """
-    counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    # A plain table, not an aggregate beneath the join: the planner can then split the rows of a hot bucket.
+    counts = written(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1"), "bucket-sizes")
     dealt = (
         rows.join(counts, "bucket")
         .withColumn("__blocks", F.ceil(F.col("__n") / F.lit(most)).cast("int"))
@@ -104,8 +105,9 @@ def tiles(rows: DataFrame, member: str, most: int) -> DataFrame:
 def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component): the least node that each node of `edges` (a, b: long) reaches.
 
-    Large-star and small-star steps alternate until the edges are stars, O(log n) rounds. Each round is a written table; a
-    node's neighbours are only ever folded into a minimum, so a hub is no hot group, and nothing comes to the driver but a count.
+    Large-star and small-star steps alternate until the edges are stars, O(log n) rounds. Each step's minima and edges are
+    written tables: a hub's neighbours are folded into a minimum before a shuffle, and as both sides of the joins are plain
+    tables, the planner can split a hub's edges among tasks. Nothing comes to the driver but a count.
     """
     spark = edges.sparkSession
 
@@ -119,13 +121,14 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     mark = None
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        near = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(near, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        after, new = kept(small)
+        least, least_path = kept(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large, large_path = kept(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        near, near_path = kept(large.groupBy("u").agg(F.min("v").alias("m")))
+        star = F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        after, new = kept(large.join(near, "u").select(F.explode(star).alias("e")).select("e.*").where("u <> v").distinct())
         found = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        remove(spark, path)
+        for old in (path, least_path, large_path, near_path):
+            remove(spark, old)
         now, path = after, new
         if tuple(found) == mark:
             break

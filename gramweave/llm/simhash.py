@@ -6,7 +6,7 @@ list is for three bytes in place: 20 triples of positions meet every set of 4 po
 the pairs of one half go with the next). Pairs that meet in a list tally their shared bytes; those with 4 or more are verified
 by their bits. Equal fingerprints are one entry.
 
-A list is searched breadth first: each fingerprint reached is held against those not reached yet, so a list of near copies
+A list is searched from link to link: each fingerprint reached is held against those not reached yet, so a list of near copies
 costs about its length, and gives the edges of a spanning forest, not its pairs. A long list is cut into blocks, and each two
 blocks are searched together, so no task holds a whole hot list and no pair is lost.
 
@@ -127,7 +127,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     distinct = rows.groupBy("fp").agg(F.min("id").alias("least"))
     parts = connected(links(distinct, bits, block)).withColumnRenamed("node", "fp")
     named = distinct.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    first = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    first = written(named.groupBy("component").agg(F.min("least").alias("component_id")), "simhash-components")  # a plain table, for the planner to split a large component
     by_fp = named.join(first, "component").select("fp", "component_id")
     return rows.join(by_fp, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
