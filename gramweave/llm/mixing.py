@@ -136,5 +136,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     plan = _plan(_keyed(docs, id_col, source_col, text_col, seed, F.struct("*").alias("row")), sized, weights, most, shards, seed)
     copies = plan.select("row", "id", F.posexplode("shards").alias("copy", "shard"))
     order = F.xxhash64("id", "copy", F.lit(seed + 2))
-    spread = copies.withColumn("order", order).repartition("shard", F.pmod("order", F.lit(64)))  # a shard is 64 shuffled pieces at most
+    # A shard is shuffled in pieces: 64, or more where the session's partitions, which are sized for the input, ask for it.
+    pieces = max(64, -(-int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards))
+    spread = copies.withColumn("order", order).repartition("shard", F.pmod("order", F.lit(pieces)))
     return spread.sortWithinPartitions("shard", "order").select("row.*")
