@@ -7,7 +7,8 @@ heading tag. A decision tree, trained on the blocks of LABELLED, says which bloc
 
 White space inside a block becomes one space (a line break tag is white space), blocks without text are no blocks, and the kept
 blocks are joined by an empty line. Scripts, styles, comments and the head never give text. Character references are decoded
-once. An unclosed tag at the end of a cut page is dropped.
+once. An unclosed tag at the end of a cut page is dropped. A head whose end tag is left out ends at the first tag or text that can't stand
+in one; a script, style, textarea or comment that isn't closed goes on to the end of the page, as in HTML.
 
 Cases: a null or empty page has the empty text; a page of one huge text is one block; repeated rows are extracted each for
 itself; an empty table gives an empty result; other columns are left alone.
@@ -27,13 +28,22 @@ from pyspark.sql import functions as F
 
 from .shared import slices
 
+ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+# What stands in a head; any other tag or text ends one that isn't closed.
+HEAD = (
+    r"(?:\s+|<!--.*?(?:-->|\Z)|</?(?:meta|link|base)\b" + ATTRIBUTES + r">"
+    r"|<(?P<in>title|script|style|noscript|template)\b" + ATTRIBUTES + r">.*?(?:</(?P=in)\s*>|\Z))*+(?:</head\s*>)?"
+)
 MARK = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|select|object|head)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    r"|<(?P<raw>script|style|textarea)\b" + ATTRIBUTES + r">.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<head\b" + ATTRIBUTES + ">" + HEAD +
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>" + ATTRIBUTES + r")>"
     r"|<[/!?][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*(?:>|\Z)",
     re.S | re.I,
 )
+#: Elements without text of the page if they are closed, and their ends. Of an unclosed one only the tag goes.
+CLOSED = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("title", "noscript", "template", "svg", "iframe", "select", "object")}
 NAMES = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 # Elements that break the line, those that can hold blocks, and words that name what isn't the article.
@@ -93,13 +103,20 @@ def blocks(page: str) -> list[Block]:
             if links:
                 linked += len(text.split())
 
-    for m in MARK.finditer(page):
+    unclosed: set[str] = set()
+    while m := MARK.search(page, at):
         add(page[at : m.start()])
         at = m.end()
         tag = (m["tag"] or "").lower()
         if not tag:
             continue
-        if tag == "a":
+        if tag in CLOSED:
+            if not m["end"] and tag not in unclosed and not (tag == "svg" and m["rest"].endswith("/")):
+                if last := CLOSED[tag].search(page, at):
+                    at = last.end()
+                else:
+                    unclosed.add(tag)
+        elif tag == "a":
             links = max(0, links + (-1 if m["end"] else 1))
         elif tag == "br":
             parts.append(" ")

@@ -21,6 +21,18 @@ def test_main_text():
     assert html_text.main_text(f"<main><p>{long}</p></main>") == long.strip()
 
 
+def test_unclosed_and_self_closed_elements():
+    article = "<article><h1>T</h1><p>One two three.</p>{}<p>Four five six.</p></article>"
+    want = "T\n\nOne two three.\n\nFour five six."
+    for head in ("<head><title>X</title><body>", "<head><title>X</title>", "<head lang=en><meta charset=u><!-- c --><script>var a='<p>'</script>", "<head>", "<title>X</title>", "<head><title>X</title></head><body>"):
+        assert html_text.main_text("<html>" + head + article.format("")) == want, head
+    for inner in ('<svg width="1" />', "<svg/>", "<svg><path d='m'/></svg>", "<svg><text>no</text></svg>", "<iframe src=x></iframe>", "<object data=x>", "<template>", "<noscript>no</noscript>"):
+        assert html_text.main_text(article.format(inner)) == want, inner
+    assert html_text.main_text(article.format("<svg/>") + "<p><svg>x</svg></p>") == want
+    for inner in ("<script>", "<style>", "<textarea>", "<!--"):
+        assert html_text.main_text(article.format(inner)) == "T\n\nOne two three.", inner
+
+
 def test_tree_fits_its_table():
     for page, labels in html_text.LABELLED:
         found = html_text.blocks(page)
