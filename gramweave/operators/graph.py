@@ -76,7 +76,7 @@ def unit_offsets(units: DataFrame) -> DataFrame:
     from gramweave.sources.texts import numbered
 
     key = F.array_join(F.transform("ids", lambda i: F.lpad(i.cast("string"), 20, "0")), ",")
-    sized = numbered(units.withColumn("key", key), "key", "no").withColumn("n", F.length(F.array_join("parts", "")) + 3)
+    sized = numbered(units.withColumn("key", key), ["key"], "no").withColumn("n", F.length(F.array_join("parts", "")) + 3)
     dealt = sized.withColumn("part", F.floor(F.col("no") / 4096))
     totals = dealt.groupBy("part").agg(F.sum("n").alias("c"))
     starts = totals.select("part", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("s"))

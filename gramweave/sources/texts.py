@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gramweave.sources.tables import written
+
 BLOCK = 512
 
 
@@ -17,11 +19,11 @@ def spread(rows: DataFrame, each: int = 32 << 20) -> DataFrame:
     """The rows of a small table of fewer files than the cluster has cores, dealt to all cores; other tables as they are.
 
     A file of one row group is one task, and cutting grams is far more work than a shuffle of a small table. A table of over
-    `each` bytes a core is never shuffled.
+    `each` bytes a core is never shuffled, and its files aren't listed here.
     """
     n = rows.sparkSession.sparkContext.defaultParallelism
     size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return rows.repartition(n) if len(rows.inputFiles()) < n and size <= n * each else rows
+    return rows.repartition(n) if size <= n * each and len(rows.inputFiles()) < n else rows
 
 
 def header_number(text: Column, name: str) -> Column:
@@ -53,20 +55,34 @@ def split_queries(rows: DataFrame, id_col: str, text_col: str, separator: str =
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """The nodes (node_id, name, label) and links (src, src_rev, dst, dst_rev) of a graph in GFA: S and L records; other lines are skipped.
 
-    Ids count S lines from 1; links name nodes by their S record's name.
+    Ids count S lines from 1, in the order of the files' names and of the lines in each; links name nodes by their S record's name.
     """
-    lines = spark.read.text(path).select(F.split("value", "\t").alias("f"), F.monotonically_increasing_id().alias("line"))
-    names = lines.where("f[0] = 'S'").select("line", F.col("f")[1].alias("name"), F.col("f")[2].alias("label"))
-    nodes = numbered(names, "line", "node_id").drop("line")
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")]
+    lines = spark.read.text(path).select(F.split("value", "\t").alias("f"), *place)
+    names = lines.where("f[0] = 'S'").select("file", "block", "line", F.col("f")[1].alias("name"), F.col("f")[2].alias("label"))
+    nodes = written(numbered(names, ["file", "block", "line"], "node_id").select("node_id", "name", "label"), "graph-nodes")
     ends = lines.where("f[0] = 'L'").select(F.col("f")[1].alias("a"), (F.col("f")[2] == "-").alias("src_rev"), F.col("f")[3].alias("b"), (F.col("f")[4] == "-").alias("dst_rev"))
     of = lambda x, y: nodes.select(F.col("name").alias(x), F.col("node_id").alias(y))
     return nodes, ends.join(of("a", "src"), "a").join(of("b", "dst"), "b").select("src", "src_rev", "dst", "dst_rev")
 
 
-def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
-    """Adds a number from 1 in the order of a unique column, from totals of ranges: no task sees all rows."""
-    dealt = rows.repartitionByRange(order).withColumn("__part", F.spark_partition_id())
-    inside = dealt.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(order)))
+def graph_lines(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """value: the graph (node_id, label; src, src_rev, dst, dst_rev) as lines of GFA, S records by id before L records; ready for write.text."""
+    sign = lambda reverse: F.when(F.col(reverse), F.lit("-")).otherwise(F.lit("+"))
+    name = lambda c: F.col(c).cast("string")
+    kept = F.regexp_replace("label", r"[\t\r\n]", " ")
+    first = nodes.select(F.lit(0).alias("kind"), F.col("node_id").alias("a"), F.lit(0).cast("long").alias("b"), F.concat_ws("\t", F.lit("S"), name("node_id"), kept).alias("value"))
+    then = links.select(F.lit(1).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), F.concat_ws("\t", F.lit("L"), name("src"), sign("src_rev"), name("dst"), sign("dst_rev"), F.lit("0M")).alias("value"))
+    return first.unionByName(then).orderBy("kind", "a", "b", "value").select("value")
+
+
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds a number from 1 in the order of columns that are unique together, from totals of ranges: no task sees all rows.
+
+    The ranges are a written table: planned twice, one of them might be cut at other places.
+    """
+    dealt = written(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
+    inside = dealt.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
     totals = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__c"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("__part", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__s"))
