@@ -15,9 +15,11 @@ NOT_SPACE = r"[^\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a local session gets a temporary one; on a cluster that is an error."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         base = "file://" + tempfile.mkdtemp(prefix="spark-gramweave-")
@@ -82,18 +84,22 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
 TILE = ["bucket", "lo", "hi"]
 
 
-def tiles(rows: DataFrame, member: str, most: int) -> DataFrame:
+def tiles(rows: DataFrame, member: str, most: int, hot_only: bool = False) -> DataFrame:
     """Deals the rows of every `bucket` (long) with two members or more to tiles of at most twice about `most` rows.
 
     A bucket of up to `most` rows is one tile. A larger one is cut by the hash of `member` into blocks of about `most` rows,
     and each pair of blocks is a tile, so any two members meet in some tile. Members of one block meet in several: in a tile
     with lo < hi, only pairs from two blocks count. Adds `lo`, `hi` and `block` (ints). Sorted by TILE within partitions.
+
+    hot_only: buckets of one member are tiles too, and only those of more than `most` rows are looked up: for wide rows, few of
+    which are alone, as the table of these buckets is small and the rows needn't be shuffled to meet it.
     """
     # A plain table, not an aggregate beneath the join: the planner can then split the rows of a hot bucket.
-    counts = written(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1"), "bucket-sizes")
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > (most if hot_only else 1))
+    counts = written(sizes, "bucket-sizes")
     dealt = (
-        rows.join(counts, "bucket")
-        .withColumn("__blocks", F.ceil(F.col("__n") / F.lit(most)).cast("int"))
+        rows.join(counts, "bucket", "left" if hot_only else "inner")
+        .withColumn("__blocks", F.coalesce(F.ceil(F.col("__n") / F.lit(most)), F.lit(1)).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64(member, F.lit("block")), F.col("__blocks")).cast("int"))
         .withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
         .withColumn("lo", F.least("block", "__other"))
