@@ -42,7 +42,7 @@ LINK, BLOCK = 0.93, 2048
 #: The share of the mean direction above which vectors are searched in a cell of their own, and the chance that a pair at the limit shares no bucket.
 COMMON, MISS = 0.85, 5e-4
 #: The least bits of a table, the most, the most tables, and what a row in a table costs, in comparisons.
-LEAST_BITS, MOST_BITS, MOST_TABLES, ROW = 3, 20, 64, 500
+LEAST_BITS, MOST_BITS, MOST_TABLES, ROW = 3, 20, 64, 3000
 #: Rows that are held against others at once, and the share of their pairs above which all of these are compared.
 TOGETHER, DENSE = 256, 0.05
 #: No id of a vector may be this large; entries without any id are named from here up.
@@ -78,7 +78,7 @@ def fit(sample: np.ndarray, rounds: int = ROUNDS, seed: int = SEED) -> tuple[np.
     return axis, np.hstack(turns)
 
 
-def codes(vectors: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def coded(vectors: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The share of the mean direction and the code (ROTATIONS x uint64) of each unit vector.
 
     Vectors of another length than the fitted one have no share; they are coded whole, by random directions.
@@ -92,6 +92,10 @@ def codes(vectors: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> tuple[np
     return share, np.packbits(rest @ turn >= 0, axis=1, bitorder="little").view("<u8")
 
 
+def codes(vectors: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    return coded(vectors, model)[1]
+
+
 def differing(link: float, share: float) -> float:
     """The share of bits that differ between coded parts of vectors of cosine `link`, at most; share: of the mean direction, at most."""
     least = (link - share * share) / max(1 - share * share, 1e-12)
@@ -211,7 +215,7 @@ def _coded(entries: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFram
             sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
             for n in np.unique(sizes):
                 at = np.flatnonzero(sizes == n)
-                share[at], code[at] = codes(unit(rows_of(lists.take(pa.array(at)))), model)
+                share[at], code[at] = coded(unit(rows_of(lists.take(pa.array(at)))), model)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(share), *(pa.array(code[:, i].view("i8")) for i in range(ROTATIONS))], names=[*batch.schema.names, "share", *words])
 
     more = [T.StructField("share", T.DoubleType()), *(T.StructField(w, T.LongType()) for w in words)]
@@ -307,8 +311,8 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     if not lists:
         return rows.select(*alone)
     model = fit(unit(np.array([lists[i] for i in max(by_length(lists), key=len)])))
-    coded = written(_coded(entries.select("node", "weight", "label_key", "v"), model), "embedding-codes")
-    found = written(_found(coded, link, block, common), "embedding-links")
+    known_codes = written(_coded(entries.select("node", "weight", "label_key", "v"), model), "embedding-codes")
+    found = written(_found(known_codes, link, block, common), "embedding-links")
     parts = connected(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     known = entries.join(counts, "node", "left").join(parts, "node", "left").select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "node").alias("component"))
