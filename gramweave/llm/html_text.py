@@ -1,23 +1,29 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
 A page becomes a flat sequence of text blocks, cut at block-level tags. A block has its number of words and its link density
-(words in links among all words), those of the blocks before and after it, and whether it stands in an article or main
+(words in links among all words) and those of the blocks before and after it. Further features: whether it stands in an article or main
 element, beside one, in an element that is or is named as a menu, header, footer, sidebar, notice, advert, form or comments, and under a
-heading tag. A decision tree, trained on the blocks of LABELLED, says which blocks are the article's.
+heading tag. A decision tree says which blocks are the article's. It is trained on the blocks of the small labelled table that
+`labelled_pages` writes by rule: pages with and without article elements and telling names. Where a page has neither, word counts and
+link densities decide, so a short line between paragraphs stays and one between menus goes; of even leaves the block stays.
 
-White space inside a block becomes one space (a line break tag is white space), blocks without text are no blocks, and the kept
-blocks are joined by an empty line. Scripts, styles, comments and the head never give text. Character references are decoded
-once. An unclosed tag at the end of a cut page is dropped. A head whose end tag is left out ends at the first tag or text that can't stand
-in one; a script, style, textarea or comment that isn't closed goes on to the end of the page, as in HTML.
+Pages are read in one pass, each character a bounded number of times. White space inside a block becomes one space (a line break tag is
+white space), blocks without text are no blocks, and the kept blocks are joined by an empty line. Scripts, styles, comments and what a head holds
+never give text. Character references are decoded once. A tag ends at the first > outside quotes; if there is none, at the first >, and
+quotes are passed over in the rest of that page too; an unclosed tag at the end of a cut page is dropped. A script, style, textarea or comment that isn't
+closed goes on to the end of the page, as in HTML.
 
 Cases: a null or empty page has the empty text; a page of one huge text is one block; repeated rows are extracted each for
-itself; an empty table gives an empty result; other columns are left alone.
+itself; an empty table gives an empty result; other columns are left alone, and one named like a result, in capitals or not, gives way to it.
 """
 
 from __future__ import annotations
 
 import html
+import random
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -26,22 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices
+from .shared import other_columns, slices
 
-ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
-# What stands in a head; any other tag or text ends one that isn't closed.
-HEAD = (
-    r"(?:\s+|<!--.*?(?:-->|\Z)|</?(?:meta|link|base)\b" + ATTRIBUTES + r">"
-    r"|<(?P<in>title|script|style|noscript|template)\b" + ATTRIBUTES + r">.*?(?:</(?P=in)\s*>|\Z))*+(?:</head\s*>)?"
-)
-MARK = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|textarea)\b" + ATTRIBUTES + r">.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<head\b" + ATTRIBUTES + ">" + HEAD +
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>" + ATTRIBUTES + r")>"
-    r"|<[/!?][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*(?:>|\Z)",
-    re.S | re.I,
-)
+START = re.compile(r"</?[a-zA-Z][^\s/>]*|<!--|<[!?/]")
+QUOTES = re.compile(r"[\"'>]")
+#: Elements whose text is never the page's, and their ends; one that isn't closed goes on to the end of the page.
+RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea")}
 #: Elements without text of the page if they are closed, and their ends. Of an unclosed one only the tag goes.
 CLOSED = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("title", "noscript", "template", "svg", "iframe", "select", "object")}
 NAMES = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -78,10 +74,53 @@ def other_named(rest: str, inside: bool) -> bool:
     return any(w in OTHER_NAMES and not (inside and w == "header") for m in NAMES.finditer(rest) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()))
 
 
+def marks(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Of each tag: where it begins, where the text after it goes on, its name in small letters (empty: no tag, or one without a meaning here), whether it is an end tag, its attributes."""
+    at, quotes, unclosed = 0, True, set()
+    while m := START.search(page, at):
+        begin, name = m.start(), m[0].lower().lstrip("</!?-")
+        end_tag, at = m[0].startswith("</"), m.end()
+        if not name:
+            stop = page.find("-->", at) if m[0] == "<!--" else page.find(">", at)
+            at = len(page) if stop < 0 else stop + (3 if m[0] == "<!--" else 1)
+            yield begin, at, "", False, ""
+            continue
+        stop = tag_end(page, at) if quotes else page.find(">", at)
+        if stop < 0 and quotes:
+            quotes = False
+            stop = page.find(">", at)
+        if stop < 0:
+            yield begin, len(page), "", False, ""
+            return
+        rest, at = page[at:stop], stop + 1
+        if not end_tag and name in RAW:
+            last = RAW[name].search(page, at)
+            at, name = last.end() if last else len(page), ""
+        elif not end_tag and name in CLOSED and name not in unclosed and not (name == "svg" and rest.endswith("/")):
+            if last := CLOSED[name].search(page, at):
+                at = last.end()
+            else:
+                unclosed.add(name)
+            name = ""
+        yield begin, at, name, end_tag, rest
+
+
+def tag_end(page: str, at: int) -> int:
+    """The first > outside quotes; -1 if there is none."""
+    while m := QUOTES.search(page, at):
+        if m[0] == ">":
+            return m.start()
+        at = page.find(m[0], m.end()) + 1
+        if not at:
+            break
+    return -1
+
+
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     held: list[tuple[str, bool, bool]] = []  # open holders: tag, in the article, in something else
+    open_: Counter[str] = Counter()
     linked = links = 0
     heading = False
     at = 0
@@ -103,38 +142,31 @@ def blocks(page: str) -> list[Block]:
             if links:
                 linked += len(text.split())
 
-    unclosed: set[str] = set()
-    while m := MARK.search(page, at):
-        add(page[at : m.start()])
-        at = m.end()
-        tag = (m["tag"] or "").lower()
-        if not tag:
-            continue
-        if tag in CLOSED:
-            if not m["end"] and tag not in unclosed and not (tag == "svg" and m["rest"].endswith("/")):
-                if last := CLOSED[tag].search(page, at):
-                    at = last.end()
-                else:
-                    unclosed.add(tag)
-        elif tag == "a":
-            links = max(0, links + (-1 if m["end"] else 1))
+    for begin, after, tag, end_tag, rest in marks(page):
+        add(page[at:begin])
+        at = after
+        if tag == "a":
+            links = max(0, links + (-1 if end_tag else 1))
         elif tag == "br":
             parts.append(" ")
         elif tag in BREAKS:
             close()
             links = 0
-            heading = not m["end"] and re.fullmatch("h[1-6]", tag) is not None
+            heading = not end_tag and re.fullmatch("h[1-6]", tag) is not None
             if tag not in HOLDERS:
                 continue
-            if m["end"]:
-                if any(h[0] == tag for h in held):
-                    while held.pop()[0] != tag:
-                        pass
-            elif not m["rest"].endswith("/"):
+            if end_tag:
+                while open_[tag]:
+                    last = held.pop()[0]
+                    open_[last] -= 1
+                    if last == tag:
+                        break
+            elif not rest.endswith("/"):
                 inside, other = held[-1][1:] if held else (False, False)
                 inside = inside or tag in ("article", "main")
-                other = other or tag in OTHER or (tag == "header" and not inside) or (tag not in ("article", "main", "body", "html") and other_named(m["rest"], inside))
+                other = other or tag in OTHER or (tag == "header" and not inside) or (tag not in ("article", "main", "body", "html") and other_named(rest, inside))
                 held.append((tag, inside, other))
+                open_[tag] += 1
     add(page[at:])
     close()
     return out
@@ -153,26 +185,30 @@ def features(found: list[Block]) -> np.ndarray:
     return np.hstack([own, np.vstack([edge, own[:-1]]), np.vstack([own[1:], edge]), flags])
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 5, least: int = 2):
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 9, least: int = 6):
     """A decision tree by Gini impurity: a share of the article's, or (feature, limit, up to it, over it). Ties go to the first feature and limit."""
     share = float(y.mean())
     if depth == 0 or share in (0.0, 1.0):
         return share
     best = None
     for k in range(x.shape[1]):
-        values = np.unique(x[:, k])
-        for limit in (values[1:] + values[:-1]) / 2:
-            low = x[:, k] <= limit
-            sizes = low.sum(), (~low).sum()
-            if min(sizes) < least:
-                continue
-            impurity = sum(n * p * (1 - p) for n, p in zip(sizes, (y[low].mean(), y[~low].mean()), strict=True))
-            if best is None or impurity < best[0] - 1e-9:
-                best = impurity, k, limit, low
-    if best is None:
+        order = np.argsort(x[:, k], kind="stable")
+        value, ones = x[order, k], np.cumsum(y[order])
+        low = np.arange(1, len(y))
+        able = np.flatnonzero((value[1:] > value[:-1]) & (low >= least) & (len(y) - low >= least))
+        if not len(able):
+            continue
+        low, hits = low[able], ones[able]
+        high, others = len(y) - low, ones[-1] - hits
+        impurity = hits * (low - hits) / low + others * (high - others) / high
+        i = int(np.argmin(impurity))
+        if best is None or impurity[i] < best[0] - 1e-9:
+            best = impurity[i], k, float(value[able[i]] + value[able[i] + 1]) / 2
+    if best is None or best[0] >= share * (1 - share) * len(y) - 1e-9:
         return share
-    _, k, limit, low = best
-    return k, float(limit), grow(x[low], y[low], depth - 1, least), grow(x[~low], y[~low], depth - 1, least)
+    _, k, limit = best
+    low = x[:, k] <= limit
+    return k, limit, grow(x[low], y[low], depth - 1, least), grow(x[~low], y[~low], depth - 1, least)
 
 
 def article_share(tree, row: np.ndarray) -> float:
@@ -181,21 +217,103 @@ def article_share(tree, row: np.ndarray) -> float:
     return tree
 
 
-_LONG = "The river rose in the night and by morning the lower fields were under water as far as the old mill."
-_NEXT = "People who had lived there for years said they had never seen it come up so quickly or stay so long."
-_LAST = "By the end of the week the roads were open again and the market was held as usual on the square."
-#: Pages written for this table; a letter for each block in turn: y (the article's) or n.
-LABELLED = (
-    (f"<nav><ul><li><a>Home</a></li><li><a>News</a></li><li><a>Sport</a></li></ul></nav><div class=ad>Buy two lamps and get one free this week only in all our shops.</div><article><h1>River in flood</h1><p>{_LONG}</p><p>Slowly.</p><p>{_NEXT}</p></article><footer>Copyright of the paper, all rights reserved</footer>", "nnnnyyyyn"),
-    (f"<header><a>The Paper</a><p>News of the valley since 1900</p></header><main><h2>Market day</h2><p>{_LAST}</p><p>See the <a>list of stalls</a> for more.</p><p>Yes.</p><ul><li>Bread</li><li>Cheese and eggs</li></ul><aside><a>Most read today</a></aside><p>{_NEXT}</p></main><form>Your name and address <p>Send the form to us today please</p></form>", "nnyyyyyynynn"),
-    (f"<div id=menu><a>One</a> <a>Two</a> <a>Three</a></div><div><h1>Old mill</h1><p>{_LONG} {_NEXT}</p><p>{_NEXT}</p><p>{_LAST} {_LONG}</p></div><div><a>About us and our writers</a> <a>Jobs</a> <a>Terms of use</a></div><div>(c) 2001</div>", "nyyyynn"),
-    (f"<div class='cookie notice'><p>{_LAST} We use cookies on this site to make it work and to count our readers.</p></div><article><p>{_LONG}</p><h2>After</h2><p>Calm.</p><blockquote>It was <a>the worst</a> of years.</blockquote><section class=comments><p>{_NEXT} I was there too and it was just as you say.</p><p>Agreed</p></section></article>", "nyyyynn"),
-    (f"<p><a>Skip to the text</a></p><p><a>Home</a> | <a>Archive</a></p><p>{_LONG} {_LAST}</p><p>{_NEXT} {_LONG}</p><p>{_LAST} {_NEXT}</p><p><a>Next page</a></p><p><a>Print</a> <a>Mail</a></p>", "nnyyynn"),
-    ("<article><h1>Short</h1><p>Rain.</p><p>Then more rain.</p><p>Sun.</p><p><a>The whole forecast</a></p></article><div class=related><h3>More on this</h3><p>Rain again</p><p><a>Sun next week</a></p></div>", "yyyyynnn"),
-    (f"<body><div class=sidebar><p>{_NEXT}</p><p>Weather: fair</p></div><article><header><h1>In the hills</h1></header><p>{_LONG}</p><p>{_LAST}</p><div class='ad'>Shoes at half the price</div><p>So it was.</p></article><div role=search>Find</div>", "nnyyynyn"),
-    (f"<p>Good day to all our readers on this fine Monday in the valley.</p><article><h1>Links</h1><p><a>The first of the reports</a></p><p>Read <a>this</a> too.</p><p><a>Another report on the flood</a></p><p><a>One</a></p><p><a>And the last of them all</a></p><p>End.</p></article><p>Printed by the river press in the old town.</p><p>Call us.</p>", "nyyyyyyynn"),
-    (f"<div>Valley paper of the year and the best by far.</div><main><p><a>All the dates of the market</a></p><p>{_LAST}</p><p><a>Map</a></p><p>Soon.</p><div class=share><a>Send to a friend</a></div></main><div><a>Old issues</a></div><div>Since 1900</div>", "nyyyynnn"),
-)
+# The words that the labelled pages are written with.
+WORDS = (
+    "the river rose in night and by morning lower fields were under water as far old mill people who had lived there for years said they never"
+    " seen it come up so quickly or stay long before end of week roads open again market was held usual on square"
+).split()
+
+
+def labelled_pages(pages: int = 400, seed: int = 8) -> Iterator[tuple[str, str]]:
+    """The labelled table, written by rule: pages, and for each a letter a block: y (the article's) or n.
+
+    A third has an article or main element, a third tells by names what isn't the article, and a third is bare markup.
+    """
+    r = random.Random(seed)
+
+    def words(low: int, high: int) -> str:
+        return " ".join(r.choice(WORDS) for _ in range(r.randint(low, high)))
+
+    def link(text: str) -> str:
+        return f"<a href=x>{text}</a>"
+
+    def menu() -> list[tuple[str, str]]:
+        if r.random() < 0.3:
+            return [("<p>" + " | ".join(link(words(1, 2)) for _ in range(r.randint(3, 7))) + "</p>", "n")]
+        n = r.randint(3, 7)
+        return [("<ul>" + "".join(f"<li>{link(words(1, 3))}</li>" for _ in range(n)) + "</ul>", "n" * n)]
+
+    def teasers() -> list[tuple[str, str]]:
+        return [(f"<h3>{words(1, 3)}</h3>", "n"), *((f"<p>{link(words(4, 12))}</p>", "n") for _ in range(r.randint(2, 5)))]
+
+    def prose() -> tuple[str, str]:
+        text = words(18, 110)
+        if r.random() < 0.25:
+            text = f"{words(5, 40)} {link(words(1, 5))} {text}"
+        return f"<p>{text}</p>", "y"
+
+    def article(kind: str) -> list[tuple[str, str]]:
+        out = [(f"<h1>{words(2, 12)}</h1>", "y")] if r.random() < 0.85 else []
+        if r.random() < 0.3:
+            out.append((f"<p>{words(2, 6)}</p>", "y"))
+        for _ in range(r.randint(1, 8)):
+            out.append(prose())
+            if kind == "element" and r.random() < 0.3:
+                out.append((f"<p>{link(words(1, 12))}</p>", "y"))
+            turn = r.random()
+            if turn < 0.15:
+                out.append((f"<h2>{words(1, 6)}</h2>", "y"))
+            elif turn < 0.4:
+                out.append((f"<p>{words(1, 12)}</p>", "y"))
+            elif turn < 0.5:
+                n = r.randint(2, 4)
+                out.append(("<ul>" + "".join(f"<li>{words(2, 14)}</li>" for _ in range(n)) + "</ul>", "y" * n))
+            elif turn < 0.55:
+                out.append((f"<blockquote>{words(8, 30)}</blockquote>", "y"))
+            elif turn < 0.6:
+                out += [(f"<p>{words(3, 8)} {link(words(2, 4))}</p>", "y"), prose()]
+        return out
+
+    def put(tag: str, name: str, inside: list[tuple[str, str]]) -> list[tuple[str, str]]:
+        return [(f"<{tag}{name and f' class={name}'}>", ""), *inside, (f"</{tag}>", "")]
+
+    for number in range(pages):
+        kind = ("element", "named", "bare")[number % 3]
+        name = lambda x: x if kind == "named" or (kind == "element" and r.random() < 0.5) else ""  # noqa: E731, B023
+        tag = lambda x: x if kind == "element" else "div"  # noqa: E731, B023
+        top = [(f"<p>{words(1, 8)}</p>", "n")] if r.random() < 0.6 else []
+        out = [] if r.random() < 0.25 else put(tag("header"), "masthead" if kind == "named" else "", top + menu()) if r.random() < 0.5 else put(tag("nav"), "menu" if kind == "named" else "", menu())
+        body = article(kind)
+        if r.random() < 0.1:  # a short text, and nothing beside it
+            body = [(f"<p>{words(1, 30)}</p>", "y") for _ in range(r.randint(1, 3))]
+            yield "".join(x for x, _ in body), "".join(x for _, x in body)
+            continue
+        if kind != "bare":
+            extra = [
+                put("div", "ad", [(f"<p>{words(4, 15)}</p>", "n")]),
+                put("div", "cookie-notice", [(f"<p>{words(12, 40)}</p>", "n"), (f"<p>{words(1, 2)}</p>", "n")]),
+                put("form", "", [(f"<p>{words(5, 20)}</p>", "n"), (f"<p>{words(1, 3)}</p>", "n")]),
+                put("div", "share", [(f"<p>{link(words(1, 2))} {link(words(1, 2))}</p>", "n")]),
+                put("section", "comments", [(f"<h3>{words(1, 3)}</h3>", "n"), (f"<p>{words(1, 3)}</p>", "n"), (f"<p>{words(5, 50)}</p>", "n")]),
+            ]
+            for part in r.sample(extra, r.randint(1, 3)):
+                place = r.randint(1, len(body))
+                if r.random() < 0.5:
+                    body[place:place] = part
+                else:
+                    out += part
+        if r.random() < 0.4:
+            out += put(tag("aside"), name("sidebar") if kind != "bare" else "", teasers())
+        out += put(("article", "main")[number % 2], "", body) if kind == "element" else put("div", "", body) if r.random() < 0.7 else body
+        if r.random() < 0.5:
+            out += put("div", "related" if kind != "bare" else "", teasers())
+        last = menu() + ([(f"<p>{words(3, 14)}</p>", "n")] if r.random() < 0.7 else [])
+        if r.random() < 0.7:
+            out += put(tag("footer"), "footer" if kind == "named" else "", last)
+        yield "".join(x for x, _ in out), "".join(x for _, x in out)
+
+
+LABELLED = tuple(labelled_pages())
 
 
 @lru_cache(1)
@@ -211,19 +329,21 @@ def tree():
     return grow(np.vstack(x), np.array(y))
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, own=None) -> str:
+    """The text of the blocks that the tree (own, if given) says are the article's."""
     found = blocks(page or "")
-    rows, own = features(found), tree()
-    return "\n\n".join(b.text for b, row in zip(found, rows, strict=True) if article_share(own, row) > 0.5)
+    own = tree() if own is None else own
+    return "\n\n".join(b.text for b, row in zip(found, features(found), strict=True) if article_share(own, row) >= 0.5)
 
 
 def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """The columns of pages but the html, with text and n_chars (code points) instead; columns of these names are replaced."""
-    kept = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
+    kept = other_columns(pages, html_col, "text", "n_chars")
+    own = tree()  # trained once, here
 
     def work(batches):
         for batch in slices(batches):
-            texts = [main_text(p) for p in batch.column(batch.num_columns - 1).to_pylist()]
+            texts = [main_text(p, own) for p in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*batch.schema.names[:-1], "text", "n_chars"])
 
     rows = pages.select(*[F.col(f"`{c}`") for c in kept])

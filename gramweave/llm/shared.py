@@ -51,6 +51,14 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def other_columns(rows: DataFrame, *names: str) -> list[str]:
+    """The columns of rows with other names than these, told apart as the session does."""
+    strict = rows.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
+    own = (lambda c: c) if strict else str.lower
+    gone = {own(n) for n in names}
+    return [c for c in rows.columns if own(c) not in gone]
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Parts of the batches, so that a worker holds few texts as Python objects; what Arrow has no more use for goes back at the end."""
     for batch in batches:
@@ -144,3 +152,13 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     pairs = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return pairs.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
+
+
+def one_each(docs: DataFrame, heads: DataFrame, names: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs that heads (id, text_hash: XXH64 of the text) name, one for each, with the columns of docs. names: id and text_hash of all rows."""
+    whole = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"))
+    heads = written(heads.distinct(), "heads")
+    met = whole.join(heads, whole["id"].eqNullSafe(heads["id"]) & (whole["text_hash"] == heads["text_hash"]), "left_semi")
+    if not names.groupBy("id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():  # repeated rows
+        met = met.dropDuplicates(["id", "text_hash"])
+    return met.select("row.*")
