@@ -36,7 +36,7 @@ def embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_plan(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix_plan(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "shards")
 
 
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,8 @@ URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.
 
 
 def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(URL_RULES, url_filter.RULES)
+    values = ", ".join(str(rule) for rule in URL_RULES)
+    rules = spark.sql(f"select * from values {values} as rules(host, path, verdict)")
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -93,7 +94,6 @@ _HOST = r"translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1
 _PATH = r"regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1)"
 
 ORACLE_SQL = {
-    "op4_source_mix": None,
     "op7_url_filter": f"""
         with rules(rh, rp, verdict) as (values {", ".join(str(r) for r in URL_RULES)}),
         parts as (select page_id, row_number() over () as row, {_HOST} as host, {_PATH} as path from pages),
@@ -111,4 +111,3 @@ ORACLE_SQL = {
         select doc_id, keep_id, group_size, doc_id is not distinct from keep_id as kept, sha256(norm) as text_sha256 from found
     """,
 }
-ORACLE_SQL = {k: v for k, v in ORACLE_SQL.items() if v}

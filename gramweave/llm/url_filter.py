@@ -9,7 +9,7 @@ functions only.
 Cases: a null URL, or one without ://, has an empty host and path and fits no rule; so does a URL whose path is empty, as
 every rule has a slash; of the rules that fit the longest decides, of equally long ones a block, then the first by code points;
 no rule: `otherwise`; repeated rows each get their row; an empty table of pages or of rules is no special case; other
-columns are left alone.
+columns are left alone, and one named like a result, in capitals or not, gives way to it.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import other_columns
+
 RULES = "host string, path string, verdict string"
 #: Bytes of the rule index up to which it goes to every executor; a larger one is shuffled to the tokens instead.
 SMALL = 8 << 20
@@ -69,6 +71,6 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", otherw
         .groupBy("host", "path")
         .agg(F.min(F.struct((-F.length("rule")).alias("short"), F.when(F.col("verdict") == "block", 0).otherwise(1).alias("kind"), "rule", "verdict")).alias("best"))
     )
-    kept = [F.col("row").getField(c).alias(c) for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    kept = [F.col("row").getField(c).alias(c) for c in other_columns(pages, "host", "path", "rule", "verdict")]
     out = whole.join(found, ["host", "path"], "left")
     return out.select(*kept, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(otherwise)).alias("verdict"))
