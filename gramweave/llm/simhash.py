@@ -12,8 +12,8 @@ blocks are searched together, so no task holds a whole hot list and no pair is l
 
 Cases: a null text counts as empty; texts without words have fingerprint zero and link like any other; with fewer words than a
 shingle the whole sequence is the one shingle; repeated rows and equal texts have equal fingerprints and so one component; a
-null id is no component's name unless its component has no other; an empty table gives an empty result; other columns are
-left alone.
+null id is no component's name unless its component has no other; `simhash_dedup` keeps one row of each component, told by id and
+text, and one of repeated rows; an empty table gives an empty result; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -22,10 +22,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import TILE, connected, slices, sorted_groups, tiles, written
+from .shared import TILE, connected, one_each, slices, sorted_groups, tiles, written
 
 WORDS, BITS, SEED = 4, 4, 42
 #: Fingerprints in a block of a long list.
@@ -64,23 +65,27 @@ def fingerprint(text: bytes | None, words: int = WORDS) -> int:
     ends = [*spaces.tolist(), len(line)]
     h = xxhash.xxh64_intdigest
     seed = SEED
-    found = np.array([h(line[a:b], seed) for a, b in zip(starts, ends[words - 1 :], strict=False)], dtype="<u8")
-    ones = np.zeros(64, dtype="i8")
+    return bits_of(np.array([h(line[a:b], seed) for a, b in zip(starts, ends[words - 1 :], strict=False)], dtype="u8"))
+
+
+def bits_of(hashes: np.ndarray) -> int:
+    """The fingerprint of the hashes of all shingles; zero for none."""
+    found, ones = hashes.astype("<u8"), np.zeros(64, dtype="i8")
     for i in range(0, len(found), 1 << 16):
         ones += np.unpackbits(found[i : i + (1 << 16)].view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype="i8")
     return int(np.packbits(2 * ones > len(found), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """id, fp (the bits of the fingerprint as a long) of each row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, *more: Column) -> DataFrame:
+    """id, fp (the bits of the fingerprint as a long) of each row, and more columns."""
 
     def work(batches):
         for batch in slices(batches):
-            found = [fingerprint(t, words) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(np.array(found, dtype="u8").view("i8"))], names=["id", "fp"])
+            found = [fingerprint(t, words) for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(found, dtype="u8").view("i8")), *batch.columns[1:]], names=["fp", *batch.schema.names[1:]])
 
-    kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(work, f"id {kind}, fp long")
+    rows = docs.select(F.col(text_col).alias("fp"), F.col(id_col).alias("id"), *more)
+    return rows.mapInArrow(work, T.StructType([T.StructField("fp", T.LongType()), *rows.schema.fields[1:]]))
 
 
 def forest(found: np.ndarray, bits: int) -> list[tuple[int, int]]:
@@ -132,8 +137,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.join(by_fp, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bits: int = BITS) -> DataFrame:
-    """The rows of docs whose id names their component: one document of each group of near copies, with the columns of docs."""
-    found = simhash_components(docs, id_col, text_col, words, bits)
-    heads = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__head")).distinct()
-    return docs.join(heads, docs[id_col].eqNullSafe(heads["__head"]), "left_semi")
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bits: int = BITS, block: int = BLOCK) -> DataFrame:
+    """The rows of docs that name their component (least id, then text): one document of each group of near copies, with the columns of docs."""
+    rows = written(fingerprints(docs, id_col, text_col, words, F.xxhash64(text_col).alias("text_hash")), "simhash")
+    least = rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("least"))
+    parts = connected(links(least.select("fp"), bits, block)).withColumnRenamed("node", "fp")
+    heads = least.join(parts, "fp", "left").groupBy(F.coalesce("component", "fp").alias("component")).agg(F.min("least").alias("head"))
+    return one_each(docs, heads.select("head.id", "head.text_hash"), rows, id_col, text_col)
