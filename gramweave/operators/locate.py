@@ -1,10 +1,11 @@
 """Counting and locating patterns: exact, with mismatches, and with an exact core.
 
-A pattern with at most e mismatches is cut into e + 1 pieces, of which one is exact. All pieces are looked up by their first w
-characters, w being the shortest piece of all patterns. Patterns of a bounded size go to every executor, and texts are scanned in Arrow
-batches: w-grams by a rolling hash, candidates held against the pattern at once, nothing shuffled. More patterns are joined with the
-texts' w-grams on equality, and distinct candidates meet their text once more. Occurrences may overlap. Positions are 0-based and
-never cross texts.
+A pattern with at most e mismatches is cut into e + 1 pieces, of which one is exact. Pieces are looked up by their first w
+characters, w being the largest of WIDTHS that fits the pattern's own pieces, so a short pattern makes no more candidates for long ones.
+Patterns of a bounded size go to every executor, and texts are scanned in Arrow batches: w-grams of each width by a hash that builds on
+that of half the width, candidates held against the pattern at once, nothing shuffled. More patterns are joined with the texts' w-grams on
+equality, a join for each width, and distinct candidates meet their text once more. Occurrences may overlap. Positions are 0-based
+and never cross texts.
 """
 
 from __future__ import annotations
@@ -25,48 +26,67 @@ SMALL = 16 << 20
 TOGETHER, PAIRS = 1 << 20, 1 << 18
 #: Stands between texts; no character has this code.
 GAP = 0x110000
+#: Characters of a seed: few widths, as each is a pass over the texts.
+WIDTHS = (1, 2, 3, 4, 5, 6, 8, 12, 16, 24, 32)
 
 
 def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
 
-def rolling(text: np.ndarray, w: int) -> np.ndarray:
-    """A hash of each w-gram."""
-    out = np.zeros(max(0, len(text) - w + 1), dtype="u8")
-    for j in range(w):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + text[j : len(text) - w + 1 + j]
-    return out ^ (out >> np.uint64(29))
+def width_of(longest: int) -> int:
+    """The largest width of up to `longest` characters."""
+    return max(w for w in WIDTHS if w <= max(1, longest))
+
+
+def rolling(text: np.ndarray, widths: list[int]) -> dict[int, np.ndarray]:
+    """For each width a hash of each gram of it: of grams twice as wide from two hashes, of other widths from two that overlap."""
+    mix = lambda a, b: (a * np.uint64(0x9E3779B97F4A7C15) ^ (a >> np.uint64(29))) + b
+    out, half, found = {}, 1, text.astype("u8")
+    for w in sorted(widths):
+        while 2 * half <= w:
+            n = max(0, len(found) - half)
+            found, half = mix(found[:n], found[half : half + n]), 2 * half
+        n = max(0, len(text) - w + 1)
+        out[w] = found[:n] if w == half else mix(found[:n], found[w - half : w - half + n])
+    return out
 
 
 class Scanner:
-    """Holds patterns (codes) and their seeds, and finds them in texts."""
+    """Holds patterns (codes) and their seeds (place in the patterns, place in the pattern, width), and finds them in texts."""
 
-    def __init__(self, patterns: list[np.ndarray], seeds: list[tuple[int, int]], w: int, most: int, core: tuple[int, int] | None):
-        self.w, self.most, self.core = w, most, core
+    def __init__(self, patterns: list[np.ndarray], seeds: list[tuple[int, int, int]], most: int, core: tuple[int, int] | None):
+        self.most, self.core = most, core
         self.sizes = np.array([len(p) for p in patterns], dtype="i8")
         self.table = np.full((len(patterns), self.sizes.max(initial=1)), GAP, dtype="<u4")
         for i, p in enumerate(patterns):
             self.table[i, : len(p)] = p
-        which, at = np.array(seeds, dtype="i8").reshape(-1, 2).T
-        keys = np.array([rolling(patterns[i][a : a + w], w)[0] for i, a in seeds], dtype="u8")
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.which, self.at = keys[order], which[order], at[order]
+        self.seeds = {}
+        every = np.array(seeds, dtype="i8").reshape(-1, 3)
+        for w in np.unique(every[:, 2]).tolist():
+            which, at = every[every[:, 2] == w, :2].T
+            found = np.array([rolling(patterns[i][a : a + w], [w])[w][0] for i, a in zip(which, at, strict=True)], dtype="u8")
+            order = np.argsort(found, kind="stable")
+            self.seeds[w] = found[order], which[order], at[order]
+
+    def candidates(self, text: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pattern and place of windows that share a seed, about PAIRS at a time."""
+        for w, hashes in rolling(text, list(self.seeds)).items():
+            keys, which, at = self.seeds[w]
+            lo, hi = np.searchsorted(keys, hashes, "left"), np.searchsorted(keys, hashes, "right")
+            spots = np.flatnonzero(hi > lo)
+            n = hi[spots] - lo[spots]
+            edges, last = np.searchsorted(np.cumsum(n), np.arange(PAIRS, n.sum() + PAIRS, PAIRS), "right"), 0
+            for edge in np.append(edges, len(spots)):
+                s, m = spots[last:edge], n[last:edge]
+                last = max(last, edge)
+                if len(s):
+                    seed = np.repeat(lo[s] - np.cumsum(m) + m, m) + np.arange(m.sum())
+                    yield which[seed], np.repeat(s, m) - at[seed]
 
     def find(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pattern, place and mismatches of each window, once."""
-        hashes = rolling(text, self.w)
-        lo, hi = np.searchsorted(self.keys, hashes, "left"), np.searchsorted(self.keys, hashes, "right")
-        spots = np.flatnonzero(hi > lo)
-        n = hi[spots] - lo[spots]
-        edges = np.searchsorted(np.cumsum(n), np.arange(PAIRS, n.sum() + PAIRS, PAIRS), "right")
-        out, last = [], 0
-        for edge in np.append(edges, len(spots)):
-            s, m = spots[last:edge], n[last:edge]
-            last = max(last, edge)
-            if len(s):
-                seed = np.repeat(lo[s] - np.cumsum(m) + m, m) + np.arange(m.sum())
-                out.append(self._verified(text, self.which[seed], np.repeat(s, m) - self.at[seed]))
+        out = [self._verified(text, *some) for some in self.candidates(text)]
         if not out:
             return (np.zeros(0, "i8"),) * 3
         found = np.unique(np.stack([np.concatenate(x) for x in zip(*out, strict=True)], axis=1), axis=0)
@@ -111,15 +131,15 @@ def pieces(texts: list[str | None], overlap: int, together: int) -> Iterator[tup
         yield marks, np.concatenate(parts)
 
 
-def _scan(texts: DataFrame, patterns: list, kind: str, seeds: list[tuple[int, int]], w: int, most: int, core: tuple[int, int] | None = None) -> DataFrame:
-    """pattern_id, doc_id, x, mismatches. patterns: (pattern_id, pattern); seeds: (place in patterns, place in the pattern)."""
+def _scan(texts: DataFrame, patterns: list, kind: str, seeds: list[tuple[int, int, int]], most: int, core: tuple[int, int] | None = None) -> DataFrame:
+    """pattern_id, doc_id, x, mismatches. patterns: (pattern_id, pattern); seeds: (place in patterns, place in the pattern, width)."""
     held = texts.sparkSession.sparkContext.broadcast((patterns, seeds))
     together = TOGETHER
     doc = texts.schema["doc_id"].dataType.simpleString()
 
     def work(batches):
         own, places = held.value
-        scanner = Scanner([codes(p) for _, p in own], places, w, most, core)
+        scanner = Scanner([codes(p) for _, p in own], places, most, core)
         ids = pa.array([i for i, _ in own])
         overlap = int(scanner.sizes.max(initial=1)) - 1
         for batch in batches:
@@ -143,16 +163,23 @@ def smaller(rows: DataFrame, bytes_of, most: int = SMALL) -> DataFrame:
     return F.broadcast(rows) if size <= most else rows
 
 
-def _found(texts: DataFrame, patterns: DataFrame, starts, w: int, most: int, core: tuple[int, int] | None = None) -> DataFrame:
-    """pattern_id, doc_id, x, mismatches. starts: where the seeds of a pattern of some length begin; their length is w."""
+def _found(texts: DataFrame, patterns: DataFrame, starts, longest, most: int, core: tuple[int, int] | None = None) -> DataFrame:
+    """pattern_id, doc_id, x, mismatches. starts, longest: where the seeds of a pattern of some length begin, and how wide they may be."""
     size = patterns.agg(F.coalesce(F.sum(F.length("pattern") * 4 + 32 * (most + 1)), F.lit(0))).first()[0]
     if size <= SMALL:
         rows = [(r.pattern_id, r.pattern) for r in patterns.select("pattern_id", "pattern").collect()]  # at most SMALL bytes
-        seeds = [(i, at) for i, (_, p) in enumerate(rows) for at in starts(len(p))]
-        return _scan(texts, rows, patterns.schema["pattern_id"].dataType.simpleString(), seeds, w, most, core)
-    places = F.explode(starts(F.length("pattern")))
-    seeds = patterns.select("pattern_id", "pattern", places.alias("at")).select("pattern_id", "at", F.substring("pattern", F.col("at") + 1, F.lit(w)).alias("gram"))
-    met = kmers(texts, "doc_id", "text", w).join(seeds, "gram").select("pattern_id", "doc_id", (F.col("pos") - F.col("at")).alias("x"))
+        seeds = [(i, at, width_of(longest(len(p)))) for i, (_, p) in enumerate(rows) for at in starts(len(p))]
+        return _scan(texts, rows, patterns.schema["pattern_id"].dataType.simpleString(), seeds, most, core)
+    wide = F.array_max(F.filter(F.array(*[F.lit(w) for w in WIDTHS]), lambda w: w <= F.greatest(longest(F.length("pattern")), F.lit(1))))
+    seeds = patterns.select("pattern_id", "pattern", F.explode(starts(F.length("pattern"))).alias("at"), wide.alias("w"))
+    seeds = seeds.select("pattern_id", "at", "w", F.expr("substring(pattern, at + 1, w)").alias("gram"))
+    met = None
+    for w in sorted(r.w for r in seeds.select("w").distinct().collect()):
+        own = kmers(texts, "doc_id", "text", w).join(seeds.where(F.col("w") == w), "gram").select("pattern_id", "doc_id", (F.col("pos") - F.col("at")).alias("x"))
+        met = own if met is None else met.unionByName(own)
+    if met is None:
+        kinds = (patterns.schema["pattern_id"].dataType.simpleString(), texts.schema["doc_id"].dataType.simpleString())
+        met = texts.sparkSession.createDataFrame([], "pattern_id {}, doc_id {}, x long".format(*kinds))
     checked = _windows(texts, patterns, met.where("x >= 0").distinct()).withColumn("mismatches", mismatches(F.col("window"), F.col("pattern")))
     if core:
         checked = checked.where(F.substring("window", core[0] + 1, core[1]) == F.substring("pattern", core[0] + 1, core[1]))
@@ -176,14 +203,16 @@ def locate(texts: DataFrame, patterns: DataFrame, most: int = 0) -> DataFrame:
     shortest = patterns.agg(F.min(F.length("pattern"))).first()[0]
     if shortest is not None and shortest < most + 1:
         raise ValueError(f"patterns need at least {most + 1} characters for {most} mismatches")
-    w = max(1, (shortest or 1) // (most + 1))
 
     def starts(length):
         if isinstance(length, int):
             return [part * length // (most + 1) for part in range(most + 1)]
         return F.array(*[F.floor(F.lit(part) * length / F.lit(most + 1)).cast("int") for part in range(most + 1)])
 
-    return _found(texts, patterns, starts, w, most)
+    def longest(length):
+        return length // (most + 1) if isinstance(length, int) else F.floor(length / F.lit(most + 1)).cast("int")
+
+    return _found(texts, patterns, starts, longest, most)
 
 
 def count(texts: DataFrame, patterns: DataFrame, most: int = 0) -> DataFrame:
@@ -199,7 +228,8 @@ def seed_extend(texts: DataFrame, patterns: DataFrame, left: int, core: int, mos
     if core < 1 or left < 0 or (shortest is not None and shortest < left + core):
         raise ValueError("the core must lie inside each pattern")
     starts = lambda length: [left] if isinstance(length, int) else F.array(F.lit(left))
-    return _found(texts, patterns, starts, core, most, (left, core))
+    longest = lambda length: core if isinstance(length, int) else F.lit(core)
+    return _found(texts, patterns, starts, longest, most, (left, core))
 
 
 def histogram(texts: DataFrame, patterns: DataFrame, most: int = 2) -> DataFrame:
@@ -251,6 +281,18 @@ def sample_patterns(texts: DataFrame, length: int, per_text: int = 1, seed: int
     return placed.select((F.col("doc_id") * per_text + F.col("no")).alias("pattern_id"), "doc_id", "x", F.substring("text", F.col("x").cast("int") + 1, F.lit(length)).alias("pattern"))
 
 
+def tiled_patterns(texts: DataFrame, length: int, most: int = 1_000_000) -> DataFrame:
+    """pattern_id, doc_id, x, pattern: each text as pieces of one length, one after the other; the last reaches back where characters remain.
+
+    pattern_id is doc_id * most + the number of the piece; a text of more pieces than `most` is an error, and shorter texts give none.
+    """
+    n = F.length("text")
+    starts = F.array_distinct(F.concat(F.expr(f"sequence(0, length(text) - {length}, {length})"), F.array(n - length)))
+    sound = F.when(F.size("__starts") <= most, F.col("__starts")).otherwise(F.raise_error(F.lit("a text has too many pieces")).cast("array<int>"))
+    rows = texts.where(n >= length).select("doc_id", "text", starts.alias("__starts")).select("doc_id", "text", F.posexplode(sound).alias("__no", "x"))
+    return rows.select((F.col("doc_id") * most + F.col("__no")).alias("pattern_id"), "doc_id", F.col("x").cast("long").alias("x"), F.substring("text", F.col("x") + 1, F.lit(length)).alias("pattern"))
+
+
 def param_grid(spark, **lists) -> DataFrame:
     """A row for each combination of the values of the named lists, for benchmarks."""
     from itertools import product

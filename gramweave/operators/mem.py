@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from gramweave.functions.strings import char_at, common_prefix, one_of, only_of
 from gramweave.operators.locate import smaller
-from gramweave.sources.texts import kmers_in_context
+from gramweave.sources.tables import written
+from gramweave.sources.texts import kmers, kmers_in_context
 
 
 def _grams(rows: DataFrame, id_col: str, at: str, w: int, s: int, stride: int, side: str) -> DataFrame:
@@ -113,11 +114,38 @@ def mems_asymmetric(texts: DataFrame, queries: DataFrame, k: int, core: str | No
     return shown.select("query_id", "i", "d", "doc_id", "x")
 
 
-def longest_match(texts: DataFrame, queries: DataFrame, core: str | None = None, least: int = 1) -> DataFrame:
+def longest_shared(texts: DataFrame, queries: DataFrame, least: int, core: str | None = None) -> DataFrame:
     """doc_id, query_id, d: the longest common substring of each pair that shares at least `least` characters in a row."""
     return islands(texts, queries, least, core).groupBy("doc_id", "query_id").agg(F.max("d").alias("d"))
 
 
+def longest_match(texts: DataFrame, queries: DataFrame, core: str | None = None, wide: int = 16) -> DataFrame:
+    """doc_id, d: the length of the longest substring that each text shares with any query; 0 if it shares no character.
+
+    Texts that share `wide` (a power of two) characters in a row get their length from the matches. For the others it is searched by
+    halves: a text that shares a gram of some length shares shorter ones too, so each round asks all of them for one length, of distinct grams.
+    """
+    if wide < 2 or wide & (wide - 1):
+        raise ValueError("wide is a power of two, 2 or more")
+    found = written(islands(texts, queries, wide, core).groupBy("doc_id").agg(F.max("d").alias("d")), "longest")
+    open_ = written(texts.select("doc_id").distinct().join(found, "doc_id", "left_anti").withColumn("d", F.lit(0).cast("long")), "longest")
+    own = queries.select("query_id", "text")
+    step = wide // 2
+    while step:
+        shared = None
+        for k in range(step, wide, 2 * step):
+            grams = kmers(own, "query_id", "text", k).select("gram").distinct()
+            if core is not None:
+                grams = grams.where(only_of(F.col("gram"), core))
+            asked = texts.join(open_.where(F.col("d") == k - step).select("doc_id"), "doc_id", "left_semi")
+            hits = kmers(asked, "doc_id", "text", k).join(smaller(grams, F.length("gram") * 4 + 32), "gram", "left_semi").select("doc_id")
+            shared = hits if shared is None else shared.unionByName(hits)
+        shared = written(shared.distinct().withColumn("__hit", F.lit(step)), "longest")
+        open_ = written(open_.join(shared, "doc_id", "left").select("doc_id", (F.col("d") + F.coalesce("__hit", F.lit(0))).alias("d")), "longest")
+        step //= 2
+    return found.unionByName(open_)
+
+
 def with_offsets(rows: DataFrame, id_col: str) -> DataFrame:
     """id, offset: where each text starts if all are joined in the order of their ids, one separator before each and one at the end."""
     from gramweave.sources.texts import numbered

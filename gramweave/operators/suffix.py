@@ -3,7 +3,8 @@
 Each text has a terminator, smaller than all characters, so its suffix of length 0 is a suffix too. Short texts are ordered by
 their suffixes. Longer ones by prefix doubling: the rank of a suffix by 2h characters follows from its rank by h characters and
 that of the suffix h further on. Ranks over the whole table come from ranges and their totals, so no task sees a whole text; each
-round is a table in the shared folder.
+round is a table in the shared folder. Common prefixes of suffixes follow from the same tables, from the longest grams to the
+shortest: where ranks by h characters are equal, so are the h characters. LF, FL, phi and runs are windows over the rows of a text.
 """
 
 from __future__ import annotations
@@ -35,20 +36,26 @@ def _ranked(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     return dealt.withColumn("__r", inside).join(starts, "__part").withColumn(name, F.col("__r") + F.col("__s")).drop("__part", "__r", "__s")
 
 
-def _doubled(texts: DataFrame) -> DataFrame:
+def _levels(texts: DataFrame) -> list[tuple[int, DataFrame]]:
+    """h and doc_id, sa, r (rank by h characters, over all texts) for h = 1, 2, 4 ...; the last has distinct ranks. Written tables."""
     chars = texts.select("doc_id", F.posexplode(F.concat(F.split("text", ""), F.array(F.lit("")))).alias("sa", "c"))
     now = written(_ranked(chars.select("doc_id", F.col("sa").cast("long"), "c"), ["doc_id", "c"], "r").select("doc_id", "sa", "r"), "ranks")
     longest = texts.agg(F.max(F.length("text"))).first()[0] or 0
-    h = 1
+    h, out = 1, [(1, now)]
     while h <= longest:
         after = now.select("doc_id", (F.col("sa") - h).alias("sa"), F.col("r").alias("s"))
         pairs = now.join(after, ["doc_id", "sa"], "left").withColumn("s", F.coalesce("s", F.lit(-1)))
         now = written(_ranked(pairs, ["r", "s"], "t").select("doc_id", "sa", F.col("t").alias("r")), "ranks")
+        h *= 2
+        out.append((h, now))
         if now.groupBy("r").count().where("count > 1").isEmpty():
             break
-        h *= 2
-    first = now.groupBy("doc_id").agg(F.min("r").alias("__f"))
-    return now.join(first, "doc_id").select("doc_id", (F.col("r") - F.col("__f")).alias("rank"), "sa")
+    return out
+
+
+def _order(ranks: DataFrame) -> DataFrame:
+    first = ranks.groupBy("doc_id").agg(F.min("r").alias("__f"))
+    return ranks.join(first, "doc_id").select("doc_id", (F.col("r") - F.col("__f")).alias("rank"), "sa")
 
 
 def suffix_array(texts: DataFrame, short: int = SHORT) -> DataFrame:
@@ -56,14 +63,15 @@ def suffix_array(texts: DataFrame, short: int = SHORT) -> DataFrame:
     texts = texts.where("text is not null").select("doc_id", "text")
     out = _short(texts.where(F.length("text") <= short))
     long = texts.where(F.length("text") > short)
-    return out if long.isEmpty() else out.unionByName(_doubled(long))
+    return out if long.isEmpty() else out.unionByName(_order(_levels(long)[-1][1]))
 
 
 def bwt(texts: DataFrame, order: DataFrame | None = None) -> DataFrame:
     """doc_id, rank, sa, ch: the character before each suffix, in suffix order; the terminator before the whole text."""
     order = suffix_array(texts) if order is None else order
-    rows = order.join(texts.select("doc_id", "text"), "doc_id")
-    return rows.select("doc_id", "rank", "sa", F.when(F.col("sa") == 0, F.lit("")).otherwise(F.substring("text", F.col("sa").cast("int"), F.lit(1))).alias("ch"))
+    chars = texts.where("text is not null").select("doc_id", F.posexplode(F.split("text", "")).alias("sa", "ch")).where("ch <> ''")
+    before = chars.select("doc_id", (F.col("sa") + 1).cast("long").alias("sa"), "ch")
+    return order.join(before, ["doc_id", "sa"], "left").select("doc_id", "rank", "sa", F.coalesce("ch", F.lit("")).alias("ch"))
 
 
 def shown(ch) -> F.Column:
@@ -97,17 +105,34 @@ def lf_range(texts: DataFrame, ranges: DataFrame) -> DataFrame:
     return met.groupBy("doc_id", "lo", "hi", "c").agg(F.min("lf").alias("lo2"), F.max("lf").alias("hi2"))
 
 
-def phi(texts: DataFrame) -> DataFrame:
+def phi(texts: DataFrame, order: DataFrame | None = None) -> DataFrame:
     """doc_id, sa, phi, phi_inv: the starts of the suffixes before and after this one in order; null at the ends."""
-    order = Window.partitionBy("doc_id").orderBy("rank")
-    return suffix_array(texts).select("doc_id", "sa", F.lag("sa").over(order).alias("phi"), F.lead("sa").over(order).alias("phi_inv"))
+    by_rank = Window.partitionBy("doc_id").orderBy("rank")
+    order = suffix_array(texts) if order is None else order
+    return order.select("doc_id", "sa", F.lag("sa").over(by_rank).alias("phi"), F.lead("sa").over(by_rank).alias("phi_inv"))
 
 
-def plcp(texts: DataFrame) -> DataFrame:
+def plcp(texts: DataFrame, short: int = SHORT) -> DataFrame:
     """doc_id, sa, plcp: how many first characters a suffix shares with the one before it in order; 0 for the first."""
-    rows = phi(texts).join(texts.select("doc_id", "text"), "doc_id")
+    texts = texts.where("text is not null").select("doc_id", "text")
+    rows = phi(texts, _short(texts.where(F.length("text") <= short))).join(texts, "doc_id")
     suffix = lambda c: F.substring("text", F.col(c).cast("int") + 1, F.length("text"))
-    return rows.select("doc_id", "sa", F.when(F.col("phi").isNull(), F.lit(0)).otherwise(common_prefix(suffix("sa"), suffix("phi"))).cast("long").alias("plcp"))
+    out = rows.select("doc_id", "sa", F.when(F.col("phi").isNull(), F.lit(0)).otherwise(common_prefix(suffix("sa"), suffix("phi"))).cast("long").alias("plcp"))
+    long = texts.where(F.length("text") > short)
+    return out if long.isEmpty() else out.unionByName(_plcp_by_levels(long))
+
+
+def _plcp_by_levels(texts: DataFrame) -> DataFrame:
+    levels = _levels(texts)
+    order = _order(levels[-1][1])
+    before = order.select("doc_id", (F.col("rank") + 1).alias("rank"), F.col("sa").alias("b"))
+    now = order.join(before, ["doc_id", "rank"], "left").select("doc_id", "sa", F.col("sa").alias("a"), "b", F.lit(0).cast("long").alias("plcp"))
+    for h, ranks in reversed(levels[:-1]):
+        side = lambda x, r: ranks.select("doc_id", F.col("sa").alias(x), F.col("r").alias(r))  # noqa: E731, B023
+        met = now.join(side("a", "ra"), ["doc_id", "a"], "left").join(side("b", "rb"), ["doc_id", "b"], "left")
+        step = F.when(F.col("ra") == F.col("rb"), F.lit(h)).otherwise(0)
+        now = written(met.select("doc_id", "sa", (F.col("a") + step).alias("a"), (F.col("b") + step).alias("b"), (F.col("plcp") + step).alias("plcp")), "prefixes")
+    return now.select("doc_id", "sa", "plcp")
 
 
 def bwt_runs(texts: DataFrame) -> DataFrame:

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 K, PATTERN, PER_TEXT, BLOCK = 20, 12, 2, 512
+CORE = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz ,."
+CONTEXT = CORE + "#"
 
 DOCS = "docs as (select doc_id, text from documents)"
 ASKS = "asks as (select item_id as query_id, text from benchmark)"
-FRAMED = "asks as (select item_id as query_id, '#' || substr(text, 11, length(text) - 20) || '#' as text from benchmark where length(text) > 20)"
+FRAMED = "asks as (select item_id as query_id, '#' || text || '#' as text from benchmark where text is not null)"
 PATTERNS = f"""patterns as (
+    select item_id * 1000000 + j as pattern_id, item_id as doc_id, least(j * {PATTERN}, length(text) - {PATTERN}) as x, substr(text, least(j * {PATTERN}, length(text) - {PATTERN}) + 1, {PATTERN}) as pattern
+    from (select item_id, text, unnest(range((length(text) + {PATTERN - 1}) // {PATTERN})) as j from benchmark where length(text) >= {PATTERN}))"""
+SAMPLE = f"""patterns as (
     select doc_id * {PER_TEXT} + no as pattern_id, doc_id, x, substr(text, x + 1, {PATTERN}) as pattern from (
         select *, ('0x' || substr(md5(doc_id || ':' || no || ':0'), 1, 8))::bigint % (length(text) - {PATTERN} + 1) as x
         from (select item_id as doc_id, text, unnest(range({PER_TEXT})) as no from benchmark where length(text) >= {PATTERN})))"""
@@ -21,9 +26,10 @@ def grams(name: str, table: str, key: str, k: int) -> str:
                     select {key}, text, unnest(range((length(text) - {k}) // {BLOCK} + 1)) as b from {table} where length(text) >= {k}))))"""
 
 
-def islands(k: int, texts: str = "docs", asks: str = "asks") -> str:
+def islands(k: int, texts: str = "docs", asks: str = "asks", core: str | None = None) -> str:
+    only = f"where translate(gram, '{core}', '') = ''" if core else ""
     return f"""{grams("tg", texts, "doc_id", k)}, {grams("qg", asks, "query_id", k)},
-    hits as (select doc_id, query_id, tg.pos as x, qg.pos as i from tg join qg using (gram)),
+    hits as (select doc_id, query_id, tg.pos as x, qg.pos as i from tg join qg using (gram) {only}),
     islands as (
         select doc_id, query_id, min(x) as x, min(i) as i, count(*) + {k - 1} as d from (
             select *, x - row_number() over (partition by doc_id, query_id, x - i order by x) as island from hits)
@@ -68,14 +74,19 @@ def graph_mems(kind: str) -> str:
           and (len(parts) = 1 or (x - 2 < length(parts[1]) and x - 1 + d >= length(whole) - length(parts[-1]))))"""
 
 
-#: sa(doc_id, rank, sa) of the part names.
-SUFFIXES = """texts as (select p_partkey as doc_id, p_name as text from part where p_name is not null),
+NAMES = "texts as (select p_partkey as doc_id, p_name as text from part where p_name is not null)"
+PASSAGES = "texts as (select item_id as doc_id, text from benchmark where text is not null)"
+#: sa(doc_id, rank, sa) of texts.
+ORDER = """
     sa as (select doc_id, text, row_number() over (partition by doc_id order by substr(text, sa + 1)) - 1 as rank, sa from (select doc_id, text, unnest(range(length(text) + 1)) as sa from texts)),
     bwt as (select doc_id, rank, sa, case when sa = 0 then '' else substr(text, sa, 1) end as ch from sa),
     chars as (select doc_id, ch, count(*) as n from bwt group by doc_id, ch),
     f as (select doc_id, ch, n, coalesce(sum(n) over (partition by doc_id order by ch rows between unbounded preceding and 1 preceding), 0) as first from chars),
     lf as (select doc_id, rank, first + row_number() over (partition by doc_id, ch order by rank) - 1 as lf from bwt join f using (doc_id, ch)),
     phi as (select doc_id, text, sa, lag(sa) over (partition by doc_id order by rank) as phi, lead(sa) over (partition by doc_id order by rank) as phi_inv from sa)"""
+SUFFIXES, SUFFIXES_OF_PASSAGES = f"{NAMES}, {ORDER}", f"{PASSAGES}, {ORDER}"
+PLCP = """select doc_id, sa, case when phi is null then 0 else
+        len(list_filter(range(1, length(text) + 1), lambda j: j <= length(text) - greatest(sa, phi) and substr(text, sa + 1, j) = substr(text, phi + 1, j))) end as plcp from phi"""
 
 
 def bwt_runs(order: str) -> str:
@@ -90,6 +101,18 @@ RUNS = """runs as (select vec, run_id, min(ch) as head, min(pos) as start, count
             select *, case when ch = lag(ch) over (partition by vec order by pos) then 0 else 1 end as new from letters)) group by vec, run_id)"""
 BITS = f"{LETTERS}, bits as (select vec, pos, (ch in ('a', 'e', 'i', 'o', 'u'))::int as bit from letters)"
 
+#: Matches with the characters before and after them in the text (tb, ta) and the query (qb, qa); empty at an end.
+BESIDE = """beside as (select islands.*, case when x > 0 then substr(docs.text, x, 1) else '' end as tb, case when i > 0 then substr(asks.text, i, 1) else '' end as qb,
+    substr(docs.text, x + d + 1, 1) as ta, substr(asks.text, i + d + 1, 1) as qa from islands join docs using (doc_id) join asks using (query_id))"""
+#: The graph with reversed ends, its nodes numbered in order.
+GFA = f"""{NODES}, gfa_nodes as (select row_number() over (order by node_id) as node_id, node_id::varchar as name, regexp_replace(label, '[\t\r\n]', ' ', 'g') as label from nodes),
+    gfa_links as (select a.node_id as src, links.src % 2 = 1 as src_rev, b.node_id as dst, links.dst % 5 = 0 as dst_rev from links join gfa_nodes a on a.name = links.src::varchar join gfa_nodes b on b.name = links.dst::varchar),
+    turned as (select src, dst, {{turn_a}} as a, {{turn_b}} as b from gfa_links join gfa_nodes na on src = na.node_id join gfa_nodes nb on dst = nb.node_id),
+    gfa_lefts as (select dst as node_id, case when min(right(a, 1)) = max(right(a, 1)) then min(right(a, 1)) else 'N' end as lctx from turned group by dst),
+    gfa_rights as (select src as node_id, case when min(left(b, 1)) = max(left(b, 1)) then min(left(b, 1)) else '$' end as rctx from turned group by src)""".format(
+    **{f"turn_{x}": f"case when {end}_rev then reverse(translate(n{x}.label, 'ACGTacgt', 'TGCAtgca')) else n{x}.label end" for x, end in (("a", "src"), ("b", "dst"))}
+)
+
 MEM = f"with {DOCS}, {ASKS}, {islands(K)}"
 STRICT = f"with {DOCS}, {FRAMED}, {islands(K)}"
 FREE = """firsts as (select query_id, i, d, min((doc_id, x)) as place from islands group by query_id, i, d),
@@ -103,11 +126,21 @@ ORACLE_SQL = {
         select * from (select *, coalesce(sum(length(query) + 1) over (partition by query_id order by query_no rows between unbounded preceding and 1 preceding), 0)::bigint as "offset" from parts) where query <> ''""",
     "graph_nodes": f"with {NODES} select * from nodes",
     "graph_links": f"with {NODES} select * from links",
+    "gfa_nodes": f"with {GFA} select * from gfa_nodes",
+    "gfa_links": f"with {GFA} select * from gfa_links",
+    "gfa_units": f"with {GFA} select distinct src || ',' || dst as ids, a || '>' || b as parts, coalesce(lctx, 'N') as lctx, coalesce(rctx, '$') as rctx from turned left join gfa_lefts on src = gfa_lefts.node_id left join gfa_rights on dst = gfa_rights.node_id",
     "mem_lines": f"{MEM} select x || ',' || i || ',' || d as value from islands",
     "mem_open": f"{MEM} select * from islands",
     "mem_symmetric": f"{STRICT} select islands.* from islands join docs using (doc_id) join asks using (query_id) where x > 0 and i > 0 and x + d < length(docs.text) and i + d < length(asks.text)",
     "mem_asymmetric": f"{STRICT}, {FREE} select query_id, i, d, place[1] as doc_id, place[2] as x from free join asks using (query_id) where i > 0 and i + d < length(text)",
-    "longest_common_substring": f"with {DOCS}, {ASKS}, {islands(12)} select doc_id, query_id, max(d) as d from islands group by doc_id, query_id",
+    "mem_alphabet": f"""with {DOCS}, {FRAMED}, {islands(K, core=CORE)}, {BESIDE} select doc_id, query_id, x, i, d from beside where tb <> qb and ta <> qa
+        and tb <> '' and qb <> '' and ta <> '' and qa <> '' and translate(tb || qb || ta || qa, '{CONTEXT}', '') = ''""",
+    "mem_alphabet_asymmetric": f"""{STRICT}, {FREE} select query_id, i, d, place[1] as doc_id, place[2] as x from free join asks using (query_id) where i > 0 and i + d < length(text)
+        and translate(substr(text, i + 1, d), '{CORE}', '') = '' and translate(substr(text, i, 1) || substr(text, i + d + 1, 1), '{CONTEXT}', '') = ''""",
+    "longest_common_substring": f"""with {DOCS}, {ASKS}, {islands(16)}, {", ".join(grams(f"t{k}", "docs", "doc_id", k) + ", " + grams(f"q{k}", "asks", "query_id", k) for k in range(1, 16))},
+        lengths as (select doc_id, max(d) as d from islands group by doc_id {" ".join(f"union all select distinct doc_id, {k} from t{k} where gram in (select gram from q{k})" for k in range(1, 16))})
+        select doc_id, coalesce(max(d), 0)::bigint as d from docs left join lengths using (doc_id) group by doc_id""",
+    "longest_shared": f"with {DOCS}, {ASKS}, {islands(12)} select doc_id, query_id, max(d) as d from islands group by doc_id, query_id",
     "top_mems": f"{MEM} select * from islands order by d desc, doc_id, query_id, x, i limit 20",
     "locate_exact": f"with {found(0)} select * from located",
     "count_exact": f"with {found(0)} {COUNTS}",
@@ -117,12 +150,14 @@ ORACLE_SQL = {
     "hamming_eq1": f"with {found(1)} select pattern_id, doc_id, x from located where mismatches = 1",
     "hamming_eq2": f"with {found(2)} select pattern_id, doc_id, x from located where mismatches = 2",
     "seed_extend": f"with {found(2)} select located.* from located join docs using (doc_id) join patterns using (pattern_id) where substr(text, located.x + 5, 8) = substr(pattern, 5, 8)",
-    "occurrence_check": "select 0::bigint as violations",
+    "occurrence_check": f"""with {found(1)}, further as (select pattern, substr(text, located.x + 2, {PATTERN}) as seen from located join docs using (doc_id) join patterns using (pattern_id))
+        select count(*) as violations from further where length(seen) < {PATTERN} or hamming(seen, pattern) > 1""",
     "extend_left": f"with {found(0)}, {AROUND} select pattern_id, before as ch, count(*) as n_occ from around where before is not null group by pattern_id, before",
     "extend_right": f"with {found(0)}, {AROUND} select pattern_id, after as ch, count(*) as n_occ from around where after is not null group by pattern_id, after",
     "left_maximal": f"with {found(0)}, {AROUND} select pattern_id, count(distinct coalesce(before, '')) as n_chars, count(distinct coalesce(before, '')) > 1 as maximal from around group by pattern_id",
     "right_maximal": f"with {found(0)}, {AROUND} select pattern_id, count(distinct coalesce(after, '')) as n_chars, count(distinct coalesce(after, '')) > 1 as maximal from around group by pattern_id",
-    "pattern_sample": f"with {PATTERNS} select * from patterns",
+    "pattern_sample": f"with {SAMPLE} select * from patterns",
+    "pattern_pieces": f"with {PATTERNS} select * from patterns",
     "graph_units": f"with {NODES} select ids, array_to_string(parts, '>') as parts, lctx, rctx from edge_units",
     "graph_contexts": f"with {NODES} select * from contexts",
     "graph_paths": f"with {NODES} select ids, array_to_string(parts, '>') as parts, lctx, rctx from path_units",
@@ -143,8 +178,10 @@ ORACLE_SQL = {
     "fl_mapping": f"with {SUFFIXES} select doc_id, lf::bigint as rank, rank as fl from lf",
     "phi": f"with {SUFFIXES} select doc_id, sa, phi from phi",
     "phi_inverse": f"with {SUFFIXES} select doc_id, sa, phi_inv from phi",
-    "plcp": f"""with {SUFFIXES} select doc_id, sa, case when phi is null then 0 else
-        len(list_filter(range(1, length(text) + 1), lambda j: j <= length(text) - greatest(sa, phi) and substr(text, sa + 1, j) = substr(text, phi + 1, j))) end as plcp from phi""",
+    "plcp": f"with {SUFFIXES} {PLCP}",
+    "suffix_array_passages": f"with {SUFFIXES_OF_PASSAGES} select doc_id, rank, sa from sa",
+    "bwt_passages": f"with {SUFFIXES_OF_PASSAGES} select doc_id, rank, sa, case when ch = '' then '$' else ch end as ch from bwt",
+    "plcp_passages": f"with {SUFFIXES_OF_PASSAGES} {PLCP}",
     "bwt_runs": f"with {SUFFIXES}, runs as ({bwt_runs('bwt')}) select doc_id, run_id::bigint as run_id, case when head = '' then '$' else head end as head, start, len, first_sa, last_sa from runs",
     "char_range": f"with {SUFFIXES} select doc_id, ch, first::bigint as lo, (first + n - 1)::bigint as hi from f where ch <> ''",
     "index_stats": f"""with {SUFFIXES}, back as (select doc_id, reverse(text) as text from texts),

@@ -1,7 +1,8 @@
 """The registered queries of the matching engine, each over whole tables, and the SQL that they are held against.
 
-Texts are the documents, queries and patterns come from the benchmark passages, suffix order and vectors use the part names, and the
-graph is made of the passages: each is cut in three nodes, and links lead on to the next piece of the same and of the next passage.
+Texts are the documents, queries are the benchmark passages and patterns their pieces, suffix order and vectors use the part names and the
+passages, and the graph is made of the passages: each is cut in three nodes, and links lead on to the next piece of the same and of
+the next passage. The GFA queries write that graph with reversed ends and read it back.
 """
 
 from __future__ import annotations
@@ -11,8 +12,12 @@ from pyspark.sql import functions as F
 
 from gramweave.operators import graph, locate, mem, suffix, vectors
 from gramweave.sources import texts as src
+from gramweave.sources.tables import shared_path
 
 K, PATTERN, PER_TEXT = 20, 12, 2
+#: Characters that a match may hold and those that may stand beside it, where a query says so.
+CORE = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz ,."
+CONTEXT = CORE + "#"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +33,13 @@ def passages(spark, sf_dir):
 
 
 def patterns(spark, sf_dir):
+    """All pieces of PATTERN characters of each passage."""
+    return locate.tiled_patterns(passages(spark, sf_dir).withColumnRenamed("query_id", "doc_id"), PATTERN)
+
+
+def pattern_sample(spark, sf_dir):
     """PER_TEXT substrings of PATTERN characters of each passage."""
-    rows = passages(spark, sf_dir).withColumnRenamed("query_id", "doc_id")
-    return locate.sample_patterns(rows, PATTERN, PER_TEXT)
+    return locate.sample_patterns(passages(spark, sf_dir).withColumnRenamed("query_id", "doc_id"), PATTERN, PER_TEXT)
 
 
 def names(spark, sf_dir):
@@ -55,10 +64,18 @@ def passage_graph(spark, sf_dir):
     return nodes, links.select("src", F.lit(False).alias("src_rev"), "dst", F.lit(False).alias("dst_rev"))
 
 
+def gfa_graph(spark, sf_dir):
+    """The graph of the passages, odd nodes left by their reverse and nodes that 5 divides entered by it, written as GFA and read back."""
+    nodes, links = passage_graph(spark, sf_dir)
+    turned = links.withColumn("src_rev", F.col("src") % 2 == 1).withColumn("dst_rev", F.col("dst") % 5 == 0)
+    path = shared_path(spark, "graph-gfa")
+    src.graph_lines(nodes, turned).write.text(path)
+    return src.read_graph(spark, path)
+
+
 def framed(spark, sf_dir):
-    """The passages without 10 characters on either side, between separators."""
-    text = F.expr("concat('#', substring(text, 11, length(text) - 20), '#')")
-    return passages(spark, sf_dir).where("length(text) > 20").select("query_id", text.alias("text"))
+    """The passages between separators."""
+    return passages(spark, sf_dir).where("text is not null").select("query_id", F.concat(F.lit("#"), "text", F.lit("#")).alias("text"))
 
 
 # Sources and sinks
@@ -85,6 +102,18 @@ def graph_links(spark, sf_dir):
     return passage_graph(spark, sf_dir)[1].select("src", "dst")
 
 
+def gfa_nodes(spark, sf_dir):
+    return gfa_graph(spark, sf_dir)[0]
+
+
+def gfa_links(spark, sf_dir):
+    return gfa_graph(spark, sf_dir)[1]
+
+
+def gfa_units(spark, sf_dir):
+    return _units(*gfa_graph(spark, sf_dir), "edges")
+
+
 def mem_lines(spark, sf_dir):
     return src.match_lines(mem_open(spark, sf_dir))
 
@@ -104,8 +133,21 @@ def mem_asymmetric(spark, sf_dir):
     return mem.mems_asymmetric(documents(spark, sf_dir), framed(spark, sf_dir), K)
 
 
+def mem_alphabet(spark, sf_dir):
+    return mem.mems(documents(spark, sf_dir), framed(spark, sf_dir), K, CORE, CONTEXT)
+
+
+def mem_alphabet_asymmetric(spark, sf_dir):
+    return mem.mems_asymmetric(documents(spark, sf_dir), framed(spark, sf_dir), K, CORE, CONTEXT)
+
+
 def longest_common_substring(spark, sf_dir):
-    return mem.longest_match(documents(spark, sf_dir), passages(spark, sf_dir), least=12)
+    return mem.longest_match(documents(spark, sf_dir), passages(spark, sf_dir))
+
+
+def longest_shared(spark, sf_dir):
+    """Of the pairs of a document and a passage that share PATTERN characters in a row."""
+    return mem.longest_shared(documents(spark, sf_dir), passages(spark, sf_dir), PATTERN)
 
 
 def top_mems(spark, sf_dir):
@@ -128,8 +170,10 @@ def seed_extend(spark, sf_dir):
 
 
 def occurrence_check(spark, sf_dir):
+    """How many of the occurrences, and of the places one further on, aren't any."""
     d, p = documents(spark, sf_dir), patterns(spark, sf_dir)
-    return locate.violations(d, p, locate.locate(d, p, 1), 1).agg(F.count(F.lit(1)).alias("violations"))
+    found = locate.locate(d, p, 1).select("pattern_id", "doc_id", "x")
+    return locate.violations(d, p, found.unionByName(found.withColumn("x", F.col("x") + 1)), 1).agg(F.count(F.lit(1)).alias("violations"))
 
 
 def extended(side):
@@ -143,12 +187,13 @@ def maximal(side):
 # Graph
 
 
-def units(kind):
-    def job(spark, sf_dir):
-        found = graph.graph_units(*passage_graph(spark, sf_dir), kind)
-        return found.select(F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"), F.array_join("parts", ">").alias("parts"), "lctx", "rctx")
+def _units(nodes, links, kind):
+    found = graph.graph_units(nodes, links, kind)
+    return found.select(F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"), F.array_join("parts", ">").alias("parts"), "lctx", "rctx")
 
-    return job
+
+def units(kind):
+    return lambda spark, sf_dir: _units(*passage_graph(spark, sf_dir), kind)
 
 
 def graph_contexts(spark, sf_dir):
@@ -190,6 +235,24 @@ def on_names(job):
     return lambda spark, sf_dir: job(names(spark, sf_dir))
 
 
+def order_of_passages(spark, sf_dir):
+    """The passages and the order of their suffixes by doubling, whatever their length."""
+    rows = passages(spark, sf_dir).withColumnRenamed("query_id", "doc_id")
+    return rows, suffix.suffix_array(rows, short=0)
+
+
+def suffix_array_passages(spark, sf_dir):
+    return order_of_passages(spark, sf_dir)[1]
+
+
+def bwt_passages(spark, sf_dir):
+    return suffix.bwt(*order_of_passages(spark, sf_dir)).withColumn("ch", suffix.shown(F.col("ch")))
+
+
+def plcp_passages(spark, sf_dir):
+    return suffix.plcp(passages(spark, sf_dir).withColumnRenamed("query_id", "doc_id"), short=0)
+
+
 def bwt(spark, sf_dir):
     return suffix.bwt(names(spark, sf_dir)).withColumn("ch", suffix.shown(F.col("ch")))
 
@@ -208,11 +271,17 @@ QUERIES = {
     "query_split": query_split,
     "graph_nodes": graph_nodes,
     "graph_links": graph_links,
+    "gfa_nodes": gfa_nodes,
+    "gfa_links": gfa_links,
+    "gfa_units": gfa_units,
     "mem_lines": mem_lines,
     "mem_open": mem_open,
     "mem_symmetric": mem_symmetric,
     "mem_asymmetric": mem_asymmetric,
+    "mem_alphabet": mem_alphabet,
+    "mem_alphabet_asymmetric": mem_alphabet_asymmetric,
     "longest_common_substring": longest_common_substring,
+    "longest_shared": longest_shared,
     "top_mems": top_mems,
     "locate_exact": of(locate.locate, 0),
     "count_exact": of(locate.count, 0),
@@ -228,7 +297,8 @@ QUERIES = {
     "extend_right": extended("after"),
     "left_maximal": maximal("before"),
     "right_maximal": maximal("after"),
-    "pattern_sample": lambda spark, sf_dir: patterns(spark, sf_dir),
+    "pattern_sample": pattern_sample,
+    "pattern_pieces": patterns,
     "graph_units": units("edges"),
     "graph_contexts": graph_contexts,
     "graph_paths": units("paths"),
@@ -238,6 +308,9 @@ QUERIES = {
     "graph_mem_filtered": graph_mem_filtered,
     "graph_mem_asym": graph_mem_asym,
     "graph_mem_max": graph_mem_max,
+    "suffix_array_passages": suffix_array_passages,
+    "bwt_passages": bwt_passages,
+    "plcp_passages": plcp_passages,
     "suffix_array": on_names(suffix.suffix_array),
     "bwt": bwt,
     "f_column": f_column,

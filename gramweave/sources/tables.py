@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scope: ContextVar[str] = ContextVar("scope", default="")
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir. Where that is unset, a local session gets a temporary folder; on a cluster that is an error."""
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where that is unset, a local session gets a temporary folder; on a cluster that is an error."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
@@ -17,7 +22,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
         base = "file://" + tempfile.mkdtemp(prefix="spark-gramweave-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/gramweave/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path that nothing has yet, in the application's own folder."""
+    return f"{shared_dir(spark)}/gramweave/{spark.sparkContext.applicationId}/{_scope.get()}{name}-{uuid.uuid4().hex}"
 
 
 def written(rows: DataFrame, name: str) -> DataFrame:
@@ -25,3 +35,21 @@ def written(rows: DataFrame, name: str) -> DataFrame:
     path = shared_path(rows.sparkSession, name)
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table of the shared folder, wherever that is stored."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are made inside are deleted at the end: what is to stay must be written to a path from before."""
+    name = f"scratch-{uuid.uuid4().hex}/"
+    token = _scope.set(name)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        remove(spark, f"{shared_dir(spark)}/gramweave/{spark.sparkContext.applicationId}/{name}")

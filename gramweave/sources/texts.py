@@ -132,12 +132,18 @@ def write_matches(mems: DataFrame, path: str) -> None:
     match_lines(mems).write.text(path)
 
 
-def write_sections(sections: DataFrame, path: str) -> None:
-    """Writes matches (section, x, i, d) as lines under `>nodes`, `>edges`, `>paths`; each section is contiguous and in the order of x, i, d."""
+def write_sections(sections: DataFrame, path: str, one_file: bool = False) -> None:
+    """Writes matches (section, x, i, d) as lines under `>nodes`, `>edges`, `>paths`; each section is contiguous and in the order of x, i, d.
+
+    The order goes on from file to file in the order of their names. one_file: one task writes all sorted lines to one file.
+    """
     rank = F.when(F.col("section") == "nodes", 0).when(F.col("section") == "edges", 1).otherwise(2)
     lines = sections.select(rank.alias("s"), F.lit(1).alias("h"), "x", "i", "d", F.concat_ws(",", "x", "i", "d").alias("value"))
     heads = sections.sparkSession.createDataFrame([(i, 0, 0, 0, 0, f">{n}") for i, n in enumerate(("nodes", "edges", "paths"))], "s int, h int, x long, i long, d long, value string")
-    heads.unionByName(lines).orderBy("s", "h", "x", "i", "d").select("value").write.text(path)
+    order = ["s", "h", "x", "i", "d"]
+    every = heads.unionByName(lines)
+    every = every.repartition(1).sortWithinPartitions(*order) if one_file else every.orderBy(*order)
+    every.select("value").write.text(path)
 
 
 def write_index(table: DataFrame, path: str) -> None:

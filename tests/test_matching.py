@@ -160,6 +160,12 @@ def test_sources_and_sinks(spark, tmp_path):
     out = str(tmp_path / "out")
     src.write_sections(spark.createDataFrame([("paths", 9, 1, 2), ("nodes", 3, 2, 1)], "section string, x long, i long, d long").coalesce(1), out)
     assert [r.value for r in spark.read.text(out).collect()] == [">nodes", "3,2,1", ">edges", ">paths", "9,1,2"] or sorted(r.value for r in spark.read.text(out).collect()) == sorted([">nodes", "3,2,1", ">edges", ">paths", "9,1,2"])
+    whole, r = str(tmp_path / "whole"), random.Random(1)
+    many = [(("nodes", "edges", "paths")[j % 3], r.randrange(50), r.randrange(50), j) for j in range(300)]
+    src.write_sections(spark.createDataFrame(many, "section string, x long, i long, d long").repartition(7), whole, one_file=True)
+    (part,) = (tmp_path / "whole").glob("part-*")
+    want = [line for n in ("nodes", "edges", "paths") for line in [f">{n}", *(f"{x},{i},{d}" for s, x, i, d in sorted(many) if s == n)]]
+    assert part.read_text().splitlines() == want
     build = lambda rows: src.kmers(rows, "doc_id", "text", 2)
     a = src.cached_index(files, ["doc_id", "text"], str(tmp_path / "idx"), build)
     b = src.cached_index(files.repartition(3), ["doc_id", "text"], str(tmp_path / "idx"), build)
@@ -170,3 +176,81 @@ def test_sources_and_sinks(spark, tmp_path):
     row = spark.range(1).select(duration(F.lit(3723)), duration(F.lit(62)), duration(F.lit(5)), bit_width(F.lit(8))).first()
     assert tuple(row) == ("1h 2m 3s", "1m 2s", "5s", 4)
     assert sorted((r.doc_id, r.offset) for r in mem.with_offsets(frame(spark, [(1, "ab"), (5, "c"), (7, "ddd")]), "doc_id").collect()) == [(1, 1), (5, 4), (7, 6)]
+
+
+@pytest.fixture
+def narrow_ranges(spark):
+    """Many partitions, which adaptive execution joins to others for wide rows than for narrow ones."""
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_numbering_keeps_all_rows(spark, narrow_ranges):
+    rows = spark.range(30_000).select((F.col("id") * 7 % 30_011).alias("k"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 12).alias("payload"))
+    found = src.numbered(rows, ["k"], "no").select("k", "no").collect()
+    assert [r.no for r in sorted(found)] == list(range(1, 30_001))
+
+
+def test_graph_files_are_read_whole(spark, tmp_path, narrow_ranges):
+    n = 6_000
+    label = lambda i: ("ACGTTGCA"[i % 5 :] + "GATTACA") * (20 + i % 30)
+    lines = [f"S\tn{i}\t{label(i)}" for i in range(n)] + [f"L\tn{i}\t{'+-'[i % 2]}\tn{i + 1}\t{'+-'[i % 3 == 0]}\t0M" for i in range(n - 1)]
+    (tmp_path / "g").mkdir()
+    for part, at in enumerate(range(0, len(lines), 1700)):  # a long file, then shorter ones
+        (tmp_path / "g" / f"part-{part:02}.gfa").write_text("\n".join(lines[at : at + 1700]) + "\n")
+    nodes, links = src.read_graph(spark, str(tmp_path / "g"))
+    assert {(r.node_id, r.name, r.label) for r in nodes.collect()} == {(i + 1, f"n{i}", label(i)) for i in range(n)} and nodes.count() == n
+    assert {tuple(r) for r in links.collect()} == {(i + 1, i % 2 == 1, i + 2, i % 3 == 0) for i in range(n - 1)}
+    again = str(tmp_path / "again")
+    src.graph_lines(nodes, links).write.text(again)
+    back = src.read_graph(spark, again)
+    assert {(r.node_id, r.label) for r in back[0].collect()} == {(i + 1, label(i)) for i in range(n)}
+    assert {tuple(r) for r in back[1].collect()} == {tuple(r) for r in links.collect()}
+
+
+def test_short_patterns_make_no_candidates_for_long_ones(spark):
+    import numpy as np
+
+    r = random.Random(8)
+    text = "".join(r.choice("abcd") for _ in range(20_000))
+    long = [text[i : i + 100] for i in range(0, 10_000, 500)]
+    short = ["abc", "dda"]
+    for e in (0, 2):
+        seeds = lambda own: [(i, part * len(p) // (e + 1), locate.width_of(len(p) // (e + 1))) for i, p in enumerate(own) for part in range(e + 1)]  # noqa: E731, B023
+        asked = lambda own: [which for which, _ in locate.Scanner([locate.codes(p) for p in own], seeds(own), e, None).candidates(locate.codes(text))]  # noqa: E731, B023
+        alone, both = np.concatenate(asked(long)), np.concatenate(asked(long + short))
+        assert (both < len(long)).sum() == len(alone) <= 2 * (e + 1) * len(long)
+    t, p = frame(spark, [(0, text), (1, "abc")]), frame(spark, list(enumerate(long + short)), "pattern_id long, pattern string")
+    for small in (locate.SMALL, 0):
+        before, locate.SMALL = locate.SMALL, small
+        try:
+            found = {(z.pattern_id, z.doc_id, z.x) for z in locate.locate(t, p).collect()}
+        finally:
+            locate.SMALL = before
+        assert found == {(j, i, x) for j, a in enumerate(long + short) for i, b in ((0, text), (1, "abc")) for x in range(len(b)) if b.startswith(a, x)}
+
+
+def test_longest_match_of_any_length(spark):
+    r = random.Random(9)
+    base = "".join(r.choice("abcdefghij") for _ in range(80))
+    docs = [(0, "zzz"), (1, ""), (2, None), (3, "xyzay"), (4, base[3:70])] + [(5 + n, "z".join(base[at : at + n] for at in (0, 20, 40))) for n in range(1, 26)]
+    docs += [(50 + j, "".join(r.choice("abcdefghijz") for _ in range(r.randrange(1, 60)))) for j in range(30)]
+    queries = [(0, base), (1, base[::-1]), (2, None), (3, "")]
+    longest = lambda a: max((d for _, q in queries if q for i in range(len(a)) for d in range(1, len(a) - i + 1) if a[i : i + d] in q), default=0)
+    t, q = frame(spark, docs), frame(spark, queries, "query_id long, text string")
+    assert {z.doc_id: z.d for z in mem.longest_match(t, q).collect()} == {i: longest(a or "") for i, a in docs}
+    assert {z.doc_id: z.d for z in mem.longest_match(t, q, wide=2).collect()} == {i: longest(a or "") for i, a in docs}
+    assert {z.d for z in mem.longest_match(t, q.limit(0)).collect()} == {0} and mem.longest_match(t.limit(0), q).count() == 0
+
+
+def test_pieces_cover_their_text(spark):
+    docs = [(1, "abcdefg"), (2, "abcdef"), (3, "ab"), (4, None), (5, "abc")]
+    found = sorted(tuple(r) for r in locate.tiled_patterns(frame(spark, docs), 3, 100).collect())
+    assert found == [(100, 1, 0, "abc"), (101, 1, 3, "def"), (102, 1, 4, "efg"), (200, 2, 0, "abc"), (201, 2, 3, "def"), (500, 5, 0, "abc")]
+    with pytest.raises(Exception, match="too many pieces"):
+        locate.tiled_patterns(frame(spark, docs), 3, 2).collect()

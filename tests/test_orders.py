@@ -69,6 +69,20 @@ def test_orders(texts):
     assert ranges == {(k, c): (min(i for i, p in enumerate(sa[k]) if t[p : p + 1] == c), max(i for i, p in enumerate(sa[k]) if t[p : p + 1] == c)) for k, t in text.items() for c in set(t)}
 
 
+def test_prefixes_from_ranks(spark, texts):
+    frame, text = texts
+    by_text = {(r.doc_id, r.sa): r.plcp for r in suffix.plcp(frame).collect()}
+    assert {(r.doc_id, r.sa): r.plcp for r in suffix.plcp(frame, short=0).collect()} == by_text
+    n = 3000
+    long = spark.createDataFrame([(1, "a" * n), (2, "ab" * 700 + "c" + "ab" * 650)], "doc_id long, text string")
+    found = {(r.doc_id, r.sa): r.plcp for r in suffix.plcp(long).collect()}
+    assert [found[1, i] for i in range(n + 1)] == [*(n - 1 - i for i in range(n)), 0]
+    t = "ab" * 700 + "c" + "ab" * 650
+    sa = order(t)
+    shared = lambda a, b: next((k for k in range(len(t)) if t[a + k : a + k + 1] != t[b + k : b + k + 1] or a + k >= len(t) or b + k >= len(t)), len(t))
+    assert all(found[2, b] == shared(a, b) for a, b in zip(sa[::7], sa[1::7]))
+
+
 def test_a_step_back(spark, texts):
     frame, text = texts
     t = text[0]
