@@ -1,8 +1,8 @@
 """Byte-level BPE through tiktoken, from a local rank file.
 
-Long texts are cut before they are encoded, where the pattern always ends a piece: between a letter, number or punctuation
+Long texts are cut before they are encoded, where the pattern always ends a piece: for the pattern of CUTS between a letter, number or punctuation
 mark and a space or line break, or between a letter and a number. No piece spans such a place, and what the pattern looks ahead for is white
-space, so the parts have the ids of the whole. A text without such a place stays whole. Ids decode to raw bytes: a token may
+space, so the parts have the ids of the whole. A text without such a place stays whole, as do all texts under another pattern. Ids decode to raw bytes: a token may
 end inside a character, so only the bytes of all tokens together are UTF-8.
 
 Cases: a null text is an empty one, with no ids; repeated rows are encoded each for itself; an empty table gives an empty
@@ -25,6 +25,11 @@ from .shared import slices
 #: Code points from which a text is cut.
 LONG = 50_000
 
+# A pattern, and where its pieces end whatever follows.
+CUTS = {
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+": r"(?<=[\p{L}\p{N}\p{P}])(?=[ \n])|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})",
+}
+
 _open: dict[tuple[str, str], tuple] = {}
 
 
@@ -39,15 +44,16 @@ def coder(ranks: str, pattern: str):
     return _open[ranks, pattern]
 
 
-def safe_parts(text: str, most: int = LONG) -> Iterator[str]:
-    """Parts of about `most` code points, cut only where a piece ends whatever follows."""
+def safe_parts(text: str, most: int = LONG, pattern: str = next(iter(CUTS))) -> Iterator[str]:
+    """Parts of about `most` code points, cut only where a piece of the pattern ends whatever follows; the whole text if no such places are known."""
     import regex
 
-    cut = regex.compile(r"(?<=[\p{L}\p{N}\p{P}])(?=[ \n])|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})")
     at = 0
-    while len(text) - at > most and (m := cut.search(text, at + most)):
-        yield text[at : m.start()]
-        at = m.start()
+    if pattern in CUTS:
+        cut = regex.compile(CUTS[pattern])
+        while len(text) - at > most and (m := cut.search(text, at + most)):
+            yield text[at : m.start()]
+            at = m.start()
     yield text[at:]
 
 
@@ -57,7 +63,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
     def work(batches):
         enc, _ = coder(ranks, pattern)
         for batch in slices(batches):
-            ids = [[i for p in safe_parts(t) for i in enc.encode_ordinary(p)] for t in batch.column(1).to_pylist()]
+            ids = [[i for p in safe_parts(t, pattern=pattern) for i in enc.encode_ordinary(p)] for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
 
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
@@ -89,7 +95,7 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id"
             counts, of_ids, of_bytes = [], [], []
             for text in batch.column(1).to_pylist():
                 n, h, raw = 0, hashlib.sha256(), hashlib.sha256()
-                for part in safe_parts(text):
+                for part in safe_parts(text, pattern=pattern):
                     ids = enc.encode_ordinary(part)
                     if ids:
                         h.update(((" " if n else "") + " ".join([decimal[i] for i in ids])).encode())
