@@ -5,7 +5,7 @@ the salts are combined for each digest. The digest only deals rows out: every st
 content, so two texts with one digest stay apart. A text that a third of all rows hold reaches a shuffle once a task.
 
 Cases: a null text counts as empty; empty texts are one group; of equal texts the one with the most code points in its original
-text stays, then the smallest id (a null id comes last); repeated rows with one id and one text are members like any other, and
+text stays, then the smallest id (of any type that has an order; a null id comes last); repeated rows with one id and one text are members like any other, and
 `dedup` keeps one of them; an empty table gives an empty result; other columns are left alone, whatever their names.
 """
 
@@ -30,15 +30,15 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, salts: int) -> DataFram
     ).select("id", "chars", "norm", F.unhex(F.sha2("norm", 256)).alias("digest"), (F.spark_partition_id() % salts).alias("salt"))
     # The planner combines this one within each task before it shuffles.
     salted = rows.groupBy("digest", "salt", "norm", "chars").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
-    best = F.max(F.struct("chars", F.bitwise_not("id").alias("not_id")))  # not_id falls as the id grows, and a null is least
+    best = F.min(F.struct((-F.col("chars")).alias("short"), F.col("id").isNull().alias("none"), "id"))
     whole = salted.repartition("digest").groupBy("digest", "norm").agg(best.alias("best"), F.sum("n").alias("group_size"))
     contents = F.count(F.lit(1)).over(Window.partitionBy("digest"))  # over 1 only where a digest collides
     return written(
         whole.withColumn("contents", contents).select(
             "digest",
             F.when(F.col("contents") > 1, F.col("norm")).alias("content"),
-            F.bitwise_not("best.not_id").alias("keep_id"),
-            F.col("best.chars").alias("keep_chars"),
+            F.col("best.id").alias("keep_id"),
+            (-F.col("best.short")).alias("keep_chars"),
             "group_size",
         ),
         "exact-groups",
