@@ -2,14 +2,16 @@
 
 Each source's documents are dealt to blocks by a seeded hash, which permutes them. A source's target, in words, becomes whole
 passes over its blocks and a last pass that ends in the block where the target is reached; inside that block documents are
-taken in hashed order while they come nearer to the target, and one document of the source is added or left out if that comes
-nearer still. The exact block quotas of all sources are then split among the
+taken in hashed order while they come nearer to the target, and one document of the source is left out, or added as a block of its
+own, if that comes nearer still. The exact block quotas of all sources are then split among the
 output shards by a tree: at each node the left half gets as many blocks as its shards are due, drawn from the node's quotas by
 one multivariate-hypergeometric draw, and the right half the rest. A shard takes its quota of each source's blocks where the
 shard before stopped, so shards hold disjoint blocks, and its documents are shuffled locally by hash.
 
-What is held at once is a row for each source and at most BLOCKS rows of totals for each source; documents are never
-collected. Reruns agree: every draw is seeded, and hashes take the document's id.
+The draw factors: the tree first splits the quotas of groups of about GROUP sources, then those of each group's sources among the
+shards, with what each shard is due of the group. So a task holds a row for each of GROUP sources, or for each group; sources are
+ranked from totals of ranges, and the level of the targets comes from sums over all. Of each source there are at most BLOCKS rows of
+totals; documents are never collected. Reruns agree: every draw is seeded, and hashes take the document's id.
 
 Cases: a null text has size 0; a null source is a source of its own, last in order; sources of size 0 have target 0; rows with
 one id lie in one block and are taken one by one; empty tables give empty results; other columns are left alone.
@@ -24,17 +26,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gramweave.sources.texts import numbered
+
 from .shared import NOT_SPACE, written
 
 WEIGHTS, MOST, BLOCKS, SHARDS, SEED = (1, 2, 3), 3, 4096, 16, 11
+#: Sources whose quotas are split in one task.
+GROUP = 4096
 
 
 def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(f"{NOT_SPACE}+")), F.lit(0)).cast("long")
 
 
-def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """shards x sources: how many of each source's blocks each shard gets."""
+def split_quotas(quotas: np.ndarray, shards: int, seed: int, due: np.ndarray | None = None) -> np.ndarray:
+    """shards x sources: how many of each source's blocks each shard gets. due: how many of all each shard gets; evenly, if not given."""
     out = np.zeros((shards, len(quotas)), dtype="i8")
 
     def node(lo: int, hi: int, own: np.ndarray) -> None:
@@ -42,8 +48,8 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
             out[lo] = own
             return
         mid = (lo + hi) // 2
-        due = int(own.sum()) * (mid - lo) // (hi - lo)
-        left = np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(own, due, method="marginals") if len(own) else own
+        first = int(own.sum()) * (mid - lo) // (hi - lo) if due is None else int(due[lo:mid].sum())
+        left = np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(own, first, method="marginals") if len(own) else own
         node(lo, mid, left)
         node(mid, hi, own - left)
 
@@ -52,21 +58,41 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
 
 
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """Adds target (double) to a row for each source (key, source_size): the words of all sources, shared by the weights in the
-    order of key, none above `most` times its source's size; what that cuts off is shared again by weight.
+    """Adds target (double) to a row for each source (key, source_size; a written table): the words of all sources, shared by the weights
+    in the order of key, none above `most` times its source's size; what that cuts off is shared again by weight.
 
-    Sources reach their limit in the order of limit by weight; before each, `level` is what is left for each unit of weight. It
-    rises while sources reach their limits and falls after, so its maximum is the level of all that don't.
+    A level is what is left for each unit of weight. From one that no source limits, sources above their limit are set to it and the rest
+    is levelled again, until no more are: a few sums over all sources, of whole numbers, so reruns agree.
     """
-    every = Window.partitionBy(F.lit(0))
-    turn = F.row_number().over(every.orderBy("key")) - 1
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (turn % len(weights)) + 1).cast("double")
-    ranked = sizes.withColumn("weight", weight).withColumn("limit", (F.col("source_size") * most).cast("double"))
-    before = every.orderBy(F.col("limit") / F.col("weight"), "key").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.sum("source_size").over(every) - F.coalesce(F.sum("limit").over(before), F.lit(0.0))
-    of = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    level = F.max("level").over(every)
-    return ranked.withColumn("level", left / of).withColumn("target", F.least(F.col("limit"), level * F.col("weight"))).drop("weight", "limit", "level")
+    turn = numbered(sizes, ["key"], "turn").withColumn("turn", F.col("turn") - 1)
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("turn") % len(weights) + 1).cast("int"))
+    ranked = written(turn.withColumn("weight", weight.cast("long")).withColumn("limit", F.col("source_size") * most).drop("turn"), "mix-weights")
+    words_of_all, of_all = ranked.agg(F.sum("source_size"), F.sum("weight")).first()
+    level, cut = (words_of_all or 0) / (of_all or 1), 0
+    while True:
+        full = ranked.where(F.col("limit") <= F.col("weight") * F.lit(level)).agg(F.count(F.lit(1)), F.sum("limit"), F.sum("weight")).first()
+        if full[0] == cut or full[2] == of_all:
+            break
+        cut, level = full[0], (words_of_all - full[1]) / (of_all - full[2])
+    return ranked.withColumn("target", F.least(F.col("limit").cast("double"), F.lit(float(level)) * F.col("weight"))).drop("weight", "limit")
+
+
+def _ends(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
+    """key, ends: up to which of a source's blocks (key, n) each shard takes them."""
+    groups = max(1, -(-quotas.count() // GROUP))
+    dealt = quotas.withColumn("group", F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(groups)).cast("int"))
+
+    def of_groups(found: pd.DataFrame) -> pd.DataFrame:
+        found = found.sort_values("group")
+        return pd.DataFrame({"group": found["group"], "due": list(split_quotas(found["n"].to_numpy(), shards, seed).T)})
+
+    def of_sources(found: pd.DataFrame) -> pd.DataFrame:
+        found = found.sort_values("key")
+        ends = split_quotas(found["n"].to_numpy(), shards, seed + 1 + int(found["group"].iloc[0]), np.asarray(found["due"].iloc[0])).cumsum(axis=0)
+        return pd.DataFrame({"key": found["key"], "ends": list(ends.T)})
+
+    sums = dealt.groupBy("group").agg(F.sum("n").alias("n")).groupBy(F.lit(0).alias("all")).applyInPandas(lambda found: of_groups(found[["group", "n"]]), "group int, due array<long>")
+    return dealt.join(written(sums, "mix-groups"), "group").groupBy("group").applyInPandas(of_sources, "key string, ends array<long>")
 
 
 def _inside(rows: DataFrame, dealt: DataFrame, seed: int) -> DataFrame:
@@ -90,32 +116,29 @@ def _correction(sized: DataFrame, dealt: DataFrame, seed: int) -> DataFrame:
 def _plan(rows: DataFrame, sized: DataFrame, weights: Sequence[int], most: int, shards: int, seed: int) -> DataFrame:
     """rows (key, id, size, block and others), with source_size, target and shards (one for each copy that the mix takes). sized: the same rows, without others, in a table."""
     blocks = written(sized.groupBy("key", "block").agg(F.sum("size").alias("words")), "mix-blocks")
-    sizes = blocks.groupBy("key").agg(F.sum("words").alias("source_size"), F.count(F.lit(1)).alias("blocks"))
+    sizes = written(blocks.groupBy("key").agg(F.sum("words").alias("source_size"), F.count(F.lit(1)).alias("blocks")), "mix-sources")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     aims = targets(sizes, weights, most).withColumn("passes", whole.cast("long")).withColumn("rest", F.greatest(F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("long"), F.lit(0)))
     aims = written(aims, "mix-targets")
     order = Window.partitionBy("key").orderBy("block")
     before = F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = blocks.join(aims, "key").withColumn("rank", F.row_number().over(order) - 1).withColumn("due", F.col("rest") - before)  # due: of the last pass, from here on
-    placed = placed.withColumn("last", F.col("due") > 0)
-    quotas = placed.groupBy("key").agg(F.max(F.col("passes") * F.col("blocks")).alias("n"), F.count(F.when(F.col("last"), 1)).alias("more"))
-
-    def tree(found: pd.DataFrame) -> pd.DataFrame:
-        found = found.sort_values("key")
-        ends = split_quotas((found["n"] + found["more"]).to_numpy(), shards, seed).cumsum(axis=0)
-        return pd.DataFrame({"key": found["key"], "ends": list(ends.T)})
-
-    ends = quotas.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(tree, "key string, ends array<long>")
-    shard = lambda n: F.size(F.filter("ends", lambda end: end <= n * F.col("blocks") + F.col("rank")))
+    placed = written(placed.withColumn("last", F.col("due") > 0).drop("words"), "mix-places")
+    odd = written(_correction(sized, placed.select("key", "block", "rest", "due", "last"), seed), "mix-corrections")
+    quotas = placed.groupBy("key").agg(F.max(F.col("passes") * F.col("blocks")).alias("whole"), F.count(F.when(F.col("last"), 1)).alias("more"))
+    quotas = quotas.join(odd.where("odd > 0").select("key", "odd"), "key", "left").select("key", "more", (F.col("whole") + F.col("more") + F.coalesce("odd", F.lit(0))).alias("n"))
+    quotas = written(quotas, "mix-quotas")
+    ends = written(_ends(quotas.select("key", "n"), shards, seed).join(quotas.select("key", "more"), "key"), "mix-ends")
+    shard = lambda at: F.size(F.filter("ends", lambda end: end <= at))
     copies = F.col("passes") + F.col("last").cast("long")
-    all_shards = F.when(copies > 0, F.transform(F.sequence(F.lit(0).cast("long"), copies - 1), shard)).otherwise(F.array().cast("array<int>"))
-    dealt = written(placed.join(ends, "key").select("key", "block", "source_size", "target", "passes", "rest", "due", "last", all_shards.alias("shards")), "mix-shards")
-    dealt = dealt.join(written(_correction(sized, dealt, seed), "mix-corrections"), ["key", "block"], "left")
-    out = _inside(rows, dealt, seed)
-    odd = F.when(F.col("id").eqNullSafe(F.col("odd_id")) & (F.col("size") == F.col("odd_size")), F.col("odd")).otherwise(0)
-    kept = F.slice("shards", F.lit(1), (F.col("passes") + F.col("in_last").cast("long") + F.least(odd, F.lit(0))).cast("int"))
-    more = F.when(odd > 0, F.array(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(shards)).cast("int"))).otherwise(F.array().cast("array<int>"))
-    return out.withColumn("shards", F.concat(kept, more)).drop("passes", "rest", "due", "last", "in_last", "key", "block", "odd_id", "odd_size", "odd")
+    all_shards = F.when(copies > 0, F.transform(F.sequence(F.lit(0).cast("long"), copies - 1), lambda n: shard(n * F.col("blocks") + F.col("rank")))).otherwise(F.array().cast("array<int>"))
+    added = shard(F.col("passes") * F.col("blocks") + F.col("more")).alias("added")  # an added document is the block after the last
+    dealt = written(placed.join(ends, "key").select("key", "block", "source_size", "target", "passes", "rest", "due", "last", all_shards.alias("shards"), added), "mix-shards")
+    out = _inside(rows, dealt.join(odd, ["key", "block"], "left"), seed)
+    odd_one = F.when(F.col("id").eqNullSafe(F.col("odd_id")) & (F.col("size") == F.col("odd_size")), F.col("odd")).otherwise(0)
+    kept = F.slice("shards", F.lit(1), (F.col("passes") + F.col("in_last").cast("long") + F.least(odd_one, F.lit(0))).cast("int"))
+    more = F.when(odd_one > 0, F.array("added")).otherwise(F.array().cast("array<int>"))
+    return out.withColumn("shards", F.concat(kept, more)).drop("passes", "rest", "due", "last", "in_last", "key", "block", "odd_id", "odd_size", "odd", "added")
 
 
 def _keyed(docs: DataFrame, id_col: str, source_col: str, text_col: str, seed: int, *more: Column) -> DataFrame:
