@@ -4,6 +4,11 @@ Every letter has a random vector of signs. The vector of an n-gram binds (multip
 (rotated) by its place; a text bundles (adds) the vectors of its n-grams; a language's prototype bundles those of its texts.
 A text's language is the prototype with the largest cosine.
 
+`identified` keeps what has one of the languages: a text without a letter has none, and one that no prototype resembles (a word
+repeated over and over, or a language that no label names) scores far below others of its length. The level is learned from all rows
+with a label: LEVEL of the median score of those with about as many n-grams (by powers of four); below LEAST n-grams scores
+tell too little, and texts with a letter stay.
+
 Texts are lower-cased; letters of the Latin blocks have symbols of their own, other letters share symbols by their code, and
 everything else is one boundary symbol, runs of which are one. Texts count with all their n-grams, whatever their length.
 
@@ -21,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices
+from .shared import slices, written
 
 N, SYMBOLS, SIZE, SEED = 3, 128, 1024, 7
 UNKNOWN = "und"
+#: The share of the median score that a text needs, and the n-grams from which it is asked for.
+LEVEL, LEAST = 0.5, 64
 #: n-gram vectors that a worker remembers within a task, 1 KB each.
 MOST_GRAMS = 24_000
 
@@ -132,16 +139,17 @@ def prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     return {k: out[k] / np.linalg.norm(out[k]) for k in sorted(out) if out[k].any()}
 
 
-def predict(docs: DataFrame, known: dict[str, np.ndarray], shown: list[Column], text_col: str = "text") -> DataFrame:
-    """The columns shown, with lang_pred and score (the cosine, at least 0) of each row's text."""
+def predict(docs: DataFrame, known: dict[str, np.ndarray], shown: list[Column], text_col: str = "text", count: bool = False) -> DataFrame:
+    """The columns shown, with lang_pred and score (the cosine, at least 0) of each row's text; count: and n_grams."""
     names, matrix = list(known), np.array([known[k] for k in known], dtype="f4").T
-    schema = docs.select(*shown).schema
+    rows = docs.select(*shown)
 
     def work(batches):
         for batch in slices(batches):
-            langs, scores = [], []
+            langs, scores, sizes = [], [], []
             for text in batch.column(batch.num_columns - 1).to_pylist():
                 p = profile(text) if names else None
+                sizes.append(int(p[1].sum()) if p else 0)
                 if p is None:
                     langs.append(UNKNOWN)
                     scores.append(0.0)
@@ -151,8 +159,41 @@ def predict(docs: DataFrame, known: dict[str, np.ndarray], shown: list[Column],
                 best = int(np.argmax(cosines))
                 langs.append(names[best])
                 scores.append(min(1.0, max(0.0, float(cosines[best]))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
+            more = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more[: 2 + count]], names=[*batch.schema.names[:-1], "lang_pred", "score", "n_grams"][: batch.num_columns + 1 + count])
         forget()
 
-    out = schema.add("lang_pred", "string").add("score", "double")
-    return docs.select(*shown, F.col(text_col).alias("__text")).mapInArrow(work, out)
+    out = rows.schema.add("lang_pred", "string").add("score", "double")
+    return docs.select(*shown, F.col(text_col).alias("__text")).mapInArrow(work, out.add("n_grams", "long") if count else out)
+
+
+def band(n_grams: Column) -> Column:
+    """Texts of about one length: from 4 ** band n-grams on."""
+    return F.floor((F.length(F.bin(n_grams)) - 1) / 2).cast("int")
+
+
+def levels(scored: DataFrame, share: float = LEVEL) -> dict[int, float]:
+    """The least score in each band, from scored rows with a label (score, n_grams). Rows for each band and thousandth of a score are collected, however many texts there are."""
+    counts = scored.groupBy(band(F.col("n_grams")).alias("band"), F.floor(F.col("score") * 1000).alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    found: dict[int, dict[int, int]] = {}
+    for number, at, n in counts.collect():
+        found.setdefault(number, {})[at] = n
+    out = {}
+    for number, own in found.items():
+        at = np.array(sorted(own))
+        out[number] = share * float(at[np.searchsorted(np.cumsum([own[x] for x in at.tolist()]), sum(own.values()) / 2)]) / 1000
+    return out
+
+
+def identified(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", share: float = LEVEL, least: int = LEAST) -> DataFrame:
+    """The rows of docs whose text has one of the languages of its labels, with the columns of docs. Without any label, those whose text has a letter."""
+    known = prototypes(docs, text_col, lang_col)
+    if not known:
+        return docs.where(F.col(text_col).rlike(r"\p{L}"))
+    shown = [F.struct("*").alias("row"), F.col(lang_col).isNotNull().alias("labelled")]
+    scored = written(predict(docs, known, shown, text_col, count=True), "language-scores").where(F.col("lang_pred") != UNKNOWN)
+    asked = scored.where(F.col("n_grams") >= least)
+    least_of = F.lit(0.0)
+    for number, level in sorted(levels(asked.where("labelled"), share).items()):
+        least_of = F.when(band(F.col("n_grams")) == number, F.lit(level)).otherwise(least_of)
+    return scored.where((F.col("n_grams") < least) | (F.col("score") >= least_of)).select("row.*")

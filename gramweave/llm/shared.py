@@ -2,55 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gramweave.sources.tables import remove, scratch, shared_path as new_path, written  # noqa: F401
+
 #: The white space of ASCII, as a character class that Java, RE2 and Python read alike.
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a local session gets a temporary one; on a cluster that is an error."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="spark-gramweave-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path that nothing has yet, in the application's own folder."""
-    return f"{shared_dir(spark)}/gramweave/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
-def clear(spark: SparkSession) -> None:
-    """Deletes all that this application wrote to the shared folder, results that read it included. For when they have been used."""
-    remove(spark, f"{shared_dir(spark)}/gramweave/{spark.sparkContext.applicationId}")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df from a table in the shared folder: lineage ends there, and a lost executor costs nothing."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a table of the shared folder, wherever that is stored."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def other_columns(rows: DataFrame, *names: str) -> list[str]:
     """The columns of rows with other names than these, told apart as the session does."""
     strict = rows.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
