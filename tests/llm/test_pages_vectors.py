@@ -41,6 +41,98 @@ def test_tree_fits_its_table():
         assert wrong <= 1, page
 
 
+def splits(tree):
+    return {html_text.FEATURES[tree[0]]} | splits(tree[2]) | splits(tree[3]) if isinstance(tree, tuple) else set()
+
+
+def test_neighbours_decide_where_nothing_tells_the_article():
+    assert {"words", "link density", "words before", "link density before", "words after", "link density after"} <= splits(html_text.tree())
+    prose, menu = "<p>" + "water came over the fields at night " * 6 + "</p>", "<ul>" + "<li><a href=x>One more</a></li>" * 4 + "</ul>"
+    line = "<p>It was over.</p>"
+    text = html_text.main_text
+    # The same line stays between paragraphs and at their end, and goes between menus.
+    assert "It was over." in text(f"<div>{prose}{line}{prose}</div>") and "It was over." in text(f"<div>{menu}{prose}{line}</div>")
+    assert "It was over." not in text(f"<div>{menu}{line}{menu}{prose}{prose}</div>")
+    assert text("<div><h1>The old mill</h1><p>" + "word " * 40 + "</p><p>It was over.</p></div>").split("\n\n") == ["The old mill", ("word " * 40).strip(), "It was over."]
+    assert text(f"{menu}<h2>Then</h2>{prose}{menu}").startswith("Then\n\n") and "One more" not in text(f"{menu}<h2>Then</h2>{prose}{menu}")
+
+
+def test_the_tree_on_pages_that_it_has_not_seen():
+    wrong = total = 0
+    for page, labels in html_text.labelled_pages(150, seed=77):
+        found = html_text.blocks(page)
+        said = [html_text.article_share(html_text.tree(), row) >= 0.5 for row in html_text.features(found)]
+        wrong, total = wrong + sum(s != (c == "y") for s, c in zip(said, labels, strict=True)), total + len(found)
+    assert wrong <= 0.01 * total
+
+
+def article_by_parser(page):
+    """An extractor of its own, for pages with one article: the text in it, cut at block tags, without asides, forms and what is named as no part of it."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.now, self.depth, self.skip, self.raw = [], "", 0, 0, 0
+
+        def cut(self):
+            if self.now.split():
+                self.out.append(" ".join(self.now.split()))
+            self.now = ""
+
+        def handle_starttag(self, tag, attrs):
+            self.raw += tag in ("script", "style", "title")
+            if tag == "br":
+                self.now += " "
+            elif tag in html_text.BREAKS:
+                self.cut()
+            self.depth += tag == "article"
+            if self.skip or (self.depth and (tag in ("aside", "form", "nav", "footer") or (tag in ("div", "section") and dict(attrs).get("class") in ("ad", "comments")))):
+                self.skip += tag in ("aside", "form", "nav", "footer", "div", "section")
+
+        def handle_endtag(self, tag):
+            self.raw -= tag in ("script", "style", "title")
+            if tag in html_text.BREAKS:
+                self.cut()
+            if self.skip:
+                self.skip -= tag in ("aside", "form", "nav", "footer", "div", "section")
+            self.depth -= tag == "article"
+
+        def handle_data(self, data):
+            if self.depth and not self.skip and not self.raw:
+                self.now += data
+
+    reader = Reader()
+    reader.feed(page)
+    reader.close()
+    reader.cut()
+    return "\n\n".join(reader.out)
+
+
+def test_given_pages_against_another_extractor():
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()
+    assert [p["page_id"] for p in pages if html_text.main_text(p["html"]) != article_by_parser(p["html"])] == []
+
+
+@pytest.mark.parametrize("part", ["<a ", '<p title="x', '<p ">" ', "<div>", "<svg>", "<!-- ", "</a ", "&amp;", "<p class='", "<![CDATA[", "</div>", "<title>", 'class="'])
+def test_pages_of_a_megabyte_are_read_in_one_pass(part):
+    import time
+
+    began = time.perf_counter()
+    html_text.main_text(part * (1_000_000 // len(part)))
+    assert time.perf_counter() - began < 5  # the quadratic reading took hours
+
+
+def test_columns_that_differ_in_capitals(spark):
+    pages = spark.createDataFrame([(1, "<p>a</p>", "http://a.org/x", "T", 5, "H", "R")], "page_id long, HTML string, url string, Text string, N_chars int, Host string, RULE string")
+    assert html_text.extract_text(pages).columns == ["page_id", "url", "Host", "RULE", "text", "n_chars"]
+    rules = spark.createDataFrame(RULES, url_filter.RULES)
+    out = url_filter.filter_urls(pages, rules)
+    assert out.columns == ["page_id", "HTML", "url", "Text", "N_chars", "host", "path", "rule", "verdict"] and out.first().host == "a.org"
+
+
 def test_extract_text(spark):
     schema = "page_id long, url string, html string, text string, n_chars int, extra map<string,int>"
     pages = spark.createDataFrame([(1, "u", "<article><p>a b</p></article>", "old", 1, {"a": 1}), (2, None, None, None, None, None), (2, None, None, None, None, None), (None, "v", "", None, None, None)], schema)
@@ -114,6 +206,44 @@ def test_embedding_links(spark, block):
     assert found == want(rows)
 
 
+@pytest.mark.parametrize("common", [0.0, 0.5, 2.0, 3.0, 4.0])
+def test_embedding_links_of_vectors_that_share_a_direction(spark, common):
+    """At 2 : 1 the common part alone makes a cosine of 0.8, at 4 : 1 of 0.94. A fifth of the vectors is a copy with a cosine around the limit."""
+    r, n, dims = np.random.default_rng(4), 900, 64
+    axis = r.normal(size=dims)
+    own = common * axis / np.linalg.norm(axis) + r.normal(size=(n, dims)) / np.sqrt(dims)
+    for i in range(0, n, 5):
+        other = own[(i + 1) % n]
+        noise = r.normal(size=dims)
+        noise -= noise @ other / (other @ other) * other
+        c = r.uniform(0.93, 0.95)
+        own[i] = other / np.linalg.norm(other) + noise / np.linalg.norm(noise) * np.sqrt(1 / c**2 - 1)
+    rows = [(i, [float(x) for x in v.astype("f4")], "ab"[i // 450]) for i, v in enumerate(own)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")
+    found = {x.vec_id: (x.n_links, x.component_id, x.kept) for x in embedding_dedup.embedding_links(frame, block=300).collect()}
+    expected = want(rows)
+    links = sum(x[0] for x in expected.values())
+    assert links >= 300 and all(found[i][0] <= expected[i][0] for i in found)
+    assert sum(x[0] for x in found.values()) >= 0.99 * links
+    assert sum(found[i][1] == expected[i][1] for i in found) >= 0.99 * n
+
+
+def test_embedding_tables_lose_no_more_than_planned():
+    r = np.random.default_rng(6)
+    sample = embedding_dedup.unit(r.normal(size=(3000, 64)))
+    model = embedding_dedup.fit(sample)
+    a = sample[:2000]
+    noise = r.normal(size=a.shape)
+    noise -= np.einsum("ij,ij->i", noise, a)[:, None] * a
+    b = 0.93 * a + np.sqrt(1 - 0.93**2) * embedding_dedup.unit(noise)
+    for n in (1 << 10, 1 << 16, 1 << 22):
+        bits, tables, radius = embedding_dedup.plan(n, round(1.05 * embedding_dedup.differing(0.93, 0.5), 3))
+        x, y = (embedding_dedup.keys(embedding_dedup.codes(v, model), bits, tables) for v in (a, b))
+        near = np.bitwise_count(embedding_dedup.codes(a, model)[:, 0] ^ embedding_dedup.codes(b, model)[:, 0]) <= radius
+        assert ((x == y).any(axis=1) & near).mean() >= 0.995, n
+        assert (x != np.roll(x, 1, axis=0)).mean() > 1 - 2 / 2**bits  # and buckets divide what isn't alike
+
+
 def test_embedding_links_of_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     one = [1.0] + [0.0] * 9

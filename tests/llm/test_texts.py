@@ -8,6 +8,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -89,6 +90,32 @@ def test_token_files_have_row_indexes_and_bloom_filters(spark, docs):
     assert blooms[1] is not None and blooms[1].getBloomFilterCount() == 1 and blooms[4] is None
 
 
+def test_token_files_are_skipped_by_statistics_and_bloom_filters(spark):
+    """Even ids in several row groups of one file: the statistics of groups exclude far ids, Bloom filters the odd ones between."""
+    path, first = new_path(spark, "t"), 1 << 40  # what is passed to the reader as a long
+    docs = spark.range(first, first + 9000, 2).select(F.col("id").alias("doc_id"), F.concat(F.lit("one two "), F.col("id").cast("string")).alias("text"))
+    token_files.write_tokens(docs, path, WORD, files=1)
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    file = next(p for p in Path(path.removeprefix("file://")).glob("*.orc"))
+    reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(file)), jvm.org.apache.orc.OrcFile.readerOptions(spark.sparkContext._jsc.hadoopConfiguration()))
+    builder = jvm.org.apache.hadoop.hive.ql.io.sarg.SearchArgumentFactory.newBuilder
+    kind = jvm.org.apache.hadoop.hive.ql.io.sarg.PredicateLeaf.Type.LONG
+
+    def read(i):
+        columns = gateway.new_array(jvm.java.lang.String, 1)
+        columns[0] = "doc_id"
+        rows = reader.rows(reader.options().searchArgument(builder().equals("doc_id", kind, first + i).build(), columns))
+        batch, n = reader.getSchema().createRowBatch(), 0
+        while rows.nextBatch(batch):
+            n += batch.count()
+        return n
+
+    assert reader.getNumberOfRows() == 4500
+    assert read(4000) == token_files.ROWS and read(20_000) == 0
+    assert sum(read(i) == 0 for i in range(1, 2000, 100)) >= 18
+    assert [r.doc_id for r in token_files.read_tokens(spark, path, [first + 4000, first + 4001]).collect()] == [first + 4000]
+
+
 def test_byte_bpe(docs, none):
     import base64
 
@@ -116,6 +143,17 @@ def test_parts_of_a_long_text_have_the_ids_of_the_whole(most):
         assert [i for p in parts for i in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
 
 
+def test_other_patterns_are_never_cut(spark):
+    import tiktoken
+
+    other = r"[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]|\s+(?!\S)|\s+"
+    text = "Hello!\nWorld 12345 " * 6000
+    enc = tiktoken.Encoding("t", pat_str=other, mergeable_ranks=byte_bpe.coder(RANKS, PATTERN)[0]._mergeable_ranks, special_tokens={})
+    (row,) = byte_bpe.encode(spark.createDataFrame([(1, text)], "doc_id long, text string"), RANKS, other).collect()
+    assert row.ids == enc.encode_ordinary(text)
+    assert PATTERN in byte_bpe.CUTS and list(byte_bpe.safe_parts(text, pattern=other)) == [text] and len(list(byte_bpe.safe_parts(text))) > 1
+
+
 def test_token_counts_and_cache(spark, docs, none):
     encode, cache = library(), new_path(spark, "c")
     want = sorted(((r[0], len((r[1] or "").encode()), n := len(encode(r[1])), n > 2048) for r in rows()), key=repr)
@@ -127,6 +165,24 @@ def test_token_counts_and_cache(spark, docs, none):
     assert got(token_counts.count_tokens(docs, WORD, cache)) == want
     assert spark.read.parquet(cache).count() == entries.count()
     assert token_counts.count_tokens(none, WORD, new_path(spark, "c")).count() == 0
+    assert token_counts.count_tokens(none, WORD, cache).count() == 0
+
+
+def test_the_cache_is_read_for_its_tokenizer_and_digests(spark, docs, monkeypatch):
+    cache, other = new_path(spark, "c"), public_tokenizers.path("byte_bpe_50k.json")
+    count = lambda path: {(r.doc_id, r.n_bytes): r.n_tokens for r in token_counts.count_tokens(docs, path, cache).collect()}
+    first, second = count(WORD), count(other)
+    entries = spark.read.parquet(cache)
+    assert len([p for p in Path(cache.removeprefix("file://")).iterdir() if p.name.startswith("tokenizer=")]) == 2
+    for small in (token_counts.SMALL, 0):
+        monkeypatch.setattr(token_counts, "SMALL", small)
+        assert (count(WORD), count(other)) == (first, second)
+    assert spark.read.parquet(cache).count() == entries.count()
+    # A stored count is what is returned: nothing is encoded again.
+    wrong = spark.read.parquet(cache).withColumn("n_tokens", F.lit(7).cast("long"))
+    cache = new_path(spark, "c")
+    wrong.write.partitionBy("tokenizer").parquet(cache)
+    assert set(count(WORD).values()) == {7}
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model"])
@@ -162,6 +218,12 @@ def test_exact_dedup(spark, docs, none):
     assert exact_dedup.exact_groups(none).count() == exact_dedup.exact_dedup(none).count() == 0
 
 
+def test_exact_dedup_of_other_ids(spark):
+    docs = spark.createDataFrame([("b", "x y"), ("a", "xy"), (None, "x y"), ("c", "x y"), ("d", None), ("e", "")], "doc_id string, text string")
+    assert got(exact_dedup.exact_groups(docs).drop("text_sha256")) == sorted([("b", "b", 4, True), ("a", "b", 4, False), (None, "b", 4, False), ("c", "b", 4, False), ("d", "d", 2, True), ("e", "d", 2, False)], key=repr)
+    assert sorted(r.doc_id for r in exact_dedup.exact_dedup(docs).collect()) == ["b", "d"]
+
+
 def test_exact_dedup_compares_contents_where_digests_collide(spark, monkeypatch):
     from pyspark.sql import functions as F
 
@@ -200,6 +262,25 @@ def test_simhash(docs, none):
     assert simhash.simhash_components(none).count() == simhash.simhash_dedup(none).count() == 0
 
 
+def test_one_row_stays_of_each_group_whatever_its_ids(spark):
+    text, near, other = "a b c d e f g h i j k l m n o p", "A b c d e f g h i j k l m n o  p", "something else that is not like the first at all"
+    rows_ = [(1, text, {"x": 1}), (None, near, None), (None, text, None), (7, near, None), (7, other, None), (7, other, None), (8, other, {"y": 2}), (None, "alone and of no id", None)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, id map<string,int>").repartition(3)
+    out = simhash.simhash_dedup(docs)
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted([(1, text), (7, other), (None, "alone and of no id")], key=repr)
+
+
+def test_a_very_long_text(spark):
+    r = random.Random(12)
+    text = " ".join(r.choice(("the", "river", "rose", "and", "fell", "again", "été")) for _ in range(300_000))
+    docs = spark.createDataFrame([(1, text, "en"), (2, text.upper(), "en")], "doc_id long, text string, lang string")
+    found = {x.doc_id: x.fingerprint for x in simhash.simhash_components(docs).collect()}
+    assert found[1] == f"{brute_fingerprint(text):016x}" and found[2] == f"{brute_fingerprint(text.upper()):016x}"
+    out = {x.doc_id: x for x in language_id.predict(docs, language_id.prototypes(docs), ["doc_id"]).collect()}
+    assert {x.lang_pred for x in out.values()} == {"en"} and out[1].score == pytest.approx(out[2].score)
+
+
 @pytest.mark.parametrize("block", [3, 1000])
 def test_simhash_links_reach_all_that_brute_force_does(spark, block):
     r = np.random.default_rng(3)
@@ -311,9 +392,65 @@ def test_mixing(spark, docs, none):
     assert mixing.mix_plan(none).count() == mixing.mix(none).count() == 0
 
 
+def brute_taken(data, plan, blocks, seed):
+    """taken and the number of copies of each document by the rule, from sizes, targets and block hashes."""
+    out = {}
+    by_source = {}
+    for x in plan:
+        by_source.setdefault(data[x.doc_id], []).append(x)
+    for rows_ in by_source.values():
+        size, target = rows_[0].source_size, rows_[0].target
+        passes = int(target // size) if size else 0
+        due, last = max(0, round(target - passes * size)), {}
+        for b in sorted({blocks[x.doc_id][0] for x in rows_}):
+            own = sorted((x for x in rows_ if blocks[x.doc_id][0] == b), key=lambda x: (blocks[x.doc_id][1], x.doc_id))
+            if due > 0:
+                before = 0
+                for x in own:
+                    last[x.doc_id] = int(before + x.size / 2 <= due)
+                    before += x.size
+            due -= sum(x.size for x in own)
+        missed = max(0, round(target - passes * size)) - sum(x.size for x in rows_ if last.get(x.doc_id))
+        able = [x for x in rows_ if missed and 0 < x.size < 2 * abs(missed) and bool(last.get(x.doc_id)) == (missed < 0)]
+        odd = min(able, key=lambda x: (abs(abs(missed) - x.size), blocks[x.doc_id][2], x.doc_id), default=None)
+        for x in rows_:
+            out[x.doc_id] = passes + last.get(x.doc_id, 0) + ((1 if missed > 0 else -1) if odd is x else 0)
+    return out
+
+
+@pytest.mark.parametrize("group", [mixing.GROUP, 2])
+def test_the_mix_comes_through_the_tree(spark, monkeypatch, group):
+    monkeypatch.setattr(mixing, "GROUP", group)
+    r = random.Random(5)
+    data = [(i, " ".join(["w"] * r.randrange(1, 30)), r.choice("aaaabbcde")) for i in range(2500)]
+    frame = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(3)
+    plan = mixing.mix_plan(frame).collect()
+    hashed = frame.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(mixing.SEED)), F.lit(mixing.BLOCKS)), F.xxhash64("doc_id", F.lit(mixing.SEED + 1)), F.xxhash64("doc_id", F.lit(mixing.SEED + 3))).collect()
+    blocks = {x[0]: tuple(x[1:]) for x in hashed}
+    source = {i: s for i, _, s in data}
+    copies = brute_taken(source, plan, blocks, mixing.SEED)
+    assert {x.doc_id: len(x.shards) for x in plan} == copies and all(x.taken == copies[x.doc_id] * x.size for x in plan)
+    # Of a source, one pass's blocks go whole to one shard each, in the order of shards; shards get even numbers of blocks of all sources.
+    quota = {}
+    for x in plan:
+        for turn, shard in enumerate(x.shards):
+            quota.setdefault((source[x.doc_id], turn, blocks[x.doc_id][0]), set()).add(shard)
+    for s in "abcde":
+        order = [quota[k] for k in sorted(k for k in quota if k[0] == s)]
+        alone = [min(x) for x in order if len(x) == 1]
+        assert len(order) - len(alone) <= 2 and sum(a > b for a, b in zip(alone, alone[1:])) <= 1  # but for one document added or left out
+    n = np.bincount([min(x) for x in quota.values()], minlength=mixing.SHARDS)
+    assert np.ptp(n) <= 16 and (n > 0).all()
+    again = {x.doc_id: x for x in mixing.mix_plan(frame, seed=mixing.SEED + 100).collect()}
+    assert all(again[x.doc_id].target == pytest.approx(x.target) for x in plan) and any(again[x.doc_id].shards != x.shards for x in plan)
+
+
 def test_split_quotas():
     quotas = np.array([1000, 0, 37, 5000, 1])
     out = mixing.split_quotas(quotas, 13, 4)
     assert (out.sum(axis=0) == quotas).all() and (out >= 0).all()
     assert np.ptp(out.sum(axis=1)) <= 4
-    assert np.array_equal(out, mixing.split_quotas(quotas, 13, 4))
+    assert np.array_equal(out, mixing.split_quotas(quotas, 13, 4)) and not np.array_equal(out, mixing.split_quotas(quotas, 13, 5))
+    due = np.array([6000, 0, 38])
+    out = mixing.split_quotas(quotas, 3, 4, due)
+    assert (out.sum(axis=0) == quotas).all() and (out.sum(axis=1) == due).all()
