@@ -151,7 +151,7 @@ ORACLE_SQL = {
     "hamming_eq2": f"with {found(2)} select pattern_id, doc_id, x from located where mismatches = 2",
     "seed_extend": f"with {found(2)} select located.* from located join docs using (doc_id) join patterns using (pattern_id) where substr(text, located.x + 5, 8) = substr(pattern, 5, 8)",
     "occurrence_check": f"""with {found(1)}, further as (select pattern, substr(text, located.x + 2, {PATTERN}) as seen from located join docs using (doc_id) join patterns using (pattern_id))
-        select count(*) as violations from further where length(seen) < {PATTERN} or hamming(seen, pattern) > 1""",
+        select count(*) as violations from further where length(seen) < {PATTERN} or len(list_filter(range(1, {PATTERN + 1}), lambda j: substr(seen, j, 1) <> substr(pattern, j, 1))) > 1""",
     "extend_left": f"with {found(0)}, {AROUND} select pattern_id, before as ch, count(*) as n_occ from around where before is not null group by pattern_id, before",
     "extend_right": f"with {found(0)}, {AROUND} select pattern_id, after as ch, count(*) as n_occ from around where after is not null group by pattern_id, after",
     "left_maximal": f"with {found(0)}, {AROUND} select pattern_id, count(distinct coalesce(before, '')) as n_chars, count(distinct coalesce(before, '')) > 1 as maximal from around group by pattern_id",
