@@ -25,7 +25,7 @@ def test_the_stages_against_brute_force(spark):
     assert list(found) == ["language", "exact_dedup", "simhash_dedup", "mix", "byte_bpe"]
 
     docs = written(found["language"](spark, frame, ""), "a")
-    own = [r for r in own if any(c.isalpha() for c in r[1] or "")]
+    own = [r for r, k in zip(own, brute_identified([r[1] for r in own], [r[2] for r in own])) if k]
     assert docs.columns == frame.columns and sorted(map(repr, map(tuple, docs.collect()))) == sorted(map(repr, own))
 
     docs = written(found["exact_dedup"](spark, docs, ""), "b")
@@ -55,13 +55,108 @@ def test_the_stages_against_brute_force(spark):
     assert sorted((r.doc_id, r.n_tokens) for r in out) == sorted((r.doc_id, len(enc.encode_ordinary(text[r.doc_id]))) for r in mixed.collect())
 
 
+def brute_scores(texts, labels):
+    """Language, score and number of n-grams of each text by letter vectors in plain loops, and prototypes of the labelled ones."""
+    import numpy as np
+
+    signs = language_id.letters()[language_id.N - 1]
+    symbol = lambda c: int(language_id.alphabet()[ord(c)]) if ord(c) < 0x10000 else (60 + ord(c) % 68 if c.isalpha() else 0)
+    vectors, sizes = [], []
+    for text in texts:
+        line = [0]
+        for c in (text or "").lower() + " ":
+            if symbol(c) or line[-1]:
+                line.append(symbol(c))
+        if not any(line):
+            vectors.append(None)
+            sizes.append(0)
+            continue
+        total, seen = np.zeros(language_id.SIZE), {}
+        for i in range(len(line) - 2):
+            gram = tuple(line[i : i + 3])
+            if gram not in seen:
+                a, b, c = gram
+                seen[gram] = np.roll(signs[a], 2) * np.roll(signs[b], 1).astype("i8") * signs[c]
+            total += seen[gram]
+        vectors.append(total)
+        sizes.append(len(line) - 2)
+    names = sorted({k for k, v in zip(labels, vectors) if k is not None and v is not None})
+    known = {k: sum(v for v, own in zip(vectors, labels) if own == k and v is not None) for k in names}
+    out = []
+    for v, n in zip(vectors, sizes):
+        if v is None or not names:
+            out.append(("und", 0.0, n))
+            continue
+        cosines = [float(v @ known[k] / np.linalg.norm(v) / np.linalg.norm(known[k])) for k in names]
+        out.append((names[int(np.argmax(cosines))], min(1.0, max(0.0, max(cosines))), n))
+    return out
+
+
+def brute_identified(texts, labels):
+    """Which texts the language stage keeps."""
+    scored = brute_scores(texts, labels)
+    bands = {}
+    for (lang, score, n), own in zip(scored, labels):
+        if n >= 64 and own is not None and lang != "und":
+            bands.setdefault((n.bit_length() - 1) // 2, []).append(int(score * 1000))
+    level = {k: 0.5 * sorted(v)[-(-len(v) // 2) - 1] / 1000 for k, v in bands.items()}
+    return [lang != "und" and (n < 64 or score >= level.get((n.bit_length() - 1) // 2, 0)) for lang, score, n in scored]
+
+
+def language_cases():
+    import random
+
+    r = random.Random(3)
+    said = {"en": "the and of with that have this water stone there".split(), "fr": "les des une avec pour été était dans même où".split()}
+    out = [(" ".join(r.choice(said[k]) for _ in range(r.randrange(1, 90))), k) for k in said for _ in range(40)]
+    out += [("zqx " * 120, "en"), ("ω ψ ξ " * 60, None), ("Kkkk. " * 80, "fr"), ("12 34", "en"), ("", None), (None, "fr"), ("the", None)]
+    return [(i, t, k, "s", None) for i, (t, k) in enumerate(out)]
+
+
+PLAIN = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_predictions_against_plain_loops(spark):
+    own = language_cases()
+    frame = spark.createDataFrame(own, PLAIN).repartition(3)
+    found = {x.doc_id: x for x in language_id.predict(frame, language_id.prototypes(frame), ["doc_id"], count=True).collect()}
+    for (i, *_), (lang, score, n) in zip(own, brute_scores([r[1] for r in own], [r[2] for r in own])):
+        assert (found[i].lang_pred, found[i].n_grams) == (lang, n) and found[i].score == pytest.approx(score, abs=1e-4)
+
+
+def test_language_stage_drops_what_no_language_resembles(spark):
+    own = language_cases()
+    kept = [r[0] for r, k in zip(own, brute_identified([r[1] for r in own], [r[2] for r in own])) if k]
+    out = corpus_pipeline.language_stage(spark, spark.createDataFrame(own, PLAIN).repartition(3), "")
+    assert sorted(r.doc_id for r in out.collect()) == kept
+    assert {80, 81, 82} & set(kept) == set() and set(range(80)) | {86} <= set(kept)
+
+
+def test_stages_on_empty_tables_and_ids_of_any_kind(spark):
+    none = spark.createDataFrame([], PLAIN)
+    odd = spark.createDataFrame([(None, "one two three four five six", "en", None, None), (None, None, None, "a", 1), (3, "one two three four five six", None, "a", 1), (3, "one two three four five six", None, "a", 1), (3, "", "en", "b", None)], PLAIN)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, none, "")
+        assert out.count() == 0 and (name == "byte_bpe" or out.columns == none.columns), name
+    kept = {name: stage(spark, odd, "") for name, stage in corpus_pipeline.STAGES}
+    assert kept["language"].count() == 3 and kept["byte_bpe"].count() == 5
+    assert sorted((r.doc_id, r.text) for r in kept["exact_dedup"].collect() if r.text) == [(3, "one two three four five six")] and kept["exact_dedup"].count() == 2
+    assert sorted((r.doc_id, r.text) for r in kept["simhash_dedup"].collect()) == [(3, ""), (3, "one two three four five six")]
+
+
 def test_language_stage_without_labels_keeps_what_has_letters(spark):
     frame = spark.createDataFrame([(1, "abc", None, None, 1), (2, "12", None, None, 1), (3, None, None, None, 1)], "doc_id long, text string, lang string, source string, n_chars long")
     assert [r.doc_id for r in corpus_pipeline.language_stage(spark, frame, "").collect()] == [1]
 
 
 def test_run_over_the_smallest_tables(spark):
+    from gramweave.llm.shared import new_path
+
+    folder = Path(new_path(spark, "x").removeprefix("file://")).parent
+    before = {p.name for p in folder.iterdir()} if folder.exists() else set()
     out = corpus_pipeline.run(spark, str(SMALL))
+    left = {p.name for p in folder.iterdir()} - before
+    assert len([n for n in left if n.startswith(("pipeline-", "scratch-"))]) == 1, left  # the result
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and 100 < out.count() < 400
 
 
