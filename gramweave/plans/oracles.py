@@ -129,6 +129,9 @@ ORACLE_SQL = {
     "gfa_nodes": f"with {GFA} select * from gfa_nodes",
     "gfa_links": f"with {GFA} select * from gfa_links",
     "gfa_units": f"with {GFA} select distinct src || ',' || dst as ids, a || '>' || b as parts, coalesce(lctx, 'N') as lctx, coalesce(rctx, '$') as rctx from turned left join gfa_lefts on src = gfa_lefts.node_id left join gfa_rights on dst = gfa_rights.node_id",
+    "index_grams": f"with {ASKS}, {grams('qg', 'asks', 'query_id', PATTERN)} select query_id, pos, gram from qg",
+    "text_durations": """with times as (select doc_id, length(text) // 15 as s from documents where text is not null)
+        select doc_id, case when s >= 3600 then (s // 3600) || 'h ' || (s % 3600 // 60) || 'm ' || (s % 60) || 's' when s >= 60 then (s // 60) || 'm ' || (s % 60) || 's' else s || 's' end as reading from times""",
     "mem_lines": f"{MEM} select x || ',' || i || ',' || d as value from islands",
     "mem_open": f"{MEM} select * from islands",
     "mem_symmetric": f"{STRICT} select islands.* from islands join docs using (doc_id) join asks using (query_id) where x > 0 and i > 0 and x + d < length(docs.text) and i + d < length(asks.text)",
@@ -159,6 +162,7 @@ ORACLE_SQL = {
     "pattern_sample": f"with {SAMPLE} select * from patterns",
     "pattern_pieces": f"with {PATTERNS} select * from patterns",
     "graph_units": f"with {NODES} select ids, array_to_string(parts, '>') as parts, lctx, rctx from edge_units",
+    "unit_offsets": f"with {NODES} select node_id::varchar as ids, (coalesce(sum(length(label) + 3) over (order by node_id rows between unbounded preceding and 1 preceding), 0) + 2)::bigint as \"offset\" from nodes",
     "graph_contexts": f"with {NODES} select * from contexts",
     "graph_paths": f"with {NODES} select ids, array_to_string(parts, '>') as parts, lctx, rctx from path_units",
     "graph_mem_nodes": f"with {graph_mems('node')} select * from mems",

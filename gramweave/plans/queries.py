@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gramweave.functions.strings import duration
 from gramweave.operators import graph, locate, mem, suffix, vectors
 from gramweave.sources import texts as src
 from gramweave.sources.tables import shared_path
@@ -114,6 +115,20 @@ def gfa_units(spark, sf_dir):
     return _units(*gfa_graph(spark, sf_dir), "edges")
 
 
+def index_grams(spark, sf_dir):
+    """The grams of the passages from a stored index, built by the first call and read by the second."""
+    rows, folder = passages(spark, sf_dir), shared_path(spark, "index")
+    build = lambda rows: src.kmers(rows, "query_id", "text", PATTERN)
+    for _ in range(2):
+        found = src.cached_index(rows, ["query_id", "text"], folder, build)
+    return found
+
+
+def text_durations(spark, sf_dir):
+    """What reading each document takes at 15 characters a second."""
+    return documents(spark, sf_dir).where("text is not null").select("doc_id", duration(F.floor(F.length("text") / 15)).alias("reading"))
+
+
 def mem_lines(spark, sf_dir):
     return src.match_lines(mem_open(spark, sf_dir))
 
@@ -196,6 +211,10 @@ def units(kind):
     return lambda spark, sf_dir: _units(*passage_graph(spark, sf_dir), kind)
 
 
+def unit_offsets(spark, sf_dir):
+    return _flat(graph.unit_offsets(graph.graph_units(*passage_graph(spark, sf_dir), "nodes"))).select("ids", "offset")
+
+
 def graph_contexts(spark, sf_dir):
     return graph.contexts(*passage_graph(spark, sf_dir))
 
@@ -274,6 +293,8 @@ QUERIES = {
     "gfa_nodes": gfa_nodes,
     "gfa_links": gfa_links,
     "gfa_units": gfa_units,
+    "index_grams": index_grams,
+    "text_durations": text_durations,
     "mem_lines": mem_lines,
     "mem_open": mem_open,
     "mem_symmetric": mem_symmetric,
@@ -300,6 +321,7 @@ QUERIES = {
     "pattern_sample": pattern_sample,
     "pattern_pieces": patterns,
     "graph_units": units("edges"),
+    "unit_offsets": unit_offsets,
     "graph_contexts": graph_contexts,
     "graph_paths": units("paths"),
     "graph_mem_nodes": graph_mems("nodes"),
