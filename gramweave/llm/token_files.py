@@ -44,7 +44,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
                 yield pa.record_batch([batch.column(0).slice(at, 1024), pa.array(np.diff(own)), tokens], names=["doc_id", "n_tokens", "tokens"])
 
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
-    dealt = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
+    # The text's beginning too, so that rows with one id, or none, can be dealt to several tasks.
+    dealt = rows.repartitionByRange(files, "doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     place = F.monotonically_increasing_id()  # the number of the partition, shifted by 33 bits, and the row in it
     (
         dealt.mapInArrow(encoded, f"doc_id {kind}, n_tokens long, tokens array<int>")
