@@ -31,7 +31,7 @@ from .shared import slices, written
 N, SYMBOLS, SIZE, SEED = 3, 128, 1024, 7
 UNKNOWN = "und"
 #: The share of the median score that a text needs, and the n-grams from which it is asked for.
-LEVEL, LEAST = 0.5, 64
+LEVEL, LEAST = 0.5, 256
 #: n-gram vectors that a worker remembers within a task, 1 KB each.
 MOST_GRAMS = 24_000
 

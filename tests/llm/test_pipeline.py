@@ -97,10 +97,10 @@ def brute_identified(texts, labels):
     scored = brute_scores(texts, labels)
     bands = {}
     for (lang, score, n), own in zip(scored, labels):
-        if n >= 64 and own is not None and lang != "und":
+        if n >= language_id.LEAST and own is not None and lang != "und":
             bands.setdefault((n.bit_length() - 1) // 2, []).append(int(score * 1000))
     level = {k: 0.5 * sorted(v)[-(-len(v) // 2) - 1] / 1000 for k, v in bands.items()}
-    return [lang != "und" and (n < 64 or score >= level.get((n.bit_length() - 1) // 2, 0)) for lang, score, n in scored]
+    return [lang != "und" and (n < language_id.LEAST or score >= level.get((n.bit_length() - 1) // 2, 0)) for lang, score, n in scored]
 
 
 def language_cases():
