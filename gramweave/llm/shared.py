@@ -118,11 +118,18 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 
-def one_each(docs: DataFrame, heads: DataFrame, names: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of docs that heads (id, text_hash: XXH64 of the text) name, one for each, with the columns of docs. names: id and text_hash of all rows."""
+def one_each(docs: DataFrame, id_col: str, text_col: str, find) -> DataFrame:
+    """The rows of docs that find() names, one for each, with the columns of docs.
+
+    find() gives heads (id, text_hash: XXH64 of the text) and the same of all rows. Its tables are deleted when the heads are written.
+    """
+    spark, path = docs.sparkSession, new_path(docs.sparkSession, "heads")
+    with scratch(spark):
+        heads, names = find()
+        heads.distinct().write.parquet(path)
+        repeated = not names.groupBy("id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+        schema = heads.schema
+    heads = spark.read.schema(schema).parquet(path)
     whole = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"))
-    heads = written(heads.distinct(), "heads")
     met = whole.join(heads, whole["id"].eqNullSafe(heads["id"]) & (whole["text_hash"] == heads["text_hash"]), "left_semi")
-    if not names.groupBy("id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():  # repeated rows
-        met = met.dropDuplicates(["id", "text_hash"])
-    return met.select("row.*")
+    return (met.dropDuplicates(["id", "text_hash"]) if repeated else met).select("row.*")

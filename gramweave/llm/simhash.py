@@ -145,8 +145,12 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bits: int = BITS, block: int = BLOCK) -> DataFrame:
     """The rows of docs that name their component (least id, then text): one document of each group of near copies, with the columns of docs."""
-    rows = written(fingerprints(docs, id_col, text_col, words, F.xxhash64(text_col).alias("text_hash")), "simhash")
-    least = rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("least"))
-    parts = connected(links(least.select("fp"), bits, block)).withColumnRenamed("node", "fp")
-    heads = least.join(parts, "fp", "left").groupBy(F.coalesce("component", "fp").alias("component")).agg(F.min("least").alias("head"))
-    return one_each(docs, heads.select("head.id", "head.text_hash"), rows, id_col, text_col)
+
+    def find() -> tuple[DataFrame, DataFrame]:
+        rows = written(fingerprints(docs, id_col, text_col, words, F.xxhash64(text_col).alias("text_hash")), "simhash")
+        least = rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("least"))
+        parts = connected(links(least.select("fp"), bits, block)).withColumnRenamed("node", "fp")
+        heads = least.join(parts, "fp", "left").groupBy(F.coalesce("component", "fp").alias("component")).agg(F.min("least").alias("head"))
+        return heads.select("head.id", "head.text_hash"), rows
+
+    return one_each(docs, id_col, text_col, find)
