@@ -37,6 +37,45 @@ def written(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def buckets(spark: SparkSession) -> int:
+    """Into how many buckets tables are dealt: as many as the session's shuffles have partitions."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bucketed(rows: DataFrame, path: str, keys: list[str], n: int) -> DataFrame:
+    """The rows from a table at path, dealt to n buckets by keys and sorted by them in each. Joins and groups on these keys read it without a shuffle."""
+    spark, name = rows.sparkSession, f"gramweave_{uuid.uuid4().hex}"
+    rows.repartition(n, *keys).write.format("parquet").bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    return _resolved(spark, name)
+
+
+def open_bucketed(spark: SparkSession, path: str, keys: list[str], n: int) -> DataFrame:
+    """A table that bucketed() wrote, in this session or in an earlier one."""
+    name, by = f"gramweave_{uuid.uuid4().hex}", ", ".join(f"`{k}`" for k in keys)
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+    spark.sql(f"create table {name} ({columns}) using parquet clustered by ({by}) sorted by ({by}) into {n} buckets location '{path}'")
+    return _resolved(spark, name)
+
+
+def _resolved(spark: SparkSession, name: str) -> DataFrame:
+    """The table without its name in the catalog: it is external, so its files stay."""
+    out = spark.table(name)
+    spark.sql(f"drop table {name}")
+    return out
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """What a folder of any store holds, in order; nothing if there is none."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in fs.listStatus(where)) if fs.exists(where) else []
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a table of the shared folder, wherever that is stored."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
