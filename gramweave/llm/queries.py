@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, embedding_dedup, exact_dedup, html_text, language_id, mixing, simhash, token_counts, token_files, url_filter
+from . import byte_bpe, embedding_dedup, exact_dedup, html_text, language_id, line_dedup, mixing, simhash, token_counts, token_files, url_filter
 from .shared import new_path
 
 
@@ -76,6 +76,10 @@ def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def line_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_orc": token_orc,
     "op2_byte_bpe": bpe_round_trip,
@@ -87,12 +91,15 @@ QUERIES = {
     "op8_language_id": language,
     "op9_exact_dedup": exact_copies,
     "op10_simhash": simhash_groups,
+    "op13_line_dedup": line_copies,
 }
 
 _SPACE = r"[\x20\x09-\x0D]"
 _HOST = r"translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = r"regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1)"
 
+_A_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
 ORACLE_SQL = {
     "op7_url_filter": f"""
         with rules(rh, rp, verdict) as (values {", ".join(str(r) for r in URL_RULES)}),
@@ -110,4 +117,14 @@ ORACLE_SQL = {
         )
         select doc_id, keep_id, group_size, doc_id is not distinct from keep_id as kept, sha256(norm) as text_sha256 from found
     """,
+    "op13_line_dedup": f"""
+        with cut as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+        rows as (select doc_id, unnest(lines) as line, unnest(range(len(lines))) as place from cut),
+        keyed as (select *, translate(regexp_replace(line, '^{_SPACE}+|{_SPACE}+$', '', 'g'), {_A_Z}) as key from rows),
+        owners as (select key, min(doc_id) as owner from keyed where length(key) >= 10 group by key having count(distinct doc_id) >= 2),
+        found as (select keyed.*, owner is not null and owner <> doc_id as gone from keyed left join owners using (key))
+        select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) order by place) filter (where not gone), '')) as kept_sha256
+        from found group by doc_id
+    """,
 }
