@@ -279,16 +279,19 @@ def share(n: Column, total: Column, terms: Column) -> Column:
 
 
 def _distances(parts: DataFrame) -> DataFrame:
-    """lang, a, b, more: for pairs a < b of a tile's rows (lang, slots, lo, hi, block, source, slot, p, base), the sum over slots of |pa - pb| less that of their bases."""
+    """lang, a, b, more: for pairs a < b of a tile's rows (lang, slots, lo, hi, block, source, slot, p, base), the sum over slots of |pa - pb| less that of their bases.
+
+    Each group of the language has a row without a slot in each tile that it belongs to.
+    """
 
     def work(table: pa.Table) -> pa.Table:
         names = table["source"].combine_chunks().dictionary_encode()
-        slots = table["slot"].combine_chunks().dictionary_encode()
-        who = names.indices.to_numpy()
+        who, counted = names.indices.to_numpy(), table["slot"].is_valid().to_numpy()
+        slots = table["slot"].drop_null().combine_chunks().dictionary_encode()
         base, block = np.zeros(len(names.dictionary), "i8"), np.zeros(len(names.dictionary), "i8")
         base[who], block[who] = table["base"].to_numpy(), table["block"].to_numpy()
         p = np.repeat(base[:, None], len(slots.dictionary), axis=1)
-        p[who, slots.indices.to_numpy()] = table["p"].to_numpy()
+        p[who[counted], slots.indices.to_numpy()] = table["p"].drop_null().to_numpy()
         lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
         left, right, more = [], [], []
         for a in range(len(base)):
@@ -323,7 +326,9 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     own = counts.join(groups, ["lang", "source"]).withColumn("p", share(F.col("n"), F.col("total"), F.col("v")))
     meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("__other")
     tile = [F.least("block", "__other").alias("lo"), F.greatest("block", "__other").alias("hi")]
-    parts = own.select("*", F.floor(F.col("slot") / slots).alias("slots"), meets).select("lang", "slots", *tile, "block", "source", "slot", "p", "base")
+    every = groups.where("v > 0").withColumn("slots", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("v") - 1) / slots)))).withColumns({"slot": F.lit(None).cast("long"), "p": F.lit(None).cast("long")})
+    rows = own.withColumn("slots", F.floor(F.col("slot") / slots)).drop("n").unionByName(every.select("lang", "source", *[c for c in own.columns if c not in ("lang", "source", "slot", "n", "p")], "slots", "slot", "p"))
+    parts = rows.select("*", meets).select("lang", "slots", *tile, "block", "source", "slot", "p", "base")
     more = _distances(parts).groupBy("lang", "a", "b").agg(F.sum("more").alias("more"))
     more = written(more, "distances")
     both = more.unionByName(more.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "more"))
