@@ -2,7 +2,10 @@
 
 Long texts are cut before they are encoded, where the pattern always ends a piece: for the pattern of CUTS between a letter, number or punctuation
 mark and a space or line break, or between a letter and a number. No piece spans such a place, and what the pattern looks ahead for is white
-space, so the parts have the ids of the whole. A text without such a place stays whole, as do all texts under another pattern. Ids decode to raw bytes: a token may
+space, so the parts have the ids of the whole. A text without such a place stays whole, as do all texts under another pattern.
+
+The library's engine runs out of stack in white space of about a million characters. Under the pattern of CUTS a run of white space is one piece up to its last
+character if something else follows, and whole at the end of the text, so long runs are cut out and merged by the library as the pieces they are. Ids decode to raw bytes: a token may
 end inside a character, so only the bytes of all tokens together are UTF-8.
 
 Cases: a null text is an empty one, with no ids; repeated rows are encoded each for itself; an empty table gives an empty
@@ -30,6 +33,9 @@ CUTS = {
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+": r"(?<=[\p{L}\p{N}\p{P}])(?=[ \n])|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})",
 }
 
+#: White space as the library's engine knows it.
+RUNS = r"\p{White_Space}+"
+
 _open: dict[tuple[str, str], tuple] = {}
 
 
@@ -44,17 +50,30 @@ def coder(ranks: str, pattern: str):
     return _open[ranks, pattern]
 
 
-def safe_parts(text: str, most: int = LONG, pattern: str = next(iter(CUTS))) -> Iterator[str]:
-    """Parts of about `most` code points, cut only where a piece of the pattern ends whatever follows; the whole text if no such places are known."""
+def safe_parts(text: str, most: int = LONG, pattern: str = next(iter(CUTS))) -> Iterator[tuple[str, bool]]:
+    """Parts of about `most` code points, cut only where a piece of the pattern ends whatever follows, and whether a part is known to be one piece.
+
+    The whole text, if no such places are known.
+    """
     import regex
 
-    at = 0
-    if pattern in CUTS:
-        cut = regex.compile(CUTS[pattern])
-        while len(text) - at > most and (m := cut.search(text, at + most)):
-            yield text[at : m.start()]
+    if len(text) <= most or pattern not in CUTS:
+        yield text, False
+        return
+    cut, at = regex.compile(CUTS[pattern]), 0
+    for run in [m.span() for m in regex.finditer(RUNS, text) if m.end() - m.start() > most] + [(len(text), len(text))]:
+        while run[0] - at > most and (m := cut.search(text, at + most, run[0])):
+            yield text[at : m.start()], False
             at = m.start()
-    yield text[at:]
+        yield text[at : run[0]], False
+        at = run[1] - (run[1] < len(text))
+        if at > run[0]:
+            yield text[run[0] : at], True
+
+
+def part_ids(enc, part: str, whole: bool) -> list[int]:
+    """The ids of a part of safe_parts()."""
+    return enc._encode_single_piece(part.encode()) if whole else enc.encode_ordinary(part)
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -63,7 +82,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
     def work(batches):
         enc, _ = coder(ranks, pattern)
         for batch in slices(batches):
-            ids = [[i for p in safe_parts(t, pattern=pattern) for i in enc.encode_ordinary(p)] for t in batch.column(1).to_pylist()]
+            ids = [[i for p in safe_parts(t, pattern=pattern) for i in part_ids(enc, *p)] for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
 
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
@@ -96,7 +115,7 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id"
             for text in batch.column(1).to_pylist():
                 n, h, raw = 0, hashlib.sha256(), hashlib.sha256()
                 for part in safe_parts(text, pattern=pattern):
-                    ids = enc.encode_ordinary(part)
+                    ids = part_ids(enc, *part)
                     if ids:
                         h.update(((" " if n else "") + " ".join([decimal[i] for i in ids])).encode())
                     raw.update(enc.decode_bytes(ids))

@@ -139,8 +139,27 @@ def test_parts_of_a_long_text_have_the_ids_of_the_whole(most):
     for seed in range(30):
         text = long_text(seed, 60)
         parts = list(byte_bpe.safe_parts(text, most))
-        assert "".join(parts) == text
-        assert [i for p in parts for i in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
+        assert "".join(p for p, _ in parts) == text
+        assert [i for p in parts for i in byte_bpe.part_ids(enc, *p)] == enc.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("space", [" ", "\n", "\u3000", " \n\t", "\u00a0 "])
+def test_long_runs_of_white_space_have_the_ids_of_the_library(space):
+    enc, _ = byte_bpe.coder(RANKS, PATTERN)
+    for n in (byte_bpe.LONG - 1, byte_bpe.LONG, byte_bpe.LONG + 1, 3 * byte_bpe.LONG):
+        run = (space * n)[:n]
+        for text in (run, run + "word", "word" + run, "It's" + run + "'s 12" + run, run + "!" + run + "x" * 5, "a b " * 20_000 + run + "\x1c" + run + "日本"):
+            parts = list(byte_bpe.safe_parts(text))
+            assert "".join(p for p, _ in parts) == text
+            assert [i for p in parts for i in byte_bpe.part_ids(enc, *p)] == enc.encode_ordinary(text)
+
+
+def test_white_space_that_the_library_has_no_stack_for(spark):
+    texts = ["word" + " " * 5_000_000 + "word", "\n" * 2_000_000, " \n" * 1_000_000 + "é"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in byte_bpe.round_trip(docs, RANKS, PATTERN).collect()}
+    for i, text in enumerate(texts):
+        assert rows[i].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
 def test_other_patterns_are_never_cut(spark):
@@ -151,7 +170,7 @@ def test_other_patterns_are_never_cut(spark):
     enc = tiktoken.Encoding("t", pat_str=other, mergeable_ranks=byte_bpe.coder(RANKS, PATTERN)[0]._mergeable_ranks, special_tokens={})
     (row,) = byte_bpe.encode(spark.createDataFrame([(1, text)], "doc_id long, text string"), RANKS, other).collect()
     assert row.ids == enc.encode_ordinary(text)
-    assert PATTERN in byte_bpe.CUTS and list(byte_bpe.safe_parts(text, pattern=other)) == [text] and len(list(byte_bpe.safe_parts(text))) > 1
+    assert PATTERN in byte_bpe.CUTS and list(byte_bpe.safe_parts(text, pattern=other)) == [(text, False)] and len(list(byte_bpe.safe_parts(text))) > 1
 
 
 def test_token_counts_and_cache(spark, docs, none):
