@@ -4,10 +4,10 @@ Every letter has a random vector of signs. The vector of an n-gram binds (multip
 (rotated) by its place; a text bundles (adds) the vectors of its n-grams; a language's prototype bundles those of its texts.
 A text's language is the prototype with the largest cosine.
 
-`identified` keeps what has one of the languages: a text without a letter has none, and one that no prototype resembles (a word
-repeated over and over, or a language that no label names) scores far below others of its length. The level is learned from all rows
-with a label: LEVEL of the median score of those with about as many n-grams (by powers of four); below LEAST n-grams scores
-tell too little, and texts with a letter stay.
+`identified` keeps what has one of the languages: a text without a letter has none, and one that no prototype resembles (another script, or
+strings that no language has) scores far below others of its length. It judges language, not quality: words of a language repeated over and over stay. The level is one function of the number of
+n-grams n: LEVEL of the median score that rows with a label have at that length, as the line between the medians of lengths by powers of four, times n / (n + DOUBT),
+as the fewer n-grams a text has, the further scores of one language spread.
 
 Texts are lower-cased; letters of the Latin blocks have symbols of their own, other letters share symbols by their code, and
 everything else is one boundary symbol, runs of which are one. Texts count with all their n-grams, whatever their length.
@@ -30,10 +30,12 @@ from .shared import slices, written
 
 N, SYMBOLS, SIZE, SEED = 3, 128, 1024, 7
 UNKNOWN = "und"
-#: The share of the median score that a text needs, and the n-grams from which it is asked for.
-LEVEL, LEAST = 0.5, 256
+#: The share of the median score that a long text needs, and the n-grams at which half of that is asked for.
+LEVEL, DOUBT = 0.25, 512
 #: n-gram vectors that a worker remembers within a task, 1 KB each.
 MOST_GRAMS = 24_000
+#: Distinct n-grams of a language that a worker counts before it bundles them.
+MOST_COUNTED = 200_000
 
 
 @lru_cache(1)
@@ -120,15 +122,25 @@ def prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
 
     def bundle(batches):
         found: dict[str, dict[int, int]] = {}
+        sums: dict[str, np.ndarray] = {}
+
+        def add(lang: str) -> None:
+            own = found.pop(lang)
+            grams, counts = np.fromiter(own.keys(), "i8", len(own)), np.fromiter(own.values(), "i8", len(own))
+            total = sum(counts[i : i + 4096] @ _bind(grams[i : i + 4096]).astype("i8") for i in range(0, len(grams), 4096))
+            sums[lang] = sums[lang] + total if lang in sums else total
+
         for batch in slices(batches):
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if p := profile(text):
                     own = found.setdefault(lang, {})
                     for g, n in zip(p[0].tolist(), p[1].tolist(), strict=True):
                         own[g] = own.get(g, 0) + n
-        for lang, own in found.items():
-            grams, counts = np.fromiter(own.keys(), "i8", len(own)), np.fromiter(own.values(), "i8", len(own))
-            total = sum(counts[i : i + 4096] @ _bind(grams[i : i + 4096]).astype("i8") for i in range(0, len(grams), 4096))
+                    if len(own) > MOST_COUNTED:
+                        add(lang)
+        for lang in list(found):
+            add(lang)
+        for lang, total in sums.items():
             yield pa.record_batch([pa.array([lang] * SIZE, pa.string()), pa.array(range(SIZE), pa.int32()), pa.array(total, pa.int64())], names=["lang", "at", "sum"])
 
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(text_col), F.col(lang_col).cast("string"))
@@ -172,28 +184,37 @@ def band(n_grams: Column) -> Column:
     return F.floor((F.length(F.bin(n_grams)) - 1) / 2).cast("int")
 
 
-def levels(scored: DataFrame, share: float = LEVEL) -> dict[int, float]:
-    """The least score in each band, from scored rows with a label (score, n_grams). Rows for each band and thousandth of a score are collected, however many texts there are."""
+def medians(scored: DataFrame) -> list[tuple[float, float]]:
+    """For each band, the binary logarithm of its middle length and the median score, from scored rows with a label (score, n_grams).
+
+    Rows for each band and thousandth of a score are collected, however many texts there are.
+    """
     counts = scored.groupBy(band(F.col("n_grams")).alias("band"), F.floor(F.col("score") * 1000).alias("at")).agg(F.count(F.lit(1)).alias("n"))
     found: dict[int, dict[int, int]] = {}
     for number, at, n in counts.collect():
         found.setdefault(number, {})[at] = n
-    out = {}
-    for number, own in found.items():
+    out = []
+    for number, own in sorted(found.items()):
         at = np.array(sorted(own))
-        out[number] = share * float(at[np.searchsorted(np.cumsum([own[x] for x in at.tolist()]), sum(own.values()) / 2)]) / 1000
+        out.append((2.0 * number + 1, float(at[np.searchsorted(np.cumsum([own[x] for x in at.tolist()]), sum(own.values()) / 2)]) / 1000))
     return out
 
 
-def identified(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", share: float = LEVEL, least: int = LEAST) -> DataFrame:
+def level(n_grams: Column, points: list[tuple[float, float]], share: float = LEVEL, doubt: int = DOUBT) -> Column:
+    """The least score for a length: share of the median, between and beyond the points along lines, times n / (n + doubt)."""
+    x = F.log2(n_grams)
+    median = F.lit(points[0][1])
+    for (x0, y0), (x1, y1) in zip(points, points[1:], strict=False):
+        median = F.when(x >= x0, F.lit(y0) + (F.least(x, F.lit(x1)) - x0) * ((y1 - y0) / (x1 - x0))).otherwise(median)
+    return median * share * n_grams / (n_grams + doubt)
+
+
+def identified(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", share: float = LEVEL, doubt: int = DOUBT) -> DataFrame:
     """The rows of docs whose text has one of the languages of its labels, with the columns of docs. Without any label, those whose text has a letter."""
     known = prototypes(docs, text_col, lang_col)
     if not known:
         return docs.where(F.col(text_col).rlike(r"\p{L}"))
     shown = [F.struct("*").alias("row"), F.col(lang_col).isNotNull().alias("labelled")]
     scored = written(predict(docs, known, shown, text_col, count=True), "language-scores").where(F.col("lang_pred") != UNKNOWN)
-    asked = scored.where(F.col("n_grams") >= least)
-    least_of = F.lit(0.0)
-    for number, level in sorted(levels(asked.where("labelled"), share).items()):
-        least_of = F.when(band(F.col("n_grams")) == number, F.lit(level)).otherwise(least_of)
-    return scored.where((F.col("n_grams") < least) | (F.col("score") >= least_of)).select("row.*")
+    points = medians(scored.where("labelled"))
+    return (scored.where(F.col("score") >= level(F.col("n_grams"), points, share, doubt)) if points else scored).select("row.*")

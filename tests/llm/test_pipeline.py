@@ -4,6 +4,7 @@ import importlib
 import sys
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -93,14 +94,14 @@ def brute_scores(texts, labels):
 
 
 def brute_identified(texts, labels):
-    """Which texts the language stage keeps."""
+    """Which texts the language stage keeps: one rule for all lengths."""
     scored = brute_scores(texts, labels)
     bands = {}
     for (lang, score, n), own in zip(scored, labels):
-        if n >= language_id.LEAST and own is not None and lang != "und":
+        if own is not None and lang != "und":
             bands.setdefault((n.bit_length() - 1) // 2, []).append(int(score * 1000))
-    level = {k: 0.5 * sorted(v)[-(-len(v) // 2) - 1] / 1000 for k, v in bands.items()}
-    return [lang != "und" and (n < language_id.LEAST or score >= level.get((n.bit_length() - 1) // 2, 0)) for lang, score, n in scored]
+    x, y = zip(*[(2 * k + 1, sorted(v)[-(-len(v) // 2) - 1] / 1000) for k, v in sorted(bands.items())])
+    return [lang != "und" and score >= 0.25 * float(np.interp(np.log2(n), x, y)) * n / (n + 512) for lang, score, n in scored]
 
 
 def language_cases():
