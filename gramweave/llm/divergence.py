@@ -33,7 +33,7 @@ from .shared import written
 #: Documents of its language that a term must occur in, what is added to each count, and the whole that shares are parts of.
 LEAST, ADDED, WHOLE = 30, 5, 1_000_000_000
 #: Terms of a shard, bits for each term left on a level, and levels before terms are held in a list.
-SHARD, SPARE, LEVELS = 32_768, 2, 40
+SHARD, SPARE, LEVELS = 4096, 2, 40
 #: Bytes of shards up to which they are sent to every executor, slots that a task counts in at a time, and bytes of text that are cut together.
 MOST_BYTES, CELLS, AT_ONCE = 64 << 20, 4_000_000, 8_000_000
 #: Sources and slots of a tile's sides.
