@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gramweave.operators.locate import locate
-from gramweave.operators.mem import mems, mems_asymmetric
+from gramweave.operators.mem import longest_match, mems, mems_asymmetric
 from gramweave.sources.tables import written
 
 SEPARATOR, AMBIGUOUS = "$", "N"
@@ -103,6 +103,11 @@ def graph_mems(units: DataFrame, queries: DataFrame, k: int, core: str | None =
     return met.where(spans).select("ids", (F.col("x") - 1).alias("unit_off"), "query_id", "i", "d", text.alias("text"))
 
 
+def longest(units: DataFrame, queries: DataFrame, core: str | None = None) -> DataFrame:
+    """d: the length of the longest string that a unit, with its contexts, shares with a query, whatever stands beside it and wherever in the unit it lies; one row, 0 if there is none."""
+    return longest_match(unit_texts(units), queries, core).agg(F.coalesce(F.max("d"), F.lit(0)).alias("d"))
+
+
 def graph_mems_asymmetric(units: DataFrame, queries: DataFrame, k: int, core: str | None = None, context: str | None = None) -> DataFrame:
     """ids, unit_off, query_id, i, d, text: stretches of units that no occurrence in any query extends, each with its first place in the queries.
 

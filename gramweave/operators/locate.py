@@ -58,9 +58,12 @@ class Scanner:
     def __init__(self, patterns: list[np.ndarray], seeds: list[tuple[int, int, int]], most: int, core: tuple[int, int] | None):
         self.most, self.core = most, core
         self.sizes = np.array([len(p) for p in patterns], dtype="i8")
-        self.table = np.full((len(patterns), self.sizes.max(initial=1)), GAP, dtype="<u4")
-        for i, p in enumerate(patterns):
-            self.table[i, : len(p)] = p
+        self.row = np.zeros(len(patterns), "i8")  # of a pattern in the table of its length
+        self.tables = {}
+        for size in np.unique(self.sizes).tolist():
+            own = np.flatnonzero(self.sizes == size)
+            self.row[own] = np.arange(len(own))
+            self.tables[size] = np.stack([patterns[i] for i in own])
         self.seeds = {}
         every = np.array(seeds, dtype="i8").reshape(-1, 3)
         for w in np.unique(every[:, 2]).tolist():
@@ -97,11 +100,11 @@ class Scanner:
         which, at = which[keep], at[keep]
         wrong = np.zeros(len(at), "i8")
         inside = np.ones(len(at), bool)
-        for size in np.unique(self.sizes[which]):
-            own = np.flatnonzero(self.sizes[which] == size)
+        for size in np.unique(self.sizes[which]).tolist():
+            own, table = np.flatnonzero(self.sizes[which] == size), self.tables[size]
             for j in range(size):
                 char = text[at[own] + j]
-                differ = char != self.table[which[own], j]
+                differ = char != table[self.row[which[own]], j]
                 wrong[own] += np.where(char == GAP, self.most + 1, differ)  # no window reaches over the end of a text
                 if self.core and self.core[0] <= j < sum(self.core):
                     inside[own] &= ~differ
@@ -133,14 +136,13 @@ def pieces(texts: list[str | None], overlap: int, together: int) -> Iterator[tup
 
 def _scan(texts: DataFrame, patterns: list, kind: str, seeds: list[tuple[int, int, int]], most: int, core: tuple[int, int] | None = None) -> DataFrame:
     """pattern_id, doc_id, x, mismatches. patterns: (pattern_id, pattern); seeds: (place in patterns, place in the pattern, width)."""
-    held = texts.sparkSession.sparkContext.broadcast((patterns, seeds))
+    held = texts.sparkSession.sparkContext.broadcast((Scanner([codes(p) for _, p in patterns], seeds, most, core), [i for i, _ in patterns]))
     together = TOGETHER
     doc = texts.schema["doc_id"].dataType.simpleString()
 
     def work(batches):
-        own, places = held.value
-        scanner = Scanner([codes(p) for _, p in own], places, most, core)
-        ids = pa.array([i for i, _ in own])
+        scanner, own = held.value
+        ids = pa.array(own)
         overlap = int(scanner.sizes.max(initial=1)) - 1
         for batch in batches:
             docs, strings = batch.column(0), batch.column(1).to_pylist()
@@ -157,9 +159,9 @@ def _scan(texts: DataFrame, patterns: list, kind: str, seeds: list[tuple[int, in
     return texts.select("doc_id", "text").mapInArrow(work, f"pattern_id {kind}, doc_id {doc}, x long, mismatches int")
 
 
-def smaller(rows: DataFrame, bytes_of, most: int = SMALL) -> DataFrame:
-    """rows, marked for broadcast if their size, summed, is at most `most`."""
-    size = rows.agg(F.coalesce(F.sum(bytes_of), F.lit(0))).first()[0]
+def smaller(rows: DataFrame, bytes_of, most: int = SMALL, of: DataFrame | None = None) -> DataFrame:
+    """rows, marked for broadcast if their size, summed over them or over the rows `of` that they are made of, is at most `most`."""
+    size = (rows if of is None else of).agg(F.coalesce(F.sum(bytes_of), F.lit(0))).first()[0]
     return F.broadcast(rows) if size <= most else rows
 
 
@@ -239,6 +241,11 @@ def histogram(texts: DataFrame, patterns: DataFrame, most: int = 2) -> DataFrame
     return every.join(found, ["pattern_id", "mismatches"], "left").select("pattern_id", "mismatches", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def totals(texts: DataFrame, patterns: DataFrame, most: int = 2) -> DataFrame:
+    """mismatches, n: windows with each number of mismatches from 0 to `most`, over all patterns."""
+    return histogram(texts, patterns, most).groupBy("mismatches").agg(F.sum("n").alias("n"))
+
+
 def report(texts: DataFrame, patterns: DataFrame, most: int = 0) -> DataFrame:
     """One row: patterns, occ_total, occ_avg (double), found (patterns that occur)."""
     counts = count(texts, patterns, most)

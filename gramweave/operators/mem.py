@@ -44,7 +44,7 @@ def islands(texts: DataFrame, queries: DataFrame, k: int, core: str | None = Non
     asked = _grams(queries, "query_id", "i", w, s, 1, "q")
     if core is not None:
         asked = asked.where(only_of(F.col("gram"), core))
-    asked = smaller(asked, F.length("gram") * 4 + F.length("q_before") * 8 + 64)
+    asked = smaller(asked, F.length("text") * (4 * w + 8 * s + 64), of=queries)
     hits = _grams(texts, "doc_id", "x", w, s, s, "t").join(asked, "gram").withColumn("diagonal", F.col("x") - F.col("i"))
     turn = F.row_number().over(Window.partitionBy("doc_id", "query_id", "diagonal").orderBy("x"))
     runs = hits.withColumn("island", F.col("x") / s - turn).groupBy("doc_id", "query_id", "diagonal", "island")
@@ -138,7 +138,7 @@ def longest_match(texts: DataFrame, queries: DataFrame, core: str | None = None,
             if core is not None:
                 grams = grams.where(only_of(F.col("gram"), core))
             asked = texts.join(open_.where(F.col("d") == k - step).select("doc_id"), "doc_id", "left_semi")
-            hits = kmers(asked, "doc_id", "text", k).join(smaller(grams, F.length("gram") * 4 + 32), "gram", "left_semi").select("doc_id")
+            hits = kmers(asked, "doc_id", "text", k).join(smaller(grams, F.length("text") * (4 * k + 32), of=own), "gram", "left_semi").select("doc_id")
             shared = hits if shared is None else shared.unionByName(hits)
         shared = written(shared.distinct().withColumn("__hit", F.lit(step)), "longest")
         open_ = written(open_.join(shared, "doc_id", "left").select("doc_id", (F.col("d") + F.coalesce("__hit", F.lit(0))).alias("d")), "longest")

@@ -74,6 +74,15 @@ def graph_mems(kind: str) -> str:
           and (len(parts) = 1 or (x - 2 < length(parts[1]) and x - 1 + d >= length(whole) - length(parts[-1]))))"""
 
 
+def longest(kind: str, wide: int = 16) -> str:
+    """{kind}_longest(d): lengths of strings that units and queries share, the greatest among them: all runs of `wide` or more, and which lengths below occur."""
+    u = f"{kind}_texts"
+    runs = islands(wide, u, "asks").replace("tg as", f"{kind}_tg as").replace("qg as", f"{kind}_qg as").replace("from tg join qg", f"from {kind}_tg as tg join {kind}_qg as qg").replace("hits as", f"{kind}_hits as").replace("from hits", f"from {kind}_hits").replace("    islands as", f"    {kind}_islands as")
+    short = ", ".join(f"{grams(f'{kind}_t{k}', u, 'doc_id', k)}, {grams(f'{kind}_q{k}', 'asks', 'query_id', k)}" for k in range(1, wide))
+    return f"""{u} as (select ids as doc_id, lctx || array_to_string(parts, '') || rctx as text from {kind}_units), {runs}, {short},
+    {kind}_longest as (select d from {kind}_islands {" ".join(f"union all select {k} where exists (select 1 from {kind}_t{k} where gram in (select gram from {kind}_q{k}))" for k in range(1, wide))} union all select 0)"""
+
+
 NAMES = "texts as (select p_partkey as doc_id, p_name as text from part where p_name is not null)"
 PASSAGES = "texts as (select item_id as doc_id, text from benchmark where text is not null)"
 #: sa(doc_id, rank, sa) of texts.
@@ -174,7 +183,7 @@ ORACLE_SQL = {
         free as (select * from (select *, max(x + d) over (partition by doc_id order by x, d desc rows between unbounded preceding and 1 preceding) as reach from firsts) where reach is null or reach < x + d),
         inner_ as (select doc_id as ids, x - 1 as unit_off, place[1] as query_id, place[2] as i, d, substr(text, x + 1, d) as text from free join unit_texts using (doc_id) where x > 0 and x + d < length(text))
         select * from inner_ m where not exists (select 1 from node_units where contains(lctx || parts[1] || rctx, m.text))""",
-    "graph_mem_max": " union all ".join(f"select '{kind}s' as section, max(d) as d from (with {graph_mems(kind)} select d from mems) having max(d) is not null" for kind in ("node", "edge", "path")),
+    "graph_mem_max": f"with {NODES}, {FRAMED}, " + ", ".join(longest(kind) for kind in ("node", "edge", "path")) + " select 'nodes' as section, max(d)::bigint as d from node_longest union all select 'edges', max(d) from edge_longest union all select 'paths', max(d) from path_longest",
     "suffix_array": f"with {SUFFIXES} select doc_id, rank, sa from sa",
     "bwt": f"with {SUFFIXES} select doc_id, rank, sa, case when ch = '' then '$' else ch end as ch from bwt",
     "f_column": f"with {SUFFIXES} select doc_id, case when ch = '' then '$' else ch end as ch, n, first::bigint as first from f",
@@ -202,5 +211,6 @@ ORACLE_SQL = {
     "rle_runs": f"with {LETTERS}, {RUNS} select vec, run_id::bigint as run_id, head, start, len from runs",
     "rle_rank": f"with {LETTERS}, {RUNS} select vec, run_id::bigint as run_id, head, start, len, coalesce(sum(len) over (partition by vec, head order by run_id rows between unbounded preceding and 1 preceding), 0)::bigint as rank from runs",
     "alphabet_stats": "with chars as (select doc_id, unnest(string_split(text, '')) as ch from documents where text <> '') select ch, count(*) as n, count(distinct doc_id) as n_docs from chars group by ch",
+    "hamming_totals": f"with {found(2)} select mismatches, count(x) as n from (select unnest(range(3)) as mismatches) left join located using (mismatches) group by mismatches",
     "hamming_histogram": f"with {found(2)}, every as (select pattern_id, unnest(range(3)) as mismatches from patterns) select pattern_id, mismatches, count(x) as n from every left join located using (pattern_id, mismatches) group by pattern_id, mismatches",
 }

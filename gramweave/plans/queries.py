@@ -243,8 +243,9 @@ def graph_mem_asym(spark, sf_dir):
 
 
 def graph_mem_max(spark, sf_dir):
-    rows = [_graph_mems(spark, sf_dir, k).select(F.lit(k).alias("section"), "d") for k in ("nodes", "edges", "paths")]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("section").agg(F.max("d").alias("d"))
+    """The longest match of each section, of any length and wherever it lies."""
+    rows = [graph.longest(graph.graph_units(*passage_graph(spark, sf_dir), k), framed(spark, sf_dir)).select(F.lit(k).alias("section"), "d") for k in ("nodes", "edges", "paths")]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 # Suffix order and vectors
@@ -312,6 +313,7 @@ QUERIES = {
     "hamming_eq1": hamming_eq(1),
     "hamming_eq2": hamming_eq(2),
     "hamming_histogram": of(locate.histogram, 2),
+    "hamming_totals": of(locate.totals, 2),
     "seed_extend": seed_extend,
     "occurrence_check": occurrence_check,
     "extend_left": extended("before"),
