@@ -110,7 +110,7 @@ def language_cases():
     r = random.Random(3)
     said = {"en": "the and of with that have this water stone there".split(), "fr": "les des une avec pour été était dans même où".split()}
     out = [(" ".join(r.choice(said[k]) for _ in range(r.randrange(1, 90))), k) for k in said for _ in range(40)]
-    out += [("zqx " * 120, "en"), ("ω ψ ξ " * 60, None), ("Kkkk. " * 80, "fr"), ("12 34", "en"), ("", None), (None, "fr"), ("the", None)]
+    out += [("zqx vkj " * 900, None), ("ωψξ δλφ " * 600, None), ("Kkkk wwqq. " * 800, None), ("12 34", "en"), ("", None), (None, "fr"), ("the", None)]
     return [(i, t, k, "s", None) for i, (t, k) in enumerate(out)]
 
 
