@@ -83,6 +83,28 @@ def longest(kind: str, wide: int = 16) -> str:
     {kind}_longest as (select d from {kind}_islands {" ".join(f"union all select {k} where exists (select 1 from {kind}_t{k} where gram in (select gram from {kind}_q{k}))" for k in range(1, wide))} union all select 0)"""
 
 
+RING = 8
+#: Walks around the rings, a character a step: where a match starts, what it reaches, and what can't go on.
+WALKS = f"""with recursive cuts as (select item_id, text, ceil(length(text) / {RING})::int as w from benchmark),
+    nodes as (select item_id * {RING} + p as node, substr(text, p * w + 1, w) as label from (select *, unnest(range({RING})) as p from cuts) where substr(text, p * w + 1, w) <> ''),
+    links as (select src, dst from (select node as src, unnest(case when node % {RING} = {RING - 1} then [node - {RING - 1}] else [node + 1, node + {RING + 1}] end) as dst from nodes) where dst in (select node from nodes)),
+    asks as (select item_id as query_id, '#' || text || text || '#' as text from benchmark where text is not null),
+    spelled(node, off, cur, place, s) as (
+        select node, off, node, least(off + {K}, length(label)), substr(label, off + 1, {K}) from (select *, unnest(range(length(label))) as off from nodes)
+        union
+        select p.node, p.off, l.dst, least({K} - length(s), length(n.label)), s || substr(n.label, 1, {K} - length(s)) from spelled p join links l on l.src = p.cur join nodes n on n.node = l.dst where length(s) < {K}),
+    {grams("qg", "asks", "query_id", K)},
+    hits as (select p.node, p.off, q.query_id, q.pos as i, p.cur, p.place, substr(a.text, q.pos, 1) as before from spelled p join qg q on p.s = q.gram join asks a using (query_id) where q.pos > 0 and length(p.s) = {K}),
+    starts as (select h.* from hits h join nodes n using (node) where case when off > 0 then substr(label, off, 1) <> before else
+        exists (select 1 from links where dst = h.node) and not exists (select 1 from links join nodes p on p.node = src where dst = h.node and right(p.label, 1) = before) end),
+    walk(node, off, query_id, i, cur, place, d) as (
+        select node, off, query_id, i, cur, place, {K} from starts
+        union
+        select w.node, w.off, w.query_id, w.i, coalesce(l.dst, w.cur), case when l.dst is null then w.place + 1 else 1 end, w.d + 1 from walk w join nodes n on n.node = w.cur join asks a using (query_id)
+        left join links l on l.src = w.cur and w.place = length(n.label) left join nodes t on t.node = l.dst
+        where substr(case when l.dst is null then substr(n.label, w.place + 1, 1) else substr(t.label, 1, 1) end, 1, 1) = substr(a.text, w.i + w.d + 1, 1) and w.i + w.d < length(a.text))"""
+
+
 NAMES = "texts as (select p_partkey as doc_id, p_name as text from part where p_name is not null)"
 PASSAGES = "texts as (select item_id as doc_id, text from benchmark where text is not null)"
 #: sa(doc_id, rank, sa) of texts.
@@ -184,6 +206,9 @@ ORACLE_SQL = {
         inner_ as (select doc_id as ids, x - 1 as unit_off, place[1] as query_id, place[2] as i, d, substr(text, x + 1, d) as text from free join unit_texts using (doc_id) where x > 0 and x + d < length(text))
         select * from inner_ m where not exists (select 1 from node_units where contains(lctx || parts[1] || rctx, m.text))""",
     "graph_mem_max": f"with {NODES}, {FRAMED}, " + ", ".join(longest(kind) for kind in ("node", "edge", "path")) + " select 'nodes' as section, max(d)::bigint as d from node_longest union all select 'edges', max(d) from edge_longest union all select 'paths', max(d) from path_longest",
+    "graph_mem_walks": f"""{WALKS} select w.node, w.off, w.query_id, w.i, w.d::bigint as d, w.cur as end_node, w.place as end_off from walk w join nodes n on n.node = w.cur join asks a using (query_id)
+        where w.i + w.d < length(a.text) and case when w.place < length(n.label) then substr(n.label, w.place + 1, 1) <> substr(a.text, w.i + w.d + 1, 1)
+        else exists (select 1 from links where src = w.cur) and not exists (select 1 from links join nodes t on t.node = dst where src = w.cur and left(t.label, 1) = substr(a.text, w.i + w.d + 1, 1)) end""",
     "suffix_array": f"with {SUFFIXES} select doc_id, rank, sa from sa",
     "bwt": f"with {SUFFIXES} select doc_id, rank, sa, case when ch = '' then '$' else ch end as ch from bwt",
     "f_column": f"with {SUFFIXES} select doc_id, case when ch = '' then '$' else ch end as ch, n, first::bigint as first from f",

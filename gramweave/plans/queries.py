@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gramweave.functions.strings import duration
-from gramweave.operators import graph, locate, mem, suffix, vectors
+from gramweave.operators import graph, locate, mem, suffix, vectors, walks
 from gramweave.sources import texts as src
 from gramweave.sources.tables import shared_path
 
@@ -248,6 +248,26 @@ def graph_mem_max(spark, sf_dir):
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
+RING = 8
+
+
+def passage_rings(spark, sf_dir):
+    """Each passage in RING nodes, whose links lead on to the next piece of the same and of the next passage, and from the last piece to the first."""
+    rows = _table(spark, sf_dir, "benchmark").select("item_id", "text", F.ceil(F.length("text") / RING).cast("int").alias("w"))
+    pieces = rows.select("item_id", F.posexplode(F.array(*[F.expr(f"substring(text, {p} * w + 1, w)") for p in range(RING)])).alias("piece", "label"))
+    nodes = pieces.select((F.col("item_id") * RING + F.col("piece")).alias("node_id"), "label").where("label <> ''")
+    on, last = F.array(F.col("node_id") + 1, F.col("node_id") + RING + 1), F.array(F.col("node_id") - RING + 1)
+    steps = nodes.select(F.col("node_id").alias("src"), F.explode(F.when(F.col("node_id") % RING == RING - 1, last).otherwise(on)).alias("dst"))
+    links = steps.join(nodes.select(F.col("node_id").alias("dst")), "dst", "left_semi")
+    return nodes, links.select("src", F.lit(False).alias("src_rev"), "dst", F.lit(False).alias("dst_rev"))
+
+
+def graph_mem_walks(spark, sf_dir):
+    """Matches of each passage, written twice, on walks of any length around the rings."""
+    twice = passages(spark, sf_dir).where("text is not null").select("query_id", F.concat(F.lit("#"), "text", "text", F.lit("#")).alias("text"))
+    return walks.walk_mems(*passage_rings(spark, sf_dir), twice, K).drop("rev", "end_rev")
+
+
 # Suffix order and vectors
 
 
@@ -332,6 +352,7 @@ QUERIES = {
     "graph_mem_filtered": graph_mem_filtered,
     "graph_mem_asym": graph_mem_asym,
     "graph_mem_max": graph_mem_max,
+    "graph_mem_walks": graph_mem_walks,
     "suffix_array_passages": suffix_array_passages,
     "bwt_passages": bwt_passages,
     "plcp_passages": plcp_passages,
