@@ -36,6 +36,8 @@ LEAST, ADDED, WHOLE = 30, 5, 1_000_000_000
 SHARD, SPARE, LEVELS = 4096, 2, 40
 #: Bytes of shards up to which they are sent to every executor, slots that a task counts in at a time, and bytes of text that are cut together.
 MOST_BYTES, CELLS, AT_ONCE = 64 << 20, 4_000_000, 8_000_000
+#: Languages up to which their sizes go to every executor.
+MOST_LANGS = 100_000
 #: Sources and slots of a tile's sides.
 SOURCES, SLOTS = 128, 2048
 
@@ -149,6 +151,8 @@ class PerfectHash:
 def build_shards(kept: DataFrame, shard: int = SHARD) -> DataFrame:
     """lang, shard, shards (of the language), base (slots before this shard), levels, widths, terms (by slot): one row for each shard of kept (lang, term). A written table."""
     counts = written(kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v")), "term-counts")
+    if counts.count() <= MOST_LANGS:
+        counts = F.broadcast(counts)
     number = F.ceil(F.col("v") / shard)
     # xxhash64(lang, term) also is the key of the hash; its upper bits deal the terms out
     dealt = kept.join(counts, "lang").select("lang", "term", number.alias("shards"), (F.shiftrightunsigned(F.xxhash64("lang", "term"), 33) % number).alias("shard"))
