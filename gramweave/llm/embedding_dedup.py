@@ -20,8 +20,8 @@ Equal vectors with one label are one entry with a weight. The rotations are fitt
 and sizes come from all. Labels of any type are told apart by their XXH64, together with the vectors' length.
 
 Cases: a null label, or a vector that is null, empty, zero or holds a null, NaN or infinity, links with nothing; vectors of
-different lengths don't link; repeated rows count as vectors of their own; a null id names no component that has another id; an
-empty table gives an empty result; other columns are left alone.
+different lengths don't link; repeated rows, and rows of one id with unlike vectors, count as vectors of their own; ids may be of any type that has an
+order; a null id names no component that has another id; an empty table gives an empty result; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -45,8 +45,6 @@ COMMON, MISS = 0.85, 5e-4
 LEAST_BITS, MOST_BITS, MOST_TABLES, ROW = 3, 20, 64, 3000
 #: Rows that are held against others at once, and the share of their pairs above which all of these are compared.
 TOGETHER, DENSE = 256, 0.05
-#: No id of a vector may be this large; entries without any id are named from here up.
-NAMELESS = (1 << 63) - (1 << 40)
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -194,14 +192,13 @@ def links(vectors: np.ndarray, code: np.ndarray, own: np.ndarray, radius: int, l
 
 
 def _entries(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> tuple[DataFrame, DataFrame]:
-    """All rows (id, label, v), and one entry (node, weight, label, v) for each label and vector that can link."""
+    """All rows (id, label, v), and one entry (node, least, weight, label, v) for each label and vector that can link; least: its least id. node is a number that holds once it is written."""
     rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("v"))
     inf = float("inf")
     sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < inf)) & F.exists("v", lambda x: x != 0)
     able = rows.where("label is not null and v is not null").where(F.coalesce(sound, F.lit(False)))
-    name = F.lit((1 << 63) - 1) - F.pmod(F.xxhash64("label", "v"), F.lit(1 << 40))
-    entries = able.groupBy("label", "v").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("weight"))
-    return rows, entries.select(F.coalesce(F.col("node").cast("long"), name).alias("node"), "weight", "label", "v")
+    entries = able.groupBy("label", "v").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("weight"))
+    return rows, entries.select(F.monotonically_increasing_id().alias("node"), "least", "weight", "label", "v")
 
 
 def _coded(entries: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -305,17 +302,22 @@ def _forest(n: int, ends: list) -> tuple[np.ndarray, np.ndarray]:
 def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", link: float = LINK, block: int = BLOCK, sample: int = SAMPLE, common: float = COMMON) -> DataFrame:
     """One row per row of vectors: the id, n_links (other vectors linked directly), component_id (the least id that links reach), kept (it is the row's own id)."""
     rows, entries = _entries(vectors, id_col, vector_col, label_col)
-    entries = written(entries.withColumn("label_key", F.xxhash64("label", F.size("v"))).select("node", "weight", "label", "label_key", "v"), "embedding-entries")
-    lists = [x[0] for x in entries.orderBy(F.xxhash64("node"), "node").limit(sample).select("v").collect()]
+    entries = written(entries.withColumn("label_key", F.xxhash64("label", F.size("v"))).select("node", "least", "weight", "label", "label_key", "v"), "embedding-entries")
+    lists = [x[0] for x in entries.orderBy(F.xxhash64("label", "v"), "v").limit(sample).select("v").collect()]
     alone = [F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept")]
     if not lists:
         return rows.select(*alone)
     model = fit(unit(np.array([lists[i] for i in max(by_length(lists), key=len)])))
     known_codes = written(_coded(entries.select("node", "weight", "label_key", "v"), model), "embedding-codes")
     found = written(_found(known_codes, link, block, common), "embedding-links")
-    parts = connected(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    parts = written(connected(found.select(F.col("node").alias("a"), F.col("root").alias("b"))), "embedding-parts")
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
-    known = entries.join(counts, "node", "left").join(parts, "node", "left").select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "node").alias("component"))
+    own = entries.select("node", "least")
+    heads = written(parts.join(own, "node").groupBy("component").agg(F.min("least").alias("head")), "embedding-heads")
+    placed = parts.join(heads, "component").select("node", "head", F.lit(True).alias("placed"))
+    known = entries.join(counts, "node", "left").join(placed, "node", "left")
+    head = F.when(F.col("placed"), F.col("head")).otherwise(F.col("least"))
+    known = known.select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), head.alias("head"), F.lit(True).alias("able"))
     out = rows.join(known, ["label", "v"], "left")
-    component = F.when(F.col("component") < NAMELESS, F.col("component")).when(F.col("component").isNull(), F.col("id"))
+    component = F.when(F.col("able"), F.col("head")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

@@ -261,3 +261,11 @@ def test_codes_are_balanced():
     found = embedding_dedup.codes(sample, embedding_dedup.fit(sample))
     share = np.unpackbits(found.view("u1").reshape(-1, 8), axis=1).mean(axis=0)
     assert (abs(share - 0.5) < 0.1).all()
+
+
+def test_embedding_links_of_ids_of_any_type_and_of_repeated_ids(spark):
+    a, near, b = [1.0, 0.0, 0.0], [1.0, 0.1, 0.0], [0.0, 1.0, 0.0]
+    rows = [("x1", a, 0), ("x1", b, 0), ("x5", near, 0), ("x7", b, 0), (None, near, 0)]
+    found = embedding_dedup.embedding_links(spark.createDataFrame(rows, "vec_id string, embedding array<double>, label int"))
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in found.collect()), key=repr)
+    assert got == sorted([("x1", 2, "x1", True), ("x1", 1, "x1", True), ("x5", 2, "x1", False), ("x7", 1, "x1", False), (None, 2, "x1", False)], key=repr)
