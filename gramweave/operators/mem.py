@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from gramweave.functions.strings import char_at, common_prefix, one_of, only_of
 from gramweave.operators.locate import smaller
 from gramweave.sources.tables import written
-from gramweave.sources.texts import kmers, kmers_in_context
+from gramweave.sources.texts import carried, kmers, kmers_in_context
 
 
 def _grams(rows: DataFrame, id_col: str, at: str, w: int, s: int, stride: int, side: str) -> DataFrame:
@@ -98,8 +98,8 @@ def mems_asymmetric(texts: DataFrame, queries: DataFrame, k: int, core: str | No
     keys = ["query_id", *(["doc_id"] if scope == "document" else [])]
     found = islands(texts, queries, k)
     first = found.groupBy(*keys, "i", "d").agg(F.min(F.struct("doc_id", "x")).alias("at"))
-    reach = F.max(F.col("i") + F.col("d")).over(Window.partitionBy(*keys).orderBy("i", F.desc("d")).rowsBetween(Window.unboundedPreceding, -1))
-    free = first.withColumn("reach", reach).where("reach is null or reach < i + d").select("query_id", "i", "d", "at.doc_id", "at.x")
+    reached = carried(first.withColumn("short", -F.col("d")), keys, ["i", "short"], F.col("i") + F.col("d"), F.max, "reach")
+    free = reached.where("reach is null or reach < i + d").select("query_id", "i", "d", "at.doc_id", "at.x")
     if core is None and context is None and boundary == "open":
         return free
     text = queries.select("query_id", F.col("text").alias("__text"))
@@ -114,6 +114,27 @@ def mems_asymmetric(texts: DataFrame, queries: DataFrame, k: int, core: str | No
     return shown.select("query_id", "i", "d", "doc_id", "x")
 
 
+def matching_statistics(texts: DataFrame, queries: DataFrame, k: int, core: str | None = None) -> DataFrame:
+    """query_id, i, ms, doc_id, x: the longest match from each place of a query with any text, and its first place; places whose longest match has less than k characters have no row.
+
+    A match from i on covers the places after it, so the longest from a place is what the matches that start up to it reach. That is a running maximum
+    over the starts of a query, carried from range to range, so a long query is many tasks.
+    """
+    found = islands(texts, queries, k, core).withColumn("end", F.col("i") + F.col("d"))
+    ends = found.groupBy("query_id", "i").agg(F.max("end").alias("end"))
+    place = F.struct("doc_id", (F.col("x") + F.col("d")).alias("x_end"))
+    starts = found.join(ends, ["query_id", "i", "end"]).groupBy("query_id", "i", "end").agg(F.min(place).alias("at"))
+    reached = carried(starts, ["query_id"], ["i"], F.col("end"), F.max, "before")
+    reached = reached.withColumn("reach", F.greatest("end", "before")).withColumn("at", F.when(F.col("end") == F.col("reach"), F.col("at")))
+    # starts with one reach follow each other; the first of them has a place, and later ones may have an earlier text's
+    first = carried(reached, ["query_id", "reach"], ["i"], F.col("at"), F.min, "earlier").withColumn("at", F.array_min(F.array("at", "earlier")))
+    after = carried(first.withColumn("back", -F.col("i")), ["query_id"], ["back"], F.col("i"), F.min, "after")
+    last = F.least(F.coalesce(F.col("after"), F.col("reach")) - 1, F.col("reach") - k)
+    places = after.where(last >= F.col("i")).select("query_id", F.explode(F.sequence("i", last)).alias("i"), "reach", "at")
+    ms = F.col("reach") - F.col("i")
+    return places.select("query_id", "i", ms.alias("ms"), F.col("at.doc_id").alias("doc_id"), (F.col("at.x_end") - ms).alias("x"))
+
+
 def longest_shared(texts: DataFrame, queries: DataFrame, least: int, core: str | None = None) -> DataFrame:
     """doc_id, query_id, d: the longest common substring of each pair that shares at least `least` characters in a row."""
     return islands(texts, queries, least, core).groupBy("doc_id", "query_id").agg(F.max("d").alias("d"))

@@ -171,6 +171,9 @@ ORACLE_SQL = {
         and tb <> '' and qb <> '' and ta <> '' and qa <> '' and translate(tb || qb || ta || qa, '{CONTEXT}', '') = ''""",
     "mem_alphabet_asymmetric": f"""{STRICT}, {FREE} select query_id, i, d, place[1] as doc_id, place[2] as x from free join asks using (query_id) where i > 0 and i + d < length(text)
         and translate(substr(text, i + 1, d), '{CORE}', '') = '' and translate(substr(text, i, 1) || substr(text, i + d + 1, 1), '{CONTEXT}', '') = ''""",
+    "matching_statistics": f"""{MEM}, cover as (select query_id, unnest(range(i, i + d - {K - 1})) as p, i + d as reach, doc_id, x - i as diagonal from islands)
+        select query_id, p as i, reach - p as ms, place[1] as doc_id, place[2] as x from (
+            select query_id, p, reach, min((doc_id, diagonal + p)) as place from (select *, max(reach) over (partition by query_id, p) as most from cover) where reach = most group by query_id, p, reach)""",
     "longest_common_substring": f"""with {DOCS}, {ASKS}, {islands(16)}, {", ".join(grams(f"t{k}", "docs", "doc_id", k) + ", " + grams(f"q{k}", "asks", "query_id", k) for k in range(1, 16))},
         lengths as (select doc_id, max(d) as d from islands group by doc_id {" ".join(f"union all select distinct doc_id, {k} from t{k} where gram in (select gram from q{k})" for k in range(1, 16))})
         select doc_id, coalesce(max(d), 0)::bigint as d from docs left join lengths using (doc_id) group by doc_id""",

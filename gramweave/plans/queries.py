@@ -156,6 +156,10 @@ def mem_alphabet_asymmetric(spark, sf_dir):
     return mem.mems_asymmetric(documents(spark, sf_dir), framed(spark, sf_dir), K, CORE, CONTEXT)
 
 
+def matching_statistics(spark, sf_dir):
+    return mem.matching_statistics(documents(spark, sf_dir), passages(spark, sf_dir), K)
+
+
 def longest_common_substring(spark, sf_dir):
     return mem.longest_match(documents(spark, sf_dir), passages(spark, sf_dir))
 
@@ -322,6 +326,7 @@ QUERIES = {
     "mem_asymmetric": mem_asymmetric,
     "mem_alphabet": mem_alphabet,
     "mem_alphabet_asymmetric": mem_alphabet_asymmetric,
+    "matching_statistics": matching_statistics,
     "longest_common_substring": longest_common_substring,
     "longest_shared": longest_shared,
     "top_mems": top_mems,

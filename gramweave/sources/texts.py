@@ -89,6 +89,19 @@ def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     return inside.join(starts, "__part").withColumn(name, F.col("__n") + F.col("__s")).drop("__part", "__n", "__s")
 
 
+def carried(rows: DataFrame, keys: list[str], order: list[str], value: Column, how, name: str) -> DataFrame:
+    """Adds how(value), F.min or F.max, over the rows with the same keys that come before each in the order of columns; null for the first.
+
+    From ranges and their totals, as numbered(): a task sees a range, and what comes before it is one row for each range and key that lies there.
+    """
+    dealt = written(rows.withColumn("__v", value).repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()), "ranges")
+    inside = how("__v").over(Window.partitionBy("__part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    totals = dealt.groupBy(*keys, "__part").agg(how("__v").alias("__t"))
+    starts = totals.select(*keys, "__part", how("__t").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)).alias("__s"))
+    both = F.array_max if how is F.max else F.array_min  # nulls aside
+    return dealt.withColumn("__o", inside).join(starts, [*keys, "__part"]).withColumn(name, both(F.array("__o", "__s"))).drop("__v", "__part", "__o", "__s")
+
+
 def kmers(rows: DataFrame, id_col: str, text_col: str, k: int, block: int = BLOCK) -> DataFrame:
     """id, pos, gram: every k characters of every text.
 
