@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gramweave.functions.strings import char_at, mismatches
+from gramweave.operators.index import GramIndex
 from gramweave.sources.texts import kmers
 
 #: Bytes of seeds and patterns up to which they are sent to every executor, so that the texts' grams aren't shuffled.
@@ -196,15 +197,33 @@ def _windows(texts: DataFrame, patterns: DataFrame, found: DataFrame) -> DataFra
     return whole.select("pattern_id", "doc_id", "x", "pattern", F.substring("text", F.col("x").cast("int") + 1, F.length("pattern")).alias("window"))
 
 
-def locate(texts: DataFrame, patterns: DataFrame, most: int = 0) -> DataFrame:
+def _indexed(texts: DataFrame, patterns: DataFrame, index: GramIndex, most: int) -> DataFrame:
+    """As locate(): of the s grams that begin in a piece, one is at a place that the index has. """
+    length = F.length("pattern")
+    shortest = patterns.agg(F.min(length)).first()[0]
+    if shortest is not None and shortest // (most + 1) < index.least:
+        raise ValueError(f"this index needs patterns of {index.least * (most + 1)} characters or more for {most} mismatches")
+    starts = F.array(*[F.floor(F.lit(part) * length / F.lit(most + 1)).cast("int") + j for part in range(most + 1) for j in range(index.s)])
+    seeds = patterns.select("pattern_id", "pattern", F.explode(F.array_distinct(starts)).alias("at"))
+    seeds = seeds.select("pattern_id", "at", F.expr(f"substring(pattern, at + 1, {index.w})").alias("gram"))
+    seeds = smaller(seeds, F.lit(4 * index.w + 32) * index.s * (most + 1), of=patterns)
+    met = index.hits(seeds).select("pattern_id", "doc_id", (F.col("x") - F.col("at")).alias("x"))
+    checked = _windows(texts, patterns, met.where("x >= 0").distinct()).withColumn("mismatches", mismatches(F.col("window"), F.col("pattern")))
+    return checked.where(F.col("mismatches") <= most).select("pattern_id", "doc_id", "x", "mismatches")
+
+
+def locate(texts: DataFrame, patterns: DataFrame, most: int = 0, index: GramIndex | None = None) -> DataFrame:
     """pattern_id, doc_id, x, mismatches: where patterns (pattern_id, pattern) occur in texts (doc_id, text) with at most `most` mismatches.
 
-    A pattern shorter than most + 1 is an error; null texts and patterns have no occurrences.
+    A pattern shorter than most + 1 is an error; null texts and patterns have no occurrences. index: a stored index of the texts, which are then read
+    only where a gram of a pattern occurs; each piece of a pattern must have the length that the index is for.
     """
     patterns = patterns.where("pattern is not null").select("pattern_id", "pattern")
     shortest = patterns.agg(F.min(F.length("pattern"))).first()[0]
     if shortest is not None and shortest < most + 1:
         raise ValueError(f"patterns need at least {most + 1} characters for {most} mismatches")
+    if index is not None:
+        return _indexed(texts, patterns, index, most)
 
     def starts(length):
         if isinstance(length, int):

@@ -12,18 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gramweave.functions.strings import char_at, common_prefix, one_of, only_of
+from gramweave.operators.index import GramIndex, grams_in_context, stride_of
 from gramweave.operators.locate import smaller
 from gramweave.sources.tables import written
-from gramweave.sources.texts import carried, kmers, kmers_in_context
-
-
-def _grams(rows: DataFrame, id_col: str, at: str, w: int, s: int, stride: int, side: str) -> DataFrame:
-    """id, at, gram, and the s - 1 characters before (reversed) and after it."""
-    found = kmers_in_context(rows, id_col, "text", w, s - 1, w + s - 1, stride=stride)
-    near = F.least("place", F.lit(s - 1))
-    before = F.reverse(F.substring("context", F.col("place") - near + 1, near))
-    after = F.substring("context", F.col("place") + w + 1, F.lit(s - 1))
-    return found.select(id_col, F.col("pos").alias(at), "gram", before.alias(f"{side}_before"), after.alias(f"{side}_after"))
+from gramweave.sources.texts import carried, kmers
 
 
 def _leading(text: Column, core: str | None) -> Column:
@@ -35,17 +27,22 @@ def _leading(text: Column, core: str | None) -> Column:
     return F.substring(text, F.lit(1), run)
 
 
-def islands(texts: DataFrame, queries: DataFrame, k: int, core: str | None = None) -> DataFrame:
-    """doc_id, query_id, x, i, d: all maximal runs of at least k shared characters (of core, if given), ends of texts included."""
+def islands(texts: DataFrame, queries: DataFrame, k: int, core: str | None = None, index: GramIndex | None = None) -> DataFrame:
+    """doc_id, query_id, x, i, d: all maximal runs of at least k shared characters (of core, if given), ends of texts included.
+
+    index: the stored grams of the texts, for matches of up to k characters; then the texts aren't cut.
+    """
     if k < 1:
         raise ValueError("k must be 1 or more")
-    s = max(1, k // 2)
-    w = k - s + 1
-    asked = _grams(queries, "query_id", "i", w, s, 1, "q")
+    if index is not None and index.least > k:
+        raise ValueError(f"the index is for matches of {index.least} characters or more")
+    w, s = (index.w, index.s) if index is not None else stride_of(k)
+    asked = grams_in_context(queries, "query_id", "i", w, s, 1, "q")
     if core is not None:
         asked = asked.where(only_of(F.col("gram"), core))
     asked = smaller(asked, F.length("text") * (4 * w + 8 * s + 64), of=queries)
-    hits = _grams(texts, "doc_id", "x", w, s, s, "t").join(asked, "gram").withColumn("diagonal", F.col("x") - F.col("i"))
+    hits = grams_in_context(texts, "doc_id", "x", w, s, s, "t").join(asked, "gram") if index is None else index.hits(asked)
+    hits = hits.withColumn("diagonal", F.col("x") - F.col("i"))
     turn = F.row_number().over(Window.partitionBy("doc_id", "query_id", "diagonal").orderBy("x"))
     runs = hits.withColumn("island", F.col("x") / s - turn).groupBy("doc_id", "query_id", "diagonal", "island")
     first, last = (lambda c: F.min_by(c, "x").alias(c)), (lambda c: F.max_by(c, "x").alias(c))
@@ -63,15 +60,15 @@ def around(found: DataFrame, rows: DataFrame, id_col: str, at: str, before: str,
     return found.join(text, id_col).withColumn(before, char_at(F.col("__text"), start - 1)).withColumn(after, char_at(F.col("__text"), start + F.col("d").cast("int"))).drop("__text")
 
 
-def mems(texts: DataFrame, queries: DataFrame, k: int, core: str | None = None, context: str | None = None, boundary: str = "strict") -> DataFrame:
+def mems(texts: DataFrame, queries: DataFrame, k: int, core: str | None = None, context: str | None = None, boundary: str = "strict", index: GramIndex | None = None) -> DataFrame:
     """doc_id, query_id, x, i, d: matches of at least k characters that no pair of neighbouring characters extends.
 
     texts: doc_id, text; queries: query_id, text. core: characters that a match may hold; context: characters that may stand
-    beside it (all, if not given). boundary: `strict` reports a match only where all four neighbours exist, `open` also at ends.
+    beside it (all, if not given). boundary: `strict` reports a match only where all four neighbours exist, `open` also at ends. index: a stored index of the texts.
     """
     if boundary not in ("strict", "open"):
         raise ValueError("boundary is strict or open")
-    found = islands(texts, queries, k, core)
+    found = islands(texts, queries, k, core, index)
     if core is None and context is None and boundary == "open":
         return found
     found = around(around(found, texts, "doc_id", "x", "tb", "ta"), queries, "query_id", "i", "qb", "qa")

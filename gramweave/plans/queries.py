@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gramweave.functions.strings import duration
-from gramweave.operators import graph, locate, mem, suffix, vectors, walks
+from gramweave.operators import graph, index, locate, mem, suffix, vectors, walks
 from gramweave.sources import texts as src
 from gramweave.sources.tables import shared_path
 
@@ -203,6 +203,32 @@ def maximal(side):
     return lambda spark, sf_dir: locate.maximal(locate.neighbours(documents(spark, sf_dir), patterns(spark, sf_dir)), side)
 
 
+def stored(spark, least, *versions):
+    """An index of the texts, updated with each version in turn, and opened again."""
+    path = shared_path(spark, "gram-index")
+    for texts in versions:
+        index.GramIndex(spark, path, least).update(texts, F.floor(F.col("doc_id") / 64))
+    return index.GramIndex(spark, path)
+
+
+def locate_indexed(spark, sf_dir):
+    texts = documents(spark, sf_dir)
+    return locate.locate(texts, patterns(spark, sf_dir), 0, stored(spark, PATTERN, texts))
+
+
+def mem_indexed(spark, sf_dir):
+    texts = documents(spark, sf_dir)
+    return mem.mems(texts, passages(spark, sf_dir), K, boundary="open", index=stored(spark, K, texts))
+
+
+def index_update(spark, sf_dir):
+    """Occurrences by an index that was built, and updated after one text in a hundred got a passage more and as many others were taken away."""
+    texts, turn = documents(spark, sf_dir), F.floor(F.col("doc_id") / 64) % 100
+    more = passages(spark, sf_dir).agg(F.max("text").alias("more"))
+    after = texts.join(F.broadcast(more)).where(turn != 1).select("doc_id", F.when(turn == 0, F.concat("text", "more")).otherwise(F.col("text")).alias("text"))
+    return locate.locate(after, patterns(spark, sf_dir), 0, stored(spark, PATTERN, texts, after))
+
+
 # Graph
 
 
@@ -345,6 +371,9 @@ QUERIES = {
     "extend_right": extended("after"),
     "left_maximal": maximal("before"),
     "right_maximal": maximal("after"),
+    "locate_indexed": locate_indexed,
+    "mem_indexed": mem_indexed,
+    "index_update": index_update,
     "pattern_sample": pattern_sample,
     "pattern_pieces": patterns,
     "graph_units": units("edges"),
