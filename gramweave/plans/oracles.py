@@ -36,11 +36,11 @@ def islands(k: int, texts: str = "docs", asks: str = "asks", core: str | None =
         group by doc_id, query_id, x - i, island)"""
 
 
-def found(most: int, docs: str = DOCS) -> str:
+def found(most: int, docs: str = DOCS, patterns: str = PATTERNS) -> str:
     """located(pattern_id, doc_id, x, mismatches): windows that share a piece of the pattern in place, held against it."""
     w = PATTERN // (most + 1)
     seeds = " union all ".join(f"select pattern_id, pattern, {part * PATTERN // (most + 1)} as place, substr(pattern, {part * PATTERN // (most + 1) + 1}, {w}) as gram from patterns" for part in range(most + 1))
-    return f"""{docs}, {PATTERNS}, seeds as ({seeds}), {grams("tg", "docs", "doc_id", w)},
+    return f"""{docs}, {patterns}, seeds as ({seeds}), {grams("tg", "docs", "doc_id", w)},
     near as (select distinct pattern_id, pattern, doc_id, pos - place as x from tg join seeds using (gram) where pos >= place),
     windows as (select pattern_id, pattern, doc_id, x, substr(text, x + 1, {PATTERN}) as seen from near join docs using (doc_id) where x + {PATTERN} <= length(text)),
     located as (select pattern_id, doc_id, x, len(list_filter(range(1, {PATTERN + 1}), lambda j: substr(seen, j, 1) <> substr(pattern, j, 1))) as mismatches from windows
@@ -196,6 +196,8 @@ ORACLE_SQL = {
     "locate_indexed": f"with {found(0)} select * from located",
     "mem_indexed": f"{MEM} select * from islands",
     "index_update": "with " + found(0, "docs as (select doc_id, case when doc_id // 64 % 100 = 0 then text || (select max(text) from benchmark) else text end as text from documents where doc_id // 64 % 100 <> 1)") + " select * from located",
+    "sql_locate": f"with {found(1, patterns=SAMPLE)} select distinct pattern, located.doc_id, located.x, mismatches from located join patterns using (pattern_id)",
+    "sql_mems": f"{MEM} select * from islands",
     "pattern_sample": f"with {SAMPLE} select * from patterns",
     "pattern_pieces": f"with {PATTERNS} select * from patterns",
     "graph_units": f"with {NODES} select ids, array_to_string(parts, '>') as parts, lctx, rctx from edge_units",

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gramweave.functions.strings import duration
+from gramweave.functions.tables import register
 from gramweave.operators import graph, index, locate, mem, suffix, vectors, walks
 from gramweave.sources import texts as src
 from gramweave.sources.tables import shared_path
@@ -229,6 +230,24 @@ def index_update(spark, sf_dir):
     return locate.locate(after, patterns(spark, sf_dir), 0, stored(spark, PATTERN, texts, after))
 
 
+def from_sql(spark, sf_dir, text):
+    """A statement on the views own_texts, own_queries and own_patterns."""
+    register(spark)
+    documents(spark, sf_dir).createOrReplaceTempView("own_texts")
+    passages(spark, sf_dir).createOrReplaceTempView("own_queries")
+    pattern_sample(spark, sf_dir).createOrReplaceTempView("own_patterns")
+    return spark.sql(text)
+
+
+def sql_locate(spark, sf_dir):
+    return from_sql(spark, sf_dir, "select * from locate_in(table(own_texts), (select array_agg(pattern) from own_patterns), 1)")
+
+
+def sql_mems(spark, sf_dir):
+    hits = f"select t.doc_id, q.query_id, t.pos as x, q.pos as i from grams_in(table(own_texts), {K}) t join grams_in(table(own_queries), {K}) q on t.gram = q.gram"
+    return from_sql(spark, sf_dir, f"select * from runs_in(table({hits}) partition by (doc_id, query_id, x - i) order by (x), {K})")
+
+
 # Graph
 
 
@@ -374,6 +393,8 @@ QUERIES = {
     "locate_indexed": locate_indexed,
     "mem_indexed": mem_indexed,
     "index_update": index_update,
+    "sql_locate": sql_locate,
+    "sql_mems": sql_mems,
     "pattern_sample": pattern_sample,
     "pattern_pieces": patterns,
     "graph_units": units("edges"),
