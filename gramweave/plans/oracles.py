@@ -171,6 +171,14 @@ ORACLE_SQL = {
         and tb <> '' and qb <> '' and ta <> '' and qa <> '' and translate(tb || qb || ta || qa, '{CONTEXT}', '') = ''""",
     "mem_alphabet_asymmetric": f"""{STRICT}, {FREE} select query_id, i, d, place[1] as doc_id, place[2] as x from free join asks using (query_id) where i > 0 and i + d < length(text)
         and translate(substr(text, i + 1, d), '{CORE}', '') = '' and translate(substr(text, i, 1) || substr(text, i + d + 1, 1), '{CONTEXT}', '') = ''""",
+    "mem_classes": f"{MEM} select * from islands",
+    # A string is a maximal repeat if some pair of its places can be extended to neither side: the runs on all diagonals but the own.
+    "maximal_repeats": f"""with {DOCS}, {grams("tg", "docs", "doc_id", K)}, again as (select gram from tg group by gram having count(*) > 1), held as (select * from tg semi join again using (gram)),
+        hits as (select a.doc_id, b.doc_id as other, a.pos as x, b.pos as i from held a join held b on a.gram = b.gram where (a.doc_id, a.pos) < (b.doc_id, b.pos)),
+        runs as (select doc_id, min(x) as x, count(*) + {K - 1} as d from (select *, x - row_number() over (partition by doc_id, other, x - i order by x) as run from hits) group by doc_id, other, x - i, run),
+        strings as (select distinct substr(text, x + 1, d) as text, d from (select distinct doc_id, x, d from runs) join docs using (doc_id)),
+        met as (select s.text, s.d from strings s join held h on h.gram = substr(s.text, 1, {K}) join docs using (doc_id) where substr(docs.text, h.pos + 1, s.d) = s.text)
+        select text, d, count(*) as n_occ from met group by text, d""",
     "matching_statistics": f"""{MEM}, cover as (select query_id, unnest(range(i, i + d - {K - 1})) as p, i + d as reach, doc_id, x - i as diagonal from islands)
         select query_id, p as i, reach - p as ms, place[1] as doc_id, place[2] as x from (
             select query_id, p, reach, min((doc_id, diagonal + p)) as place from (select *, max(reach) over (partition by query_id, p) as most from cover) where reach = most group by query_id, p, reach)""",

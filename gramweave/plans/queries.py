@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gramweave.functions.strings import duration
 from gramweave.functions.tables import register
-from gramweave.operators import graph, index, locate, mem, suffix, vectors, walks
+from gramweave.operators import graph, index, locate, mem, repeats, suffix, vectors, walks
 from gramweave.sources import texts as src
 from gramweave.sources.tables import shared_path
 
@@ -157,6 +157,14 @@ def mem_alphabet_asymmetric(spark, sf_dir):
     return mem.mems_asymmetric(documents(spark, sf_dir), framed(spark, sf_dir), K, CORE, CONTEXT)
 
 
+def mem_classes(spark, sf_dir):
+    return repeats.mems_by_context(documents(spark, sf_dir), passages(spark, sf_dir), K)
+
+
+def maximal_repeats(spark, sf_dir):
+    return repeats.maximal_repeats(documents(spark, sf_dir), K)
+
+
 def matching_statistics(spark, sf_dir):
     return mem.matching_statistics(documents(spark, sf_dir), passages(spark, sf_dir), K)
 
@@ -372,6 +380,8 @@ QUERIES = {
     "mem_alphabet": mem_alphabet,
     "mem_alphabet_asymmetric": mem_alphabet_asymmetric,
     "matching_statistics": matching_statistics,
+    "mem_classes": mem_classes,
+    "maximal_repeats": maximal_repeats,
     "longest_common_substring": longest_common_substring,
     "longest_shared": longest_shared,
     "top_mems": top_mems,
