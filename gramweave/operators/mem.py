@@ -162,15 +162,3 @@ def longest_match(texts: DataFrame, queries: DataFrame, core: str | None = None,
         open_ = written(open_.join(shared, "doc_id", "left").select("doc_id", (F.col("d") + F.coalesce("__hit", F.lit(0))).alias("d")), "longest")
         step //= 2
     return found.unionByName(open_)
-
-
-def with_offsets(rows: DataFrame, id_col: str) -> DataFrame:
-    """id, offset: where each text starts if all are joined in the order of their ids, one separator before each and one at the end."""
-    from gramweave.sources.texts import numbered
-
-    sized = numbered(rows.select(id_col, F.length("text").alias("n")), [id_col], "no")
-    dealt = sized.withColumn("part", F.floor(F.col("no") / 4096))
-    totals = dealt.groupBy("part").agg(F.sum(F.col("n") + 1).alias("c"))
-    starts = totals.select("part", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("s"))
-    inside = F.coalesce(F.sum(F.col("n") + 1).over(Window.partitionBy("part").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return dealt.withColumn("o", inside).join(starts, "part").select(id_col, (F.col("o") + F.col("s") + 1).alias("offset"))

@@ -64,17 +64,25 @@ def levels_of(texts: DataFrame, k: int, again: DataFrame) -> list[tuple[int, Dat
     sized = texts.select("doc_id", F.length("text").cast("long").alias("size"))
     grams = kmers(texts, "doc_id", "text", k).withColumn("h", F.xxhash64("gram"))
     held = grams.join(smaller(again, F.lit(16)), "h", "left_semi").select("doc_id", "pos", "gram")
-    now = written(ranked(held.join(sized, "doc_id"), ["gram"], ["doc_id", "pos"], "r").select("doc_id", "pos", "size", "r", "r_at"), "repeat-ranks")
-    blocks = blocks_of(texts, k)
+    first = written(held.join(sized, "doc_id"), "repeat-places")
+    kept = ["doc_id", "pos", "size", "gram", "r", "r_at"]
+    now = written(ranked(first, ["gram"], ["doc_id", "pos"], "r").select(*kept), "repeat-ranks")
+    blocks = written(blocks_of(texts, k), "repeat-blocks")
     out, h = [(k, now)], k
     while True:
-        open_ = now.groupBy("r").agg(F.count(F.lit(1)).alias("c"), F.max(F.col("size") - F.col("pos")).alias("left")).where((F.col("c") > 1) & (F.col("left") > h))
+        alike = now.groupBy("r").agg(F.count(F.lit(1)).alias("c"), F.max(F.col("size") - F.col("pos")).alias("left"))
+        open_ = written(alike.where((F.col("c") > 1) & (F.col("left") > h)).select("r"), "repeat-open")
         if open_.isEmpty():
             return out
-        after = now.select("doc_id", (F.col("pos") - h).alias("pos"), F.col("r").alias("next"))
-        pairs = following(now.drop("r_at").join(after, ["doc_id", "pos"], "left"), blocks, F.col("pos") + h, k, "gram")
-        now = ranked(pairs.withColumn("next", F.coalesce("next", F.lit(-1))).withColumnRenamed("r", "q"), ["q", "gram", "next"], ["doc_id", "pos"], "r")
-        now = written(now.select("doc_id", "pos", "size", "r", "r_at"), "repeat-ranks")
+        # Only what is still alike is put in order; all others have their rank.
+        after = now.select("doc_id", (F.col("pos") - h).alias("pos"), F.col("gram").alias("next_gram"), F.col("r").alias("next"))
+        tied = written(now.join(open_, "r", "left_semi").withColumnRenamed("r", "q").drop("r_at").join(after, ["doc_id", "pos"], "left"), "repeat-tied")
+        alone = following(tied.where("next is null").drop("next_gram"), blocks, F.col("pos") + h, k, "next_gram").withColumn("next", F.lit(-1).cast("long"))
+        pairs = written(tied.where("next is not null").unionByName(alone), "repeat-tied")
+        new = written(ranked(pairs, ["q", "next_gram", "next"], ["doc_id", "pos"], "t"), "repeat-tied")
+        base = new.groupBy("q").agg(F.min("t").alias("base"))
+        new = new.join(base, "q").withColumns({"r": F.col("q") + F.col("t") - F.col("base"), "r_at": F.col("q") + F.col("t_at") - F.col("base")})
+        now = written(now.join(open_, "r", "left_anti").select(*kept).unionByName(new.select(*kept)), "repeat-ranks")
         h *= 2
         out.append((h, now))
 
@@ -103,7 +111,7 @@ def order_of_repeats(texts: DataFrame, k: int) -> DataFrame:
     """n, doc_id, pos, before, l: the places whose next k characters occur twice, in suffix order; l: how many characters a place shares with the one before it in order (0 if less than k)."""
     hashed = kmers(texts, "doc_id", "text", k).select(F.xxhash64("gram").alias("h"))
     again = written(hashed.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"), "repeated")
-    levels, blocks = levels_of(texts, k, again), blocks_of(texts, k)
+    levels, blocks = levels_of(texts, k, again), written(blocks_of(texts, k), "repeat-blocks")
     order = levels[-1][1]
     left = F.col("size") - F.col("pos")
     last = order.select((F.col("r_at") + 1).alias("n"), F.col("doc_id").alias("other"), F.col("pos").alias("b"), left.alias("other_left"))
@@ -212,7 +220,7 @@ def mems_by_context(texts: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     joint = texts.select(of("t", "doc_id").alias("doc_id"), "text").unionByName(queries.select(of("q", "query_id").alias("doc_id"), "text"))
     asked = kmers(queries, "query_id", "text", k).select(F.xxhash64("gram").alias("h")).distinct()
     met = kmers(texts, "doc_id", "text", k).select(F.xxhash64("gram").alias("h")).join(smaller(asked, F.lit(16)), "h", "left_semi").distinct()
-    levels, blocks = levels_of(joint, k, written(met, "met-hashes")), blocks_of(joint, k)
+    levels, blocks = levels_of(joint, k, written(met, "met-hashes")), written(blocks_of(joint, k), "repeat-blocks")
     sizes = [rows.select(id_col, F.length("text").cast("long").alias(name)) for rows, id_col, name in ((texts, "doc_id", "tn"), (queries, "query_id", "qn"))]
     sized = pairs.join(sizes[0], "doc_id").join(sizes[1], "query_id")
     keyed = sized.select(F.col("doc_id").alias("__doc_id"), "query_id", "x", "i", of("t", "doc_id").alias("doc_id"), F.col("x").alias("pos"), (F.col("tn") - F.col("x")).alias("own_left"), of("q", "query_id").alias("other"), F.col("i").alias("b"), (F.col("qn") - F.col("i")).alias("other_left"))

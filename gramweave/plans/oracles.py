@@ -165,6 +165,9 @@ ORACLE_SQL = {
         select doc_id, case when s >= 3600 then (s // 3600) || 'h ' || (s % 3600 // 60) || 'm ' || (s % 60) || 's' when s >= 60 then (s // 60) || 'm ' || (s % 60) || 's' else s || 's' end as reading from times""",
     "mem_lines": f"{MEM} select x || ',' || i || ',' || d as value from islands",
     "mem_open": f"{MEM} select * from islands",
+    "mem_global": f"""{MEM}, doc_at as (select doc_id, coalesce(sum(coalesce(length(text), 0) + 1) over (order by doc_id rows between unbounded preceding and 1 preceding), 0) + 1 as o from docs),
+        ask_at as (select query_id, coalesce(sum(coalesce(length(text), 0) + 1) over (order by query_id rows between unbounded preceding and 1 preceding), 0) + 1 as o from asks)
+        select (x + d.o)::bigint as joined_x, (i + a.o)::bigint as joined_i, m.d, doc_id, x as doc_x, query_id, i as query_i from islands m join doc_at d using (doc_id) join ask_at a using (query_id)""",
     "mem_symmetric": f"{STRICT} select islands.* from islands join docs using (doc_id) join asks using (query_id) where x > 0 and i > 0 and x + d < length(docs.text) and i + d < length(asks.text)",
     "mem_asymmetric": f"{STRICT}, {FREE} select query_id, i, d, place[1] as doc_id, place[2] as x from free join asks using (query_id) where i > 0 and i + d < length(text)",
     "mem_alphabet": f"""with {DOCS}, {FRAMED}, {islands(K, core=CORE)}, {BESIDE} select doc_id, query_id, x, i, d from beside where tb <> qb and ta <> qa

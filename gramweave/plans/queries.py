@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from gramweave.functions.strings import duration
 from gramweave.functions.tables import register
 from gramweave.operators import graph, index, locate, mem, repeats, suffix, vectors, walks
+from gramweave.sources import positions
 from gramweave.sources import texts as src
-from gramweave.sources.tables import shared_path
+from gramweave.sources.tables import shared_path, written
 
 K, PATTERN, PER_TEXT = 20, 12, 2
 #: Characters that a match may hold and those that may stand beside it, where a query says so.
@@ -141,6 +142,18 @@ def mem_open(spark, sf_dir):
     return mem.mems(documents(spark, sf_dir), passages(spark, sf_dir), K, boundary="open")
 
 
+def mem_global(spark, sf_dir):
+    """Matches by places in all texts, and all passages, joined, with the text and the passage that these places lead back to."""
+    texts, asked = documents(spark, sf_dir), passages(spark, sf_dir)
+    of = {"doc_id": positions.with_offsets(texts, "doc_id"), "query_id": positions.with_offsets(asked, "query_id")}
+    found = mem.mems(texts, asked, K, boundary="open")
+    for id_col, at in (("doc_id", "x"), ("query_id", "i")):
+        found = positions.to_joined(found, of[id_col], id_col, at).drop(id_col)
+    found = written(found.withColumnsRenamed({"x": "joined_x", "i": "joined_i"}), "joined-matches")
+    back = positions.to_texts(found, of["doc_id"], "doc_id", "joined_x").withColumnRenamed("x", "doc_x")
+    return positions.to_texts(back, of["query_id"], "query_id", "joined_i").withColumnRenamed("x", "query_i")
+
+
 def mem_symmetric(spark, sf_dir):
     return mem.mems(documents(spark, sf_dir), framed(spark, sf_dir), K)
 
@@ -376,6 +389,7 @@ QUERIES = {
     "mem_lines": mem_lines,
     "mem_open": mem_open,
     "mem_symmetric": mem_symmetric,
+    "mem_global": mem_global,
     "mem_asymmetric": mem_asymmetric,
     "mem_alphabet": mem_alphabet,
     "mem_alphabet_asymmetric": mem_alphabet_asymmetric,

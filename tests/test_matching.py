@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gramweave.operators import locate, mem
 from gramweave.sources import texts as src
+from gramweave.sources.positions import to_joined, to_texts, with_offsets
 
 TEXT = "ACAGTCGATCATCTAGCTAGTCGATCGCTAGTACGGGCGCGCGATATTATCGATCTGCTGCGCTAGCTAGTC\n"
 QUERIES = "#CGCTAGTACG#CGCCACTACG#\n"
@@ -175,7 +176,7 @@ def test_sources_and_sinks(spark, tmp_path):
 
     row = spark.range(1).select(duration(F.lit(3723)), duration(F.lit(62)), duration(F.lit(5)), bit_width(F.lit(8))).first()
     assert tuple(row) == ("1h 2m 3s", "1m 2s", "5s", 4)
-    assert sorted((r.doc_id, r.offset) for r in mem.with_offsets(frame(spark, [(1, "ab"), (5, "c"), (7, "ddd")]), "doc_id").collect()) == [(1, 1), (5, 4), (7, 6)]
+    assert sorted((r.doc_id, r.offset) for r in with_offsets(frame(spark, [(1, "ab"), (5, "c"), (7, "ddd")]), "doc_id").collect()) == [(1, 1), (5, 4), (7, 6)]
 
 
 @pytest.fixture
@@ -254,3 +255,18 @@ def test_pieces_cover_their_text(spark):
     assert found == [(100, 1, 0, "abc"), (101, 1, 3, "def"), (102, 1, 4, "efg"), (200, 2, 0, "abc"), (201, 2, 3, "def"), (500, 5, 0, "abc")]
     with pytest.raises(Exception, match="too many pieces"):
         locate.tiled_patterns(frame(spark, docs), 3, 2).collect()
+
+
+@pytest.mark.parametrize("width", [4, 1 << 16])
+def test_places_of_the_joined_text_and_back(spark, width):
+    texts = {1: "ab", 4: "", 5: "c" * 30, 6: None, 9: "d"}
+    joined, want = "#", {}
+    for i, t in texts.items():
+        want |= {len(joined) + x: (i, x) for x in range(len(t or ""))}
+        joined += (t or "") + "#"
+    offsets = with_offsets(frame(spark, list(texts.items())), "doc_id")
+    places = frame(spark, [(p, "row", 7) for p in [*range(-1, len(joined) + 9), 3, 3, None]], "at long, row string, x int")
+    got = sorted(((r.at, r.doc_id, r.x) for r in to_texts(places, offsets, "doc_id", "at", width).collect()), key=repr)
+    assert got == sorted(((p, *want.get(p, (None, None))) for p in [*range(-1, len(joined) + 9), 3, 3, None]), key=repr)
+    there = to_joined(frame(spark, [(i, x) for i, x in want.values()], "doc_id long, x long"), offsets, "doc_id", "x")
+    assert sorted(r.x for r in there.collect()) == sorted(want)
