@@ -2,8 +2,9 @@
 
 A page becomes a flat sequence of text blocks, cut at block-level tags. A block has its number of words and its link density
 (words in links among all words) and those of the blocks before and after it. Further features: whether it stands in an article or main
-element, beside one, in an element that is or is named as a menu, header, footer, sidebar, notice, advert, form or comments, and under a
-heading tag. A decision tree says which blocks are the article's. It is trained on the blocks of the small labelled table that
+element, beside one, in an element that is a menu, header, footer, sidebar or form, and under a heading tag; how far the innermost element that has one is named as a menu,
+header, footer, sidebar, notice, advert, form or comments (not, by a part of a name, by a whole one, as comments), and the share of the page's words under that element: a
+name such as social-history on the element that holds most of the page names nothing that goes. A decision tree says which blocks are the article's. It is trained on the blocks of the small labelled table that
 `labelled_pages` writes by rule: pages with and without article elements and telling names. Where a page has neither, word counts and
 link densities decide, so a short line between paragraphs stays and one between menus goes; of even leaves the block stays.
 
@@ -55,6 +56,7 @@ OTHER_NAMES = frozenset(
     " pager pagination paywall popup promo promoted promotion related replies reply respond search share sharing sidebar signup skip social sponsor"
     " sponsored subscribe subscription toolbar topbar trending widget".split()
 )
+COMMENT_NAMES = frozenset("comment comments discussion disqus replies reply respond".split())
 
 
 @dataclass
@@ -65,13 +67,19 @@ class Block:
     inside: bool
     other: bool
     heading: bool
+    named: int
+    share: float
 
 
-def other_named(rest: str, inside: bool) -> bool:
-    """Whether a class, id or role of the tag has a word of OTHER_NAMES. An article's own header holds its title."""
-    if "=" not in rest:
-        return False
-    return any(w in OTHER_NAMES and not (inside and w == "header") for m in NAMES.finditer(rest) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()))
+def named_as(rest: str, inside: bool) -> int:
+    """How far a class, id or role of the tag names what isn't the article's: 0 not, 1 by a part of a name, 2 by a whole name, 3 as comments. An article's own header holds its title."""
+    found = 0
+    if "=" in rest:
+        for name in {n for m in NAMES.finditer(rest) for n in (m[1] or m[2] or m[3] or "").lower().split()}:
+            for word in re.split(r"[^a-z]+", name):
+                if word in OTHER_NAMES and not (inside and word == "header"):
+                    found = max(found, 3 if word in COMMENT_NAMES else 2 if word == name else 1)
+    return found
 
 
 def marks(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
@@ -119,7 +127,9 @@ def tag_end(page: str, at: int) -> int:
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
-    held: list[tuple[str, bool, bool]] = []  # open holders: tag, in the article, in something else
+    held: list[tuple[str, bool, bool, int, int]] = []  # open holders: tag, in the article, in something else, how far it is named, number of the named element
+    under: list[int] = [0]  # words under each named element
+    owner: list[int] = []  # of each block
     open_: Counter[str] = Counter()
     linked = links = 0
     heading = False
@@ -129,8 +139,10 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            inside, other = held[-1][1:] if held else (False, False)
-            out.append(Block(text, len(text.split()), linked, inside, other, heading))
+            inside, other, named, number = held[-1][1:] if held else (False, False, 0, 0)
+            out.append(Block(text, len(text.split()), linked, inside, other, heading, named, 0.0))
+            under[number] += out[-1].words
+            owner.append(number)
         parts.clear()
         linked = 0
 
@@ -162,17 +174,25 @@ def blocks(page: str) -> list[Block]:
                     if last == tag:
                         break
             elif not rest.endswith("/"):
-                inside, other = held[-1][1:] if held else (False, False)
+                inside, other, named, number = held[-1][1:] if held else (False, False, 0, 0)
                 inside = inside or tag in ("article", "main")
-                other = other or tag in OTHER or (tag == "header" and not inside) or (tag not in ("article", "main", "body", "html") and other_named(rest, inside))
-                held.append((tag, inside, other))
+                other = other or tag in OTHER or (tag == "header" and not inside)
+                own = named_as(rest, inside) if tag not in ("article", "main", "body", "html") and named < 3 else 0
+                if own:
+                    named, number = own, len(under)
+                    under.append(0)
+                held.append((tag, inside, other, named, number))
                 open_[tag] += 1
     add(page[at:])
     close()
+    total = sum(b.words for b in out)
+    for block, number in zip(out, owner, strict=True):
+        if block.named:
+            block.share = under[number] / total
     return out
 
 
-FEATURES = ("words", "link density", "words before", "link density before", "words after", "link density after", "in the article", "beside an article", "in something else", "heading")
+FEATURES = ("words", "link density", "words before", "link density before", "words after", "link density after", "in the article", "beside an article", "in something else", "heading", "named", "share of the named")
 
 
 def features(found: list[Block]) -> np.ndarray:
@@ -181,11 +201,11 @@ def features(found: list[Block]) -> np.ndarray:
         return np.zeros((0, len(FEATURES)))
     edge = np.zeros((1, 2))
     any_inside = any(b.inside for b in found)
-    flags = np.array([[b.inside, any_inside and not b.inside, b.other, b.heading] for b in found], dtype="f8").reshape(-1, 4)
+    flags = np.array([[b.inside, any_inside and not b.inside, b.other, b.heading, b.named, b.share] for b in found], dtype="f8").reshape(-1, 6)
     return np.hstack([own, np.vstack([edge, own[:-1]]), np.vstack([own[1:], edge]), flags])
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 9, least: int = 6):
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 14, least: int = 2):
     """A decision tree by Gini impurity: a share of the article's, or (feature, limit, up to it, over it). Ties go to the first feature and limit."""
     share = float(y.mean())
     if depth == 0 or share in (0.0, 1.0):
@@ -294,8 +314,11 @@ def labelled_pages(pages: int = 400, seed: int = 8) -> Iterator[tuple[str, str]]
                 put("div", "cookie-notice", [(f"<p>{words(12, 40)}</p>", "n"), (f"<p>{words(1, 2)}</p>", "n")]),
                 put("form", "", [(f"<p>{words(5, 20)}</p>", "n"), (f"<p>{words(1, 3)}</p>", "n")]),
                 put("div", "share", [(f"<p>{link(words(1, 2))} {link(words(1, 2))}</p>", "n")]),
-                put("section", "comments", [(f"<h3>{words(1, 3)}</h3>", "n"), (f"<p>{words(1, 3)}</p>", "n"), (f"<p>{words(5, 50)}</p>", "n")]),
+                put("section", r.choice(("comments", "comment-list")), [(f"<h3>{words(1, 3)}</h3>", "n"), *((f"<p>{words(*n)}</p>", "n") for _ in range(r.choice((1, 1, 2, 9))) for n in ((1, 3), (5, 80)))]),
             ]
+            if (turn := r.random()) < 0.25:  # names that say nothing, as they stand at what most of the page's words are under
+                name_of = f"{r.choice(sorted(OTHER_NAMES - COMMENT_NAMES))}-{r.choice(WORDS)}" if turn < 0.15 or kind != "element" else "'notice share'"
+                body = put("section", name_of, [*body, *(prose() for _ in range(6))])
             for part in r.sample(extra, r.randint(1, 3)):
                 place = r.randint(1, len(body))
                 if r.random() < 0.5:

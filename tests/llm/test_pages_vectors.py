@@ -269,3 +269,30 @@ def test_embedding_links_of_ids_of_any_type_and_of_repeated_ids(spark):
     found = embedding_dedup.embedding_links(spark.createDataFrame(rows, "vec_id string, embedding array<double>, label int"))
     got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in found.collect()), key=repr)
     assert got == sorted([("x1", 2, "x1", True), ("x1", 1, "x1", True), ("x5", 2, "x1", False), ("x7", 1, "x1", False), (None, 2, "x1", False)], key=repr)
+
+
+PROSE = "".join("<p>" + "water came over the fields at night and was gone by noon " * n + "</p>" for n in (2, 4, 3, 5))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div id=social-history>{}</div>",
+        "<nav><ul><li><a href=x>Home</a></li></ul></nav><div class='share-prices report'>{}</div><footer><p>End</p></footer>",
+        "<article><section class='notice share'>{}</section></article>",
+        "<article><h1>The flood</h1><section class='notice share'>{}</section></article>",
+        "<main><div class='promo-letters'>{}</div></main>",
+    ],
+)
+def test_a_name_on_most_of_the_page_takes_no_article_away(page):
+    kept = html_text.main_text(page.format(PROSE)).split("\n\n")
+    assert [x for x in kept if x.startswith("water")] == [x.strip() for x in PROSE.replace("<p>", "").split("</p>")[:-1]]
+
+
+@pytest.mark.parametrize("name", ["cookie-notice", "site-footer", "share", "ad", "comments", "comment-list", "user-comments"])
+def test_named_parts_beside_the_article_still_go(name):
+    part = f"<div class='{name}'><p>words that are not of the article at all, and some more</p></div>"
+    for page in ("<article>{}{}</article>", "<article>{}</article>{}", "<div>{}</div>{}"):
+        assert html_text.main_text(page.format(PROSE, part)) == html_text.main_text(page.format(PROSE, "")), page
+    many = "<div class='comments'>" + "<p>a reader has an opinion about water and fields and noon</p>" * 30 + "</div>"
+    assert "opinion" not in html_text.main_text(f"<article>{PROSE}{many}</article>") and "opinion" not in html_text.main_text(f"<article>{PROSE}</article>{many}")
