@@ -160,6 +160,8 @@ ORACLE_SQL = {
     "gfa_nodes": f"with {GFA} select * from gfa_nodes",
     "gfa_links": f"with {GFA} select * from gfa_links",
     "gfa_units": f"with {GFA} select distinct src || ',' || dst as ids, a || '>' || b as parts, coalesce(lctx, 'N') as lctx, coalesce(rctx, '$') as rctx from turned left join gfa_lefts on src = gfa_lefts.node_id left join gfa_rights on dst = gfa_rights.node_id",
+    "gfa_source": f"""with {NODES}, named as (select 'n' || node_id as name, node_id, regexp_replace(label, '[\t\r\n]', ' ', 'g') as label from nodes)
+        select a.name as src, src % 2 = 1 as src_rev, b.name as dst, dst % 5 = 0 as dst_rev, a.label as src_label, b.label as dst_label from links join named a on a.node_id = src join named b on b.node_id = dst""",
     "index_grams": f"with {ASKS}, {grams('qg', 'asks', 'query_id', PATTERN)} select query_id, pos, gram from qg",
     "text_durations": """with times as (select doc_id, length(text) // 15 as s from documents where text is not null)
         select doc_id, case when s >= 3600 then (s // 3600) || 'h ' || (s % 3600 // 60) || 'm ' || (s % 60) || 's' when s >= 60 then (s // 60) || 'm ' || (s % 60) || 's' else s || 's' end as reading from times""",

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from gramweave.functions.strings import duration
 from gramweave.functions.tables import register
 from gramweave.operators import graph, index, locate, mem, repeats, suffix, vectors, walks
-from gramweave.sources import positions
+from gramweave.sources import formats, positions
 from gramweave.sources import texts as src
 from gramweave.sources.tables import shared_path, written
 
@@ -117,6 +117,19 @@ def gfa_units(spark, sf_dir):
     return _units(*gfa_graph(spark, sf_dir), "edges")
 
 
+def gfa_source(spark, sf_dir):
+    """The links of that graph, written by one data source and read by it in ranges of 10,000 bytes."""
+    nodes, links = passage_graph(spark, sf_dir)
+    formats.register(spark)
+    path, name = shared_path(spark, "graph-source"), lambda c: F.concat(F.lit("n"), F.col(c)).alias(c)
+    nodes.select(name("node_id").alias("name"), F.regexp_replace("label", r"[\t\r\n]", " ").alias("label")).write.format("gfa").mode("append").save(path)
+    links.select(name("src"), (F.col("src") % 2 == 1).alias("src_rev"), name("dst"), (F.col("dst") % 5 == 0).alias("dst_rev")).write.format("gfa").mode("append").save(path)
+    read = spark.read.format("gfa").option("split", 10_000)
+    labels = read.load(path)
+    of = lambda end: labels.select(F.col("name").alias(end), F.col("label").alias(f"{end}_label"))
+    return read.option("record", "L").load(path).join(of("src"), "src").join(of("dst"), "dst")
+
+
 def index_grams(spark, sf_dir):
     """The grams of the passages from a stored index, built by the first call and read by the second."""
     rows, folder = passages(spark, sf_dir), shared_path(spark, "index")
@@ -384,6 +397,7 @@ QUERIES = {
     "gfa_nodes": gfa_nodes,
     "gfa_links": gfa_links,
     "gfa_units": gfa_units,
+    "gfa_source": gfa_source,
     "index_grams": index_grams,
     "text_durations": text_durations,
     "mem_lines": mem_lines,
