@@ -16,8 +16,9 @@ def test_every_query_has_sql():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-def test_the_rest_imports_without_the_subpackage(tmp_path):
-    for name in ("__spark_entry__.py", "gramweave"):
+@pytest.mark.parametrize("names", [("__spark_entry__.py", "gramweave"), ("__spark_entry__.py", "gramweave", "corpus_pipeline.py")])
+def test_the_rest_imports_without_the_subpackage(tmp_path, names):
+    for name in names:
         subprocess.run(["cp", "-r", str(ROOT / name), str(tmp_path)], check=True)
     subprocess.run(["find", str(tmp_path / "gramweave"), "-depth", "-path", "*llm*", "-delete"], check=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'mem_open' in q and not any(n.startswith('op') for n in q); e.oracle_sql()"

@@ -1,4 +1,9 @@
+import random
+
+import pytest
+
 from gramweave.operators import locate, mem
+from gramweave.operators.index import GramIndex
 from gramweave.streaming import matches
 
 
@@ -19,3 +24,23 @@ def test_a_stream_gives_what_a_table_does(spark, tmp_path):
         assert sorted(map(tuple, found.drop("batch").collect())) == sorted(map(tuple, want.collect()))
         start(out, mark).awaitTermination(120)  # nothing new to read
         assert spark.read.parquet(out).count() == found.count()
+
+
+@pytest.mark.parametrize("most", [0, 1])
+def test_patterns_that_arrive_are_joined_to_a_stored_index(spark, tmp_path, most):
+    """Two runs from one checkpoint give what all patterns give at once, and no pattern twice."""
+    r = random.Random(3)
+    texts = spark.createDataFrame([(j, "".join(r.choice("ab") for _ in range(60))) for j in range(20)], "doc_id long, text string")
+    index = GramIndex(spark, str(tmp_path / "index"), 4)
+    index.update(texts)
+    parts = [[(j, "".join(r.choice("ab") for _ in range(r.randrange(8, 12)))) for j in range(a, a + 8)] for a in (0, 8)]
+    schema, out = "pattern_id long, pattern string", str(tmp_path / "out")
+    for n, part in enumerate(parts):
+        spark.createDataFrame([*part, (90 + n, None)], schema).write.parquet(str(tmp_path / f"in/{n}"))
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        found = matches.locate_pattern_stream(stream, texts, index, most)
+        assert found.isStreaming
+        found.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+    got = sorted(tuple(x) for x in spark.read.parquet(out).select("pattern_id", "doc_id", "x", "mismatches").collect())
+    want = locate.locate(texts, spark.createDataFrame([p for part in parts for p in part], schema), most)
+    assert got == sorted(tuple(x) for x in want.collect()) and got
