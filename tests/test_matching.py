@@ -270,3 +270,28 @@ def test_places_of_the_joined_text_and_back(spark, width):
     assert got == sorted(((p, *want.get(p, (None, None))) for p in [*range(-1, len(joined) + 9), 3, 3, None]), key=repr)
     there = to_joined(frame(spark, [(i, x) for i, x in want.values()], "doc_id long, x long"), offsets, "doc_id", "x")
     assert sorted(r.x for r in there.collect()) == sorted(want)
+
+
+def test_one_very_long_pattern_among_many_short_ones():
+    """Patterns are held by length: 20,000 of 12 characters and one of 800,000 take what they hold, and all are found."""
+    r = random.Random(11)
+    whole = "".join(r.choice("abcdefgh") for _ in range(800_000))
+    short = [whole[i * 40 : i * 40 + 12] for i in range(20_000)]
+    scanner = locate.Scanner([locate.codes(p) for p in [*short, whole]], [(i, 0, 12) for i in range(20_000)] + [(20_000, 0, 32)], 0, None)
+    assert sum(t.nbytes for t in scanner.tables.values()) == 4 * (12 * 20_000 + 800_000)
+    which, at, wrong = scanner.find(locate.codes("x" + whole + "y"))
+    found = set(zip(which.tolist(), at.tolist(), strict=True))
+    assert (20_000, 1) in found and all((i, i * 40 + 1) in found for i in range(20_000)) and not wrong.any()
+
+
+def test_longest_match_of_units_is_of_any_length(spark):
+    from gramweave.operators import graph
+
+    units = spark.createDataFrame([([1], ["abcd"], "x", "y"), ([2, 3], ["ab", "zz"], "N", "$")], "ids array<int>, parts array<string>, lctx string, rctx string")
+    for query, d in (("#abcdy#", 5), ("qrs", 0)):
+        assert graph.longest(units, frame(spark, [(0, query)], "query_id long, text string")).first().d == d, query
+
+
+def test_totals_are_sums_of_the_histogram(spark):
+    texts, patterns = frame(spark, [(0, "abcabd"), (1, None)]), frame(spark, [(0, "abc"), (1, "abd")], "pattern_id long, pattern string")
+    assert sorted(map(tuple, locate.totals(texts, patterns, 2).collect())) == [(0, 2), (1, 2), (2, 0)]
