@@ -343,7 +343,9 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     pairs = pairs.select("lang", F.col("a").alias("source"), F.lit("pair").alias("part"), F.col("b").alias("item"), (F.col("v") * F.abs(F.col("pa") - F.col("pb")) + F.coalesce("more", F.lit(0))).alias("value"))
 
     whole = counts.groupBy("lang", "slot").agg(F.sum("n").alias("n"))
-    language = totals.groupBy("lang").agg(F.sum("total").alias("total")).join(vocabulary, "lang")
+    language = written(totals.groupBy("lang").agg(F.sum("total").alias("total")).join(vocabulary, "lang"), "languages")
+    if language.count() <= MOST_LANGS:
+        language = F.broadcast(language)
     common = whole.join(language, "lang").select("lang", "slot", share(F.col("n"), F.col("total"), F.col("v")).alias("q")).join(slot_terms(shards), ["lang", "slot"])
     terms = own.join(common, ["lang", "slot"]).where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
 
