@@ -113,8 +113,8 @@ def _correction(sized: DataFrame, dealt: DataFrame, seed: int) -> DataFrame:
     return able.groupBy("key").agg(best).select("key", "best.block", F.col("best.id").alias("odd_id"), F.col("best.size").alias("odd_size"), "best.odd")
 
 
-def _plan(rows: DataFrame, sized: DataFrame, weights: Sequence[int], most: int, shards: int, seed: int) -> DataFrame:
-    """rows (key, id, size, block and others), with source_size, target and shards (one for each copy that the mix takes). sized: the same rows, without others, in a table."""
+def _plan(sized: DataFrame, weights: Sequence[int], most: int, shards: int, seed: int) -> DataFrame:
+    """sized (key, id, size, block and others; a table) with source_size, target and shards (one for each copy that the mix takes)."""
     blocks = written(sized.groupBy("key", "block").agg(F.sum("size").alias("words")), "mix-blocks")
     sizes = written(blocks.groupBy("key").agg(F.sum("words").alias("source_size"), F.count(F.lit(1)).alias("blocks")), "mix-sources")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -134,7 +134,7 @@ def _plan(rows: DataFrame, sized: DataFrame, weights: Sequence[int], most: int,
     all_shards = F.when(copies > 0, F.transform(F.sequence(F.lit(0).cast("long"), copies - 1), lambda n: shard(n * F.col("blocks") + F.col("rank")))).otherwise(F.array().cast("array<int>"))
     added = shard(F.col("passes") * F.col("blocks") + F.col("more")).alias("added")  # an added document is the block after the last
     dealt = written(placed.join(ends, "key").select("key", "block", "source_size", "target", "passes", "rest", "due", "last", all_shards.alias("shards"), added), "mix-shards")
-    out = _inside(rows, dealt.join(odd, ["key", "block"], "left"), seed)
+    out = _inside(sized, dealt.join(odd, ["key", "block"], "left"), seed)
     odd_one = F.when(F.col("id").eqNullSafe(F.col("odd_id")) & (F.col("size") == F.col("odd_size")), F.col("odd")).otherwise(0)
     kept = F.slice("shards", F.lit(1), (F.col("passes") + F.col("in_last").cast("long") + F.least(odd_one, F.lit(0))).cast("int"))
     more = F.when(odd_one > 0, F.array("added")).otherwise(F.array().cast("array<int>"))
@@ -148,15 +148,29 @@ def _keyed(docs: DataFrame, id_col: str, source_col: str, text_col: str, seed: i
 
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: Sequence[int] = WEIGHTS, most: int = MOST, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """One row per row of docs: the id, size (words), source_size, target (of its source, in words), shards (array: where each copy goes), taken (words, repeats counted)."""
-    rows = written(_keyed(docs, id_col, source_col, text_col, seed), "mix-sizes")
-    plan = _plan(rows, rows, weights, most, shards, seed)
+    plan = _plan(written(_keyed(docs, id_col, source_col, text_col, seed), "mix-sizes"), weights, most, shards, seed)
     return plan.select(F.col("id").alias(id_col), "size", "source_size", "target", "shards", (F.col("size") * F.size("shards")).alias("taken"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: Sequence[int] = WEIGHTS, most: int = MOST, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """The rows of the mix with the columns of docs, repeats included: each shard's rows together, in a shuffled order."""
-    sized = written(_keyed(docs, id_col, source_col, text_col, seed), "mix-sizes")
-    plan = _plan(_keyed(docs, id_col, source_col, text_col, seed, F.struct("*").alias("row")), sized, weights, most, shards, seed)
+    """The rows of the mix with the columns of docs, repeats included: each shard's rows together, in a shuffled order.
+
+    Shards are decided on ids and sizes. The decisions are then joined to the rows, by the id and a hash of source and text, so whole rows are
+    in no window and a source of any size is as many tasks as it has rows for.
+    """
+    mark = F.xxhash64(source_col, text_col).alias("mark")
+    sized = written(_keyed(docs, id_col, source_col, text_col, seed, mark), "mix-sizes")
+    taken = _plan(sized, weights, most, shards, seed).where(F.size("shards") > 0).select(F.col("id").alias("taken_id"), F.col("mark").alias("taken_mark"), "shards")
+    taken = written(taken, "mix-taken")
+    whole = docs.select(F.col(id_col).alias("id"), mark, F.struct("*").alias("row"))
+    same = whole["id"].eqNullSafe(taken["taken_id"]) & (whole["mark"] == taken["taken_mark"])
+    if not sized.groupBy("id", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        # Rows of one id, source and text: each gets one decision of theirs, or none where these run out.
+        turns = Window.partitionBy("id", "mark").orderBy(F.xxhash64(F.to_json("row")))
+        whole = whole.withColumn("turn", F.row_number().over(turns))
+        taken = taken.withColumn("taken_turn", F.row_number().over(Window.partitionBy("taken_id", "taken_mark").orderBy("shards")))
+        same = same & (whole["turn"] == taken["taken_turn"])
+    plan = whole.join(taken, same)
     copies = plan.select("row", "id", F.posexplode("shards").alias("copy", "shard"))
     order = F.xxhash64("id", "copy", F.lit(seed + 2))
     # A shard is shuffled in pieces: 64, or more where the session's partitions, which are sized for the input, ask for it.

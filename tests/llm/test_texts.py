@@ -411,6 +411,20 @@ def test_mixing(spark, docs, none):
     assert mixing.mix_plan(none).count() == mixing.mix(none).count() == 0
 
 
+def test_the_mix_gives_repeated_rows_their_own_decisions(spark):
+    found = [(k, f"s{k % 3}", "w " * (1 + k % 7), k % 2) for k in range(60)]
+    found += [(7, "s1", "w " * 8, x) for x in range(5)] + [(None, "s0", "v w", x) for x in range(4)] + [(None, None, None, 0)] * 2
+    frame = spark.createDataFrame(found, "doc_id long, source string, text string, n long")
+    plan = mixing.mix_plan(frame).collect()
+    mixed = mixing.mix(frame).collect()
+    assert sorted((repr(x.doc_id), len((x.text or "").split())) for x in mixed) == sorted((repr(x.doc_id), x.size) for x in plan for _ in x.shards)
+    assert {tuple(x) for x in mixed} <= set(found)
+    assert sorted(map(repr, map(tuple, mixing.mix(frame.repartition(7)).collect()))) == sorted(map(repr, map(tuple, mixed)))
+    # No window on the way holds texts: rows meet their decisions in a join on the id.
+    plain = mixing.mix(frame.where("doc_id is not null and doc_id <> 7"))._jdf.queryExecution().toString()
+    assert "Window" not in plain
+
+
 def brute_taken(data, plan, blocks, seed):
     """taken and the number of copies of each document by the rule, from sizes, targets and block hashes."""
     out = {}
