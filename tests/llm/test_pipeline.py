@@ -165,11 +165,12 @@ def test_registered_queries(spark):
     import __spark_entry__
 
     found = __spark_entry__.queries()
-    assert {n.split("_")[0] for n in found if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in found
+    assert {n.split("_")[0] for n in found if n.startswith("op")} == {f"op{i}" for i in range(1, 14)} and "pipeline" in found
     tables = {"op3": ("embeddings", 500), "op5": ("pages", 50), "op7": ("pages", 50)}
     for name, query in queries.QUERIES.items():
         n = tables.get(name.split("_")[0], ("documents", 200))[1]
-        assert query(spark, str(SMALL)).count() == n, name
+        rows = query(spark, str(SMALL)).count()
+        assert rows == n if name != "op11_source_divergence" else rows > 0, name  # op11 has rows for groups, not for documents
 
 
 def test_held_out_accuracy(spark):
