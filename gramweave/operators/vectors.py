@@ -1,7 +1,8 @@
 """Rank and select on bit, character and run-length vectors, kept as rows.
 
 A vector is its rows (vec, pos, bit or ch). A long vector is counted in blocks, whose totals are summed first, so that no task sees
-a whole one. rank excludes its position; select and positions count from 0.
+a whole one. rank excludes its position; select and positions count from 0. Starts of blocks are as many as vectors, and Spark takes
+them for as small as the file that vectors are exploded from, so their join names its kind: else they go whole to the driver, for broadcast.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ def _rank(rows: DataFrame, keys: list[str], amount) -> DataFrame:
     before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(*keys, "__b", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__s"))
     inside = F.coalesce(F.sum("__a").over(Window.partitionBy(*keys, "__b").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return dealt.withColumn("__i", inside).join(starts, [*keys, "__b"]).withColumn("rank", F.col("__i") + F.col("__s")).drop("__a", "__b", "__i", "__s")
+    return dealt.withColumn("__i", inside).join(starts.hint("merge"), [*keys, "__b"]).withColumn("rank", F.col("__i") + F.col("__s")).drop("__a", "__b", "__i", "__s")
 
 
 def bit_rank(bits: DataFrame) -> DataFrame:
