@@ -46,7 +46,7 @@ def pattern_sample(spark, sf_dir):
 
 
 def names(spark, sf_dir):
-    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text"))
+    return src.spread(_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text")))
 
 
 def letters(spark, sf_dir):

@@ -103,6 +103,38 @@ def test_bits(spark):
     assert {r.rank for r in vectors.bit_rank(bits).where("vec = 2").collect()} == {0}
 
 
+def no_broadcast(rows):
+    assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_characters_of_a_small_file_are_not_broadcast(spark, tmp_path):
+    """What is exploded from a small file looks small to Spark and is large."""
+    spark.range(2000).select("id", F.lit("abracadabra").alias("text")).write.parquet(str(tmp_path / "names"))
+    names = spark.read.parquet(str(tmp_path / "names")).withColumnRenamed("id", "doc_id")
+    chars = names.select(F.col("doc_id").alias("vec"), F.posexplode(F.split("text", "")).alias("pos", "ch"))
+    no_broadcast(vectors.char_rank_select(chars))
+    no_broadcast(vectors.bit_predecessor(chars.select("vec", "pos", (F.col("ch") == "a").cast("int").alias("bit"))))
+    for job in (suffix.bwt, suffix.bwt_runs, suffix.lf_mapping, suffix.fl_mapping, suffix.index_stats, suffix.plcp):
+        no_broadcast(job(names))
+
+
+def test_columns_come_from_the_row_of_their_text(spark):
+    """No task gathers the characters of many texts to count them."""
+    odd = ["", "a", "zz\n\U0001f600z", "\U0001f600\uffff\x00$", "ab" * 300]
+    frame = spark.createDataFrame([*enumerate(odd), (9, None)], "doc_id long, text string")
+    for job in (suffix.f_column, suffix.char_range):
+        plan = job(frame)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Aggregate" not in plan
+    got = sorted((r.doc_id, r.ch.encode(), r.n, r["first"]) for r in suffix.f_column(frame).collect())
+    want = [(i, c.encode(), max(1, t.count(c) if c else 1), sum(x < c for x in t) + (c != "")) for i, t in enumerate(odd) for c in {"", *t}]
+    assert got == sorted(want)
+    for i, t in enumerate(odd):
+        at = sorted(range(len(t) + 1), key=lambda p: t[p:])
+        lf = {r["rank"]: r.lf for r in suffix.lf_mapping(frame.where(F.col("doc_id") == i)).collect()}
+        assert lf == {rank: at.index(p - 1) if p else 0 for rank, p in enumerate(at)}
+    assert suffix.lf_mapping(frame.where("doc_id = 9")).count() == 0
+
+
 @pytest.mark.parametrize("block", [64, 1 << 16])
 def test_characters_and_runs(spark, block, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", block)
