@@ -243,6 +243,38 @@ def test_exact_dedup_of_other_ids(spark):
     assert sorted(r.doc_id for r in exact_dedup.exact_dedup(docs).collect()) == ["b", "d"]
 
 
+def shuffled(spark):
+    return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def test_exact_dedup_moves_a_text_twice(spark):
+    texts = F.concat(*[F.sha2(F.concat("id", F.lit(f" {j}")), 256) for j in range(30)])
+    docs = spark.range(0, 400, 1, 2).select(F.col("id").alias("doc_id"), texts.alias("text"))
+    start = shuffled(spark)
+    docs.repartition(3, "doc_id").write.format("noop").mode("overwrite").save()
+    once = shuffled(spark) - start
+    assert exact_dedup.exact_dedup(docs).count() == 400
+    start = shuffled(spark)
+    exact_dedup.exact_dedup(docs).write.format("noop").mode("overwrite").save()
+    assert once > 100_000 and shuffled(spark) - start < 2.4 * once
+
+
+@pytest.mark.parametrize("salted", [False, True])
+@pytest.mark.parametrize("collide", [False, True])
+def test_exact_dedup_of_common_texts(spark, monkeypatch, salted, collide):
+    monkeypatch.setattr(exact_dedup, "COMMON", 20 if salted else 1000)
+    if collide:
+        monkeypatch.setattr(exact_dedup.F, "sha2", lambda col, n: F.when(F.length(col) < 3, F.lit("00" * 32)).otherwise(F.lit("11" * 32)))
+    text = F.when(F.col("id") % 2 == 0, F.lit("a b")).when(F.col("id") % 10 == 1, F.concat(F.lit("c"), F.repeat(F.lit(" "), (F.col("id") % 4).cast("int")))).otherwise(F.concat(F.lit("word"), F.col("id") % 7))
+    docs = spark.range(0, 100, 1, 5).select(F.col("id").alias("doc_id"), text.alias("text"))
+    groups = {}
+    for r in docs.collect():
+        groups.setdefault(r.text.replace(" ", ""), []).append((-len(r.text), r.doc_id))
+    want = sorted((i, min(g)[1], len(g), i == min(g)[1]) for g in groups.values() for _, i in g)
+    assert sorted(map(tuple, exact_dedup.exact_groups(docs).drop("text_sha256").collect())) == want
+    assert sorted(r.doc_id for r in exact_dedup.exact_dedup(docs).collect()) == [w[0] for w in want if w[3]]
+
+
 def test_exact_dedup_compares_contents_where_digests_collide(spark, monkeypatch):
     from pyspark.sql import functions as F
 
