@@ -10,7 +10,7 @@ and never cross texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -115,7 +115,12 @@ class Scanner:
         return which[keep], at[keep], wrong[keep]
 
 
-def pieces(texts: list[str | None], overlap: int, together: int) -> Iterator[tuple[list[tuple[int, int, int]], np.ndarray]]:
+def strings(column: pa.Array) -> Iterator[str | None]:
+    """The texts of a batch one by one: a batch may have ten thousand, and as Python's strings together they are many times a piece."""
+    return (text.as_py() for text in column)
+
+
+def pieces(texts: Iterable[str | None], overlap: int, together: int) -> Iterator[tuple[list[tuple[int, int, int]], np.ndarray]]:
     """Texts put together with gaps, about `together` characters at a time, a long one in parts that overlap.
 
     Yields (number of the text, place of the part in it, place in the whole) of each part, and the whole.
@@ -146,8 +151,8 @@ def _scan(texts: DataFrame, patterns: list, kind: str, seeds: list[tuple[int, in
         ids = pa.array(own)
         overlap = int(scanner.sizes.max(initial=1)) - 1
         for batch in batches:
-            docs, strings = batch.column(0), batch.column(1).to_pylist()
-            for marks, whole in pieces(strings, overlap, together):
+            docs = batch.column(0)
+            for marks, whole in pieces(strings(batch.column(1)), overlap, together):
                 which, at, wrong = scanner.find(whole)
                 text, base, start = (np.array(x) for x in zip(*marks, strict=True))
                 part = np.searchsorted(start, at, "right") - 1

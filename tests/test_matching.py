@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -295,3 +296,9 @@ def test_longest_match_of_units_is_of_any_length(spark):
 def test_totals_are_sums_of_the_histogram(spark):
     texts, patterns = frame(spark, [(0, "abcabd"), (1, None)]), frame(spark, [(0, "abc"), (1, "abd")], "pattern_id long, pattern string")
     assert sorted(map(tuple, locate.totals(texts, patterns, 2).collect())) == [(0, 2), (1, 2), (2, 0)]
+
+
+def test_texts_of_a_batch_are_read_one_by_one():
+    texts = locate.strings(pa.array(["first", None, "last"]))
+    next(locate.pieces(texts, 0, 1))
+    assert list(texts) == [None, "last"]
