@@ -120,8 +120,8 @@ def strings(column: pa.Array) -> Iterator[str | None]:
     return (text.as_py() for text in column)
 
 
-def pieces(texts: Iterable[str | None], overlap: int, together: int) -> Iterator[tuple[list[tuple[int, int, int]], np.ndarray]]:
-    """Texts put together with gaps, about `together` characters at a time, a long one in parts that overlap.
+def pieces(texts: Iterable[str | None], overlap: int, together: int, back: int = 0) -> Iterator[tuple[list[tuple[int, int, int]], np.ndarray]]:
+    """Texts put together with gaps, about `together` characters at a time, a long one in parts that overlap; all but its first also hold the `back` characters before.
 
     Yields (number of the text, place of the part in it, place in the whole) of each part, and the whole.
     """
@@ -129,8 +129,9 @@ def pieces(texts: Iterable[str | None], overlap: int, together: int) -> Iterator
     for i, text in enumerate(texts):
         own = codes(text or "")
         for at in range(0, max(1, len(own)), together):
-            part = own[at : at + together + overlap]
-            marks.append((i, at, size))
+            first = max(0, at - back)
+            part = own[first : at + together + overlap]
+            marks.append((i, first, size))
             parts += [part, np.array([GAP], "<u4")]
             size += len(part) + 1
             if size >= together:

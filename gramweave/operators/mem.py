@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gramweave.functions.strings import char_at, common_prefix, one_of, only_of
+from gramweave.operators import grams
 from gramweave.operators.index import GramIndex, grams_in_context, stride_of
-from gramweave.operators.locate import smaller
+from gramweave.operators.locate import SMALL, smaller
 from gramweave.sources.tables import written
 from gramweave.sources.texts import carried, kmers
 
@@ -37,19 +38,22 @@ def islands(texts: DataFrame, queries: DataFrame, k: int, core: str | None = Non
     if index is not None and index.least > k:
         raise ValueError(f"the index is for matches of {index.least} characters or more")
     w, s = (index.w, index.s) if index is not None else stride_of(k)
-    asked = grams_in_context(queries, "query_id", "i", w, s, 1, "q")
-    if core is not None:
-        asked = asked.where(only_of(F.col("gram"), core))
-    asked = smaller(asked, F.length("text") * (4 * w + 8 * s + 64), of=queries)
-    hits = grams_in_context(texts, "doc_id", "x", w, s, s, "t").join(asked, "gram") if index is None else index.hits(asked)
-    hits = hits.withColumn("diagonal", F.col("x") - F.col("i"))
+    if index is None and grams.small(queries, 24):
+        hits = grams.hits(texts, queries, w, s, core)
+    else:
+        asked = grams_in_context(queries, "query_id", "i", w, s, 1, "q")
+        if core is not None:
+            asked = asked.where(only_of(F.col("gram"), core))
+        asked = smaller(asked, F.length("text") * (4 * w + 8 * s + 64), of=queries)
+        hits = grams_in_context(texts, "doc_id", "x", w, s, s, "t").join(asked, "gram") if index is None else index.hits(asked)
+        sides = [common_prefix(_leading(F.col(f"t_{c}"), core), F.col(f"q_{c}")).cast("long") for c in ("before", "after")]
+        hits = hits.select("doc_id", "query_id", "x", "i", sides[0].alias("b"), sides[1].alias("a"))
+    # What ends on both sides within s - 1 characters is known whole here, and of the index's length at least or no match.
+    hits = hits.where(F.col("a") + F.col("b") >= s - 1).withColumn("diagonal", F.col("x") - F.col("i"))
     turn = F.row_number().over(Window.partitionBy("doc_id", "query_id", "diagonal").orderBy("x"))
     runs = hits.withColumn("island", F.col("x") / s - turn).groupBy("doc_id", "query_id", "diagonal", "island")
-    first, last = (lambda c: F.min_by(c, "x").alias(c)), (lambda c: F.max_by(c, "x").alias(c))
-    found = runs.agg(F.min("x").alias("x"), F.min("i").alias("i"), F.max("x").alias("end"), first("t_before"), first("q_before"), last("t_after"), last("q_after"))
-    before = common_prefix(_leading(F.col("t_before"), core), F.col("q_before"))
-    after = common_prefix(_leading(F.col("t_after"), core), F.col("q_after"))
-    grown = found.withColumn("b", before).withColumn("d", F.col("end") - F.col("x") + w + F.col("b") + after).where(F.col("d") >= k)
+    found = runs.agg(F.min("x").alias("x"), F.min("i").alias("i"), F.max("x").alias("end"), F.min_by("b", "x").alias("b"), F.max_by("a", "x").alias("a"))
+    grown = found.withColumn("d", F.col("end") - F.col("x") + w + F.col("b") + F.col("a")).where(F.col("d") >= k)
     return grown.select("doc_id", "query_id", (F.col("x") - F.col("b")).alias("x"), (F.col("i") - F.col("b")).alias("i"), "d")
 
 
@@ -141,22 +145,27 @@ def longest_match(texts: DataFrame, queries: DataFrame, core: str | None = None,
     """doc_id, d: the length of the longest substring that each text shares with any query; 0 if it shares no character.
 
     Texts that share `wide` (a power of two) characters in a row get their length from the matches. For the others it is searched by
-    halves: a text that shares a gram of some length shares shorter ones too, so each round asks all of them for one length, of distinct grams.
+    halves: a text that shares a gram of some length shares shorter ones too, so each round asks all of them for one length, of distinct grams. Queries of a bounded
+    size are held by each task, which does all rounds over a piece of the texts, so texts are read twice; others cost a join for each length.
     """
     if wide < 2 or wide & (wide - 1):
         raise ValueError("wide is a power of two, 2 or more")
-    found = written(islands(texts, queries, wide, core).groupBy("doc_id").agg(F.max("d").alias("d")), "longest")
+    found = islands(texts, queries, wide, core).groupBy("doc_id").agg(F.max("d").alias("d"))
+    if grams.small(queries, 12 * wide, 4 * SMALL):
+        below = grams.longest_below(texts, queries, wide, core)
+        return below.join(found.withColumnRenamed("d", "__long"), "doc_id", "left").select("doc_id", F.coalesce("__long", "d").alias("d"))
+    found = written(found, "longest")
     open_ = written(texts.select("doc_id").distinct().join(found, "doc_id", "left_anti").withColumn("d", F.lit(0).cast("long")), "longest")
     own = queries.select("query_id", "text")
     step = wide // 2
     while step:
         shared = None
         for k in range(step, wide, 2 * step):
-            grams = kmers(own, "query_id", "text", k).select("gram").distinct()
+            units = kmers(own, "query_id", "text", k).select("gram").distinct()
             if core is not None:
-                grams = grams.where(only_of(F.col("gram"), core))
+                units = units.where(only_of(F.col("gram"), core))
             asked = texts.join(open_.where(F.col("d") == k - step).select("doc_id"), "doc_id", "left_semi")
-            hits = kmers(asked, "doc_id", "text", k).join(smaller(grams, F.length("text") * (4 * k + 32), of=own), "gram", "left_semi").select("doc_id")
+            hits = kmers(asked, "doc_id", "text", k).join(smaller(units, F.length("text") * (4 * k + 32), of=own), "gram", "left_semi").select("doc_id")
             shared = hits if shared is None else shared.unionByName(hits)
         shared = written(shared.distinct().withColumn("__hit", F.lit(step)), "longest")
         open_ = written(open_.join(shared, "doc_id", "left").select("doc_id", (F.col("d") + F.coalesce("__hit", F.lit(0))).alias("d")), "longest")

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gramweave.functions.strings import common_prefix
+from gramweave.operators import grams
 from gramweave.operators.locate import smaller
 from gramweave.sources.tables import written
 from gramweave.sources.texts import BLOCK, carried, kmers
@@ -56,21 +57,23 @@ def blocks_of(texts: DataFrame, k: int) -> DataFrame:
     return texts.select(F.col("doc_id").alias("__doc"), F.posexplode(cut).alias("__no", "__chunk"))
 
 
-def levels_of(texts: DataFrame, k: int, again: DataFrame) -> list[tuple[int, DataFrame]]:
-    """h and doc_id, pos, size, r, r_at for h = k, 2 k, 4 k ...: the ranks by h characters of the places whose next k characters are among `again` (h: their hashes).
+def levels_of(texts: DataFrame, k: int, held: DataFrame, blocks: DataFrame, asked: Column | None = None) -> list[tuple[int, DataFrame]]:
+    """h and doc_id, pos, size, r, r_at for h = k, 2 k, 4 k ...: the ranks by h characters of the places `held` (doc_id, pos, gram: the next k characters), all places of each gram.
 
-    In the last, equal ranks are those of texts that have ended. Written tables.
+    In the last, equal ranks are those of texts that have ended. Written tables. blocks: of all texts with such places.
+    asked: which places are a query's; then only what a text and a query share is told apart further, and levels end with the longest of these.
     """
     sized = texts.select("doc_id", F.length("text").cast("long").alias("size"))
-    grams = kmers(texts, "doc_id", "text", k).withColumn("h", F.xxhash64("gram"))
-    held = grams.join(smaller(again, F.lit(16)), "h", "left_semi").select("doc_id", "pos", "gram")
     first = written(held.join(sized, "doc_id"), "repeat-places")
     kept = ["doc_id", "pos", "size", "gram", "r", "r_at"]
     now = written(ranked(first, ["gram"], ["doc_id", "pos"], "r").select(*kept), "repeat-ranks")
-    blocks = written(blocks_of(texts, k), "repeat-blocks")
     out, h = [(k, now)], k
     while True:
-        alike = now.groupBy("r").agg(F.count(F.lit(1)).alias("c"), F.max(F.col("size") - F.col("pos")).alias("left"))
+        left = F.col("size") - F.col("pos")
+        if asked is None:
+            alike = now.groupBy("r").agg(F.count(F.lit(1)).alias("c"), F.max(left).alias("left"))
+        else:
+            alike = now.groupBy("r").agg(F.least(F.count_if(asked), F.count_if(~asked)).alias("c"), F.max(F.when(asked, left)).alias("left")).withColumn("c", F.col("c") + 1)
         open_ = written(alike.where((F.col("c") > 1) & (F.col("left") > h)).select("r"), "repeat-open")
         if open_.isEmpty():
             return out
@@ -111,7 +114,10 @@ def order_of_repeats(texts: DataFrame, k: int) -> DataFrame:
     """n, doc_id, pos, before, l: the places whose next k characters occur twice, in suffix order; l: how many characters a place shares with the one before it in order (0 if less than k)."""
     hashed = kmers(texts, "doc_id", "text", k).select(F.xxhash64("gram").alias("h"))
     again = written(hashed.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"), "repeated")
-    levels, blocks = levels_of(texts, k, again), written(blocks_of(texts, k), "repeat-blocks")
+    placed = kmers(texts, "doc_id", "text", k).withColumn("h", F.xxhash64("gram"))
+    held = placed.join(smaller(again, F.lit(16)), "h", "left_semi").select("doc_id", "pos", "gram")
+    blocks = written(blocks_of(texts, k), "repeat-blocks")
+    levels = levels_of(texts, k, held, blocks)
     order = levels[-1][1]
     left = F.col("size") - F.col("pos")
     last = order.select((F.col("r_at") + 1).alias("n"), F.col("doc_id").alias("other"), F.col("pos").alias("b"), left.alias("other_left"))
@@ -187,11 +193,10 @@ def maximal_repeats(texts: DataFrame, k: int) -> DataFrame:
     return found.select(F.substring("text", F.col("pos").cast("int") + 1, F.col("l").cast("int")).alias("text"), F.col("l").alias("d"), (F.col("hi") - F.col("lo")).alias("n_occ"))
 
 
-def class_pairs(texts: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """doc_id, x, query_id, i: places with equal next k characters and unlike ones before (an end is like none). Each is where one match starts, and no other pair is made.
+def met_places(texts: DataFrame, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, x, gram, tb and query_id, i, gram, qb: the places whose next k characters both sides have, and the characters before them. Written tables.
 
-    The places of a string fall into classes by the character before them. Classes are paired first, a row for each, and only pairs of unlike
-    classes are given their places.
+    Queries of a bounded size are held by each task, and only places that they know leave it.
     """
 
     def places(rows: DataFrame, id_col: str, at: str, before: str) -> DataFrame:
@@ -199,10 +204,22 @@ def class_pairs(texts: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         found = kmers(rows.withColumn("text", F.concat(F.lit(" "), "text")), id_col, "text", k + 1)
         return found.select(id_col, F.col("pos").alias(at), F.expr(f"substring(gram, 2, {k})").alias("gram"), F.when(F.col("pos") > 0, F.substring("gram", 1, 1)).otherwise("").alias(before))
 
-    t, q = places(texts, "doc_id", "x", "tb"), places(queries, "query_id", "i", "qb")
-    known = written(q.select("gram").distinct(), "asked-grams")
-    t = written(t.join(smaller(known, F.length("gram") * 4 + 16), "gram", "left_semi"), "class-places")
-    q = written(q.join(smaller(written(t.select("gram").distinct(), "met-grams"), F.length("gram") * 4 + 16), "gram", "left_semi"), "class-places")
+    q = places(queries, "query_id", "i", "qb")
+    if grams.small(queries, 24):
+        t = written(grams.known(texts, queries, k).withColumnRenamed("before", "tb"), "class-places")
+    else:
+        known = written(q.select("gram").distinct(), "asked-grams")
+        t = written(places(texts, "doc_id", "x", "tb").join(smaller(known, F.length("gram") * 4 + 16), "gram", "left_semi"), "class-places")
+    return t, written(q.join(smaller(written(t.select("gram").distinct(), "met-grams"), F.length("gram") * 4 + 16), "gram", "left_semi"), "class-places")
+
+
+def class_pairs(texts: DataFrame, queries: DataFrame, k: int, met: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """doc_id, x, query_id, i: places with equal next k characters and unlike ones before (an end is like none). Each is where one match starts, and no other pair is made.
+
+    The places of a string fall into classes by the character before them. Classes are paired first, a row for each, and only pairs of unlike
+    classes are given their places. met: from met_places(), if it is at hand.
+    """
+    t, q = met or met_places(texts, queries, k)
     classes = t.select("gram", "tb").distinct().join(q.select("gram", "qb").distinct(), "gram").where((F.col("tb") != F.col("qb")) | (F.col("tb") == ""))
     return written(classes, "classes").join(t, ["gram", "tb"]).join(q, ["gram", "qb"]).select("doc_id", "x", "query_id", "i")
 
@@ -215,12 +232,15 @@ def mems_by_context(texts: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     if k < 1:
         raise ValueError("k must be 1 or more")
     texts, queries = (rows.where("text is not null").select(id_col, "text") for rows, id_col in ((texts, "doc_id"), (queries, "query_id")))
-    pairs = written(class_pairs(texts, queries, k), "class-pairs")
+    t, q = met_places(texts, queries, k)
+    pairs = written(class_pairs(texts, queries, k, (t, q)), "class-pairs")
+    # Only texts with such a place take part in what follows.
+    texts = written(texts.join(t.select("doc_id").distinct(), "doc_id", "left_semi"), "class-texts")
     of = lambda side, id_col: F.concat(F.lit(side), F.col(id_col).cast("string"))
     joint = texts.select(of("t", "doc_id").alias("doc_id"), "text").unionByName(queries.select(of("q", "query_id").alias("doc_id"), "text"))
-    asked = kmers(queries, "query_id", "text", k).select(F.xxhash64("gram").alias("h")).distinct()
-    met = kmers(texts, "doc_id", "text", k).select(F.xxhash64("gram").alias("h")).join(smaller(asked, F.lit(16)), "h", "left_semi").distinct()
-    levels, blocks = levels_of(joint, k, written(met, "met-hashes")), written(blocks_of(joint, k), "repeat-blocks")
+    held = t.select(of("t", "doc_id").alias("doc_id"), F.col("x").alias("pos"), "gram").unionByName(q.select(of("q", "query_id").alias("doc_id"), F.col("i").alias("pos"), "gram"))
+    blocks = written(blocks_of(joint, k), "repeat-blocks")
+    levels = levels_of(joint, k, held, blocks, F.col("doc_id").startswith("q"))
     sizes = [rows.select(id_col, F.length("text").cast("long").alias(name)) for rows, id_col, name in ((texts, "doc_id", "tn"), (queries, "query_id", "qn"))]
     sized = pairs.join(sizes[0], "doc_id").join(sizes[1], "query_id")
     keyed = sized.select(F.col("doc_id").alias("__doc_id"), "query_id", "x", "i", of("t", "doc_id").alias("doc_id"), F.col("x").alias("pos"), (F.col("tn") - F.col("x")).alias("own_left"), of("q", "query_id").alias("other"), F.col("i").alias("b"), (F.col("qn") - F.col("i")).alias("other_left"))

@@ -77,3 +77,15 @@ def test_one_repeated_character_costs_its_matches(spark):
     assert repeats.class_pairs(t, q, 20).count() == 3000 + 2000 - 1
     found = repeats.mems_by_context(t, q, 20).agg(F.count("*"), F.sum("d"), F.max("d")).first()
     assert tuple(found) == (4999, sum(min(3019 - x, 2019) for x in range(3000)) + sum(2019 - i for i in range(1, 2000)), 2019)
+
+
+def test_only_what_both_sides_share_is_told_apart(spark, monkeypatch):
+    """Copies of a long text share far more than a query has; no round of doubling is spent on them."""
+    rng = random.Random(9)
+    long, asked = "".join(rng.choices("abcdefgh", k=6000)), "".join(rng.choices("abcdefgh", k=60))
+    docs = spark.createDataFrame([(n, long[:500] + asked + long[500:]) for n in range(3)], "doc_id long, text string")
+    query = spark.createDataFrame([(7, "zz" + asked + "zz")], "query_id long, text string")
+    levels, own = [], repeats.levels_of
+    monkeypatch.setattr(repeats, "levels_of", lambda *a: levels.extend(own(*a)) or levels)
+    assert {tuple(x) for x in repeats.mems_by_context(docs, query, 20).collect()} == {(n, 7, 500, 2, 60) for n in range(3)}
+    assert [h for h, _ in levels] == [20, 40, 80]
