@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from gramweave.functions.strings import char_at, mismatches
 from gramweave.operators.index import GramIndex
+from gramweave.sources.tables import written
 from gramweave.sources.texts import kmers
 
 #: Bytes of seeds and patterns up to which they are sent to every executor, so that the texts' grams aren't shuffled.
@@ -53,6 +54,11 @@ def rolling(text: np.ndarray, widths: list[int]) -> dict[int, np.ndarray]:
     return out
 
 
+def slots(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """A place for each hash in a table of 2 ** bits."""
+    return (hashes * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)
+
+
 class Scanner:
     """Holds patterns (codes) and their seeds (place in the patterns, place in the pattern, width), and finds them in texts."""
 
@@ -60,6 +66,11 @@ class Scanner:
         self.most, self.core = most, core
         self.sizes = np.array([len(p) for p in patterns], dtype="i8")
         self.row = np.zeros(len(patterns), "i8")  # of a pattern in the table of its length
+        # The lowest bytes of a pattern's first sixteen characters as two words, and which of these it has.
+        self.words, self.masks = np.zeros((2, len(patterns)), "<u8"), np.zeros((2, len(patterns)), "<u8")
+        for i, p in enumerate(patterns):
+            self.words[:, i] = np.frombuffer(p[:16].astype("u1").tobytes().ljust(16, b"\0"), "<u8")
+            self.masks[:, i] = np.frombuffer((b"\xff" * min(16, len(p))).ljust(16, b"\0"), "<u8")
         self.tables = {}
         for size in np.unique(self.sizes).tolist():
             own = np.flatnonzero(self.sizes == size)
@@ -71,31 +82,54 @@ class Scanner:
             which, at = every[every[:, 2] == w, :2].T
             found = np.array([rolling(patterns[i][a : a + w], [w])[w][0] for i, a in zip(which, at, strict=True)], dtype="u8")
             order = np.argsort(found, kind="stable")
-            self.seeds[w] = found[order], which[order], at[order]
+            keys, first, n = np.unique(found[order], return_index=True, return_counts=True)
+            bits = min(22, max(10, int(16 * len(keys)).bit_length()))
+            mask = np.zeros(1 << bits, bool)
+            mask[slots(keys, bits)] = True
+            self.seeds[w] = keys, first, n, which[order], at[order], mask, bits
 
     def candidates(self, text: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pattern and place of windows that share a seed, about PAIRS at a time."""
         for w, hashes in rolling(text, list(self.seeds)).items():
-            keys, which, at = self.seeds[w]
-            lo, hi = np.searchsorted(keys, hashes, "left"), np.searchsorted(keys, hashes, "right")
-            spots = np.flatnonzero(hi > lo)
-            n = hi[spots] - lo[spots]
+            keys, first, n, which, at, mask, bits = self.seeds[w]
+            spots = np.flatnonzero(mask[slots(hashes, bits)])
+            hashes = hashes[spots]
+            key = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+            good = keys[key] == hashes
+            spots, key = spots[good], key[good]
+            lo, n = first[key], n[key]
             edges, last = np.searchsorted(np.cumsum(n), np.arange(PAIRS, n.sum() + PAIRS, PAIRS), "right"), 0
             for edge in np.append(edges, len(spots)):
-                s, m = spots[last:edge], n[last:edge]
+                s, m, begin = spots[last:edge], n[last:edge], lo[last:edge]
                 last = max(last, edge)
                 if len(s):
-                    seed = np.repeat(lo[s] - np.cumsum(m) + m, m) + np.arange(m.sum())
+                    seed = np.repeat(begin - np.cumsum(m) + m, m) + np.arange(m.sum())
                     yield which[seed], np.repeat(s, m) - at[seed]
 
     def find(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pattern, place and mismatches of each window, once."""
-        out = [self._verified(text, *some) for some in self.candidates(text)]
+        low = np.append(text.astype("u1"), np.zeros(16, "u1"))
+        words = np.array(np.ndarray(len(text) + 8, "<u8", buffer=low.tobytes(), strides=(1,)))  # eight characters from each place on
+        out = [self._verified(text, *self._near(words, *some)) for some in self.candidates(text)]
         if not out:
             return (np.zeros(0, "i8"),) * 3
         found = np.unique(np.stack([np.concatenate(x) for x in zip(*out, strict=True)], axis=1), axis=0)
         return found[:, 0], found[:, 1], found[:, 2]
 
+    def _near(self, words: np.ndarray, which: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Without the candidates whose lowest bytes already differ in too many of the first sixteen characters."""
+        inside = (at >= 0) & (at < len(words) - 8)
+        which, at = which[inside], at[inside]
+        wrong = np.zeros(len(at), "u8")
+        for j in range(2):
+            differ = (words[np.minimum(at + 8 * j, len(words) - 1)] ^ self.words[j][which]) & self.masks[j][which]
+            for shift in (4, 2, 1):
+                differ |= differ >> np.uint64(shift)
+            wrong += ((differ & np.uint64(0x0101010101010101)) * np.uint64(0x0101010101010101)) >> np.uint64(56)
+            keep = wrong <= self.most
+            which, at, wrong = which[keep], at[keep], wrong[keep]
+        return which, at
+
     def _verified(self, text: np.ndarray, which: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         keep = (at >= 0) & (at + self.sizes[which] <= len(text))
         which, at = which[keep], at[keep]
@@ -204,17 +238,34 @@ def _windows(texts: DataFrame, patterns: DataFrame, found: DataFrame) -> DataFra
 
 
 def _indexed(texts: DataFrame, patterns: DataFrame, index: GramIndex, most: int) -> DataFrame:
-    """As locate(): of the s grams that begin in a piece, one is at a place that the index has. """
+    """As locate(): of the s grams that begin in a piece, one is at a place that the index has.
+
+    What stands beside a stored gram is held against the pattern first. It settles exact patterns of the index's length, which need no text; others meet
+    the texts where it fits.
+    """
     length = F.length("pattern")
-    shortest = patterns.agg(F.min(length)).first()[0]
+    shortest, longest = patterns.agg(F.min(length), F.max(length)).first()
     if shortest is not None and shortest // (most + 1) < index.least:
         raise ValueError(f"this index needs patterns of {index.least * (most + 1)} characters or more for {most} mismatches")
     starts = F.array(*[F.floor(F.lit(part) * length / F.lit(most + 1)).cast("int") + j for part in range(most + 1) for j in range(index.s)])
     seeds = patterns.select("pattern_id", "pattern", F.explode(F.array_distinct(starts)).alias("at"))
-    seeds = seeds.select("pattern_id", "at", F.expr(f"substring(pattern, at + 1, {index.w})").alias("gram"))
-    seeds = smaller(seeds, F.lit(4 * index.w + 32) * index.s * (most + 1), of=patterns)
-    met = index.hits(seeds).select("pattern_id", "doc_id", (F.col("x") - F.col("at")).alias("x"))
-    checked = _windows(texts, patterns, met.where("x >= 0").distinct()).withColumn("mismatches", mismatches(F.col("window"), F.col("pattern")))
+    near = F.least("at", F.lit(index.s - 1))
+    before = F.reverse(F.substring("pattern", F.col("at") - near + 1, near)).alias("p_before")
+    after = F.substring("pattern", F.col("at") + index.w + 1, F.lit(index.s - 1)).alias("p_after")
+    seeds = seeds.select("pattern_id", "at", F.expr(f"substring(pattern, at + 1, {index.w})").alias("gram"), before, after)
+    seeds = smaller(seeds, F.lit(4 * (index.w + 2 * index.s) + 64) * index.s * (most + 1), of=patterns)
+    met = index.hits(seeds)
+    if most == 0:
+        met = met.where(F.col("t_before").startswith(F.col("p_before")) & F.col("t_after").startswith(F.col("p_after")))
+    else:
+        sides = [(F.substring(f"t_{c}", F.lit(1), F.length(f"p_{c}")), F.col(f"p_{c}")) for c in ("before", "after")]
+        for a, b in sides:  # a text that ends there has no room for the pattern
+            met = met.where(F.length(a) == F.length(b))
+        met = met.where(mismatches(*sides[0]) + mismatches(*sides[1]) <= most)
+    met = met.select("pattern_id", "doc_id", (F.col("x") - F.col("at")).alias("x")).where("x >= 0").distinct()
+    if most == 0 and (longest or 0) <= index.least:
+        return met.withColumn("mismatches", F.lit(0))
+    checked = _windows(texts, patterns, met).withColumn("mismatches", mismatches(F.col("window"), F.col("pattern")))
     return checked.where(F.col("mismatches") <= most).select("pattern_id", "doc_id", "x", "mismatches")
 
 
@@ -279,7 +330,8 @@ def report(texts: DataFrame, patterns: DataFrame, most: int = 0) -> DataFrame:
 
 def violations(texts: DataFrame, patterns: DataFrame, found: DataFrame, most: int, left: int = 0, core: int = 0) -> DataFrame:
     """The rows of found (pattern_id, doc_id, x) whose window has more mismatches, lies outside its text, or differs in the core."""
-    good = _windows(texts, patterns, found.select("pattern_id", "doc_id", "x")).where(mismatches(F.col("window"), F.col("pattern")) <= most)
+    found = written(found, "found")  # is read twice, and may be a scan of all texts
+    good = _windows(texts, patterns, smaller(found.select("pattern_id", "doc_id", "x"), F.lit(64))).where(mismatches(F.col("window"), F.col("pattern")) <= most)
     if core:
         good = good.where(F.substring("window", left + 1, core) == F.substring("pattern", left + 1, core))
     return found.join(good, ["pattern_id", "doc_id", "x"], "left_anti")

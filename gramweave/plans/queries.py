@@ -226,7 +226,7 @@ def seed_extend(spark, sf_dir):
 def occurrence_check(spark, sf_dir):
     """How many of the occurrences, and of the places one further on, aren't any."""
     d, p = documents(spark, sf_dir), patterns(spark, sf_dir)
-    found = locate.locate(d, p, 1).select("pattern_id", "doc_id", "x")
+    found = written(locate.locate(d, p, 1).select("pattern_id", "doc_id", "x"), "occurrences")
     return locate.violations(d, p, found.unionByName(found.withColumn("x", F.col("x") + 1)), 1).agg(F.count(F.lit(1)).alias("violations"))
 
 
