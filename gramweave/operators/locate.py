@@ -233,7 +233,7 @@ def _windows(texts: DataFrame, patterns: DataFrame, found: DataFrame) -> DataFra
     """Adds the window of the text at x to candidates that fit in their text, and the pattern."""
     patterns = smaller(patterns.select("pattern_id", "pattern"), F.length("pattern") * 4 + 16)
     met = found.join(patterns, "pattern_id").join(texts.select("doc_id", "text"), "doc_id")
-    whole = met.where(F.col("x") + F.length("pattern") <= F.length("text"))
+    whole = met.where((F.col("x") >= 0) & (F.col("x") + F.length("pattern") <= F.length("text")))
     return whole.select("pattern_id", "doc_id", "x", "pattern", F.substring("text", F.col("x").cast("int") + 1, F.length("pattern")).alias("window"))
 
 
