@@ -1,8 +1,8 @@
 """A stored gram index that locate() and mems() ask, and that follows its texts.
 
 Texts give the grams of w characters at every s-th place, with s - 1 characters on either side, as mems() cuts them: w + s - 1 is `least`, and any
-string of that length holds one of these grams. They are stored in tables dealt to buckets by gram, so what is asked comes to the index and its grams
-never move.
+string of that length holds one of these grams. A task puts the places of each gram in its texts together in one row, LISTED of them at most. These rows are stored
+in tables dealt to buckets by gram, so what is asked comes to the index and its grams never move; only lists of grams that are asked for are taken apart.
 
 Texts are dealt to parts. The manifest names each part's content by a key and the build that has it; an update builds a table of the parts
 whose key has changed, and the rows that older builds hold of these parts, or of parts that are gone, are left out as they are read. A build is used
@@ -11,6 +11,10 @@ once its manifest is written, so an update that fails leaves the index as it was
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +23,8 @@ from gramweave.sources.texts import kmers_in_context
 
 #: Parts that texts are dealt to by their ids, if no column says otherwise.
 PARTS = 256
+#: Bytes of texts that are cut together, and places of a gram in one row.
+TOGETHER, LISTED = 8 << 20, 4096
 
 
 def stride_of(least: int) -> tuple[int, int]:
@@ -36,6 +42,84 @@ def grams_in_context(rows: DataFrame, id_col: str, at: str, w: int, s: int, stri
     return found.select(id_col, F.col("pos").alias(at), "gram", before.alias(f"{side}_before"), after.alias(f"{side}_after"))
 
 
+def cut(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, each: int = 1) -> pa.Array:
+    """Strings of a UTF-8 array, from the bytes of `each` consecutive ranges."""
+    size = end - begin
+    total = np.append(0, np.cumsum(size))
+    place = np.repeat((begin - total[:-1]).astype("i4"), size) + np.arange(total[-1], dtype="i4")
+    return pa.StringArray.from_buffers(len(begin) // each, pa.py_buffer(total[::each].astype("i4")), pa.py_buffer(raw[place]))
+
+
+def _parts(column: pa.Array, w: int, s: int, together: int) -> Iterator[tuple[list[tuple[int, int, int, int]], list[np.ndarray]]]:
+    """About `together` bytes of texts at a time: (number of the text, place of its first character, place of its first gram, most grams) of each part, and its bytes; a long text in parts that overlap."""
+    marks, held, size = [], [], 0
+    for i, text in enumerate(column):
+        raw = text.as_buffer()
+        own = [(i, 0, 0, 1 << 31, raw)]
+        if raw is not None and raw.size > together:
+            chars, step = text.as_py(), max(1, together // s) * s
+            own = [(i, max(0, at - s + 1), at, step // s, chars[max(0, at - s + 1) : at + step + w + s - 2].encode()) for at in range(0, len(chars), step)]
+        for *mark, raw in own:
+            marks.append(tuple(mark))
+            held.append(np.frombuffer(raw or b"", "u1"))
+            size += len(held[-1])
+            if size >= together:
+                yield marks, held
+                marks, held, size = [], [], 0
+    if marks:
+        yield marks, held
+
+
+def listed(gram: pa.Array, values: dict[str, pa.Array], most: int = LISTED) -> pa.RecordBatch:
+    """gram and a list of each value, the rows of one gram together, `most` of them at most."""
+    coded = gram.dictionary_encode()
+    code = coded.indices.to_numpy()
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    first = np.flatnonzero(np.diff(code, prepend=-1))
+    turn = np.arange(len(code)) - np.repeat(first, np.diff(np.append(first, len(code))))
+    first = np.flatnonzero(turn % most == 0)
+    edges, order = pa.array(np.append(first, len(code)), pa.int32()), pa.array(order)
+    lists = [pa.ListArray.from_arrays(edges, v.take(order)) for v in values.values()]
+    return pa.record_batch([coded.dictionary.take(pa.array(code[first])), *lists], names=["gram", *values])
+
+
+def gram_lists(rows: DataFrame, w: int, s: int, together: int = TOGETHER) -> DataFrame:
+    """gram, parts, docs, xs, besides of texts (part, doc_id, text): where grams of w characters stand at multiples of s, with the s - 1 characters before and after them."""
+
+    def work(batches):
+        for batch in batches:
+            for marks, held in _parts(batch.column(2), w, s, together):
+                raw = np.concatenate(held)
+                text, base, at, most = np.array(marks, "i8").T
+                chars = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw)).astype("i4")  # where each character begins
+                edge = np.searchsorted(chars, np.cumsum([0] + [len(x) for x in held]))
+                low, high = edge[:-1], edge[1:]
+                n = np.clip((high - low - (at - base) - w) // s + 1, 0, most)
+                part = np.repeat(np.arange(len(n)), n)
+                x = at[part] + s * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+                p = low[part] + x - base[part]
+                near, after = np.minimum(x, s - 1), np.minimum(p + w + s - 1, high[part])
+                begin, end = np.stack([chars[p - near], chars[p + w]], 1), np.stack([chars[p], chars[after]], 1)
+                which = pa.array(text[part])
+                values = {"parts": batch.column(0).take(which), "docs": batch.column(1).take(which), "xs": pa.array(x), "besides": cut(raw, begin.ravel(), end.ravel(), 2)}
+                yield listed(cut(raw, chars[p], chars[p + w]), values)
+
+    doc = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("part", "doc_id", "text").mapInArrow(work, f"gram string, parts array<string>, docs array<{doc}>, xs array<long>, besides array<string>")
+
+
+def _listed_again(rows: DataFrame) -> DataFrame:
+    """Rows of one place each in lists; grams that follow each other, as stored tables have them, come together."""
+
+    def work(batches):
+        for batch in batches:
+            yield listed(batch.column(0), dict(zip(batch.schema.names[1:], batch.columns[1:], strict=True)))
+
+    kinds = [f"{f.name} array<{f.dataType.simpleString()}>" for f in rows.schema.fields[1:]]
+    return rows.mapInArrow(work, ", ".join(["gram string", *kinds]))
+
+
 class GramIndex:
     """The index in a folder; opening the folder again finds what was built. The folder's own file says for which length it is."""
 
@@ -80,25 +164,34 @@ class GramIndex:
         changed = new.count()
         if changed:
             few = F.broadcast(new) if changed <= 100_000 else new
-            grams = grams_in_context(rows.join(few, "part", "left_semi").withColumn("id", F.struct("part", "doc_id")), "id", "x", self.w, self.s, self.s, "t")
-            bucketed(grams.select("id.part", "id.doc_id", "x", "gram", "t_before", "t_after"), f"{self.folder}/{name}", ["gram"], n)
+            bucketed(gram_lists(rows.join(few, "part", "left_semi"), self.w, self.s), f"{self.folder}/{name}", ["gram"], n)
         now.withColumn("build", F.coalesce("build", F.lit(name))).write.parquet(f"{self.folder}/manifest-{number}")
         return changed
 
-    def builds(self) -> list[DataFrame]:
-        """The tables in use: part, doc_id, x, gram, t_before, t_after, without what is out of date."""
+    def _tables(self) -> Iterator[tuple[DataFrame, DataFrame]]:
+        """The tables in use as they are stored, and which parts of each are."""
         manifest = self.manifest()
         if manifest is None:
-            return []
-        out = []
+            return
         for build in sorted(r.build for r in manifest.select("build").distinct().collect()):  # one for each update at most
             if not any(n.startswith("part-") for n in names_in(self.spark, f"{self.folder}/{build}")):
                 continue  # its texts are all shorter than a gram
             if build not in self._opened:
                 self._opened[build] = open_bucketed(self.spark, f"{self.folder}/{build}", ["gram"], int(build.split("-")[2]))
             own = manifest.where(F.col("build") == build).select("part")
-            out.append(self._opened[build].join(F.broadcast(own) if own.count() <= 100_000 else own, "part", "left_semi"))
-        return out
+            yield self._opened[build], F.broadcast(own) if own.count() <= 100_000 else own
+
+    def _places(self, table: DataFrame, own: DataFrame) -> DataFrame:
+        """A row for each place in the lists, without what is out of date."""
+        others = [c for c in table.columns if c not in ("parts", "docs", "xs", "besides")]
+        rows = table.select(*others, F.inline(F.arrays_zip("parts", "docs", "xs", "besides"))).join(own.withColumnRenamed("part", "parts"), "parts", "left_semi")
+        near = F.least("xs", F.lit(self.s - 1)).cast("int")
+        sides = [F.reverse(F.substring("besides", F.lit(1), near)).alias("t_before"), F.substring("besides", near + 1, F.lit(self.s - 1)).alias("t_after")]
+        return rows.select(F.col("parts").alias("part"), F.col("docs").alias("doc_id"), F.col("xs").alias("x"), *others, *sides)
+
+    def builds(self) -> list[DataFrame]:
+        """The tables in use: part, doc_id, x, gram, t_before, t_after, without what is out of date."""
+        return [self._places(*one) for one in self._tables()]
 
     def merge(self) -> None:
         """Writes what is in use to one table."""
@@ -108,15 +201,16 @@ class GramIndex:
             rows = tables[0]
             for more in tables[1:]:
                 rows = rows.unionByName(more)
+            rows = rows.select("gram", F.col("part").alias("parts"), F.col("doc_id").alias("docs"), F.col("x").alias("xs"), F.concat(F.reverse("t_before"), "t_after").alias("besides"))
             name = f"grams-{number}-{n}"
-            bucketed(rows, f"{self.folder}/{name}", ["gram"], n)
+            bucketed(_listed_again(rows), f"{self.folder}/{name}", ["gram"], n)
             manifest.withColumn("build", F.lit(name)).write.parquet(f"{self.folder}/manifest-{number}")
 
     def hits(self, asked: DataFrame) -> DataFrame:
         """The stored grams that are equal to an asked one, with the columns of both. Each table is joined for itself, as a union would lose its buckets."""
         out = None
-        for table in self.builds():
-            met = table.drop("part").join(asked, "gram")
+        for table, own in self._tables():
+            met = self._places(table.join(asked, "gram"), own).drop("part")
             out = met if out is None else out.unionByName(met)
         if out is None:
             raise ValueError("the index holds no grams: update() it with texts of its length")

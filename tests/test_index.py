@@ -104,3 +104,24 @@ def test_stored_grams_are_not_moved(spark, asked, monkeypatch):
         assert met.count() > 0
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("together", [40, 8 << 20])
+def test_places_of_a_gram_are_stored_together(spark, together):
+    """What a row of a list holds is what a row for each place held; a long text is cut in parts, and grams of many places lie in few rows."""
+    from gramweave.operators.index import LISTED, gram_lists, grams_in_context
+
+    rows = texts_of(spark, [*made(4), (70, "ab" * 9000), (71, "ä𝄞" * 70 + "c")]).where("text is not null").withColumn("part", F.lit("p")).coalesce(1)
+    lists = gram_lists(rows, 4, 3, together)
+    places = lists.select("gram", F.inline(F.arrays_zip("parts", "docs", "xs", "besides")))
+    near = F.least("xs", F.lit(2)).cast("int")
+    found = places.select("docs", "xs", "gram", F.reverse(F.substring("besides", F.lit(1), near)), F.substring("besides", near + 1, F.lit(2)))
+    assert got(found) == got(grams_in_context(rows, "doc_id", "x", 4, 3, 3, "t"))
+    assert lists.agg(F.max(F.size("xs"))).first()[0] <= LISTED and (together == 40 or lists.count() < places.count() / 10)
+
+
+def test_an_update_stores_lists(spark):
+    path = shared_path(spark, "index")
+    GramIndex(spark, path, LEAST).update(texts_of(spark, [(0, "abc" * 2000)]), F.lit(1))
+    build = next(n for n in names_in(spark, path) if n.startswith("grams-"))
+    assert spark.read.parquet(f"{path}/{build}").count() == 1  # 1999 places of one gram: w is 4 and s is 3
