@@ -6,8 +6,12 @@
     spark.sql("select * from grams_in(table(select doc_id, text from docs), 20)")
     spark.sql("select * from runs_in(table(select doc_id, query_id, x, i from hits) partition by (doc_id, query_id, x - i) order by (x), 20)")
 
+    register_known(spark, "asked_grams", queries, 20)
+    spark.sql("select * from asked_grams(table(select doc_id, text from docs))")
+
 The first column of texts is their id, of any type, and the second the text. locate_in scans where the rows lie, texts of a megabyte together, with the
-patterns held once a task, and grams_in cuts there: neither shuffles. runs_in gets the hits of one diagonal at a time, in order, and joins those that follow each other.
+patterns held once a task, and grams_in cuts there: neither shuffles. A function that register_known makes scans as locate_in does and gives the rows of grams_in whose
+gram is one of the queries', so what a join on the gram would drop never leaves Python. runs_in gets the hits of one diagonal at a time, in order, and joins those that follow each other.
 """
 
 from __future__ import annotations
@@ -15,11 +19,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
+from gramweave.operators import grams
 from gramweave.operators.locate import TOGETHER, Scanner, codes, pieces, width_of
 
 
@@ -116,3 +121,42 @@ def register(spark: SparkSession) -> None:
     """Makes the table functions known to the session's SQL."""
     for name, cls in (("locate_in", _LocateIn), ("grams_in", _GramsIn), ("runs_in", _RunsIn)):
         spark.udtf.register(name, udtf(cls))
+
+
+def register_known(spark: SparkSession, name: str, queries: DataFrame, k: int) -> None:
+    """Makes the table function `name` known to the session's SQL: name(table(texts)) gives the rows of grams_in(table(texts), k) whose gram is in queries (query_id, text).
+
+    Each executor holds the queries, so they must be of a bounded size: see grams.small().
+    """
+    if k < 1:
+        raise ValueError("k must be 1 or more")
+    shared = spark.sparkContext.broadcast(grams.Grams(grams.held(queries)[2], k))
+    together = max(TOGETHER, 4 * k)
+
+    class KnownGrams:
+        @staticmethod
+        def analyze(texts: AnalyzeArgument) -> AnalyzeResult:
+            return AnalyzeResult(T.StructType([_texts(texts, name), T.StructField("pos", T.LongType()), T.StructField("gram", T.StringType())]))
+
+        def __init__(self):
+            self.held, self.size = [], 0
+
+        def eval(self, row: Row) -> Iterator[tuple]:
+            self.held.append(row)
+            self.size += len(row[1] or "")
+            if self.size >= together:
+                yield from self.terminate()
+
+        def terminate(self) -> Iterator[tuple]:
+            held, self.held, self.size = self.held, [], 0
+            for marks, whole in pieces([r[1] for r in held], k - 1, together):
+                at = shared.value.known(whole)
+                text, base, start = (np.array(x) for x in zip(*marks, strict=True))
+                part = np.searchsorted(start, at, "right") - 1
+                x = at - start[part]
+                for j in np.flatnonzero(x < together).tolist():  # what starts in the overlap is the next part's
+                    id_, whole_text = held[text[part[j]]]
+                    pos = int(base[part[j]] + x[j])
+                    yield id_, pos, whole_text[pos : pos + k]
+
+    spark.udtf.register(name, udtf(KnownGrams))

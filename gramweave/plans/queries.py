@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gramweave.functions.strings import duration
-from gramweave.functions.tables import register
-from gramweave.operators import graph, index, locate, mem, repeats, suffix, vectors, walks
+from gramweave.functions.tables import register, register_known
+from gramweave.operators import grams, graph, index, locate, mem, repeats, suffix, vectors, walks
 from gramweave.sources import formats, positions
 from gramweave.sources import texts as src
 from gramweave.sources.tables import shared_path, written
@@ -278,7 +278,11 @@ def sql_locate(spark, sf_dir):
 
 
 def sql_mems(spark, sf_dir):
-    hits = f"select t.doc_id, q.query_id, t.pos as x, q.pos as i from grams_in(table(own_texts), {K}) t join grams_in(table(own_queries), {K}) q on t.gram = q.gram"
+    asked, cut = passages(spark, sf_dir), f"grams_in(table(own_texts), {K})"
+    if grams.small(asked, 24):
+        register_known(spark, "own_grams_in", asked, K)
+        cut = "own_grams_in(table(own_texts))"
+    hits = f"select t.doc_id, q.query_id, t.pos as x, q.pos as i from {cut} t join grams_in(table(own_queries), {K}) q on t.gram = q.gram"
     return from_sql(spark, sf_dir, f"select * from runs_in(table({hits}) partition by (doc_id, query_id, x - i) order by (x), {K})")
 
 

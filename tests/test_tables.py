@@ -54,3 +54,36 @@ def test_grams_and_runs_are_matches(spark, sql):
 def test_wrong_arguments(sql, call, says):
     with pytest.raises(Exception, match=says):
         sql(f"select * from {call}")
+
+
+def test_known_grams_are_those_that_a_join_would_keep(spark, sql):
+    from gramweave.functions.tables import register_known
+
+    spark.createDataFrame([(0, "xabracab"), (1, "babababab"), (2, None), (3, ""), (4, "a𝄞xab"), (5, "y" * 5)], "query_id long, text string").createOrReplaceTempView("asked")
+    for k in (1, 3):
+        register_known(spark, f"known_{k}", spark.table("asked"), k)
+        got = sql(f"select * from known_{k}(table(docs))")
+        assert got.columns == ["doc_id", "pos", "gram"]
+        assert rows(got) == rows(sql(f"select * from grams_in(table(docs), {k}) left semi join (select gram from grams_in(table(asked), {k})) using (gram)").select("doc_id", "pos", "gram"))
+    assert sql("select * from known_3(table(select * from named))").dtypes == [("name", "string"), ("pos", "bigint"), ("gram", "string")]
+    with pytest.raises(Exception, match="two columns"):
+        sql("select * from known_3(table(select doc_id from docs))")
+
+
+def test_only_shared_grams_reach_the_join_of_sql_mems(spark, monkeypatch):
+    """The texts' side of the join is the function that keeps what the queries know; larger sets of queries go by the whole join, with the same rows."""
+    from gramweave.plans import queries
+
+    asked = spark.createDataFrame([(0, "the quick brown fox jumps")], "query_id long, text string")
+    docs = spark.createDataFrame([(1, "##" + "the quick brown fox jumped over" + "z" * 200), (2, "q" * 500)], "doc_id long, text string")
+    monkeypatch.setattr(queries, "passages", lambda *_: asked)
+    monkeypatch.setattr(queries, "documents", lambda *_: docs)
+    monkeypatch.setattr(queries, "pattern_sample", lambda *_: spark.createDataFrame([], "pattern string"))
+    statements, own = [], queries.from_sql
+    monkeypatch.setattr(queries, "from_sql", lambda s, d, text: statements.append(text) or own(s, d, text))
+    found = queries.sql_mems(spark, "")
+    assert "own_grams_in(table(own_texts))" in statements[0]
+    assert spark.sql("select * from own_grams_in(table(own_texts))").count() == 5
+    monkeypatch.setattr(queries.grams, "small", lambda *_: False)
+    assert rows(queries.sql_mems(spark, "")) == rows(found) == [(1, 0, 2, 0, 24)]
+    assert "own_grams_in" not in statements[1]
