@@ -1,6 +1,9 @@
-"""Maximal repeats of a collection, and matches by context classes, from the suffix order of what occurs more than once.
+"""Maximal repeats of a collection, and matches by context classes.
 
-A maximal repeat is a string that occurs twice or more and that no character extends in all places, to neither side. Only places whose first k characters occur elsewhere take part. They are put in suffix order by doubling: two places that are alike for h characters are told apart by
+A maximal repeat is a string that occurs twice or more and that no character extends in all places, to neither side. All its places begin with one string of k characters, and these
+have unlike characters before them, so only such places take part: the inside of a copy has none. `branches` tells their groups apart by what follows, in rounds of three times the length so far.
+
+What repeats itself so much that this reads too often goes by the suffix order of all places whose first k characters occur elsewhere, as the matches by classes do. They are put in suffix order by doubling: two places that are alike for h characters are told apart by
 the order of what follows h further on, and where that place takes no part, its next characters occur nowhere else and are
 compared as they are. How long neighbours in the order are alike follows from the same rounds, the longest first. A repeat is an interval of
 the order that no longer common prefix splits: its ends are the nearest smaller values on both sides, found within blocks of the order and, where they
@@ -24,6 +27,8 @@ from gramweave.sources.texts import BLOCK, carried, kmers
 
 #: Places of the order that are searched together for nearest smaller values.
 TOGETHER = 1024
+#: Unlike strings of a group that one task puts in order, how many characters a larger one is told apart by, and how often a text's length may be read.
+MANY, NARROW, BUDGET = 200_000, 2, 64
 
 
 def ranked(rows: DataFrame, keys: list[str], ties: list[str], name: str) -> DataFrame:
@@ -43,17 +48,17 @@ def ranked(rows: DataFrame, keys: list[str], ties: list[str], name: str) -> Data
     return out.withColumns({name: rank.cast("long"), f"{name}_at": (F.col("s") + F.col("__n") - 1).cast("long")}).drop("__part", "__n", "__same", "s", "before", "goes_on")
 
 
-def following(rows: DataFrame, blocks: DataFrame, at: Column, k: int, name: str) -> DataFrame:
+def following(rows: DataFrame, blocks: DataFrame, at: Column, k: int, name: str, block: int = BLOCK) -> DataFrame:
     """Adds the k characters (fewer at an end) of the row's text (doc_id) from `at` on. blocks: from blocks_of()."""
-    placed = rows.withColumn("__at", at.cast("long")).withColumn("__b", F.floor(F.col("__at") / BLOCK))
+    placed = rows.withColumn("__at", at.cast("long")).withColumn("__b", F.floor(F.col("__at") / block))
     met = placed.join(blocks, (placed["doc_id"] == blocks["__doc"]) & (placed["__b"] == blocks["__no"]), "left")
-    cut = F.substring(F.col("__chunk"), (F.col("__at") % BLOCK + 1).cast("int"), F.lit(k))
+    cut = F.substring(F.col("__chunk"), (F.col("__at") % block + 1).cast("int"), F.lit(k))
     return met.withColumn(name, F.coalesce(cut, F.lit(""))).drop("__at", "__b", "__doc", "__no", "__chunk")
 
 
-def blocks_of(texts: DataFrame, k: int) -> DataFrame:
+def blocks_of(texts: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """__doc, __no, __chunk: texts in blocks, each with k characters of the next."""
-    cut = F.regexp_extract_all(F.col("text"), F.lit(f"(?s)(?=(.{{1,{BLOCK + k}}})).{{1,{BLOCK}}}"), F.lit(1))
+    cut = F.regexp_extract_all(F.col("text"), F.lit(f"(?s)(?=(.{{1,{block + k}}})).{{1,{block}}}"), F.lit(1))
     return texts.select(F.col("doc_id").alias("__doc"), F.posexplode(cut).alias("__no", "__chunk"))
 
 
@@ -177,6 +182,140 @@ def maximal_repeats(texts: DataFrame, k: int) -> DataFrame:
     if k < 1:
         raise ValueError("k must be 1 or more")
     texts = texts.where("text is not null").select("doc_id", "text")
+    found = branches(texts, k)
+    return repeats_by_order(texts, k) if found is None else found.join(texts, "doc_id").select(F.substring("text", F.col("pos").cast("int") + 1, F.col("d").cast("int")).alias("text"), "d", "n_occ")
+
+
+def unlike_places(texts: DataFrame, k: int) -> DataFrame:
+    """g, h, doc_id, pos, before: the places whose next k characters (h = k) occur elsewhere after another character, or at a text's beginning; g numbers these strings."""
+    grown = texts.where(F.length("text") >= k).withColumn("text", F.concat(F.lit(" "), "text"))  # a character more, so each gram knows the one before it
+    placed = kmers(grown, "doc_id", "text", k + 1).select("doc_id", "pos", F.expr(f"substring(gram, 2, {k})").alias("gram"), F.when(F.col("pos") > 0, F.substring("gram", 1, 1)).alias("before"))
+    unlike = "c > 1 and (lo <> hi or c > n)"
+    seen = [F.count(F.lit(1)).alias("c"), F.count("before").alias("n"), F.min("before").alias("lo"), F.max("before").alias("hi")]
+    hashed = placed.select(F.xxhash64("gram").alias("hash"), "before")
+    again = written(hashed.groupBy("hash").agg(*seen).where(unlike).select("hash"), "repeated")
+    held = written(placed.withColumn("hash", F.xxhash64("gram")).join(smaller(again, F.lit(16)), "hash", "left_semi").drop("hash"), "repeat-places")
+    strings = written(held.groupBy("gram").agg(*seen).where(unlike).select("gram", F.monotonically_increasing_id().alias("g")), "repeat-strings")
+    return held.join(strings, "gram").select("g", F.lit(k).cast("long").alias("h"), "doc_id", "pos", "before")
+
+
+def shared_before(a: str, b: str) -> int:
+    """How many characters a and b share at their beginnings."""
+    lo, hi = 0, min(len(a), len(b))
+    if a[:hi] == b[:hi]:
+        return hi
+    step = 8
+    while a[lo : lo + step] == b[lo : lo + step]:
+        lo, step = lo + step, 2 * step
+    hi = min(hi, lo + step)
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        if a[lo:mid] == b[lo:mid]:
+            lo = mid
+        else:
+            hi = mid - 1
+    return lo
+
+
+def _branching(batches):
+    """For rows g, h, w, s, before, n, doc_id, pos in the order of g and s: a row for each string that a g's rows share and that both sides part; with s where it has all w characters."""
+    out, stack, now, last = [], [], None, ""  # of the stack: length, places, the character before them all or None, a place
+
+    def close(node):
+        if node[1] > 1 and node[2] is None:
+            g, h, w = now
+            out.append((g, h + node[0], node[3] if node[0] == w else None, node[1], *node[4]))
+
+    def merged(into, node):
+        into[1] += node[1]
+        into[2] = into[2] if into[2] == node[2] else None
+
+    def down(to):
+        while stack[-1][0] > to:
+            node = stack.pop()
+            close(node)
+            if stack and stack[-1][0] >= to:
+                merged(stack[-1], node)
+            else:
+                stack.append([to, node[1], node[2], None, node[4]])
+
+    def ended():
+        if stack:
+            down(min(x[0] for x in stack))
+            close(stack.pop())
+
+    def taken():
+        nonlocal out
+        g, d, s, n, doc, pos = zip(*out, strict=True) if out else ((),) * 6
+        out = []
+        return pa.record_batch([pa.array(g, pa.int64()), pa.array(d, pa.int64()), pa.array(s, pa.string()), pa.array(n, pa.int64()), pa.array(doc, kind), pa.array(pos, pa.int64())], names=["g", "d", "s", "n_occ", "doc_id", "pos"])
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field("doc_id").type
+        for at in range(0, batch.num_rows, 1024):
+            for g, h, w, s, before, n, doc, pos in zip(*(c.to_pylist() for c in batch.slice(at, 1024).columns), strict=True):
+                if (g, h, w) != now:
+                    ended()
+                    now, last = (g, h, w), None
+                leaf = [len(s), n, before, s, (doc, pos)]
+                if last is None:
+                    stack.append(leaf)
+                else:
+                    down(shared_before(last, s))
+                    if len(s) > stack[-1][0]:
+                        stack.append(leaf)
+                    else:
+                        merged(stack[-1], leaf)
+                last = s
+            if len(out) > 4096:
+                yield taken()
+    ended()
+    if out:
+        yield taken()
+
+
+def branches(texts: DataFrame, k: int, many: int = MANY, budget: int = BUDGET) -> DataFrame | None:
+    """doc_id, pos, d, n_occ: a place of each maximal repeat, its length and number of places; None if texts repeat themselves so that this reads more than `budget` times their characters.
+
+    Places alike for h characters are one group. Each round reads what follows, three times h, and puts equal strings together before a task sees them in order: where
+    they part, a repeat ends, and what still is alike is a group of the next round if unlike characters come before it. All others are only counted, so the
+    inside of a copy costs nothing. A group of over `many` unlike strings is told apart by NARROW characters first, so no task gets more than alphabets allow.
+    """
+    now, out, step = written(unlike_places(texts, k), "repeat-groups"), None, 3 * k
+    most = budget * (texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] + (1 << 20))
+    kind, read = texts.schema["doc_id"].dataType.simpleString(), 0
+    while True:
+        n = now.count()
+        read += n * step
+        if read > most:
+            return None
+        block = max(BLOCK, step)
+        met = written(following(now, blocks_of(texts.join(now.select("doc_id").distinct(), "doc_id", "left_semi"), step, block), F.col("pos") + F.col("h"), step, "s", block), "repeat-tails")
+        rows = written(_counted(met), "repeat-strings")
+        wide = written(rows.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > many).select("g", F.lit(True).alias("wide")), "repeat-wide")
+        if hot := not wide.isEmpty():
+            met = written(met.join(F.broadcast(wide) if wide.count() <= 10_000 else wide, "g", "left").withColumn("s", F.when(F.col("wide"), F.substring("s", 1, NARROW)).otherwise(F.col("s"))), "repeat-tails")
+            rows = _counted(met, "wide")
+        width = F.when(F.col("wide"), NARROW).otherwise(step) if hot else F.lit(step)
+        dealt = rows.select("g", "h", width.alias("w"), "s", "before", "n", "one.doc_id", "one.pos").repartition("g").sortWithinPartitions("g", "h", "s")
+        found = written(dealt.mapInArrow(_branching, f"g long, d long, s string, n_occ long, doc_id {kind}, pos long"), "repeat-found")
+        ends = found.where("s is null").select("doc_id", "pos", "d", "n_occ")
+        out = ends if out is None else out.unionByName(ends)
+        goes_on = written(found.where("s is not null").select("g", "s", F.col("d").alias("h"), F.monotonically_increasing_id().alias("next")), "repeat-open")
+        if goes_on.isEmpty():
+            return out
+        now = written(met.drop("h").join(goes_on, ["g", "s"]).select(F.col("next").alias("g"), "h", "doc_id", "pos", "before"), "repeat-groups")
+        step *= 4
+
+
+def _counted(rows: DataFrame, *more: str) -> DataFrame:
+    """g, h, s, before, n, one: how many places of a group have what follows and comes before them in common, and one of them."""
+    return rows.groupBy("g", "h", "s", "before", *more).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "pos")).alias("one"))
+
+
+def repeats_by_order(texts: DataFrame, k: int) -> DataFrame:
+    """As maximal_repeats(), from the suffix order of all places that occur twice: more rounds, whose work doesn't grow with the length of what texts repeat."""
     order = order_of_repeats(texts, k)
     # A place has changed if the character before it isn't that of the place before it in order.
     own = order.select("n", "before")

@@ -89,3 +89,29 @@ def test_only_what_both_sides_share_is_told_apart(spark, monkeypatch):
     monkeypatch.setattr(repeats, "levels_of", lambda *a: levels.extend(own(*a)) or levels)
     assert {tuple(x) for x in repeats.mems_by_context(docs, query, 20).collect()} == {(n, 7, 500, 2, 60) for n in range(3)}
     assert [h for h, _ in levels] == [20, 40, 80]
+
+
+@pytest.mark.parametrize("many", [1, 3])
+def test_groups_of_many_strings_are_told_apart_in_narrow_steps(spark, many):
+    r = random.Random(10)
+    docs = [(j, "".join(r.choice("ab") for _ in range(r.randrange(20)))) for j in range(8)] + [(20, None), (21, ""), (22, "a𝄞b" * 4), (23, "xa𝄞b"), (24, "abab"), (25, "abab")]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    own = dict(docs)
+    found = [(own[x.doc_id][x.pos : x.pos + x.d], x.d, x.n_occ) for x in repeats.branches(rows.where("text is not null"), 2, many).collect()]
+    assert len(found) == len(set(found)) and set(found) == brute(docs, 2)
+
+
+def test_what_repeats_itself_too_often_goes_by_order(spark, monkeypatch):
+    docs = [(0, "a" * 60 + "b" + "a" * 30), (1, "xa")]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    assert repeats.branches(rows, 3, budget=0) is None
+    monkeypatch.setattr(repeats, "branches", lambda *_: None)
+    assert {tuple(x) for x in repeats.maximal_repeats(rows, 3).collect()} == brute(docs, 3)
+
+
+def test_the_inside_of_copies_takes_no_part(spark):
+    """Of copies of a text only the beginning and what follows a change is looked at; all 2 * 4981 places occur twice."""
+    r = random.Random(11)
+    whole = "".join(r.choice("abcdefghijklmnop") for _ in range(5000))
+    docs = spark.createDataFrame([(0, whole), (1, whole[:2500] + "?" + whole[2501:])], "doc_id long, text string")
+    assert sorted((x.doc_id, x.pos) for x in repeats.unlike_places(docs, 20).collect()) == [(0, 0), (0, 2501), (1, 0), (1, 2501)]
