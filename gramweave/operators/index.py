@@ -181,17 +181,17 @@ class GramIndex:
             own = manifest.where(F.col("build") == build).select("part")
             yield self._opened[build], F.broadcast(own) if own.count() <= 100_000 else own
 
-    def _places(self, table: DataFrame, own: DataFrame) -> DataFrame:
-        """A row for each place in the lists, without what is out of date."""
+    def _places(self, table: DataFrame, own: DataFrame, *more: Column) -> DataFrame:
+        """A row for each place in the lists, without what is out of date, and with more columns. What was asked may have a column of any name."""
         others = [c for c in table.columns if c not in ("parts", "docs", "xs", "besides")]
         rows = table.select(*others, F.inline(F.arrays_zip("parts", "docs", "xs", "besides"))).join(own.withColumnRenamed("part", "parts"), "parts", "left_semi")
         near = F.least("xs", F.lit(self.s - 1)).cast("int")
         sides = [F.reverse(F.substring("besides", F.lit(1), near)).alias("t_before"), F.substring("besides", near + 1, F.lit(self.s - 1)).alias("t_after")]
-        return rows.select(F.col("parts").alias("part"), F.col("docs").alias("doc_id"), F.col("xs").alias("x"), *others, *sides)
+        return rows.select(*more, F.col("docs").alias("doc_id"), F.col("xs").alias("x"), *others, *sides)
 
     def builds(self) -> list[DataFrame]:
         """The tables in use: part, doc_id, x, gram, t_before, t_after, without what is out of date."""
-        return [self._places(*one) for one in self._tables()]
+        return [self._places(*one, F.col("parts").alias("part")) for one in self._tables()]
 
     def merge(self) -> None:
         """Writes what is in use to one table."""
@@ -210,7 +210,7 @@ class GramIndex:
         """The stored grams that are equal to an asked one, with the columns of both. Each table is joined for itself, as a union would lose its buckets."""
         out = None
         for table, own in self._tables():
-            met = self._places(table.join(asked, "gram"), own).drop("part")
+            met = self._places(table.join(asked, "gram"), own)
             out = met if out is None else out.unionByName(met)
         if out is None:
             raise ValueError("the index holds no grams: update() it with texts of its length")

@@ -125,3 +125,11 @@ def test_an_update_stores_lists(spark):
     GramIndex(spark, path, LEAST).update(texts_of(spark, [(0, "abc" * 2000)]), F.lit(1))
     build = next(n for n in names_in(spark, path) if n.startswith("grams-"))
     assert spark.read.parquet(f"{path}/{build}").count() == 1  # 1999 places of one gram: w is 4 and s is 3
+
+
+def test_what_is_asked_keeps_its_columns(spark):
+    """A column of the asked grams that is named as one of the index is still there."""
+    index = GramIndex(spark, shared_path(spark, "index"), LEAST)
+    index.update(texts_of(spark, [(0, "abcdefgh")]), F.lit("own"))
+    asked = spark.createDataFrame([("abcd", 5), ("zzzz", 6)], "gram string, part int")
+    assert got(index.hits(asked).select("doc_id", "x", "gram", "part")) == [(0, 0, "abcd", 5)]
