@@ -1,7 +1,7 @@
 """Maximal repeats of a collection, and matches by context classes.
 
 A maximal repeat is a string that occurs twice or more and that no character extends in all places, to neither side. All its places begin with one string of k characters, and these
-have unlike characters before them, so only such places take part: the inside of a copy has none. `branches` tells their groups apart by what follows, in rounds of three times the length so far.
+have unlike characters before them, so only such places take part: the inside of a copy has none. `maybe_unlike` finds them from hashes that pieces of the texts send in order and packed. `branches` tells their groups apart by what follows, in rounds of three times the length so far.
 
 What repeats itself so much that this reads too often goes by the suffix order of all places whose first k characters occur elsewhere, as the matches by classes do. They are put in suffix order by doubling: two places that are alike for h characters are told apart by
 the order of what follows h further on, and where that place takes no part, its next characters occur nowhere else and are
@@ -15,20 +15,24 @@ is no hot key. Each round is a written table.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gramweave.functions.strings import common_prefix
 from gramweave.operators import grams
-from gramweave.operators.locate import smaller
-from gramweave.sources.tables import written
+from gramweave.operators.locate import GAP, PAIRS, codes, rolling, smaller
+from gramweave.sources.tables import bucketed, buckets, release, remove, scratch, shared_path, written, written_to
 from gramweave.sources.texts import BLOCK, carried, kmers
 
 #: Places of the order that are searched together for nearest smaller values.
 TOGETHER = 1024
 #: Unlike strings of a group that one task puts in order, how many characters a larger one is told apart by, and how often a text's length may be read.
 MANY, NARROW, BUDGET = 200_000, 2, 64
+#: Characters of a piece, and slots in use of a range; bits of a slot below those of its range, at most how many of a range, and those of the character before.
+PIECE, RANGE, LOW, MOST_TOP, BESIDE = 4 << 20, 4 << 20, 29, 14, 21
+MASK = np.uint64((1 << BESIDE) - 1)
 
 
 def ranked(rows: DataFrame, keys: list[str], ties: list[str], name: str) -> DataFrame:
@@ -186,16 +190,129 @@ def maximal_repeats(texts: DataFrame, k: int) -> DataFrame:
     return repeats_by_order(texts, k) if found is None else found.join(texts, "doc_id").select(F.substring("text", F.col("pos").cast("int") + 1, F.col("d").cast("int")).alias("text"), "d", "n_occ")
 
 
+def in_pieces(texts: DataFrame, k: int, total: int, piece: int) -> DataFrame:
+    """piece, doc_id, at, text: texts of k characters or more, dealt to pieces of about `piece` characters (`total` is their sum). A longer text is cut: `at` is its part's first place, and a part also has the character before and k - 1 after."""
+    n, begin = F.length("text"), F.greatest(F.col("at") - 1, F.lit(0))
+    cut = texts.where(n >= k).select("doc_id", "text", F.explode(F.sequence(F.lit(0), n - k, F.lit(piece))).alias("at"))
+    part = F.substring("text", begin + 1, F.col("at") - begin + piece + k - 1)
+    return cut.select(F.pmod(F.xxhash64("doc_id", "at"), F.lit(max(1, -(-total // piece)))).alias("piece"), "doc_id", F.col("at").cast("long").alias("at"), part.alias("text"))
+
+
+class Piece:
+    """The grams of k characters of the texts of a piece: keys (slot of the gram's hash, then the character before it) and the places that have them. Texts come in one order each time."""
+
+    def __init__(self, rows: pa.Table, k: int, bits: int):
+        self.rows = rows.sort_by([("doc_id", "ascending"), ("at", "ascending"), ("text", "ascending")])
+        held, size = [np.array([GAP], "<u4")], [0]
+        for text in self.rows["text"]:
+            held += [codes(text.as_py()), np.array([GAP], "<u4")]
+            size.append(len(held[-2]) + 1)
+        self.whole = np.concatenate(held)
+        self.starts = np.cumsum(size)[:-1] + 1  # of each text
+        base = self.rows["at"].to_numpy()
+        lead = (base > 0).astype("i8")  # a part's first character is only the one before
+        n = np.array(size[1:]) - 1 - lead - k + 1
+        self.part = np.repeat(np.arange(len(n)), n)
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        self.places = (self.starts + lead)[self.part] + inside
+        self.x = base[self.part] + inside
+        slot = (rolling(self.whole, [k])[k][self.places] * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)
+        self.keys = slot << np.uint64(BESIDE) | self.whole[self.places - 1]
+
+    def distinct(self) -> np.ndarray:
+        """The keys in order, once each; that of a gram with which several texts begin has one more beside it."""
+        keys = np.sort(self.keys)
+        again = np.append(False, keys[1:] == keys[:-1]) & ((keys & MASK) == GAP)
+        keys[again] += np.uint64(1)
+        return keys[np.append(True, keys[1:] != keys[:-1])[: len(keys)]]
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """32-bit numbers, their bytes of one worth together."""
+    return pa.compress(np.ascontiguousarray(numbers.astype("<u4").view("u1").reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(raw, 4 * n, codec="zstd", asbytes=True), "u1").reshape(4, n).T).view("<u4").ravel()
+
+
+def unlike_keys(lists: list[np.ndarray]) -> list[np.ndarray]:
+    """Of lists of keys, which places in each have a slot with unlike characters before it; beginnings of texts are like none."""
+    keys = np.sort(np.concatenate(lists))
+    slot, before = keys >> np.uint64(BESIDE), keys & MASK
+    first = np.flatnonzero(np.append(True, slot[1:] != slot[:-1])[: len(slot)])
+    last = np.append(first[1:], len(slot)) - 1
+    found = slot[first][(first < last) & ((before[first] != before[last]) | (before[last] >= GAP))]
+    if not len(found):
+        return [np.zeros(0, "i8")] * len(lists)
+    own = [x >> np.uint64(BESIDE) for x in lists]
+    return [np.flatnonzero(found[np.minimum(np.searchsorted(found, x), len(found) - 1)] == x) for x in own]
+
+
+def maybe_unlike(texts: DataFrame, k: int, piece: int = PIECE, each: int = RANGE) -> DataFrame:
+    """doc_id, pos, gram, before: all places whose next k characters occur elsewhere after another character, and few others.
+
+    Pieces of the texts send the slots of their grams' hashes and the characters before them, each once, in order and packed by differences, to ranges of about `each` slots
+    in use. A range answers with the numbers of those it wants, and the piece, which sorts its grams again, gives the places. So a gram costs two or three bytes of a shuffle.
+    """
+    spark = texts.sparkSession
+    total = texts.where(F.length("text") >= k).agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    top = min(MOST_TOP, max(0, (-(-total // each) - 1).bit_length()))
+    bits, n = top + LOW, buckets(spark)
+    pieces = bucketed(in_pieces(texts, k, total, piece), shared_path(spark, "repeat-pieces"), ["piece"], n)
+    low = np.uint64((1 << (LOW + BESIDE)) - 1)
+
+    def send(key: tuple, rows: pa.Table) -> pa.Table:
+        keys = Piece(rows, k, bits).distinct()
+        edges = np.searchsorted(keys, np.arange(1 << top, dtype="u8") << np.uint64(LOW + BESIDE)).tolist() + [len(keys)]
+        out = []
+        for a, b in zip(edges, edges[1:], strict=False):
+            own = keys[a:b] & low
+            out.append((packed(np.diff(own >> np.uint64(BESIDE), prepend=np.uint64(0))), packed(own & MASK)))
+        size = np.diff(edges)
+        table = pa.table({"range": pa.array(np.arange(1 << top), pa.int32()), "piece": pa.array([key[0].as_py()] * len(size), pa.int64()), "n": pa.array(size, pa.int32()), "slots": pa.array([x for x, _ in out], pa.binary()), "befores": pa.array([x for _, x in out], pa.binary())})
+        return table.filter(pa.array(size > 0))
+
+    def answer(table: pa.Table) -> pa.Table:
+        lists = []
+        for n, slots, befores in zip(*(table[c].to_pylist() for c in ("n", "slots", "befores")), strict=True):
+            lists.append(np.cumsum(unpacked(slots, n), dtype="u8") << np.uint64(BESIDE) | unpacked(befores, n))
+        found = unlike_keys(lists)
+        some = np.array([len(x) for x in found])
+        answers = pa.table({"piece": table["piece"], "range": table["range"], "n": pa.array(some, pa.int32()), "wanted": pa.array([packed(np.diff(x, prepend=0)) for x in found], pa.binary())})
+        return answers.filter(pa.array(some > 0))
+
+    def give(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        empty = pa.table({"doc_id": rows["doc_id"].slice(0, 0), "pos": pa.array([], pa.int64()), "gram": pa.array([], pa.string()), "before": pa.array([], pa.string())})
+        if not rows.num_rows or not asked.num_rows:
+            return empty
+        own = Piece(rows, k, bits)
+        keys, wanted = own.distinct(), []
+        for r, n, raw in zip(*(asked[c].to_pylist() for c in ("range", "n", "wanted")), strict=True):
+            wanted.append(np.searchsorted(keys, np.uint64(r) << np.uint64(LOW + BESIDE)) + np.cumsum(unpacked(raw, n), dtype="i8"))
+        slots = np.unique(keys[np.concatenate(wanted)] >> np.uint64(BESIDE))
+        slot = own.keys >> np.uint64(BESIDE)
+        at = np.flatnonzero(slots[np.minimum(np.searchsorted(slots, slot), len(slots) - 1)] == slot)
+        out = [empty]
+        for j in range(0, len(at), PAIRS // k + 1):
+            some = at[j : j + PAIRS // k + 1]
+            seen = own.whole[own.places[some][:, None] + np.arange(k)].tobytes().decode("utf-32-le", "surrogatepass")
+            before = [chr(c) if c < GAP else None for c in own.whole[own.places[some] - 1].tolist()]
+            columns = [own.rows["doc_id"].take(pa.array(own.part[some])), pa.array(own.x[some]), pa.array([seen[i : i + k] for i in range(0, len(seen), k)], pa.string()), pa.array(before, pa.string())]
+            out.append(pa.table(columns, names=empty.column_names))
+        return pa.concat_tables(out)
+
+    sent = pieces.groupBy("piece").applyInArrow(send, "range int, piece long, n int, slots binary, befores binary")
+    answers = sent.groupBy("range").applyInArrow(answer, "piece long, range int, n int, wanted binary")
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return pieces.groupBy("piece").cogroup(written(answers, "repeat-answers").groupBy("piece")).applyInArrow(give, f"doc_id {kind}, pos long, gram string, before string")
+
+
 def unlike_places(texts: DataFrame, k: int) -> DataFrame:
     """g, h, doc_id, pos, before: the places whose next k characters (h = k) occur elsewhere after another character, or at a text's beginning; g numbers these strings."""
-    grown = texts.where(F.length("text") >= k).withColumn("text", F.concat(F.lit(" "), "text"))  # a character more, so each gram knows the one before it
-    placed = kmers(grown, "doc_id", "text", k + 1).select("doc_id", "pos", F.expr(f"substring(gram, 2, {k})").alias("gram"), F.when(F.col("pos") > 0, F.substring("gram", 1, 1)).alias("before"))
-    unlike = "c > 1 and (lo <> hi or c > n)"
+    held = written(maybe_unlike(texts, k), "repeat-places")
     seen = [F.count(F.lit(1)).alias("c"), F.count("before").alias("n"), F.min("before").alias("lo"), F.max("before").alias("hi")]
-    hashed = placed.select(F.xxhash64("gram").alias("hash"), "before")
-    again = written(hashed.groupBy("hash").agg(*seen).where(unlike).select("hash"), "repeated")
-    held = written(placed.withColumn("hash", F.xxhash64("gram")).join(smaller(again, F.lit(16)), "hash", "left_semi").drop("hash"), "repeat-places")
-    strings = written(held.groupBy("gram").agg(*seen).where(unlike).select("gram", F.monotonically_increasing_id().alias("g")), "repeat-strings")
+    strings = written(held.groupBy("gram").agg(*seen).where("c > 1 and (lo <> hi or c > n)").select("gram", F.monotonically_increasing_id().alias("g")), "repeat-strings")
     return held.join(strings, "gram").select("g", F.lit(k).cast("long").alias("h"), "doc_id", "pos", "before")
 
 
@@ -282,7 +399,11 @@ def branches(texts: DataFrame, k: int, many: int = MANY, budget: int = BUDGET) -
     they part, a repeat ends, and what still is alike is a group of the next round if unlike characters come before it. All others are only counted, so the
     inside of a copy costs nothing. A group of over `many` unlike strings is told apart by NARROW characters first, so no task gets more than alphabets allow.
     """
-    now, out, step = written(unlike_places(texts, k), "repeat-groups"), None, 3 * k
+    spark, out, step = texts.sparkSession, None, 3 * k
+    path = shared_path(spark, "repeat-groups")
+    with scratch(spark):
+        now = written_to(unlike_places(texts, k), path)
+    release(spark)
     most = budget * (texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] + (1 << 20))
     kind, read = texts.schema["doc_id"].dataType.simpleString(), 0
     while True:
@@ -290,22 +411,28 @@ def branches(texts: DataFrame, k: int, many: int = MANY, budget: int = BUDGET) -
         read += n * step
         if read > most:
             return None
-        block = max(BLOCK, step)
-        met = written(following(now, blocks_of(texts.join(now.select("doc_id").distinct(), "doc_id", "left_semi"), step, block), F.col("pos") + F.col("h"), step, "s", block), "repeat-tails")
-        rows = written(_counted(met), "repeat-strings")
-        wide = written(rows.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > many).select("g", F.lit(True).alias("wide")), "repeat-wide")
-        if hot := not wide.isEmpty():
-            met = written(met.join(F.broadcast(wide) if wide.count() <= 10_000 else wide, "g", "left").withColumn("s", F.when(F.col("wide"), F.substring("s", 1, NARROW)).otherwise(F.col("s"))), "repeat-tails")
-            rows = _counted(met, "wide")
-        width = F.when(F.col("wide"), NARROW).otherwise(step) if hot else F.lit(step)
-        dealt = rows.select("g", "h", width.alias("w"), "s", "before", "n", "one.doc_id", "one.pos").repartition("g").sortWithinPartitions("g", "h", "s")
-        found = written(dealt.mapInArrow(_branching, f"g long, d long, s string, n_occ long, doc_id {kind}, pos long"), "repeat-found")
-        ends = found.where("s is null").select("doc_id", "pos", "d", "n_occ")
+        block, after, ended = max(BLOCK, step), shared_path(spark, "repeat-groups"), shared_path(spark, "repeat-found")
+        with scratch(spark):  # what a round writes and shuffles goes with it, but for what is found and the next groups
+            met = written(following(now, blocks_of(texts.join(now.select("doc_id").distinct(), "doc_id", "left_semi"), step, block), F.col("pos") + F.col("h"), step, "s", block), "repeat-tails")
+            rows = written(_counted(met), "repeat-strings")
+            wide = written(rows.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > many).select("g", F.lit(True).alias("wide")), "repeat-wide")
+            if hot := not wide.isEmpty():
+                met = written(met.join(F.broadcast(wide) if wide.count() <= 10_000 else wide, "g", "left").withColumn("s", F.when(F.col("wide"), F.substring("s", 1, NARROW)).otherwise(F.col("s"))), "repeat-tails")
+                rows = _counted(met, "wide")
+            width = F.when(F.col("wide"), NARROW).otherwise(step) if hot else F.lit(step)
+            dealt = rows.select("g", "h", width.alias("w"), "s", "before", "n", "one.doc_id", "one.pos").repartition("g").sortWithinPartitions("g", "h", "s")
+            found = written(dealt.mapInArrow(_branching, f"g long, d long, s string, n_occ long, doc_id {kind}, pos long"), "repeat-found")
+            ends = written_to(found.where("s is null").select("doc_id", "pos", "d", "n_occ"), ended)
+            goes_on = written(found.where("s is not null").select("g", "s", F.col("d").alias("h"), F.monotonically_increasing_id().alias("next")), "repeat-open")
+            if more := not goes_on.isEmpty():
+                now = written_to(met.drop("h").join(goes_on, ["g", "s"]).select(F.col("next").alias("g"), "h", "doc_id", "pos", "before"), after)
         out = ends if out is None else out.unionByName(ends)
-        goes_on = written(found.where("s is not null").select("g", "s", F.col("d").alias("h"), F.monotonically_increasing_id().alias("next")), "repeat-open")
-        if goes_on.isEmpty():
+        remove(spark, path)
+        del met, rows, wide, dealt, found, goes_on
+        release(spark)
+        if not more:
             return out
-        now = written(met.drop("h").join(goes_on, ["g", "s"]).select(F.col("next").alias("g"), "h", "doc_id", "pos", "before"), "repeat-groups")
+        path = after
         step *= 4
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -32,11 +33,21 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def written(rows: DataFrame, name: str) -> DataFrame:
     """The rows from a table: their lineage ends there, and what uses them twice reads them twice."""
-    path = shared_path(rows.sparkSession, name)
+    return written_to(rows, shared_path(rows.sparkSession, name))
+
+
+def written_to(rows: DataFrame, path: str) -> DataFrame:
+    """As written(), at a path that may be of another scope: what scratch() deletes is told by where its path was made."""
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that are done: it does so when the driver collects them as garbage, which a large heap puts off beyond the job."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def buckets(spark: SparkSession) -> int:
     """Into how many buckets tables are dealt: as many as the session's shuffles have partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -115,3 +115,31 @@ def test_the_inside_of_copies_takes_no_part(spark):
     whole = "".join(r.choice("abcdefghijklmnop") for _ in range(5000))
     docs = spark.createDataFrame([(0, whole), (1, whole[:2500] + "?" + whole[2501:])], "doc_id long, text string")
     assert sorted((x.doc_id, x.pos) for x in repeats.unlike_places(docs, 20).collect()) == [(0, 0), (0, 2501), (1, 0), (1, 2501)]
+
+
+@pytest.mark.parametrize(("piece", "each"), [(7, 16), (1 << 20, 1 << 20)])
+def test_places_with_unlike_characters_before_them(spark, piece, each):
+    """None is missing, whatever pieces texts are cut to and however many ranges there are; of others there are few."""
+    r = random.Random(12)
+    docs = [(j, "".join(r.choice("abcd") for _ in range(r.randrange(60)))) for j in range(12)] + [(20, None), (21, ""), (22, "ä𝄞b" * 9), (23, "abab"), (24, "abab"), (25, "aba")]
+    places = {}
+    for doc, t in docs:
+        for p in range(len(t or "") - 2):
+            places.setdefault(t[p : p + 3], []).append((doc, p, t[p - 1] if p else None))
+    want = {(doc, p, w, c) for w, at in places.items() for doc, p, c in at if len(at) > 1 and (len({c for _, _, c in at}) > 1 or at[0][2] is None)}
+    rows = spark.createDataFrame(docs, "doc_id long, text string").where("text is not null")
+    found = [tuple(x) for x in repeats.maybe_unlike(rows, 3, piece, each).collect()]
+    assert len(found) == len(set(found)) and set(found) == want and want
+
+
+def test_rounds_leave_only_what_they_found(spark):
+    """A job over large texts has no room for the tables of all its rounds."""
+    from gramweave.sources.tables import names_in, shared_dir
+
+    r = random.Random(13)
+    whole = "".join(r.choice("abcdefgh") for _ in range(900))
+    rows = spark.createDataFrame([(0, whole), (1, "#" + whole), (2, whole[:450] + "?" + whole[450:])], "doc_id long, text string")
+    folder = f"{shared_dir(spark)}/gramweave/{spark.sparkContext.applicationId}"
+    before = set(names_in(spark, folder))
+    assert repeats.branches(rows, 4).count() > 1
+    assert {n.rsplit("-", 1)[0] for n in set(names_in(spark, folder)) - before} == {"repeat-found"}
