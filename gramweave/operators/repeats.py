@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from gramweave.functions.strings import common_prefix
 from gramweave.operators import grams
 from gramweave.operators.locate import GAP, PAIRS, codes, rolling, smaller
+from gramweave.sources.packing import packed, unpacked
 from gramweave.sources.tables import bucketed, buckets, release, remove, scratch, shared_path, written, written_to
 from gramweave.sources.texts import BLOCK, carried, kmers
 
@@ -227,15 +228,6 @@ class Piece:
         return keys[np.append(True, keys[1:] != keys[:-1])[: len(keys)]]
 
 
-def packed(numbers: np.ndarray) -> bytes:
-    """32-bit numbers, their bytes of one worth together."""
-    return pa.compress(np.ascontiguousarray(numbers.astype("<u4").view("u1").reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
-
-
-def unpacked(raw: bytes, n: int) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(pa.decompress(raw, 4 * n, codec="zstd", asbytes=True), "u1").reshape(4, n).T).view("<u4").ravel()
-
-
 def unlike_keys(lists: list[np.ndarray]) -> list[np.ndarray]:
     """Of lists of keys, which places in each have a slot with unlike characters before it; beginnings of texts are like none."""
     keys = np.sort(np.concatenate(lists))
@@ -269,18 +261,16 @@ def maybe_unlike(texts: DataFrame, k: int, piece: int = PIECE, each: int = RANGE
         for a, b in zip(edges, edges[1:], strict=False):
             own = keys[a:b] & low
             out.append((packed(np.diff(own >> np.uint64(BESIDE), prepend=np.uint64(0))), packed(own & MASK)))
-        size = np.diff(edges)
-        table = pa.table({"range": pa.array(np.arange(1 << top), pa.int32()), "piece": pa.array([key[0].as_py()] * len(size), pa.int64()), "n": pa.array(size, pa.int32()), "slots": pa.array([x for x, _ in out], pa.binary()), "befores": pa.array([x for _, x in out], pa.binary())})
-        return table.filter(pa.array(size > 0))
+        table = pa.table({"range": pa.array(np.arange(1 << top), pa.int32()), "piece": pa.array([key[0].as_py()] * len(out), pa.int64()), "slots": pa.array([x for x, _ in out], pa.binary()), "befores": pa.array([x for _, x in out], pa.binary())})
+        return table.filter(pa.array(np.diff(edges) > 0))
 
     def answer(table: pa.Table) -> pa.Table:
         lists = []
-        for n, slots, befores in zip(*(table[c].to_pylist() for c in ("n", "slots", "befores")), strict=True):
-            lists.append(np.cumsum(unpacked(slots, n), dtype="u8") << np.uint64(BESIDE) | unpacked(befores, n))
+        for slots, befores in zip(*(table[c].to_pylist() for c in ("slots", "befores")), strict=True):
+            lists.append(np.cumsum(unpacked(slots), dtype="u8") << np.uint64(BESIDE) | unpacked(befores))
         found = unlike_keys(lists)
-        some = np.array([len(x) for x in found])
-        answers = pa.table({"piece": table["piece"], "range": table["range"], "n": pa.array(some, pa.int32()), "wanted": pa.array([packed(np.diff(x, prepend=0)) for x in found], pa.binary())})
-        return answers.filter(pa.array(some > 0))
+        answers = pa.table({"piece": table["piece"], "range": table["range"], "wanted": pa.array([packed(np.diff(x, prepend=0)) for x in found], pa.binary())})
+        return answers.filter(pa.array([len(x) > 0 for x in found]))
 
     def give(rows: pa.Table, asked: pa.Table) -> pa.Table:
         empty = pa.table({"doc_id": rows["doc_id"].slice(0, 0), "pos": pa.array([], pa.int64()), "gram": pa.array([], pa.string()), "before": pa.array([], pa.string())})
@@ -288,8 +278,8 @@ def maybe_unlike(texts: DataFrame, k: int, piece: int = PIECE, each: int = RANGE
             return empty
         own = Piece(rows, k, bits)
         keys, wanted = own.distinct(), []
-        for r, n, raw in zip(*(asked[c].to_pylist() for c in ("range", "n", "wanted")), strict=True):
-            wanted.append(np.searchsorted(keys, np.uint64(r) << np.uint64(LOW + BESIDE)) + np.cumsum(unpacked(raw, n), dtype="i8"))
+        for r, raw in zip(*(asked[c].to_pylist() for c in ("range", "wanted")), strict=True):
+            wanted.append(np.searchsorted(keys, np.uint64(r) << np.uint64(LOW + BESIDE)) + np.cumsum(unpacked(raw), dtype="i8"))
         slots = np.unique(keys[np.concatenate(wanted)] >> np.uint64(BESIDE))
         slot = own.keys >> np.uint64(BESIDE)
         at = np.flatnonzero(slots[np.minimum(np.searchsorted(slots, slot), len(slots) - 1)] == slot)
@@ -302,8 +292,8 @@ def maybe_unlike(texts: DataFrame, k: int, piece: int = PIECE, each: int = RANGE
             out.append(pa.table(columns, names=empty.column_names))
         return pa.concat_tables(out)
 
-    sent = pieces.groupBy("piece").applyInArrow(send, "range int, piece long, n int, slots binary, befores binary")
-    answers = sent.groupBy("range").applyInArrow(answer, "piece long, range int, n int, wanted binary")
+    sent = pieces.groupBy("piece").applyInArrow(send, "range int, piece long, slots binary, befores binary")
+    answers = sent.groupBy("range").applyInArrow(answer, "piece long, range int, wanted binary")
     kind = texts.schema["doc_id"].dataType.simpleString()
     return pieces.groupBy("piece").cogroup(written(answers, "repeat-answers").groupBy("piece")).applyInArrow(give, f"doc_id {kind}, pos long, gram string, before string")
 

@@ -53,10 +53,11 @@ def buckets(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bucketed(rows: DataFrame, path: str, keys: list[str], n: int) -> DataFrame:
-    """The rows from a table at path, dealt to n buckets by keys and sorted by them in each. Joins and groups on these keys read it without a shuffle."""
+def bucketed(rows: DataFrame, path: str, keys: list[str], n: int, placed: bool = False) -> DataFrame:
+    """The rows from a table at path, dealt to n buckets by keys and sorted by them in each. Joins and groups on these keys read it without a shuffle. placed: the rows of each bucket already lie in one partition."""
     spark, name = rows.sparkSession, f"gramweave_{uuid.uuid4().hex}"
-    rows.repartition(n, *keys).write.format("parquet").bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    dealt = rows if placed else rows.repartition(n, *keys)
+    dealt.write.format("parquet").option("compression", "zstd").bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
     return _resolved(spark, name)
 
 

@@ -133,3 +133,34 @@ def test_what_is_asked_keeps_its_columns(spark):
     index.update(texts_of(spark, [(0, "abcdefgh")]), F.lit("own"))
     asked = spark.createDataFrame([("abcd", 5), ("zzzz", 6)], "gram string, part int")
     assert got(index.hits(asked).select("doc_id", "x", "gram", "part")) == [(0, 0, "abcd", 5)]
+
+
+@pytest.mark.parametrize(("together", "most"), [(40, 7), (8 << 20, 1 << 20)])
+def test_places_move_packed_to_their_buckets(spark, together, most):
+    """What arrives are the lists of gram_lists(), each in the partition that Spark deals its gram to, and few rows move."""
+    from gramweave.operators.index import gram_lists, moved_lists
+
+    rows = texts_of(spark, [*made(6), (70, "ab" * 900), (71, "ä𝄞" * 70 + "c")]).where("text is not null").withColumn("part", (F.col("doc_id") % 7).cast("string"))
+    moved = moved_lists(rows, 5, 3, 6, together, most).withColumn("at", F.spark_partition_id())
+    assert moved.where(F.col("at") != F.pmod(F.hash("gram"), F.lit(6))).isEmpty() and moved.select("at").distinct().count() == 6
+    places = lambda lists: got(lists.select("gram", F.inline(F.arrays_zip("parts", "docs", "xs", "besides"))))
+    assert places(moved) == places(gram_lists(rows, 5, 3)) and len(places(moved)) > 1000
+    names = rows.withColumn("doc_id", F.concat(F.lit("t"), "doc_id"))
+    assert places(moved_lists(names, 5, 3, 6, together, most)) == places(gram_lists(names, 5, 3))
+
+
+def test_an_update_of_much_text_is_built_in_turns(spark, asked, monkeypatch):
+    from gramweave.operators import index as own
+
+    monkeypatch.setattr(own, "TURN", 200)
+    path, rows = shared_path(spark, "index"), made(7)
+    texts = texts_of(spark, rows)
+    index = GramIndex(spark, path, LEAST)
+    assert index.update(texts, part()) == 13 and len(index.builds()) == own.TURNS == 4
+    assert index.manifest().columns == ["part", "content", "build"] and index.update(texts, part()) == 0
+    changed = texts_of(spark, [(7, "abcabcabcabcaabb"), *[r for r in rows if r[0] != 7]])
+    assert index.update(changed, part()) == 1 and len(index.builds()) == 5
+    same_answers(changed, GramIndex(spark, path), asked)
+    index.merge()
+    assert len(index.builds()) == 1
+    same_answers(changed, GramIndex(spark, path), asked)
