@@ -252,6 +252,7 @@ def maybe_unlike(texts: DataFrame, k: int, piece: int = PIECE, each: int = RANGE
     top = min(MOST_TOP, max(0, (-(-total // each) - 1).bit_length()))
     bits, n = top + LOW, buckets(spark)
     pieces = bucketed(in_pieces(texts, k, total, piece), shared_path(spark, "repeat-pieces"), ["piece"], n)
+    release(spark)
     low = np.uint64((1 << (LOW + BESIDE)) - 1)
 
     def send(key: tuple, rows: pa.Table) -> pa.Table:
@@ -301,6 +302,7 @@ def maybe_unlike(texts: DataFrame, k: int, piece: int = PIECE, each: int = RANGE
 def unlike_places(texts: DataFrame, k: int) -> DataFrame:
     """g, h, doc_id, pos, before: the places whose next k characters (h = k) occur elsewhere after another character, or at a text's beginning; g numbers these strings."""
     held = written(maybe_unlike(texts, k), "repeat-places")
+    release(texts.sparkSession)
     seen = [F.count(F.lit(1)).alias("c"), F.count("before").alias("n"), F.min("before").alias("lo"), F.max("before").alias("hi")]
     strings = written(held.groupBy("gram").agg(*seen).where("c > 1 and (lo <> hi or c > n)").select("gram", F.monotonically_increasing_id().alias("g")), "repeat-strings")
     return held.join(strings, "gram").select("g", F.lit(k).cast("long").alias("h"), "doc_id", "pos", "before")
@@ -404,6 +406,7 @@ def branches(texts: DataFrame, k: int, many: int = MANY, budget: int = BUDGET) -
         block, after, ended = max(BLOCK, step), shared_path(spark, "repeat-groups"), shared_path(spark, "repeat-found")
         with scratch(spark):  # what a round writes and shuffles goes with it, but for what is found and the next groups
             met = written(following(now, blocks_of(texts.join(now.select("doc_id").distinct(), "doc_id", "left_semi"), step, block), F.col("pos") + F.col("h"), step, "s", block), "repeat-tails")
+            release(spark)
             rows = written(_counted(met), "repeat-strings")
             wide = written(rows.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > many).select("g", F.lit(True).alias("wide")), "repeat-wide")
             if hot := not wide.isEmpty():
@@ -412,6 +415,7 @@ def branches(texts: DataFrame, k: int, many: int = MANY, budget: int = BUDGET) -
             width = F.when(F.col("wide"), NARROW).otherwise(step) if hot else F.lit(step)
             dealt = rows.select("g", "h", width.alias("w"), "s", "before", "n", "one.doc_id", "one.pos").repartition("g").sortWithinPartitions("g", "h", "s")
             found = written(dealt.mapInArrow(_branching, f"g long, d long, s string, n_occ long, doc_id {kind}, pos long"), "repeat-found")
+            release(spark)
             ends = written_to(found.where("s is null").select("doc_id", "pos", "d", "n_occ"), ended)
             goes_on = written(found.where("s is not null").select("g", "s", F.col("d").alias("h"), F.monotonically_increasing_id().alias("next")), "repeat-open")
             if more := not goes_on.isEmpty():
