@@ -26,11 +26,11 @@ from gramweave.sources.texts import kmers_in_context
 #: Parts that texts are dealt to by their ids, if no column says otherwise.
 PARTS = 256
 #: Bytes of texts that are cut together, and places of a gram in one row.
-TOGETHER, LISTED = 8 << 20, 4096
+TOGETHER, LISTED = 6 << 20, 4096
 #: In how many turns an update builds what has changed, at most, and of how many characters each is, at least: a turn moves its own places only.
 TURNS, TURN = 4, 64 << 20
-#: Places of a bucket that are put in lists together, and what they are packed to.
-MERGED = 1 << 20
+#: Places of a bucket that are put in lists together, lists that leave a worker at once, and what places are packed to.
+MERGED, GIVEN = 1 << 19, 1024
 PACK = ["deal", "texts", "gram_sizes", "grams", "counts", "which", "xs", "beside_sizes", "besides"]
 
 
@@ -190,8 +190,12 @@ def moved_lists(rows: DataFrame, w: int, s: int, n: int, together: int = TOGETHE
         for batch in chain(read(batches), [None]):
             if held and (batch is None or size + batch.num_rows > most):
                 whole = pa.Table.from_batches(held).combine_chunks()
-                yield listed(whole["gram"].combine_chunks(), {c: whole[c].combine_chunks() for c in whole.column_names[1:]})
-                held, size = [], 0
+                lists = listed(whole["gram"].combine_chunks(), {c: whole[c].combine_chunks() for c in whole.column_names[1:]})
+                held, size, whole = [], 0, None
+                for at in range(0, lists.num_rows, GIVEN):
+                    yield lists.slice(at, GIVEN)
+                lists = None
+                pa.default_memory_pool().release_unused()
             if batch is not None:
                 held.append(batch)
                 size += batch.num_rows
